@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import op9_packing, op10_fm_index
+from . import op4_secrets, op6_toxicity, op9_packing, op10_fm_index
 
 _MODULES = {
+    "op4_secrets": op4_secrets,
+    "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
     "op10_fm_index": op10_fm_index,
 }
