@@ -14,6 +14,7 @@ packed one by one; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -28,8 +29,8 @@ from .common import table
 
 END = 2
 LENGTH = 4096
-#: Distinct words whose ids a worker remembers; beyond it the memory starts anew (ids stay the same).
-MEMORY = 700_000
+#: Distinct pieces whose ids a worker remembers; beyond it the memory starts anew (ids stay the same).
+MEMORY = 1_500_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -40,12 +41,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Token ids of texts, word by word.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_PIECE = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\x20\t\n\r\v\f]+")
+_PLAIN = {chr(c) for c in range(128)} - {chr(c) for c in range(0x1C, 0x20)} - {"'"}
 
-    The tokenizer drops white space and no token spans it, so a text's ids are its words' ids in turn.
-    Only ASCII white space splits here; whatever else the tokenizer splits stays inside one "word".
+
+def pieces(text: bytes) -> list[bytes]:
+    """Parts of a text that the tokenizer encodes independently of each other.
+
+    It drops white space, and no token spans it. Where all other characters are ASCII (no apostrophe, which
+    starts contractions) or letters, it also splits at each change between letters, digits and the rest.
     """
+    small = text.translate(_LOWER)
+    if b"<|" not in small and all(c in _PLAIN or c.isalpha() and c.lower().isalpha() for c in set(text.decode())):
+        return _PIECE.findall(small)
+    return text.split()
+
+
+class PieceIds:
+    """Token ids of texts, by a memory of their pieces' ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,40 +69,32 @@ class WordIds:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.first, self.ids, self.used, self.words = np.zeros(1, np.int64), np.zeros(1024, np.uint32), 0, 0
+        self.first, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > MEMORY:
-            self._clear()
         got = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
         flat = np.fromiter((i for x in got for i in x), np.uint32)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        size = len(self.known)
+        while size + len(new) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(len(self.first), np.int64)])
         self.ids[self.used : self.used + len(flat)] = flat
-        ends = self.used + np.cumsum([len(x) for x in got])
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.first = np.concatenate([self.first, ends])
+        self.first[size + 1 : size + len(new) + 1] = self.used + np.cumsum([len(x) for x in got])
+        self.known.update(zip(new, range(size, size + len(new))))
         self.used += len(flat)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(new) > MEMORY:  # one batch alone exceeds the memory: halve it
-            half = len(texts) // 2
-            if half:
-                return self(texts[:half]) + self(texts[half:])
-            return [np.array(self.model.encode(texts[0].decode(), add_special_tokens=False).ids, np.uint32)]
-        if new:
-            size = len(self.known)
-            self._learn(new)
-            if len(self.known) < size + len(new):  # cleared meanwhile
-                rest = list({w for ws in split for w in ws if w not in self.known})
-                if rest:
-                    self._learn(rest)
-        out, get = [], self.known.__getitem__
-        for ws in split:
-            at = np.fromiter(map(get, ws), np.int64, len(ws))
+        out = []
+        for text in texts:
+            own = pieces(text)
+            new = [w for w in set(own) if w not in self.known]
+            if new and len(self.known) + len(new) > MEMORY:
+                self._clear()
+                new = list(set(own))
+            if new:
+                self._learn(new)
+            at = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
             low, n = self.first[at], self.first[at + 1] - self.first[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
@@ -96,12 +102,12 @@ class WordIds:
         return out
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[str, PieceIds] = {}
 
 
-def _ids_of(path: str) -> WordIds:
+def _ids_of(path: str) -> PieceIds:
     if path not in _loaded:
-        _loaded[path] = WordIds(path)
+        _loaded[path] = PieceIds(path)
     return _loaded[path]
 
 
@@ -120,7 +126,7 @@ class Packer:
     def __init__(self, length: int, max_segments: int, max_loss: int, open_bins: int, base: int, emit: Callable[[Bin], None]):
         self.limits, self.most, self.emit = (length, max_segments, max_loss), open_bins, emit
         self.next, self.bins = base, []
-        self.scale = np.array([1 / length, 1 / max_segments, 1 / max_loss])
+        self.scale = [length**-2, max_segments**-2, max_loss**-2]
 
     def new(self) -> Bin:
         self.next += 1
@@ -148,9 +154,8 @@ class Packer:
             loss = loss_of(start, rest)
             fit = [b for b in self.bins if b.room >= rest and b.loss >= loss]
             if fit:
-                need = np.array([rest, 1, loss]) * self.scale
-                left = np.array([[b.room, b.segments, b.loss] for b in fit]) * self.scale
-                best = fit[int(np.argmax(left @ need))]
+                x, y, z = rest * self.scale[0], self.scale[1], loss * self.scale[2]
+                best = max(fit, key=lambda b: b.room * x + b.segments * y + b.loss * z)
                 self.put(best, doc, start, rest, loss)
                 if not (best.room and best.segments and best.loss):
                     self.close(best)
