@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import op4_secrets, op6_toxicity, op9_packing, op10_fm_index
+from . import op4_secrets, op5_wrapper, op6_toxicity, op8_topk, op9_packing, op10_fm_index
 
 _MODULES = {
     "op4_secrets": op4_secrets,
+    "op5_wrapper": op5_wrapper,
     "op6_toxicity": op6_toxicity,
+    "op8_topk": op8_topk,
     "op9_packing": op9_packing,
     "op10_fm_index": op10_fm_index,
 }
