@@ -30,7 +30,7 @@ DIM = 4
 GRAMS = (3, 4, 5)
 WINDOW = 2
 #: Labelled rows of each class that a model is fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 2500
 THRESHOLD = 0.3
 MEMORY = 600_000
 
@@ -97,26 +97,28 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, self.odds(ws)).sum()))
 
 
-def fit(texts: list[str | None], toxic: list[int], rounds: int = 60, rate: float = 0.2, decay: float = 1e-6) -> Model:
+def fit(texts: list[str | None], toxic: list[int], rounds: int = 40, rate: float = 0.25, decay: float = 1e-6) -> Model:
     """Full-batch Adam on embeddings and linear layer together."""
-    docs = [words(t) for t in texts]
-    kept = [k for k, d in enumerate(docs) if d]
-    docs, y = [docs[k] for k in kept], np.array([toxic[k] for k in kept], float)
-    if not len(docs) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), -1000.0)
     place: dict[str, int] = {}
-    flat = np.fromiter((place.setdefault(w, len(place)) for d in docs for w in d), np.int32)
-    grams = [subwords(w) for w in place]
-    sizes = np.array([len(g) for g in grams])
-    gram = np.fromiter((i for g in grams for i in g), np.int64, int(sizes.sum())) & (BUCKETS - 1)
+    coded, ys = [], []
+    for text, kind in zip(texts, toxic):
+        if ws := words(text):
+            coded.append(np.fromiter((place.setdefault(w, len(place)) for w in ws), np.int32, len(ws)))
+            ys.append(float(kind))
+    y = np.array(ys)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(BUCKETS, np.float32), -1000.0)
+    lengths, flat = np.array([len(d) for d in coded]), np.concatenate(coded)
+    gram = (np.fromiter((i for w in place for i in subwords(w)), np.uint32) & (BUCKETS - 1)).astype(np.int32)
+    sizes = np.fromiter((len(subwords(w)) for w in place), np.int32, len(place))
+    del coded, place
     used, gram = np.unique(gram, return_inverse=True)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    lengths = np.array([len(d) for d in docs])
+    gram, starts = gram.astype(np.int32), np.cumsum(sizes) - sizes
     per = -(-lengths // WINDOW)
     first = np.cumsum(lengths) - lengths
     inside = np.arange(len(flat)) - np.repeat(first, lengths)
-    window = np.repeat(np.cumsum(per) - per, lengths) + inside // WINDOW
-    n_windows, doc_of = int(per.sum()), np.repeat(np.arange(len(docs)), per)
+    window = (np.repeat(np.cumsum(per) - per, lengths) + inside // WINDOW).astype(np.int32)
+    n_windows, doc_of = int(per.sum()), np.repeat(np.arange(len(y), dtype=np.int32), per)
     share = 1.0 / np.bincount(window, sizes[flat], n_windows)
     random = np.random.default_rng(7)
     table_, head = random.normal(0, 0.1, (len(used), DIM)).astype(np.float32), random.normal(0, 0.1, (2, DIM))
@@ -127,14 +129,14 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 60, rate: float
     for k in range(1, rounds + 1):
         slope = head[1] - head[0]
         scalar = table_ @ slope.astype(np.float32)
-        word_sum = np.bincount(owner, scalar[gram], len(sizes))
+        word_sum = np.add.reduceat(scalar[gram], starts)
         z = np.bincount(window, word_sum[flat], n_windows) * share + bias[1] - bias[0]
-        total = np.bincount(doc_of, np.logaddexp(0, z), len(docs))
+        total = np.bincount(doc_of, np.logaddexp(0, z), len(y))
         # loss: -log(1 - exp(-total)) for toxic texts, total for the others
-        by_total = balance * np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(total, 500)), 1e-9), 1.0) / len(docs)
+        by_total = balance * np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(total, 500)), 1e-9), 1.0) / len(y)
         by_z = by_total[doc_of] / (1 + np.exp(-np.clip(z, -50, 50)))
         by_word = np.bincount(flat, (by_z * share)[window], len(sizes))
-        by_scalar = np.bincount(gram, by_word[owner], len(used))
+        by_scalar = np.bincount(gram, np.repeat(by_word, sizes), len(used))
         by_slope = by_scalar @ table_
         grads = [np.outer(by_scalar, slope).astype(np.float32) + decay * table_, np.stack([-by_slope, by_slope]) + decay * head, np.array([-by_z.sum(), by_z.sum()])]
         for p, g, m, v in zip(parameters, grads, first_moment, second_moment):
