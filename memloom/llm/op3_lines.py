@@ -1,10 +1,10 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations alone.
 
 A line is the set of its space-separated tokens. Tokens are ordered by rarity: occurrences are counted
-over the whole corpus in CELLS hash cells, the fullest cells form frequency classes, and the rest, the
-rare tokens, come first in hash order. Lines of equal sets form classes before anything is joined, so
+over the whole corpus in CELLS hash cells and the fullest cells form frequency classes; the rest, the rare
+tokens, come first, longer ones before shorter ones, then in hash order (any one order gives exact results). Lines of equal sets form classes before anything is joined, so
 copies meet no copies. Class representatives with a common token in their prefixes are joined under the
-length and positional filters, and Jaccard >= 0.8 is verified on the whole sets, read again from the
+length and positional filters and a bound from bit maps of the sets, and Jaccard >= 0.8 is verified on the whole sets, read again from the
 documents. A line is removed if an earlier line (smaller doc_id, or the same document and a smaller line
 number), removed or not, is similar.
 
@@ -22,13 +22,13 @@ from .common import cut, table
 
 CELLS = 1 << 16
 #: Sizes of the frequency classes, fullest cells first; every other token is rare.
-CLASSES = (16, 112, 896)
-_MASK = (1 << 58) - 1
+CLASSES = (16, 112, 896, 7168)
+_HASH = 52
 
 
 def _frequent(docs: DataFrame) -> list[list[int]]:
     """The fullest hash cells, in classes; the table that comes to the driver has CELLS rows at most."""
-    cell = docs.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w")).where("w <> ''").select(F.pmod(F.xxhash64("w"), F.lit(CELLS)).cast("int").alias("cell"))
+    cell = docs.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w")).where("w <> ''").select(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"))
     counts = cell.groupBy("cell").count().orderBy(F.desc("count"), "cell").limit(sum(CLASSES)).collect()
     out, at = [], 0
     for n in CLASSES:
@@ -38,10 +38,11 @@ def _frequent(docs: DataFrame) -> list[list[int]]:
 
 
 def _tokens(line: str, frequent: list[list[int]]) -> str:
-    """Sorted distinct token codes of a line: frequency class, then hash."""
-    levels = " ".join(f"WHEN pmod(h, {CELLS}) IN ({','.join(map(str, cells))}) THEN {len(frequent) - k}L" for k, cells in enumerate(frequent) if cells)
-    code = f"shiftleft(CASE {levels} ELSE 0L END, 58) + (h & {_MASK}L)" if levels else f"h & {_MASK}L"
-    return f"array_sort(array_distinct(transform(transform(filter(split({line}, ' '), w -> w <> ''), w -> xxhash64(w)), h -> {code})))".replace("array_sort", "sort_array")
+    """Sorted distinct token codes of a line: frequency class, 63 less the length in bytes, hash."""
+    levels = " ".join(f"WHEN (x & {CELLS - 1}) IN ({','.join(map(str, cells))}) THEN {(len(frequent) - k) << 58}L" for k, cells in enumerate(frequent) if cells)
+    code = f"(xxhash64(w) & {(1 << _HASH) - 1}L) + shiftleft(63L - least(octet_length(w), 63), {_HASH})"
+    ranked = f"transform(transform(filter(split({line}, ' '), w -> w <> ''), w -> {code}), x -> x + CASE {levels} ELSE 0L END)" if levels else f"transform(filter(split({line}, ' '), w -> w <> ''), w -> {code})"
+    return f"sort_array(array_distinct({ranked}))"
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -54,31 +55,47 @@ def removals(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     lines = base.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     lines = lines.select("doc_id", "mark", "line", F.expr(_tokens("words", frequent)).alias("toks")).where("size(toks) > 0")
+    bits = "aggregate(toks, 0L, (m, x) -> m | shiftleft(1L, CAST(shiftright(x, {}) & 63 AS INT)))"
     lines = cut(
-        lines.selectExpr("doc_id", "mark", "line", "size(toks) AS n", "xxhash64(toks) AS k1", "hash(toks) AS k2", "slice(toks, 1, IF(size(toks) < 4, 0, size(toks) - (4 * size(toks) + 4) div 5 + 1)) AS prefix")
+        lines.selectExpr(
+            "doc_id",
+            "mark",
+            "line",
+            "monotonically_increasing_id() AS rid",
+            "size(toks) AS n",
+            "xxhash64(toks) AS k1",
+            "hash(toks) AS k2",
+            f"{bits.format(20)} AS b1",
+            f"{bits.format(26)} AS b2",
+            "slice(toks, 1, IF(size(toks) < 4, 0, size(toks) - (4 * size(toks) + 4) div 5 + 1)) AS prefix",
+        )
     )
     key, spot = ["k1", "k2", "n"], ["doc_id", "mark", "line"]
-    reps = lines.where("n >= 4").groupBy(*key).agg(F.min(F.struct(*spot, "prefix")).alias("first"))
-    index = reps.select(F.struct(*[f"first.{c}" for c in spot]).alias("id"), "n", F.posexplode("first.prefix").alias("pos", "tok"))
-    a, b = (index.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos")]) for s in "ab")
-    pairs = (
+    # Lines of one to three tokens are similar to equal sets only. Of a class, the line of least rid stands for it here.
+    reps = lines.where("n >= 4").groupBy(*key).agg(F.min(F.struct("rid", "b1", "b2", "prefix")).alias("x"))
+    index = reps.select("x.rid", "n", "x.b1", "x.b2", F.posexplode("x.prefix").alias("pos", "tok"))
+    a, b = (index.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("rid", "n", "b1", "b2", "pos")]) for s in "ab")
+    pairs = cut(
         a.join(b, "tok")
-        .where("id_a < id_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) AND 9 * (1 + least(n_a - pos_a, n_b - pos_b) - 1) >= 4 * (n_a + n_b)")
-        .select("id_a", "id_b")
+        .where("rid_a < rid_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) AND 9 * least(n_a - pos_a, n_b - pos_b) >= 4 * (n_a + n_b)")
+        # two 64-bit maps of the sets: each token that differs flips one bit at most
+        .where("9 * (n_a + n_b - greatest(bit_count(b1_a ^ b1_b), bit_count(b2_a ^ b2_b))) >= 8 * (n_a + n_b)")
+        .select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
         .distinct()
     )
-    pairs = cut(pairs)
-    needed = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    wanted = needed.groupBy("id.doc_id", "id.mark").agg(F.collect_list("id.line").alias("wanted"))
+    needed = lines.select("rid", *spot).join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid")
+    wanted = needed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("rid", "line")).alias("wanted"))
     whole = base.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    whole = whole.select("doc_id", "mark", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
-    whole = whole.select(F.struct(*spot).alias("id"), F.expr(_tokens("all[line]", frequent)).alias("toks"))
-    checked = pairs.join(whole.select(F.col("id").alias("id_a"), F.col("toks").alias("ta")), "id_a").join(whole.select(F.col("id").alias("id_b"), F.col("toks").alias("tb")), "id_b")
-    links = cut(checked.where("9 * size(array_intersect(ta, tb)) >= 4 * (size(ta) + size(tb))").select("id_a", "id_b"))
-    sides = links.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("other")))).alias("x")).select("x.*")
-    linked = sides.groupBy("id").agg(F.count("*").alias("links"), F.min("other").alias("least"))
-    classes = lines.groupBy(*key).agg(F.min(F.struct(*spot)).alias("id"), F.count("*").alias("copies")).join(linked, "id", "left").where("copies > 1 OR links IS NOT NULL")
-    hit = lines.drop("prefix").join(classes, key)
+    whole = whole.select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
+    whole = cut(whole.select("w.rid", F.expr(_tokens("all[w.line]", frequent)).alias("toks")))
+    checked = pairs.join(whole.select(F.col("rid").alias("a"), F.col("toks").alias("ta")), "a").join(whole.select(F.col("rid").alias("b"), F.col("toks").alias("tb")), "b")
+    links = cut(checked.where("9 * size(array_intersect(ta, tb)) >= 4 * (size(ta) + size(tb))").select("a", "b"))
+    firsts = lines.groupBy(*key).agg(F.min(F.struct(*spot)).alias("id"), F.min("rid").alias("rid"), F.count("*").alias("copies"))
+    sides = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    spots = firsts.join(sides.select(F.col("a").alias("rid")).distinct(), "rid").select("rid", "id")
+    linked = sides.join(spots.select(F.col("rid").alias("b"), F.col("id").alias("other")), "b").groupBy(F.col("a").alias("rid")).agg(F.count("*").alias("links"), F.min("other").alias("least"))
+    classes = firsts.join(linked, "rid", "left").where("copies > 1 OR links IS NOT NULL").drop("rid")
+    hit = lines.select(*key, *spot).join(classes, key)
     gone = F.when((F.struct(*spot) != F.col("id")) | F.coalesce(F.col("least") < F.col("id"), F.lit(False)), F.col("line"))
     return hit.groupBy("doc_id", "mark").agg(F.sort_array(F.array_distinct(F.collect_list(gone))).alias("removed"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"))
 
