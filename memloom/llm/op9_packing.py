@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,21 +86,20 @@ class PieceIds:
         self.used += len(flat)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            own = pieces(text)
-            new = [w for w in set(own) if w not in self.known]
-            if new and len(self.known) + len(new) > MEMORY:
-                self._clear()
-                new = list(set(own))
-            if new:
-                self._learn(new)
-            at = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
-            low, n = self.first[at], self.first[at + 1] - self.first[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.repeat(low - ends + n, n) + np.arange(total)])
-        return out
+        own = [pieces(t) for t in texts]
+        new = set().union(*own).difference(self.known)
+        if new and len(self.known) + len(new) > MEMORY:
+            self._clear()
+            new = set().union(*own)
+        if new:
+            self._learn(list(new))
+        sizes = [len(x) for x in own]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(own)), np.int64, sum(sizes))
+        low = self.first[at]
+        n = self.first[at + 1] - low
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = self.ids[np.repeat(low - ends[:-1], n) + np.arange(ends[-1])]
+        return np.split(flat, ends[np.cumsum(sizes[:-1])]) if len(own) > 1 else [flat] * len(own)
 
 
 _loaded: dict[str, PieceIds] = {}
@@ -230,8 +230,8 @@ def pack(
 
         packer = Packer(length, max_segments, max_loss, open_bins, TaskContext.get().partitionId() << 36, emit)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 for doc_id, ids in zip(part.column(0).to_pylist(), ids_of([t or b"" for t in part.column(1).to_pylist()])):
                     ids = np.concatenate([ids, tail]).astype("<u4")
                     packer.add((doc_id, ids), len(ids), lambda _, n: n)
