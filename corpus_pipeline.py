@@ -4,20 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import op9_packing, op10_fm_index
+from memloom.llm import op2_order_minhash, op3_lines, op6_toxicity, op9_packing, op10_fm_index
 from memloom.llm.common import cut, table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model is fitted on the labelled rows among docs that are not held out."""
+    return op6_toxicity.accepted(docs, op6_toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are similar to an earlier line go; their documents stay, n_chars follows the text."""
+    return op3_lines.dedupe(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near-duplicates stays."""
+    return op2_order_minhash.deduplicate(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; the others stay as they are."""
     return op10_fm_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences."""
     return op9_packing.pack(docs, op9_packing.default_tokenizer())
 
 
-STAGES = [("decontamination", decontamination), ("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+#: The model and the tokenizer can't be said in SQL; tests/llm/test_pipeline.py holds a brute-force version.
 ORACLE_SQL = None
 
 

@@ -101,12 +101,15 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """docs with the removed lines taken out of text; every other column as it was."""
+    """docs with the removed lines taken out of text and n_chars, where there is one, set anew; every other column as it was."""
     names = docs.columns
     out = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": F.xxhash64("text")})
     gone = removals(docs).where("size(removed) > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"))
     kept = "IF(__removed IS NULL, text, array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__removed, i)), '\\n'))"
-    return out.join(gone, ["__id", "__mark"], "left").withColumn("text", F.expr(kept)).select(*names)
+    out = out.join(gone, ["__id", "__mark"], "left").withColumn("text", F.expr(kept))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names)
 
 
 def report(docs: DataFrame) -> DataFrame:

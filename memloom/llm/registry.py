@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2_order_minhash, op3_lines, op4_secrets, op5_wrapper, op6_toxicity, op8_topk, op9_packing, op10_fm_index
+from . import op1_suffix, op2_order_minhash, op3_lines, op4_secrets, op5_wrapper, op6_toxicity, op8_topk, op9_packing, op10_fm_index
 
 _MODULES = {
+    "op1_suffix": op1_suffix,
     "op2_order_minhash": op2_order_minhash,
     "op3_lines": op3_lines,
     "op4_secrets": op4_secrets,
