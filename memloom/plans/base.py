@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from memloom.functions.dialect import DUCK, SPARK
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +27,17 @@ class Registry:
 
         return register
 
+    def sql(self, name: str, build: Callable[..., str], about: str = "") -> None:
+        """One relational query, spelled for either engine; tables are written {name}."""
+        text = build(SPARK)
+        names = sorted(set(re.findall(r"\{(\w+)\}", text)))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+
+        run.__doc__ = about
+        self.add(name, re.sub(r"\{(\w+)\}", r"\1", build(DUCK)))(run)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memloom.plans import kpi
+from memloom.plans import kpi, scalar
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (kpi,):
+for _module in (kpi, scalar):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
