@@ -39,7 +39,7 @@ STARTS = LENGTH - GRAM + 1
 PERIOD, COVER = 7, (0, 1, 3)
 HOT = 20_000
 BLOCK = 30_000
-_SLICE = 8 << 20
+_SLICE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
