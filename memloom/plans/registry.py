@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memloom.plans import kpi, scalar
+from memloom.plans import kpi, relational, scalar
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (kpi, scalar):
+for _module in (kpi, scalar, relational):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
