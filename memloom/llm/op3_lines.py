@@ -3,10 +3,12 @@
 A line is the set of its space-separated tokens. Tokens are ordered by rarity: occurrences are counted
 over the whole corpus in CELLS hash cells and the fullest cells form frequency classes; the rest, the rare
 tokens, come first, longer ones before shorter ones, then in hash order (any one order gives exact results). Lines of equal sets form classes before anything is joined, so
-copies meet no copies. Class representatives with a common token in their prefixes are joined under the
-length and positional filters and a bound from bit maps of the sets, and Jaccard >= 0.8 is verified on the whole sets, read again from the
-documents. A line is removed if an earlier line (smaller doc_id, or the same document and a smaller line
-number), removed or not, is similar.
+copies meet no copies. Class representatives with a common token in their prefixes are candidates under the
+length and positional filters and a bound from bit maps of the sets; Jaccard >= 0.8 is verified on the whole
+sets, read again from the documents. A line is removed if an earlier line (smaller doc_id, or the same
+document and a smaller line number), removed or not, is similar. One earlier match decides, so each line first
+meets the earliest line and the one before it in its tokens' lists; only lines that find no match there are
+joined with all earlier lines. Large groups of similar lines thus cost a few comparisons a line.
 
 Defined results: null text has no lines; a line without tokens stays and matches nothing; rows that
 repeat doc_id and text are one position and don't remove each other; different texts of one doc_id are
@@ -15,20 +17,22 @@ ordered by their hash; an empty table gives no rows; other columns are ignored (
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
 CELLS = 1 << 16
 #: Sizes of the frequency classes, fullest cells first; every other token is rare.
-CLASSES = (16, 112, 896, 7168)
+CLASSES = (512, 7680)
 _HASH = 52
 
 
 def _frequent(docs: DataFrame) -> list[list[int]]:
     """The fullest hash cells, in classes; the table that comes to the driver has CELLS rows at most."""
-    cell = docs.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w")).where("w <> ''").select(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"))
+    cell = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''").select(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"))
     counts = cell.groupBy("cell").count().orderBy(F.desc("count"), "cell").limit(sum(CLASSES)).collect()
     out, at = [], 0
     for n in CLASSES:
@@ -41,70 +45,92 @@ def _tokens(line: str, frequent: list[list[int]]) -> str:
     """Sorted distinct token codes of a line: frequency class, 63 less the length in bytes, hash."""
     levels = " ".join(f"WHEN (x & {CELLS - 1}) IN ({','.join(map(str, cells))}) THEN {(len(frequent) - k) << 58}L" for k, cells in enumerate(frequent) if cells)
     code = f"(xxhash64(w) & {(1 << _HASH) - 1}L) + shiftleft(63L - least(octet_length(w), 63), {_HASH})"
-    ranked = f"transform(transform(filter(split({line}, ' '), w -> w <> ''), w -> {code}), x -> x + CASE {levels} ELSE 0L END)" if levels else f"transform(filter(split({line}, ' '), w -> w <> ''), w -> {code})"
+    ranked = f"transform(transform(array_remove(split({line}, ' '), ''), w -> {code}), x -> x + CASE {levels} ELSE 0L END)" if levels else f"transform(array_remove(split({line}, ' '), ''), w -> {code})"
     return f"sort_array(array_distinct({ranked}))"
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """One row per (doc_id, mark) with removed lines or links: removed array<int> (from 0), n_links.
+def _mark(docs: DataFrame) -> Column:
+    """What tells texts of one doc_id apart: the text's hash if some doc_id repeats, else 0."""
+    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return (F.coalesce(F.xxhash64("text"), F.lit(0)) if twice else F.lit(0)).cast("long")
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_SPOT = ("doc_id", "mark", "line")
+
+
+def _passes(x: str, y: str) -> Column:
+    """Length filter, positional filter, and the bit maps' bound: each differing token flips one bit at most."""
+    n = f"({x}.n + {y}.n)"
+    return F.expr(
+        f"5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n) AND 9 * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= 4 * {n} AND 9 * ({n} - bit_count({x}.bits ^ {y}.bits)) >= 8 * {n}"
+    )
+
+
+def _verified(pairs: DataFrame, base: DataFrame, frequent: list[list[int]]) -> DataFrame:
+    """The pairs (late, early) of line spots whose whole sets are similar: their distinct late ones."""
+    pairs = cut(pairs.distinct())
+    needed = pairs.select(F.explode(F.array("late", "early")).alias("id")).distinct()
+    wanted = needed.groupBy("id.doc_id", "id.mark").agg(F.collect_list("id.line").alias("wanted"))
+    whole = base.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    whole = whole.select("doc_id", "mark", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
+    whole = cut(whole.select(F.struct(*_SPOT).alias("id"), F.expr(_tokens("all[line]", frequent)).alias("toks")))
+    both = pairs.join(whole.select(F.col("id").alias("late"), F.col("toks").alias("x")), "late").join(whole.select(F.col("id").alias("early"), F.col("toks").alias("y")), "early")
+    return cut(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("late").distinct())
 
-    mark is the hash of the text. Links are counted between classes of different token sets.
-    """
-    docs = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = _frequent(docs)
-    base = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+
+def removals(docs: DataFrame, mark: Column) -> DataFrame:
+    """Per document with removed lines: doc_id, mark, removed array<int> (line numbers from 0)."""
+    spark = docs.sparkSession
+    base = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text")
+    frequent = _frequent(base)
     lines = base.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    lines = lines.select("doc_id", "mark", "line", F.expr(_tokens("words", frequent)).alias("toks")).where("size(toks) > 0")
-    bits = "aggregate(toks, 0L, (m, x) -> m | shiftleft(1L, CAST(shiftright(x, {}) & 63 AS INT)))"
+    lines = lines.select(*_SPOT, F.expr(_tokens("words", frequent)).alias("toks")).where("size(toks) > 0")
     lines = cut(
         lines.selectExpr(
-            "doc_id",
-            "mark",
-            "line",
-            "monotonically_increasing_id() AS rid",
+            *_SPOT,
             "size(toks) AS n",
             "xxhash64(toks) AS k1",
             "hash(toks) AS k2",
-            f"{bits.format(20)} AS b1",
-            f"{bits.format(26)} AS b2",
+            "IF(size(toks) < 4, 0L, aggregate(toks, 0L, (m, x) -> m | IF(x < 288230376151711744L, shiftleft(1L, CAST(x & 63 AS INT)), 0L))) AS bits",
             "slice(toks, 1, IF(size(toks) < 4, 0, size(toks) - (4 * size(toks) + 4) div 5 + 1)) AS prefix",
         )
     )
-    key, spot = ["k1", "k2", "n"], ["doc_id", "mark", "line"]
-    # Lines of one to three tokens are similar to equal sets only. Of a class, the line of least rid stands for it here.
-    reps = lines.where("n >= 4").groupBy(*key).agg(F.min(F.struct("rid", "b1", "b2", "prefix")).alias("x"))
-    index = reps.select("x.rid", "n", "x.b1", "x.b2", F.posexplode("x.prefix").alias("pos", "tok"))
-    a, b = (index.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("rid", "n", "b1", "b2", "pos")]) for s in "ab")
-    pairs = cut(
-        a.join(b, "tok")
-        .where("rid_a < rid_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) AND 9 * least(n_a - pos_a, n_b - pos_b) >= 4 * (n_a + n_b)")
-        # two 64-bit maps of the sets: each token that differs flips one bit at most
-        .where("9 * (n_a + n_b - greatest(bit_count(b1_a ^ b1_b), bit_count(b2_a ^ b2_b))) >= 8 * (n_a + n_b)")
-        .select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
-        .distinct()
-    )
-    needed = lines.select("rid", *spot).join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid")
-    wanted = needed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("rid", "line")).alias("wanted"))
-    whole = base.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    whole = whole.select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-    whole = cut(whole.select("w.rid", F.expr(_tokens("all[w.line]", frequent)).alias("toks")))
-    checked = pairs.join(whole.select(F.col("rid").alias("a"), F.col("toks").alias("ta")), "a").join(whole.select(F.col("rid").alias("b"), F.col("toks").alias("tb")), "b")
-    links = cut(checked.where("9 * size(array_intersect(ta, tb)) >= 4 * (size(ta) + size(tb))").select("a", "b"))
-    firsts = lines.groupBy(*key).agg(F.min(F.struct(*spot)).alias("id"), F.min("rid").alias("rid"), F.count("*").alias("copies"))
-    sides = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    spots = firsts.join(sides.select(F.col("a").alias("rid")).distinct(), "rid").select("rid", "id")
-    linked = sides.join(spots.select(F.col("rid").alias("b"), F.col("id").alias("other")), "b").groupBy(F.col("a").alias("rid")).agg(F.count("*").alias("links"), F.min("other").alias("least"))
-    classes = firsts.join(linked, "rid", "left").where("copies > 1 OR links IS NOT NULL").drop("rid")
-    hit = lines.select(*key, *spot).join(classes, key)
-    gone = F.when((F.struct(*spot) != F.col("id")) | F.coalesce(F.col("least") < F.col("id"), F.lit(False)), F.col("line"))
-    return hit.groupBy("doc_id", "mark").agg(F.sort_array(F.array_distinct(F.collect_list(gone))).alias("removed"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"))
+    key = ["k1", "k2", "n"]
+    # Lines of one to three tokens are similar to equal sets only.
+    reps = cut(lines.where("n >= 4").groupBy(*key).agg(F.min(F.struct(*_SPOT, "bits", "prefix")).alias("x")).select("n", "x.*"))
+    _release(spark)
+    index = reps.select(*_SPOT, "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
+    line = F.struct(*_SPOT, "n", "bits", "pos")
+    order = Window.partitionBy("tok").orderBy(*_SPOT)
+    near = index.select("tok", line.alias("x"), *_SPOT).select("x", F.lag("x").over(order).alias("before"), F.first("x").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("least"))
+    spot = lambda x: F.struct(*[F.col(f"{x}.{c}").alias(c) for c in _SPOT])
+    met = near.where("before IS NOT NULL").select("x", F.explode(F.array("before", "least")).alias("y")).where(_passes("x", "y"))
+    matched = _verified(met.select(spot("x").alias("late"), spot("y").alias("early")), base, frequent)
+    _release(spark)
+    rest = index.join(matched.select("late.*"), list(_SPOT), "left_anti")
+    probes = rest.select("tok", F.struct(*_SPOT, "n", "bits", "pos").alias("x"))
+    met = probes.join(index.select("tok", line.alias("y")), "tok").where(spot("y") < spot("x")).where(_passes("x", "y"))
+    late = matched.unionByName(_verified(met.select(spot("x").alias("late"), spot("y").alias("early")), base, frequent))
+    _release(spark)
+    firsts = lines.groupBy(*key).agg(F.min(F.struct(*_SPOT)).alias("id"), F.count("*").alias("copies"))
+    classes = firsts.join(late.select(F.col("late").alias("id"), F.lit(True).alias("gone")), "id", "left").where("copies > 1 OR gone")
+    hit = lines.select(*key, *_SPOT).join(classes, key)
+    removed = hit.where((F.struct(*_SPOT) != F.col("id")) | F.coalesce("gone", F.lit(False)))
+    return cut(removed.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("removed")))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs with the removed lines taken out of text and n_chars, where there is one, set anew; every other column as it was."""
     names = docs.columns
-    out = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": F.xxhash64("text")})
-    gone = removals(docs).where("size(removed) > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"))
+    mark = _mark(docs)
+    gone = removals(docs, mark).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"))
+    out = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": mark})
     kept = "IF(__removed IS NULL, text, array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__removed, i)), '\\n'))"
     out = out.join(gone, ["__id", "__mark"], "left").withColumn("text", F.expr(kept))
     if "n_chars" in names:
@@ -113,14 +139,14 @@ def dedupe(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row of docs: its lines, the numbers of those removed, and its lines' links to other classes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("lines"), F.col("text").isNull().alias("none"))
-    return rows.join(removals(docs), ["doc_id", "mark"], "left").select(
+    """Per row of docs: its lines, how many are removed, and their numbers."""
+    mark = _mark(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("lines"))
+    return rows.join(removals(docs, mark), ["doc_id", "mark"], "left").select(
         "doc_id",
-        F.when(F.col("none"), 0).otherwise(F.col("lines")).cast("long").alias("n_lines"),
+        F.col("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
@@ -138,9 +164,9 @@ r AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY df, w) AS pos
 p AS (SELECT * FROM r WHERE pos <= n - ((4 * n + 4) // 5) + 1),
 cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.w = b.w AND a.id < b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
 v AS (SELECT a, b FROM cand JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE 9 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n)),
-k AS (SELECT id, count(*) AS links, min(other) AS least FROM (SELECT a AS id, b AS other FROM v UNION ALL SELECT b, a FROM v) GROUP BY id),
-h AS (SELECT t.doc_id, t.k, coalesce(links, 0) AS links, (t.doc_id, t.k) <> c.id OR coalesce(least < c.id, false) AS gone FROM t JOIN c ON t.s = c.s LEFT JOIN k ON k.id = c.id),
-g AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER (gone) AS removed, sum(links) AS links FROM h GROUP BY doc_id)
+k AS (SELECT DISTINCT b AS id FROM v),
+h AS (SELECT t.doc_id, t.k, (t.doc_id, t.k) <> c.id OR k.id IS NOT NULL AS gone FROM t JOIN c ON t.s = c.s LEFT JOIN k ON k.id = c.id),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER (gone) AS removed FROM h GROUP BY doc_id)
 SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed,
-coalesce(g.removed, '') AS removed_lines, CAST(coalesce(g.links, 0) AS BIGINT) AS n_links FROM documents d LEFT JOIN g USING (doc_id)
+coalesce(g.removed, '') AS removed_lines FROM documents d LEFT JOIN g USING (doc_id)
 """
