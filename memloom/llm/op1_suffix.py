@@ -262,13 +262,15 @@ def _release(spark: SparkSession) -> None:
 
 def _first_pass(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs of windows in repeated spans, and the spans left to sort, with the number of each one's bucket."""
-    spans = _spans(texts)
-    order = Window.partitionBy("h", "s").orderBy("doc_id", "mark", "start")
-    ranked = spans.where("NOT own").withColumn("nth", F.rank().over(order))
-    firsts = ranked.where("nth = 1").select("doc_id", "mark", "h", "start", "lead", "windows")
+    salt = F.when(F.col("own"), F.xxhash64("doc_id", "start")).otherwise(F.lit(0).cast("long"))
+    order = Window.partitionBy("h", "s", "salt").orderBy("doc_id", "mark", "start")
+    nth = F.when(F.col("own"), F.lit(2)).otherwise(F.rank().over(order))
+    ranked = cut(_spans(texts).withColumn("salt", salt).select("doc_id", "mark", "h", "start", "lead", "windows", nth.alias("nth")))
+    _release(texts.sparkSession)
+    firsts = ranked.where("nth = 1").drop("nth")
     shared = firsts.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     left = cut(firsts.join(shared, "h"))
-    repeats = cut(spans.where("own").unionByName(ranked.where("nth > 1").drop("nth")).selectExpr("doc_id", "mark", "start AS first", "start + windows - 1 AS last"))
+    repeats = ranked.where("nth > 1").selectExpr("doc_id", "mark", "start AS first", "start + windows - 1 AS last")
     return repeats, left
 
 
