@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memloom.plans import kpi, relational, scalar
+from memloom.plans import kpi, ranking, relational, scalar
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (kpi, scalar, relational):
+for _module in (kpi, scalar, relational, ranking):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
