@@ -21,7 +21,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 
 LENGTH, GRAM = 100, 20
 STARTS = LENGTH - GRAM + 1
@@ -254,19 +253,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return ids.select("doc_id", (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("mark"), F.col("text").cast("binary").alias("text"))
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _first_pass(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs of windows in repeated spans, and the spans left to sort, with the number of each one's bucket."""
     salt = F.when(F.col("own"), F.xxhash64("doc_id", "start")).otherwise(F.lit(0).cast("long"))
     order = Window.partitionBy("h", "s", "salt").orderBy("doc_id", "mark", "start")
     nth = F.when(F.col("own"), F.lit(2)).otherwise(F.rank().over(order))
     ranked = cut(_spans(texts).withColumn("salt", salt).select("doc_id", "mark", "h", "start", "lead", "windows", nth.alias("nth")))
-    _release(texts.sparkSession)
+    release(texts.sparkSession)
     firsts = ranked.where("nth = 1").drop("nth")
     shared = firsts.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     left = cut(firsts.join(shared, "h"))
@@ -285,12 +278,12 @@ def removals(texts: DataFrame) -> DataFrame:
     """Runs of repeated windows of texts (doc_id, mark, text), by their first and last starts."""
     spark = texts.sparkSession
     repeats, left = _first_pass(texts)
-    _release(spark)
+    release(spark)
     filled = cut(_with_bytes(texts, left).distinct())
-    _release(spark)
+    release(spark)
     runs = _sorted_buckets(filled.where(F.col("size") <= HOT)).unionByName(_dealt_windows(filled.where(F.col("size") > HOT)))
     runs = cut(repeats.unionByName(runs).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs")))
-    _release(spark)
+    release(spark)
     return runs
 
 

@@ -17,12 +17,10 @@ ordered by their hash; an empty table gives no rows; other columns are ignored (
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 
 CELLS = 1 << 16
 #: Sizes of the frequency classes, fullest cells first; every other token is rare.
@@ -55,12 +53,6 @@ def _mark(docs: DataFrame) -> Column:
     return (F.coalesce(F.xxhash64("text"), F.lit(0)) if twice else F.lit(0)).cast("long")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _SPOT = ("doc_id", "mark", "line")
 
 
@@ -79,7 +71,9 @@ def _verified(pairs: DataFrame, base: DataFrame, frequent: list[list[int]]) -> D
     wanted = needed.groupBy("id.doc_id", "id.mark").agg(F.collect_list("id.line").alias("wanted"))
     whole = base.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
     whole = whole.select("doc_id", "mark", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
+    release(base.sparkSession)
     whole = cut(whole.select(F.struct(*_SPOT).alias("id"), F.expr(_tokens("all[line]", frequent)).alias("toks")))
+    release(base.sparkSession)
     both = pairs.join(whole.select(F.col("id").alias("late"), F.col("toks").alias("x")), "late").join(whole.select(F.col("id").alias("early"), F.col("toks").alias("y")), "early")
     return cut(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("late").distinct())
 
@@ -104,7 +98,7 @@ def removals(docs: DataFrame, mark: Column) -> DataFrame:
     key = ["k1", "k2", "n"]
     # Lines of one to three tokens are similar to equal sets only.
     reps = cut(lines.where("n >= 4").groupBy(*key).agg(F.min(F.struct(*_SPOT, "bits", "prefix")).alias("x")).select("n", "x.*"))
-    _release(spark)
+    release(spark)
     index = reps.select(*_SPOT, "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
     line = F.struct(*_SPOT, "n", "bits", "pos")
     order = Window.partitionBy("tok").orderBy(*_SPOT)
@@ -112,12 +106,12 @@ def removals(docs: DataFrame, mark: Column) -> DataFrame:
     spot = lambda x: F.struct(*[F.col(f"{x}.{c}").alias(c) for c in _SPOT])
     met = near.where("before IS NOT NULL").select("x", F.explode(F.array("before", "least")).alias("y")).where(_passes("x", "y"))
     matched = _verified(met.select(spot("x").alias("late"), spot("y").alias("early")), base, frequent)
-    _release(spark)
+    release(spark)
     rest = index.join(matched.select("late.*"), list(_SPOT), "left_anti")
     probes = rest.select("tok", F.struct(*_SPOT, "n", "bits", "pos").alias("x"))
     met = probes.join(index.select("tok", line.alias("y")), "tok").where(spot("y") < spot("x")).where(_passes("x", "y"))
     late = matched.unionByName(_verified(met.select(spot("x").alias("late"), spot("y").alias("early")), base, frequent))
-    _release(spark)
+    release(spark)
     firsts = lines.groupBy(*key).agg(F.min(F.struct(*_SPOT)).alias("id"), F.count("*").alias("copies"))
     classes = firsts.join(late.select(F.col("late").alias("id"), F.lit(True).alias("gone")), "id", "left").where("copies > 1 OR gone")
     hit = lines.select(*key, *_SPOT).join(classes, key)
