@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_suffix, op2_order_minhash, op3_lines, op4_secrets, op5_wrapper, op6_toxicity, op8_topk, op9_packing, op10_fm_index
+from . import op1_suffix, op2_order_minhash, op3_lines, op4_secrets, op5_wrapper, op6_toxicity, op7_url_lists, op8_topk, op9_packing, op10_fm_index
 
 _MODULES = {
     "op1_suffix": op1_suffix,
@@ -11,6 +11,7 @@ _MODULES = {
     "op4_secrets": op4_secrets,
     "op5_wrapper": op5_wrapper,
     "op6_toxicity": op6_toxicity,
+    "op7_url_lists": op7_url_lists,
     "op8_topk": op8_topk,
     "op9_packing": op9_packing,
     "op10_fm_index": op10_fm_index,
