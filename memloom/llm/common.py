@@ -39,3 +39,12 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder behind a frame that cut() returned."""
+    files = df.inputFiles()
+    if files:
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, table
+from .common import cut, discard, release, table
 
 CELLS = 1 << 16
 #: Sizes of the frequency classes, fullest cells first; every other token is rare.
@@ -85,7 +85,7 @@ def removals(docs: DataFrame, mark: Column) -> DataFrame:
     frequent = _frequent(base)
     lines = base.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     lines = lines.select(*_SPOT, F.expr(_tokens("words", frequent)).alias("toks")).where("size(toks) > 0")
-    lines = cut(
+    wide = cut(
         lines.selectExpr(
             *_SPOT,
             "size(toks) AS n",
@@ -97,7 +97,9 @@ def removals(docs: DataFrame, mark: Column) -> DataFrame:
     )
     key = ["k1", "k2", "n"]
     # Lines of one to three tokens are similar to equal sets only.
-    reps = cut(lines.where("n >= 4").groupBy(*key).agg(F.min(F.struct(*_SPOT, "bits", "prefix")).alias("x")).select("n", "x.*"))
+    reps = cut(wide.where("n >= 4").groupBy(*key).agg(F.min(F.struct(*_SPOT, "bits", "prefix")).alias("x")).select("n", "x.*"))
+    lines = cut(wide.drop("bits", "prefix"))
+    discard(wide)
     release(spark)
     index = reps.select(*_SPOT, "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
     line = F.struct(*_SPOT, "n", "bits", "pos")
