@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memloom.plans import kpi, ranking, relational, scalar
+from memloom.plans import kpi, ranking, relational, scalar, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (kpi, scalar, relational, ranking):
+for _module in (kpi, scalar, relational, ranking, streams):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
