@@ -91,3 +91,14 @@ def density_clusters(vectors: DataFrame, group: str, min_cluster_size: int = 3,
         return pd.DataFrame({"grp": g[group].to_numpy(), "id": g["id"].to_numpy(), "cluster": labels})
 
     return rows.withColumn("cell", cell).groupBy(group, "cell").applyInPandas(run, "grp long, id long, cluster int")
+
+
+def build_tree(vectors: DataFrame, max_depth: int = 3, min_cluster_size: int = 3) -> DataFrame:
+    """(id, path): vectors clustered level by level; each level is one grouped map, noise is a floating leaf of its group."""
+    level = vectors.withColumn("path", F.lit("root"))
+    for _ in range(max_depth):
+        keys = level.select("path").distinct().select("path", F.xxhash64("path").alias("grp"))
+        found = density_clusters(level.join(keys, "path").select("grp", "id", "vec"), "grp", min_cluster_size)
+        step = F.when(F.col("cluster") >= 0, F.concat("path", F.lit("/c"), F.col("cluster").cast("string"))).otherwise(F.col("path"))
+        level = level.join(found.select("id", "cluster"), "id").select("id", "vec", step.alias("path"))
+    return level.select("id", "path")

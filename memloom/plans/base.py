@@ -8,6 +8,8 @@ from collections.abc import Callable
 from memloom.functions.dialect import DUCK, SPARK
 from pyspark.sql import DataFrame, SparkSession
 
+_TABLE = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations)\}")
+
 
 class Registry:
     """Collects queries by name; `sql` is the DuckDB twin, absent where SQL can't say it."""
@@ -30,13 +32,12 @@ class Registry:
     def sql(self, name: str, build: Callable[..., str], about: str = "") -> None:
         """One relational query, spelled for either engine; tables are written {name}."""
         text = build(SPARK)
-        names = sorted(set(re.findall(r"\{(\w+)\}", text)))
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+            return spark.sql(_TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
 
         run.__doc__ = about
-        self.add(name, re.sub(r"\{(\w+)\}", r"\1", build(DUCK)))(run)
+        self.add(name, _TABLE.sub(r"\1", build(DUCK)))(run)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

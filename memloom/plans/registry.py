@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memloom.plans import kpi, ranking, relational, scalar, streams
+from memloom.plans import kpi, more, ranking, relational, scalar, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (kpi, scalar, relational, ranking, streams):
+for _module in (kpi, scalar, relational, ranking, streams, more):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
