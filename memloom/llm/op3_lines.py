@@ -101,7 +101,8 @@ def removals(docs: DataFrame, mark: Column) -> DataFrame:
     lines = cut(wide.drop("bits", "prefix"))
     discard(wide)
     release(spark)
-    index = reps.select(*_SPOT, "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
+    postings = lambda lines: lines.select(*_SPOT, "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
+    index = postings(reps)
     line = F.struct(*_SPOT, "n", "bits", "pos")
     order = Window.partitionBy("tok").orderBy(*_SPOT)
     near = index.select("tok", line.alias("x"), *_SPOT).select("x", F.lag("x").over(order).alias("before"), F.first("x").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("least"))
@@ -109,8 +110,7 @@ def removals(docs: DataFrame, mark: Column) -> DataFrame:
     met = near.where("before IS NOT NULL").select("x", F.explode(F.array("before", "least")).alias("y")).where(_passes("x", "y"))
     matched = _verified(met.select(spot("x").alias("late"), spot("y").alias("early")), base, frequent)
     release(spark)
-    rest = index.join(matched.select("late.*"), list(_SPOT), "left_anti")
-    probes = rest.select("tok", F.struct(*_SPOT, "n", "bits", "pos").alias("x"))
+    probes = postings(reps.join(matched.select("late.*"), list(_SPOT), "left_anti")).select("tok", line.alias("x"))
     met = probes.join(index.select("tok", line.alias("y")), "tok").where(spot("y") < spot("x")).where(_passes("x", "y"))
     late = matched.unionByName(_verified(met.select(spot("x").alias("late"), spot("y").alias("early")), base, frequent))
     release(spark)
