@@ -21,9 +21,9 @@ def event_log(spark: SparkSession, path: str, schema: str, day: str, names: list
     return {n: log.where(F.col("event") == n) for n in names}
 
 
-def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array, or JSON lines; a bad record raises."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def strict_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A JSON array or, with `lines`, JSON lines; a bad record raises."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
 
 
 def state_files(spark: SparkSession, folder: str, schema: str, active: list[str]) -> DataFrame:
