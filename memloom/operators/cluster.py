@@ -102,3 +102,13 @@ def build_tree(vectors: DataFrame, max_depth: int = 3, min_cluster_size: int = 3
         step = F.when(F.col("cluster") >= 0, F.concat("path", F.lit("/c"), F.col("cluster").cast("string"))).otherwise(F.col("path"))
         level = level.join(found.select("id", "cluster"), "id").select("id", "vec", step.alias("path"))
     return level.select("id", "path")
+
+
+def relaxed(vectors: DataFrame, group: str, start: int = 5, attempts: int = 3, most_noise: float = 0.5) -> DataFrame:
+    """density_clusters with smaller minimum sizes, one attempt after another, while more than most_noise is noise."""
+    for k in range(attempts):
+        out = density_clusters(vectors, group, max(2, start - 2 * k), max(1, 2 - k))
+        noise = out.agg(F.avg((F.col("cluster") < 0).cast("double"))).first()[0]
+        if noise is None or noise <= most_noise:
+            break
+    return out
