@@ -72,10 +72,15 @@ def _verified(pairs: DataFrame, base: DataFrame, frequent: list[list[int]]) -> D
     whole = base.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
     whole = whole.select("doc_id", "mark", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
     release(base.sparkSession)
-    whole = cut(whole.select(F.struct(*_SPOT).alias("id"), F.expr(_tokens("all[line]", frequent)).alias("toks")))
+    maps = [F.expr(f"aggregate(toks, 0L, (m, x) -> m | IF((x & 64) = {64 * k}, shiftleft(1L, CAST(x & 63 AS INT)), 0L))").alias(f"m{k}") for k in (0, 1)]
+    whole = cut(whole.select(F.struct(*_SPOT).alias("id"), F.expr(_tokens("all[line]", frequent)).alias("toks")).select("id", "toks", F.size("toks").alias("n"), *maps))
     release(base.sparkSession)
-    both = pairs.join(whole.select(F.col("id").alias("late"), F.col("toks").alias("x")), "late").join(whole.select(F.col("id").alias("early"), F.col("toks").alias("y")), "early")
-    return cut(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("late").distinct())
+    side = lambda name, *cols: whole.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
+    # 128-bit maps of all tokens first: whole sets travel only with pairs that are likely similar
+    likely = pairs.join(side("late", "n", "m0", "m1"), "late").join(side("early", "n", "m0", "m1"), "early")
+    likely = likely.where("9 * (n_late + n_early - bit_count(m0_late ^ m0_early) - bit_count(m1_late ^ m1_early)) >= 8 * (n_late + n_early)").select("late", "early")
+    both = cut(likely).join(side("late", "toks"), "late").join(side("early", "toks"), "early")
+    return cut(both.where("9 * size(array_intersect(toks_late, toks_early)) >= 4 * (size(toks_late) + size(toks_early))").select("late").distinct())
 
 
 def removals(docs: DataFrame, mark: Column) -> DataFrame:
