@@ -89,6 +89,14 @@ class Spark:
     def dot(self, a: str, b: str) -> str:
         return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, z) -> s + z)"
 
+    def let(self, value: str, name: str, body: str) -> str:
+        """body with name bound to value, so that value is computed once."""
+        return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+    def chars(self, x: str) -> str:
+        """The characters of a text that isn't empty."""
+        return f"split({x}, '')"
+
     def pct(self, x: str, p: float) -> str:
         return f"percentile({x}, {p})"
 
@@ -123,6 +131,12 @@ class Duck(Spark):
     def dot(self, a: str, b: str) -> str:
         return f"list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
+    def let(self, value: str, name: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    def chars(self, x: str) -> str:
+        return f"string_split({x}, '')"
+
     def pct(self, x: str, p: float) -> str:
         return f"quantile_cont({x}, {p})"
 

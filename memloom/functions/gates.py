@@ -88,10 +88,10 @@ def guard(d: Spark, x: str, kind: str) -> str:
 
 def top_bigram_count(d: Spark, x: str) -> str:
     """How often the most frequent pair of successive CJK characters occurs."""
-    cjk = d.join(d.all(x, "[一-鿿]"), "")
-    pairs = d.map(d.steps("1", f"length({cjk}) - 1"), "i", f"substring({cjk}, i, 2)")
-    counts = d.map(d.distinct(pairs), "g", d.size(d.keep(pairs, "h", "h = g")))
-    return f"coalesce({'array_max' if d.name == 'spark' else 'list_max'}({counts}), 0)"
+    largest = "array_max" if d.name == "spark" else "list_max"
+    pairs = d.map(d.steps("1", f"{d.size('cj')} - 1"), "i", d.join(d.part("cj", "i", 2), ""))
+    counts = d.let(pairs, "ps", d.map(d.distinct("ps"), "g", d.size(d.keep("ps", "h", "h = g"))))
+    return d.let(d.all(x, "[一-鿿]"), "cj", f"coalesce({largest}({counts}), 0)")
 
 
 def low_quality(d: Spark, x: str) -> str:

@@ -40,21 +40,27 @@ DASH = "-"
 
 def grams(d: Spark, x: str, n: int = 2) -> str:
     """Distinct character n-grams of x; a shorter, non-empty x is its own gram."""
-    return f"CASE WHEN length({x}) = 0 THEN {d.array([])} WHEN length({x}) < {n} THEN {d.array([x])} ELSE {d.distinct(d.map(d.steps('1', f'length({x}) - {n - 1}'), 'i', f'substring({x}, i, {n})'))} END"
+    many = d.let(d.chars("gx"), "gc", d.distinct(d.map(d.steps("1", f"{d.size('gc')} - {n - 1}"), "i", d.join(d.part("gc", "i", n), ""))))
+    return d.let(x, "gx", f"CASE WHEN length(gx) = 0 THEN {d.array([])} WHEN length(gx) < {n} THEN {d.array(['gx'])} ELSE {many} END")
+
+
+def _over(d: Spark, a: str, b: str, body: str) -> str:
+    """body over the arrays sa and sb, 0 if either is empty."""
+    return d.let(a, "sa", d.let(b, "sb", f"CASE WHEN {d.size('sa')} = 0 OR {d.size('sb')} = 0 THEN CAST(0 AS DOUBLE) ELSE {body} END"))
 
 
 def jaccard(d: Spark, a: str, b: str) -> str:
     """Jaccard similarity of two arrays without repeats; 0 if either is empty."""
-    both = d.size(d.inter(a, b))
-    return f"CASE WHEN {d.size(a)} = 0 OR {d.size(b)} = 0 THEN 0.0D ELSE {both} * 1.0D / ({d.size(a)} + {d.size(b)} - {both}) END".replace("0.0D", "CAST(0 AS DOUBLE)").replace("1.0D", "CAST(1 AS DOUBLE)")
+    both = d.size(d.inter("sa", "sb"))
+    return _over(d, a, b, f"{both} * CAST(1 AS DOUBLE) / ({d.size('sa')} + {d.size('sb')} - {both})")
 
 
 def dice(d: Spark, a: str, b: str) -> str:
-    return f"CASE WHEN {d.size(a)} = 0 OR {d.size(b)} = 0 THEN CAST(0 AS DOUBLE) ELSE 2 * {d.size(d.inter(a, b))} * CAST(1 AS DOUBLE) / ({d.size(a)} + {d.size(b)}) END"
+    return _over(d, a, b, f"2 * {d.size(d.inter('sa', 'sb'))} * CAST(1 AS DOUBLE) / ({d.size('sa')} + {d.size('sb')})")
 
 
 def char_set(d: Spark, x: str) -> str:
-    return d.distinct(d.map(d.steps("1", f"length({x})"), "i", f"substring({x}, i, 1)"))
+    return d.let(x, "cx", f"CASE WHEN cx = '' THEN {d.array([])} ELSE {d.distinct(d.chars('cx'))} END")
 
 
 def denoised(d: Spark, x: str) -> str:
@@ -66,9 +72,8 @@ def denoised(d: Spark, x: str) -> str:
 
 def word_shingles(d: Spark, x: str, k: int = 2) -> str:
     """Distinct k-word shingles; a shorter text is its own shingle."""
-    w = d.words(f"lower({x})")
-    part = f"slice({w}, i, {k})" if d.name == "spark" else f"({w})[i : i + {k - 1}]"
-    return f"CASE WHEN {d.size(w)} < {k} THEN {d.array([d.join(w, ' ')])} ELSE {d.distinct(d.map(d.steps('1', f'{d.size(w)} - {k - 1}'), 'i', d.join(part, ' ')))} END"
+    many = d.distinct(d.map(d.steps("1", f"{d.size('ws')} - {k - 1}"), "i", d.join(d.part("ws", "i", k), " ")))
+    return d.let(d.words(f"lower({x})"), "ws", f"CASE WHEN {d.size('ws')} < {k} THEN {d.array([d.join('ws', ' ')])} ELSE {many} END")
 
 
 def word_set(d: Spark, x: str) -> str:
@@ -129,7 +134,7 @@ def top_keywords(d: Spark, x: str, n: int) -> str:
 
 
 def _ratio(d: Spark, part: str, whole: str) -> str:
-    return f"CASE WHEN {d.size(whole)} = 0 THEN CAST(0 AS DOUBLE) ELSE {d.size(d.inter(whole, part))} * CAST(1 AS DOUBLE) / {d.size(whole)} END"
+    return d.let(whole, "rw", f"CASE WHEN {d.size('rw')} = 0 THEN CAST(0 AS DOUBLE) ELSE {d.size(d.inter('rw', part))} * CAST(1 AS DOUBLE) / {d.size('rw')} END")
 
 
 def faithfulness(d: Spark, answer: str, context: str) -> str:
@@ -155,11 +160,11 @@ def normal_answer(d: Spark, x: str) -> str:
 
 def token_f1(d: Spark, a: str, b: str) -> str:
     """F1 of two texts as bags of normalised words; 1 if both are empty."""
-    x, y = d.words(normal_answer(d, a)), d.words(normal_answer(d, b))
     n = lambda w, ws: d.size(d.keep(ws, "z", f"z = {w}"))
-    common = d.map(d.distinct(x), "v", f"least({n('v', x)}, {n('v', y)})")
+    common = d.map(d.distinct("fx"), "v", f"least({n('v', 'fx')}, {n('v', 'fy')})")
     total = f"aggregate({common}, 0L, (s, c) -> s + c)" if d.name == "spark" else f"coalesce(list_sum({common}), 0)"
-    return f"CASE WHEN {d.size(x)} = 0 AND {d.size(y)} = 0 THEN CAST(1 AS DOUBLE) WHEN {d.size(x)} = 0 OR {d.size(y)} = 0 THEN CAST(0 AS DOUBLE) ELSE round(2 * CAST({total} AS DOUBLE) / ({d.size(x)} + {d.size(y)}), 6) END"
+    body = f"CASE WHEN {d.size('fx')} = 0 AND {d.size('fy')} = 0 THEN CAST(1 AS DOUBLE) WHEN {d.size('fx')} = 0 OR {d.size('fy')} = 0 THEN CAST(0 AS DOUBLE) ELSE round(2 * CAST({total} AS DOUBLE) / ({d.size('fx')} + {d.size('fy')}), 6) END"
+    return d.let(d.words(normal_answer(d, a)), "fx", d.let(d.words(normal_answer(d, b)), "fy", body))
 
 
 def sub_match(d: Spark, a: str, b: str) -> str:

@@ -36,12 +36,12 @@ q("vec13_locate_subject", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_
 q("vec14_semantic_domain", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn) SELECT vec_id, {d.best('label', 'sim', '-label')} AS domain FROM s GROUP BY vec_id HAVING max(sim) > 0.28")
 q("vec16_semantic_cache", lambda d: f"{near(d, more=' AND a.label = b.label')}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS rn FROM s WHERE sim >= 0.2) SELECT a, b FROM r WHERE rn = 1")
 q("vec17_recent_lookup", lambda d: f"{near(d, more=' AND a.label = b.label')} SELECT a, max(b) AS b FROM s WHERE sim >= 0.15 GROUP BY a")
-q("vec18_prescreen", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s) SELECT a, b, rn FROM r WHERE rn <= 30")
+q("vec18_prescreen", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS rn FROM s) SELECT a, b, rn FROM r WHERE rn <= 30")
 q("clu06_assign", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn WHERE v.vec_id % 2 = 1) SELECT vec_id, {d.best('label', 'sim', '-label')} AS entity FROM s GROUP BY vec_id HAVING max(sim) >= 0.3")
 q("clu12_small_domains", lambda d: f"WITH {NODES}, k AS (SELECT s.parent AS domain, count(*) AS n FROM nodes p JOIN nodes s ON s.id = p.parent WHERE p.kind = 'knowledge_point' GROUP BY s.parent), big AS (SELECT domain, n FROM k WHERE n >= 290), small AS (SELECT domain, n FROM k WHERE n < 290) SELECT small.domain, {d.best('big.domain', 'big.n', '-big.domain')} AS target FROM small CROSS JOIN big GROUP BY small.domain")
 q("clu16_child_vectors", lambda d: f"WITH RECURSIVE {NODES}, walk(root, id, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'domain' UNION ALL SELECT w.root, n.id, w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE w.depth < 3) SELECT root, count(*) AS vectors FROM walk JOIN {{embeddings}} ON vec_id = walk.id GROUP BY root")
 q("clu17_backfill", lambda d: "SELECT conv_id, turn, text FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {conversations} WHERE text IS NOT NULL) x WHERE rn = 1")
-q("rnk17_match_skills", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s) SELECT a, b, round(least(0.49, 0.3 + greatest(sim, 0)), 6) AS score FROM r WHERE rn <= 3")
+q("rnk17_match_skills", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS rn FROM s) SELECT a, b, round(least(0.49, 0.3 + greatest(sim, 0)), 6) AS score FROM r WHERE rn <= 3")
 q("join21_causal_groups", lambda d: f"SELECT a.l_orderkey AS grp, a.l_linenumber AS f, b.l_linenumber AS x, CASE WHEN a.l_shipdate < b.l_shipdate THEN 'causes' ELSE 'caused_by' END AS kind FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE a.l_quantity / 50 * 0.9 >= 0.6")
 q("join22_causal_new", lambda d: f"SELECT a.l_orderkey AS grp, a.l_linenumber AS f, b.l_linenumber AS x FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE a.l_returnflag = 'N' AND (b.l_returnflag = 'N' OR b.l_linestatus = 'F') AND a.l_quantity > 40")
 q("join26_similar_history", lambda d: f"WITH h AS (SELECT conv_id, turn, {t.word_set(d, 'text')} AS w FROM {{conversations}} WHERE text IS NOT NULL AND turn > 0), n AS (SELECT conv_id, {t.word_set(d, 'text')} AS w FROM {{conversations}} WHERE text IS NOT NULL AND turn = 0), s AS (SELECT h.conv_id, h.turn, {t.jaccard(d, 'h.w', 'n.w')} AS sim FROM h JOIN n ON n.conv_id = h.conv_id) SELECT conv_id, turn, round(sim, 6) AS sim FROM s WHERE sim > 0")
@@ -57,10 +57,10 @@ q("fn35_rule_judge", lambda d: f"SELECT doc_id, CASE WHEN contains(text, chr(10)
 q("fn42_choice_label", lambda d: f"SELECT conv_id, turn, coalesce(nullif({d.one('text', '[(]([A-D])[)]', 1)}, ''), nullif({d.one('text', '^([A-D])([ .]|$)', 1)}, ''), upper(substring(text, 1, 1))) AS label FROM {{conversations}} WHERE text IS NOT NULL")
 q("fn43_cell_equality", lambda d: "SELECT l_orderkey, l_linenumber, round(l_discount, 2) = round(l_tax, 2) AS same_number, l_returnflag = l_linestatus AS same_text FROM {lineitem}")
 q("fn55_keyword_marks", lambda d: f"WITH rules AS (SELECT 'license' AS word, '作废' AS mark UNION ALL SELECT 'idiot', '可疑'), h AS (SELECT doc_id, mark, row_number() OVER (PARTITION BY mark ORDER BY doc_id DESC) AS rn FROM {{documents}} CROSS JOIN rules WHERE contains(lower(text), word) AND NOT {d.has('text', '标记: ')}) SELECT doc_id, mark FROM h WHERE rn <= 500")
-q("src17_recall", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS pos FROM s) SELECT a AS query, b AS node_id, pos, round(sim, 6) AS rerank_score FROM r WHERE pos <= 10")
-q("src18_section_search", lambda d: f"{near(d, more=' AND b.label IN (1, 2, 3)')}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS pos FROM s) SELECT a, b, pos FROM r WHERE pos <= 5")
+q("src17_recall", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS pos FROM s) SELECT a AS query, b AS node_id, pos, round(sim, 6) AS rerank_score FROM r WHERE pos <= 10")
+q("src18_section_search", lambda d: f"{near(d, more=' AND b.label IN (1, 2, 3)')}, r AS (SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS pos FROM s) SELECT a, b, pos FROM r WHERE pos <= 5")
 q("snk03_batch_insert", lambda d: "SELECT row_number() OVER (ORDER BY p_partkey) + (SELECT max(p_partkey) FROM {part}) AS new_id, p_name AS name FROM {part} WHERE p_size = 1")
-q("str04_hour_of_state", lambda d: "SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS running FROM {events} GROUP BY 1, 2")
+q("str04_hour_of_state", lambda d: "SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS BIGINT) AS running FROM {events} GROUP BY 1, 2")
 
 
 @R.add("ded08_minhash_pairs")

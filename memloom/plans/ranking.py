@@ -23,10 +23,10 @@ def days(d, a, b):
 
 
 # --- ranking
-q("rnk01_filter_by_score", lambda d: f"WITH {CAND}, f AS (SELECT query, id, score, score * (0.5 + 0.5 * exp(-greatest({days(d, NOW, 'ts')}, 0) / 30)) AS fused FROM cand WHERE score >= 0.2) SELECT query, id, round(score, 6) AS base_score, round(fused, 6) AS final_score, row_number() OVER (PARTITION BY query ORDER BY fused DESC, id) AS rank FROM f".replace("row_number()", "row_number()"))
+q("rnk01_filter_by_score", lambda d: f"WITH {CAND}, f AS (SELECT query, id, score, score * (0.5 + 0.5 * exp(-greatest({days(d, NOW, 'ts')}, 0) / 30)) AS fused FROM cand WHERE score >= 0.2) SELECT query, id, round(score, 6) AS base_score, round(fused, 6) AS final_score, CAST(row_number() OVER (PARTITION BY query ORDER BY fused DESC, id) AS BIGINT) AS rank FROM f".replace("row_number()", "row_number()"))
 q("rnk03_time_score", lambda d: f"SELECT event_id, round(CASE WHEN event_type = 'error' THEN 0.5 ELSE exp(-greatest({days(d, NOW, 'ts')}, 0) / 30) END, 6) AS time_score FROM {{events}}")
 q("rnk04_score_span", lambda d: f"WITH {CAND}, r AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn, count(*) OVER (PARTITION BY query) AS n, count(CASE WHEN score > 0 THEN 1 END) OVER (PARTITION BY query) AS pos, max(score) OVER (PARTITION BY query) - min(CASE WHEN score > 0 THEN score END) OVER (PARTITION BY query) AS span FROM cand) SELECT query, id, round(span, 6) AS span FROM r WHERE rn <= CASE WHEN n <= 3 OR pos < 2 THEN n WHEN span > 0.9 THEN 3 WHEN span > 0.7 THEN greatest(3, least(5, n)) ELSE n END")
-q("rnk05_rerank_scores", lambda d: f"SELECT session, node, pos, round(1.0 / pos, 6) AS score FROM (SELECT session, node, row_number() OVER (PARTITION BY log_id ORDER BY node) AS pos FROM (SELECT DISTINCT session, log_id, node FROM (SELECT o_custkey AS session, l_partkey AS node, l_orderkey AS log_id FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey) u) v) x".replace("1.0 / pos", "CAST(1 AS DOUBLE) / pos"))
+q("rnk05_rerank_scores", lambda d: f"SELECT session, node, pos, round(1.0 / pos, 6) AS score FROM (SELECT session, node, CAST(row_number() OVER (PARTITION BY log_id ORDER BY node) AS BIGINT) AS pos FROM (SELECT DISTINCT session, log_id, node FROM (SELECT o_custkey AS session, l_partkey AS node, l_orderkey AS log_id FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey) u) v) x".replace("1.0 / pos", "CAST(1 AS DOUBLE) / pos"))
 q("rnk06_raw_scores", lambda d: f"WITH {CAND} SELECT query, id, round(score, 6) AS score FROM cand WHERE score >= 0.5")
 q("rnk07_best_known_score", lambda d: "SELECT event_id, round(coalesce(CASE WHEN event_id % 4 = 0 THEN value END, CASE WHEN event_id % 3 = 0 THEN value / 2 END, CASE WHEN event_id % 2 = 0 THEN value / 4 END, 0), 6) AS score FROM {events}")
 q("rnk08_hit_boost", lambda d: f"WITH {CAND}, h AS (SELECT query, id, score, row_number() OVER (PARTITION BY query, source ORDER BY ts, id) AS hits FROM cand) SELECT query, id, round(least(2, score * least(1 + 0.1 * (hits - 1), 2)), 6) AS score FROM h")
@@ -34,12 +34,12 @@ q("rnk09_access_weight", lambda d: f"SELECT event_id, round(CASE WHEN last IS NU
 q("rnk10_decay", lambda d: f"SELECT event_id, round(score * w, 6) AS score, score * w < 0.2 AS low_priority FROM (SELECT event_id, least(CAST(1 AS DOUBLE), value / CAST(200 AS DOUBLE)) AS score, power(0.9, {days(d, NOW, 'ts')}) AS w FROM {{events}}) x")
 q("rnk11_tree_score", lambda d: "SELECT event_id, round(CASE WHEN event_type = 'error' THEN 0.45 ELSE 0.5 + 0.4 * least(greatest(value / 100, 0), 1) END, 4) AS score, CASE WHEN event_type = 'error' THEN 'fallback' ELSE 'tree_score' END AS how FROM {events}")
 q("rnk12_turn_dedup", lambda d: f"WITH {CAND}, s AS (SELECT query, id, score, row_number() OVER (PARTITION BY query, source, CAST(ts AS DATE) ORDER BY ts, id) AS seen FROM cand) SELECT query, id, round(CASE WHEN seen > 1 THEN score * 0.1 ELSE score END, 6) AS score FROM s")
-q("rnk13_recall_pipeline", lambda d: f"WITH {CAND}, kept AS (SELECT * FROM cand WHERE source <> 'error'), boosted AS (SELECT query, id, source, ts, least(2, score * least(1 + 0.1 * (row_number() OVER (PARTITION BY query, source ORDER BY ts, id) - 1), 2)) AS score FROM kept), fused AS (SELECT query, id, source, score * (0.5 + 0.5 * exp(-greatest({days(d, NOW, 'ts')}, 0) / 30)) AS score FROM boosted WHERE score >= 0.1), one AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) AS own FROM fused), top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM one WHERE own <= 2) SELECT query, id, source, round(score, 4) AS score, rn FROM top WHERE rn <= 5")
+q("rnk13_recall_pipeline", lambda d: f"WITH {CAND}, kept AS (SELECT * FROM cand WHERE source <> 'error'), boosted AS (SELECT query, id, source, ts, least(2, score * least(1 + 0.1 * (row_number() OVER (PARTITION BY query, source ORDER BY ts, id) - 1), 2)) AS score FROM kept), fused AS (SELECT query, id, source, score * (0.5 + 0.5 * exp(-greatest({days(d, NOW, 'ts')}, 0) / 30)) AS score FROM boosted WHERE score >= 0.1), one AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) AS own FROM fused), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS BIGINT) AS rn FROM one WHERE own <= 2) SELECT query, id, source, round(score, 4) AS score, rn FROM top WHERE rn <= 5")
 q("rnk14_eval_match", lambda d: f"WITH u AS (SELECT doc_id, {d.distinct(d.words('lower(substring(text, 1, 400))'))} AS w FROM {{documents}} WHERE text IS NOT NULL), b AS (SELECT item_id, {d.distinct(d.words('lower(text)'))} AS w FROM {{benchmark}}), uw AS (SELECT doc_id, {d.explode('w')} AS x FROM u), bw AS (SELECT item_id, {d.explode('w')} AS x FROM b), o AS (SELECT doc_id, item_id, count(*) AS n FROM uw JOIN bw USING (x) GROUP BY 1, 2), s AS (SELECT o.doc_id, o.item_id, n / CAST({d.size('b.w')} AS DOUBLE) AS share FROM o JOIN b ON b.item_id = o.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, item_id) AS rn FROM s) SELECT doc_id, item_id, round(share, 6) AS share FROM r WHERE rn = 1 AND share >= 0.3")
 q("rnk15_keyword_prescreen", lambda d: f"WITH s AS (SELECT p_partkey AS id, {d.distinct(d.words('lower(p_name)'))} AS n, {d.distinct(d.words('lower(p_type)'))} AS c, lower(p_brand) AS b FROM {{part}}), qs AS (SELECT n_nationkey AS qid, {d.distinct(d.words("lower(concat('part ', n_name, ' economy 7 12'))"))} AS w FROM {{nation}}), x AS (SELECT qid, id, 5 * {d.size(d.inter('w', 'n'))} + 3 * {d.size(d.inter('w', 'c'))} AS score FROM qs CROSS JOIN s), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM x WHERE score > 0) SELECT qid, id, score FROM r WHERE rn <= 10")
 q("rnk16_synonyms", lambda d: f"WITH g AS (SELECT p_partkey % 50 AS grp, p_brand AS w FROM {{part}}), k AS (SELECT DISTINCT p_partkey AS id, p_brand AS w FROM {{part}} WHERE p_partkey % 40 = 0) SELECT DISTINCT id, b.w AS word FROM k JOIN g a ON a.w = k.w JOIN g b ON b.grp = a.grp")
 q("rnk18_sort_key", lambda d: "SELECT event_id, round(greatest(0.01 * event_id % 7, 0.2 * value / 100), 6) AS k FROM {events}".replace("0.01 * event_id % 7", "0.01 * (event_id % 7)"))
-q("rnk19_rank_skills", lambda d: "WITH s AS (SELECT s_suppkey AS id, count(l_orderkey) AS activity, avg(l_discount) AS neg FROM {supplier} LEFT JOIN {lineitem} ON l_suppkey = s_suppkey GROUP BY s_suppkey), r AS (SELECT id, round(3 * coalesce(neg, 0) + 0.5 * ln(1 + activity), 6) AS score FROM s WHERE activity > 0) SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r")
+q("rnk19_rank_skills", lambda d: "WITH s AS (SELECT s_suppkey AS id, count(l_orderkey) AS activity, avg(l_discount) AS neg FROM {supplier} LEFT JOIN {lineitem} ON l_suppkey = s_suppkey GROUP BY s_suppkey), r AS (SELECT id, round(3 * coalesce(neg, 0) + 0.5 * ln(1 + activity), 6) AS score FROM s WHERE activity > 0) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS BIGINT) AS rank FROM r")
 q("rnk20_negative_decay", lambda d: f"WITH o AS (SELECT user_id AS k, count(*) AS ema FROM {{events}} WHERE event_type = 'error' AND event_id % 2 = 0 GROUP BY 1), n AS (SELECT user_id AS k, count(*) AS fresh FROM {{events}} WHERE event_type = 'error' AND event_id % 2 = 1 GROUP BY 1) SELECT coalesce(o.k, n.k) AS k, round(coalesce(ema, 0) * power(0.5, 7 / CAST(14 AS DOUBLE)) + coalesce(fresh, 0), 6) AS ema FROM o FULL OUTER JOIN n ON o.k = n.k WHERE coalesce(ema, 0) * power(0.5, 7 / CAST(14 AS DOUBLE)) + coalesce(fresh, 0) >= 0.5")
 q("rnk21_session_gate", lambda d: f"WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM {{events}} GROUP BY 1, 2), l AS (SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS prev FROM d) SELECT user_id, {d.varchar('day')} AS day, CASE WHEN prev IS NULL OR ({d.epoch('day') if d.name == 'duckdb' else 'unix_date(day) * 86400'} - {d.epoch('prev') if d.name == 'duckdb' else 'unix_date(prev) * 86400'}) / 86400 <= 2 THEN 'open' ELSE 'cooldown' END AS gate FROM l")
 q("rnk22_variants", lambda d: f"SELECT p_type AS path, {d.best('p_name', '-length(p_name)', '-p_partkey')} AS representative, max(p_size) AS usage FROM {{part}} GROUP BY p_type")
@@ -53,13 +53,13 @@ q("rnk29_by_coverage", lambda d: "SELECT p_brand, p_partkey FROM (SELECT p_brand
 q("rnk31_round_cap", lambda d: "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 20 THEN 1 ELSE 5 END AS max_results FROM {events}")
 
 # --- KPIs and statistics
-q("agg01_text_kpis", lambda d: f"SELECT count(*) AS n, round(avg(CASE WHEN length(text) > 1500 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS long_share, round({d.pct('length(text)', 0.5)}, 4) AS median_length, max(length(text)) AS max_length, {d.best('doc_id', 'length(text)', '-doc_id')} AS longest FROM {{documents}} WHERE text IS NOT NULL")
+q("agg01_text_kpis", lambda d: f"SELECT count(*) AS n, round(avg(CASE WHEN length(text) > 1500 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS long_share, round({d.pct('length(text)', 0.5)}, 4) AS median_length, CAST(max(length(text)) AS BIGINT) AS max_length, {d.best('doc_id', 'length(text)', '-doc_id')} AS longest FROM {{documents}} WHERE text IS NOT NULL")
 q("agg02_tree_kpis", lambda d: f"WITH {NODES}, c AS (SELECT p.id, count(k.id) AS n FROM nodes p JOIN nodes k ON k.parent = p.id WHERE p.kind = 'subject' GROUP BY p.id) SELECT count(*) AS subjects, count(CASE WHEN n < 50 THEN 1 END) AS fragments, max(n) AS largest, round(avg(n), 4) AS mean FROM c")
 q("agg03_router", lambda d: f"SELECT event_type, count(*) AS n, round({d.pct('value', 0.5)}, 4) AS p50, round({d.pct('value', 0.95)}, 4) AS p95, round({d.pct('value', 0.99)}, 4) AS p99, round(100 * avg(CASE WHEN value = 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 4) AS empty_pct FROM {{events}} GROUP BY event_type")
 q("agg04_percentile", lambda d: f"SELECT user_id, round({d.pct('value', 0.9)}, 6) AS p90 FROM {{events}} GROUP BY user_id")
 q("agg05_contribution", lambda d: "SELECT event_type, round(avg(value), 4) AS mean, max(value) AS most, round(sum(value), 2) AS total, count(CASE WHEN value > 0 THEN 1 END) AS non_zero FROM {events} GROUP BY event_type")
-q("agg06_token_usage", lambda d: f"SELECT source, round(avg(length(text) / CAST(4 AS DOUBLE)), 4) AS mean, max(length(text)) AS most, round({d.pct('length(text)', 0.9)}, 4) AS p90, round(sum(length(text)) / CAST(sum(sum(length(text))) OVER () AS DOUBLE), 6) AS share FROM {{documents}} WHERE text IS NOT NULL GROUP BY source")
-q("agg07_error_modules", lambda d: "SELECT user_id AS module, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, user_id) AS rnk FROM {events} WHERE event_type = 'error' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
+q("agg06_token_usage", lambda d: f"SELECT source, round(avg(length(text) / CAST(4 AS DOUBLE)), 4) AS mean, CAST(max(length(text)) AS BIGINT) AS most, round({d.pct('length(text)', 0.9)}, 4) AS p90, round(sum(length(text)) / CAST(sum(sum(length(text))) OVER () AS DOUBLE), 6) AS share FROM {{documents}} WHERE text IS NOT NULL GROUP BY source")
+q("agg07_error_modules", lambda d: "SELECT user_id AS module, count(*) AS n, CAST(rank() OVER (ORDER BY count(*) DESC, user_id) AS BIGINT) AS rnk FROM {events} WHERE event_type = 'error' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
 q("agg08_usage", lambda d: "SELECT count(CASE WHEN n >= 20 THEN 1 END) AS active, count(CASE WHEN n < 20 THEN 1 END) AS stale, max(n) AS most FROM (SELECT s_suppkey, count(l_orderkey) AS n FROM {supplier} LEFT JOIN {lineitem} ON l_suppkey = s_suppkey GROUP BY 1) x")
 q("agg09_duration_outliers", lambda d: f"SELECT user_id, round(latest, 4) AS latest, abs(latest - mean) > 2 * sd AND abs(latest - mean) > 0.5 * mean AS outlier FROM (SELECT user_id, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, {d.best('value', 'ts', 'event_id')} AS latest FROM {{events}} GROUP BY user_id) x WHERE n >= 3")
 q("agg10_dimensions", lambda d: f"SELECT lang, round(avg(length(text)), 4) AS mean_length, round(avg(CASE WHEN l.doc_id IS NULL THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS unknown_share FROM {{documents}} t LEFT JOIN {{labels}} l ON l.doc_id = t.doc_id GROUP BY lang")
@@ -118,7 +118,7 @@ q("clu14_entity_jaccard", lambda d: "WITH bridge AS (SELECT DISTINCT l_orderkey
 q("clu15_info_density", lambda d: f"WITH w AS (SELECT doc_id, {d.explode(d.words('lower(text)'))} AS w FROM {{documents}} WHERE text IS NOT NULL), f AS (SELECT w, count(*) AS cf FROM w GROUP BY w), n AS (SELECT count(*) AS n FROM {{documents}} WHERE text IS NOT NULL), s AS (SELECT doc_id, avg(ln(n / CAST(1 + cf AS DOUBLE))) AS density FROM w JOIN f USING (w) CROSS JOIN n GROUP BY doc_id) SELECT doc_id, round(CASE WHEN max(density) OVER () = min(density) OVER () THEN 0 ELSE (density - min(density) OVER ()) / (max(density) OVER () - min(density) OVER ()) END, 4) AS density FROM s")
 q("clu19_failure_patterns", lambda d: f"SELECT event_type, user_id % 10 AS op, count(*) AS n, {d.join(d.map(d.first(d.collect('event_id'), 3), 'i', d.varchar('i')), ',')} AS reasons FROM {{events}} GROUP BY 1, 2")
 q("clu20_placement", lambda d: f"WITH {NODES}, c AS (SELECT parent, count(*) AS n FROM nodes WHERE kind = 'subject' GROUP BY parent) SELECT k.id, CASE WHEN c.n < 3 THEN concat('root/', {d.varchar('s.parent')}) ELSE {d.varchar('s.id')} END AS place FROM nodes k JOIN nodes s ON s.id = k.parent JOIN c ON c.parent = s.parent WHERE k.kind = 'knowledge_point'")
-q("clu18_lineage", lambda d: f"SELECT o_custkey AS node, max(v) AS version, {d.best('o_orderkey', 'v')} AS record FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS v FROM {{orders}}) x GROUP BY o_custkey")
+q("clu18_lineage", lambda d: f"SELECT o_custkey AS node, CAST(max(v) AS BIGINT) AS version, {d.best('o_orderkey', 'v')} AS record FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS v FROM {{orders}}) x GROUP BY o_custkey")
 q("ded03_exact_dedup", lambda d: "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM {documents} WHERE text IS NOT NULL GROUP BY text")
 q("ded09_winner", lambda d: f"SELECT source, {d.best('doc_id', 'length(text)', 'doc_id')} AS winner FROM {{documents}} WHERE text IS NOT NULL GROUP BY source")
 q("ded23_first_digest", lambda d: "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {conversations}) x WHERE rn = 1")

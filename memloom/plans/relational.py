@@ -12,37 +12,37 @@ QUERIES, ORACLES = R.queries, R.oracles
 q = R.sql
 
 NODES = """nodes AS (
-SELECT 1000000 + r_regionkey AS id, CAST(NULL AS BIGINT) AS parent, r_name AS name, 'domain' AS kind FROM {region}
+SELECT CAST(1000000 + r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent, r_name AS name, 'domain' AS kind FROM {region}
 UNION ALL SELECT 2000000 + n_nationkey, CAST(1000000 + n_regionkey AS BIGINT), n_name, 'subject' FROM {nation}
 UNION ALL SELECT c_custkey, CAST(2000000 + c_nationkey AS BIGINT), c_name, 'knowledge_point' FROM {customer})"""
 USES = "uses AS (SELECT o_custkey AS session, l_partkey AS node, l_orderkey AS log_id, o_orderdate AS ts FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey)"
 PAIRS = "pairs AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2)"
 
 # --- scans
-q("src01_units", lambda d: "SELECT doc_id, source, length(text) AS n FROM {documents} WHERE text IS NOT NULL AND source = 'src0'")
+q("src01_units", lambda d: "SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n FROM {documents} WHERE text IS NOT NULL AND source = 'src0'")
 q("src02_unit_entities", lambda d: "SELECT DISTINCT l_orderkey AS unit, l_partkey AS entity FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_orderpriority = '1-URGENT')")
-q("src03_texts_by_id", lambda d: "SELECT l.doc_id, toxic, length(text) AS n FROM {labels} l JOIN {documents} t ON l.doc_id = t.doc_id")
+q("src03_texts_by_id", lambda d: "SELECT l.doc_id, toxic, CAST(length(text) AS BIGINT) AS n FROM {labels} l JOIN {documents} t ON l.doc_id = t.doc_id")
 q("src04_entity_units", lambda d: f"SELECT l_partkey AS entity, array_join_(units) AS units, n FROM (SELECT l_partkey, {d.collect('l_orderkey')} AS units, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM {{lineitem}}) x GROUP BY l_partkey) y".replace("array_join_(units)", d.join(d.map("units", "u", d.varchar("u")), ",")))
 q("src05_vectors_from_text", lambda d: f"SELECT vec_id, {d.size('v')} AS n, round({d.dot('v', 'v')}, 4) AS sq FROM (SELECT vec_id, {'from_json(s, ' + d.lit('array<float>') + ')' if d.name == 'spark' else 'CAST(s AS FLOAT[])'} AS v FROM (SELECT vec_id, concat('[', {d.join(d.map('embedding', 'x', d.varchar('x')), ',')}, ']') AS s FROM {{embeddings}}) z) y WHERE v IS NOT NULL")
 q("src06_new_links", lambda d: f"WITH {PAIRS} SELECT a, b FROM pairs WHERE NOT EXISTS (SELECT 1 FROM {{lineitem}} x WHERE x.l_partkey = pairs.a AND x.l_linenumber = 1)")
 q("src07_leaves", lambda d: f"WITH {NODES} SELECT id, name FROM nodes WHERE kind = 'knowledge_point'")
 q("src08_recent_uses", lambda d: f"WITH {USES} SELECT log_id, session, min(node) AS first_node, count(*) > 0 AS recalled FROM uses WHERE ts > (SELECT max(ts) FROM uses) - INTERVAL '30' DAY GROUP BY log_id, session")
 q("src09_event_streams", lambda d: f"SELECT event_type, {d.varchar('CAST(ts AS DATE)')} AS day, CAST({'get_json_object(props, ' + d.lit('$.k') + ')' if d.name == 'spark' else 'json_extract_string(props, ' + d.lit('$.k') + ')'} AS BIGINT) AS k, count(*) AS n FROM {{events}} WHERE {d.varchar('CAST(ts AS DATE)')} LIKE '2024-01-1%' GROUP BY 1, 2, 3")
-q("src10_tolerant_json", lambda d: f"SELECT count(*) AS n_lines, count(k) AS n_good, sum(k) AS total FROM (SELECT CAST({'get_json_object(s, ' + d.lit('$.k') + ')' if d.name == 'spark' else 'CASE WHEN json_valid(s) THEN json_extract_string(s, ' + d.lit('$.k') + ') END'} AS BIGINT) AS k FROM (SELECT CASE WHEN event_id % 10 = 0 THEN '{{oops' ELSE props END AS s FROM {{events}}) x) y".replace("{{", "{").replace("'{oops'", "concat(chr(123), 'oops')"))
+q("src10_tolerant_json", lambda d: f"SELECT count(*) AS n_lines, count(k) AS n_good, CAST(sum(k) AS BIGINT) AS total FROM (SELECT CAST({'get_json_object(s, ' + d.lit('$.k') + ')' if d.name == 'spark' else 'CASE WHEN json_valid(s) THEN json_extract_string(s, ' + d.lit('$.k') + ') END'} AS BIGINT) AS k FROM (SELECT CASE WHEN event_id % 10 = 0 THEN '{{oops' ELSE props END AS s FROM {{events}}) x) y".replace("{{", "{").replace("'{oops'", "concat(chr(123), 'oops')"))
 q("src12_job_states", lambda d: "SELECT s_suppkey AS job, CASE WHEN s_acctbal >= 0 THEN 'success' ELSE 'fail' END AS status, 'first' AS origin FROM {supplier} WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN 'success' WHEN s_nationkey % 3 = 1 THEN 'fail' ELSE 'unknown' END, 'second' FROM {supplier} s WHERE NOT EXISTS (SELECT 1 FROM {supplier} f WHERE f.s_suppkey = s.s_suppkey AND f.s_suppkey % 2 = 0)")
 q("src13_log_lines", lambda d: f"SELECT day, level, module, count(*) AS n FROM (SELECT {d.one('s', '^([0-9-]+) ([0-9:]+) ([A-Z]+) ([a-z_]+):', 1)} AS day, {d.one('s', '^([0-9-]+) ([0-9:]+) ([A-Z]+) ([a-z_]+):', 3)} AS level, {d.one('s', '^([0-9-]+) ([0-9:]+) ([A-Z]+) ([a-z_]+):', 4)} AS module FROM (SELECT concat(substring({d.varchar('ts')}, 1, 10), ' ', substring({d.varchar('ts')}, 12, 8), ' ', CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END, ' ', event_type, ': v=', {d.varchar('event_id')}) AS s FROM {{events}}) x) y GROUP BY 1, 2, 3")
 q("src14_sessions", lambda d: "SELECT c_custkey AS session, count(o_orderkey) AS messages, coalesce(max(o_orderdate), min(o_orderdate)) AS last_activity FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) >= 5")
-q("src15_transcripts", lambda d: f"SELECT conv_id, {d.join('parts', chr(10))} AS transcript, n FROM (SELECT conv_id, {d.map(d.collect(f'concat(lpad({d.varchar('turn')}, 6, {d.lit('0')}), role, {d.lit(': ')}, CASE WHEN role = {d.lit('user')} THEN substring(text, 1, 300) ELSE substring(text, 1, 150) END)'), 'p', 'substring(p, 7)')} AS parts, sum(length(text)) AS n FROM {{conversations}} WHERE text IS NOT NULL GROUP BY conv_id) x WHERE n >= 200")
+q("src15_transcripts", lambda d: f"SELECT conv_id, {d.join('parts', chr(10))} AS transcript, n FROM (SELECT conv_id, {d.map(d.collect(f'concat(lpad({d.varchar('turn')}, 6, {d.lit('0')}), role, {d.lit(': ')}, CASE WHEN role = {d.lit('user')} THEN substring(text, 1, 300) ELSE substring(text, 1, 150) END)'), 'p', 'substring(p, 7)')} AS parts, CAST(sum(length(text)) AS BIGINT) AS n FROM {{conversations}} WHERE text IS NOT NULL GROUP BY conv_id) x WHERE n >= 200")
 q("src16_full_text_search", lambda d: f"WITH terms AS (SELECT doc_id, {d.explode(d.distinct(d.words('lower(text)')))} AS w FROM {{documents}} WHERE text IS NOT NULL), qs AS (SELECT item_id, {d.explode(d.distinct(d.words('lower(text)')))} AS w FROM {{benchmark}}), hits AS (SELECT item_id, doc_id, count(*) AS n FROM qs JOIN terms USING (w) GROUP BY item_id, doc_id), sizes AS (SELECT item_id, count(*) AS total FROM qs GROUP BY item_id), ranked AS (SELECT hits.item_id, doc_id, round(n / CAST(total AS DOUBLE), 4) AS confidence, row_number() OVER (PARTITION BY hits.item_id ORDER BY n DESC, doc_id DESC) AS rn FROM hits JOIN sizes USING (item_id)) SELECT item_id, doc_id, confidence FROM ranked WHERE rn <= 3")
 q("src20_split_dedup", lambda d: f"SELECT doc_id, pos, line FROM (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id, {d.sub('line', '[ \t]+')} ORDER BY pos) AS rn FROM (SELECT doc_id, {d.explode(d.steps('1', d.size('lines')))} AS pos, lines FROM (SELECT doc_id, {'split(text, chr(10))' if d.name == 'spark' else 'string_split(text, chr(10))'} AS lines FROM {{documents}} WHERE text IS NOT NULL) x) y0, LATERAL (SELECT {d.at('lines', 'pos')} AS line) z WHERE {d.strip('line')} <> '') y WHERE rn = 1" if d.name == "duckdb" else f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, line FROM (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id, {d.sub('line', '[ \t]+')} ORDER BY pos) AS rn FROM (SELECT doc_id, p + 1 AS pos, line FROM {{documents}} LATERAL VIEW posexplode(split(text, chr(10))) v AS p, line WHERE text IS NOT NULL) x WHERE {d.strip('line')} <> '') y WHERE rn = 1")
 q("src21_digests", lambda d: "SELECT conv_id, count(CASE WHEN role = 'user' THEN 1 END) AS user_turns, count(CASE WHEN role = 'assistant' THEN 1 END) AS assistant_turns, min(turn) AS first_turn, max(turn) AS last_turn FROM {conversations} GROUP BY conv_id")
 
 # --- merges (old table and delta -> new table)
 q("snk01_upsert", lambda d: "WITH old AS (SELECT o_custkey AS k, max(o_totalprice) AS w FROM {orders} WHERE o_orderkey % 2 = 0 GROUP BY 1), delta AS (SELECT o_custkey AS k, max(o_totalprice) AS w FROM {orders} WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT coalesce(old.k, delta.k) AS k, greatest(coalesce(old.w, 0), coalesce(delta.w, 0)) AS w, CASE WHEN old.k IS NULL THEN 'inserted' WHEN delta.k IS NULL THEN 'kept' ELSE 'updated' END AS how FROM old FULL OUTER JOIN delta ON old.k = delta.k")
-q("snk02_edge_upsert", lambda d: f"WITH {PAIRS} SELECT a, b, sum(n) AS cooccurrence FROM (SELECT a, b, n FROM pairs WHERE a % 2 = 0 UNION ALL SELECT a, b, 1 FROM pairs) x GROUP BY a, b")
+q("snk02_edge_upsert", lambda d: f"WITH {PAIRS} SELECT a, b, CAST(sum(n) AS BIGINT) AS cooccurrence FROM (SELECT a, b, n FROM pairs WHERE a % 2 = 0 UNION ALL SELECT a, b, 1 FROM pairs) x GROUP BY a, b")
 q("snk04_daily_append", lambda d: f"WITH days AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM {{events}} GROUP BY 1), fresh AS (SELECT day, n + 1 AS n FROM days ORDER BY day DESC LIMIT 2), merged AS (SELECT * FROM fresh UNION ALL SELECT days.day, days.n FROM days WHERE NOT EXISTS (SELECT 1 FROM fresh WHERE fresh.day = days.day)) SELECT {d.varchar('day')} AS day, n FROM merged ORDER BY merged.day DESC LIMIT 30")
 q("snk05_rotate", lambda d: "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn <= 5")
-q("snk07_archive", lambda d: f"SELECT doc_id, length(text) AS n, {'sha2(text, 256)' if d.name == 'spark' else 'sha256(text)'} AS digest FROM {{documents}} WHERE length(text) > 5000")
+q("snk07_archive", lambda d: f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n, {'sha2(text, 256)' if d.name == 'spark' else 'sha256(text)'} AS digest FROM {{documents}} WHERE length(text) > 5000")
 
 # --- filters
 q("flt12_sources", lambda d: "SELECT doc_id FROM {documents} WHERE source NOT IN ('src1', 'src2', 'src3')")

@@ -44,11 +44,11 @@ def src22_strict_json(spark, sf_dir):
     return files.strict_json(spark, path, "event_type string, value double", lines=True).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@R.add("src23_eval_set", "SELECT item_id, length(text) AS n FROM benchmark")
+@R.add("src23_eval_set", "SELECT item_id, CAST(length(text) AS BIGINT) AS n FROM benchmark")
 def src23_eval_set(spark, sf_dir):
     path = _folder(spark)
     table(spark, sf_dir, "benchmark").select("item_id", "text").write.json(path)
-    return files.strict_json(spark, path, "item_id long, text string", lines=True).select("item_id", F.length("text").alias("n"))
+    return files.strict_json(spark, path, "item_id long, text string", lines=True).select("item_id", F.length("text").cast("long").alias("n"))
 
 
 @R.add("snk06_ledger", "SELECT 'patched' AS event, s_suppkey FROM supplier UNION ALL SELECT 'patched', s_suppkey FROM supplier WHERE s_suppkey % 2 = 0")
