@@ -25,7 +25,7 @@ STATUS = (r"(?i)(部署完成|测试通过|运行正常|gateway.*active|service.
 LOG_HINTS = ("Traceback", "diff --git", "--- a/", "+++ b/", "psql ", "systemctl ", "./deploy/", "```")
 CODE_QUERY = r"(?i)(函数|方法|类|调用|源码|原码|定义|实现|接口|模块|文件|变量|参数|类图|调用链|调用关系|谁调用|引用|导入|\bdef\b|\bclass\b|\bfunc\b|\bimport\b|\bfunction\b)"
 CORE_TERMS = (
-    "skill kt sag hindsight litellm router gateway plugin deploy cron embed rerank min_score token budget recall inject "
+    "skill kt sag litellm router gateway plugin deploy cron embed rerank min_score token budget recall inject "
     "修复 检查 排他 管道 部署 测试 运行 验证 重启 日志 错误 报警 飞轮 知识树 聚类 记忆 清理 巡检 基线"
 ).split()
 HARD_BLOCK = (
