@@ -56,11 +56,16 @@ def _mark(docs: DataFrame) -> Column:
 _SPOT = ("doc_id", "mark", "line")
 
 
+def _map(k: int) -> str:
+    """Word k of a set's 128-bit map."""
+    return f"aggregate(toks, 0L, (m, x) -> m | IF((x & 64) = {64 * k}, shiftleft(1L, CAST(x & 63 AS INT)), 0L))"
+
+
 def _passes(x: str, y: str) -> Column:
     """Length filter, positional filter, and the bit maps' bound: each differing token flips one bit at most."""
     n = f"({x}.n + {y}.n)"
     return F.expr(
-        f"5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n) AND 9 * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= 4 * {n} AND 9 * ({n} - bit_count({x}.bits ^ {y}.bits)) >= 8 * {n}"
+        f"5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n) AND 9 * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= 4 * {n} AND 9 * ({n} - bit_count({x}.m0 ^ {y}.m0) - bit_count({x}.m1 ^ {y}.m1)) >= 8 * {n}"
     )
 
 
@@ -72,15 +77,10 @@ def _verified(pairs: DataFrame, base: DataFrame, frequent: list[list[int]]) -> D
     whole = base.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
     whole = whole.select("doc_id", "mark", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
     release(base.sparkSession)
-    maps = [F.expr(f"aggregate(toks, 0L, (m, x) -> m | IF((x & 64) = {64 * k}, shiftleft(1L, CAST(x & 63 AS INT)), 0L))").alias(f"m{k}") for k in (0, 1)]
-    whole = cut(whole.select(F.struct(*_SPOT).alias("id"), F.expr(_tokens("all[line]", frequent)).alias("toks")).select("id", "toks", F.size("toks").alias("n"), *maps))
+    whole = cut(whole.select(F.struct(*_SPOT).alias("id"), F.expr(_tokens("all[line]", frequent)).alias("toks")))
     release(base.sparkSession)
-    side = lambda name, *cols: whole.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-    # 128-bit maps of all tokens first: whole sets travel only with pairs that are likely similar
-    likely = pairs.join(side("late", "n", "m0", "m1"), "late").join(side("early", "n", "m0", "m1"), "early")
-    likely = likely.where("9 * (n_late + n_early - bit_count(m0_late ^ m0_early) - bit_count(m1_late ^ m1_early)) >= 8 * (n_late + n_early)").select("late", "early")
-    both = cut(likely).join(side("late", "toks"), "late").join(side("early", "toks"), "early")
-    return cut(both.where("9 * size(array_intersect(toks_late, toks_early)) >= 4 * (size(toks_late) + size(toks_early))").select("late").distinct())
+    both = pairs.join(whole.select(F.col("id").alias("late"), F.col("toks").alias("x")), "late").join(whole.select(F.col("id").alias("early"), F.col("toks").alias("y")), "early")
+    return cut(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("late").distinct())
 
 
 def removals(docs: DataFrame, mark: Column) -> DataFrame:
@@ -96,19 +96,19 @@ def removals(docs: DataFrame, mark: Column) -> DataFrame:
             "size(toks) AS n",
             "xxhash64(toks) AS k1",
             "hash(toks) AS k2",
-            "IF(size(toks) < 4, 0L, aggregate(toks, 0L, (m, x) -> m | IF(x < 288230376151711744L, shiftleft(1L, CAST(x & 63 AS INT)), 0L))) AS bits",
+            *[f"IF(size(toks) < 4, 0L, {_map(k)}) AS m{k}" for k in (0, 1)],
             "slice(toks, 1, IF(size(toks) < 4, 0, size(toks) - (4 * size(toks) + 4) div 5 + 1)) AS prefix",
         )
     )
     key = ["k1", "k2", "n"]
     # Lines of one to three tokens are similar to equal sets only.
-    reps = cut(wide.where("n >= 4").groupBy(*key).agg(F.min(F.struct(*_SPOT, "bits", "prefix")).alias("x")).select("n", "x.*"))
-    lines = cut(wide.drop("bits", "prefix"))
+    reps = cut(wide.where("n >= 4").groupBy(*key).agg(F.min(F.struct(*_SPOT, "m0", "m1", "prefix")).alias("x")).select("n", "x.*"))
+    lines = cut(wide.drop("m0", "m1", "prefix"))
     discard(wide)
     release(spark)
-    postings = lambda lines: lines.select(*_SPOT, "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
+    postings = lambda lines: lines.select(*_SPOT, "n", "m0", "m1", F.posexplode("prefix").alias("pos", "tok"))
     index = postings(reps)
-    line = F.struct(*_SPOT, "n", "bits", "pos")
+    line = F.struct(*_SPOT, "n", "m0", "m1", "pos")
     order = Window.partitionBy("tok").orderBy(*_SPOT)
     near = index.select("tok", line.alias("x"), *_SPOT).select("x", F.lag("x").over(order).alias("before"), F.first("x").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("least"))
     spot = lambda x: F.struct(*[F.col(f"{x}.{c}").alias(c) for c in _SPOT])
