@@ -4,14 +4,16 @@ A document is its sequence of k-word shingles. Each shingle is labelled with its
 sketch takes the L least labelled shingles under a hash and keeps their text order, so that agreement
 tells of edit similarity, not only of shared content. Documents of equal word sequences are merged into
 one node first. Nodes that share a sketch are compared with that bucket's least node, and with the least
-node of the sub-bucket that also shares the next sketch; nothing emits the pairs of a bucket. A candidate
-pair is verified by banded alignment of the two shingle sequences (bit-parallel longest common
+node of the sub-bucket that also shares the next sketch. Members of a bucket that are in different classes
+after that are compared with each other, block by block in Python, so that no two nodes of a bucket are left
+both unmatched and uncompared; nothing emits the pairs of a bucket. A candidate pair is verified by banded alignment of the two shingle sequences (bit-parallel longest common
 subsequence; the band is as wide as the limit allows): aligned / (a + b - aligned) >= 0.8. Verified links
 join nodes into classes.
 
 Defined results: null, empty and wordless texts form one class, that of the empty word sequence, and are
 linked to nothing; texts shorter than k words are one shingle; repeated rows
-share a class; an empty table gives no rows; other columns are ignored (classes) or kept (deduplicate).
+share a class; n_links counts the verified links of a word sequence (pairs that earlier links already put in
+one class aren't compared, so it isn't the number of its near-duplicates); an empty table gives no rows; other columns are ignored (classes) or kept (deduplicate).
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .common import cut, table
 from .graph import components
 
 K, L, SKETCHES = 5, 2, 12
+BLOCK = 256
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ODD = np.array([int(x) | 1 for x in np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, SKETCHES + K + 2)], np.uint64)
@@ -192,20 +195,123 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair", F.col("ta").cast("binary").alias("ta"), F.col("tb").cast("binary").alias("tb")).mapInArrow(run, pairs.select("pair").schema)
 
 
+_ID = "struct<doc_id:long,mark:long,k1:long,k2:long>"
+_OPEN = f"key long, band long, p long, q long, place int, role int, block long, id {_ID}, label {_ID}, n long, sketch array<long>"
+_ARROW = pa.struct([(c, pa.int64()) for c in ("doc_id", "mark", "k1", "k2")])
+_GROUP = ["key", "band", "p", "q"]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of one group after another; the partitions are sorted by _GROUP."""
+    rows: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and any(row[c] != rows[0][c] for c in _GROUP):
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _uncompared(rows: list[dict]) -> np.ndarray:
+    """Pairs of a group that may be similar by length, are of different classes, and share no earlier sketch (where they meet as well)."""
+    n, role, block = (np.array([r[c] for r in rows], np.int64) for c in ("n", "role", "block"))
+    codes: dict = {}
+    label = np.array([codes.setdefault(tuple(r["label"].values()), len(codes)) for r in rows])
+    sketch = np.array([r["sketch"] for r in rows], np.int64)
+    fits = (label[:, None] != label) & (9 * np.minimum(n[:, None], n) >= 4 * (n[:, None] + n)) & (role[:, None] == 0)
+    fits &= (role == 1) | (np.arange(len(n))[:, None] < np.arange(len(n)))
+    if rows[0]["p"] != rows[0]["q"]:
+        fits &= block[:, None] != block
+    for s in range(rows[0]["place"]):
+        fits &= sketch[:, s, None] != sketch[:, s]
+    return np.argwhere(fits)
+
+
+def _labelled(grams: np.ndarray) -> np.ndarray:
+    """Shingles marked with their occurrence number: distinct, so that common ones count as a multiset does."""
+    order = np.argsort(grams, kind="stable")
+    at = np.arange(len(grams))
+    first = np.concatenate([[True], grams[order][1:] != grams[order][:-1]])
+    return _mix(grams[order] + (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64) * _ODD[SKETCHES + K + 1])
+
+
+def _similar_pairs(docs: dict[int, np.ndarray], pairs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Those of the pairs (sorted by their first) that are similar; common shingles are counted against all partners of a document at once."""
+    names = sorted(docs)
+    sizes = np.array([len(docs[k]) for k in names])
+    words_, ids = np.unique(np.concatenate([_labelled(docs[k]) for k in names]), return_inverse=True)
+    start = np.cumsum(sizes) - sizes
+    place = {k: i for i, k in enumerate(names)}
+    own = np.zeros(len(words_), bool)
+    for a, partners in ((a, pairs[pairs[:, 0] == a, 1].tolist()) for a in np.unique(pairs[:, 0]).tolist()):
+        mine = ids[start[place[a]] : start[place[a]] + sizes[place[a]]]
+        own[mine] = True
+        for b in partners:
+            i, need = place[b], -(-4 * (len(docs[a]) + len(docs[b])) // 9)
+            if own[ids[start[i] : start[i] + sizes[i]]].sum() >= need and aligned(docs[a], docs[b], max(len(docs[a]), len(docs[b])) - need) >= need:
+                yield a, b
+        own[mine] = False
+
+
+def _rest(nodes: DataFrame, leaders: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket that its leader left in different classes.
+
+    All such pairs of a bucket are compared, in groups of two blocks of about BLOCK members (fewer long ones) whose lengths
+    allow it: similar ones differ in length by a factor of 1.25 at most, so they lie in one band or in neighbours.
+    """
+    label = components(links)
+    known = nodes.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "n", "sketch")
+    member = known.select("id", "label", "n", "sketch", F.posexplode("sketch").alias("place", "key")).join(leaders.select("key", "a"), "key").where("a <> id")
+    own = F.floor(F.log("n") / F.log(F.lit(1.2501)))
+    member = member.withColumns({"at": F.explode(F.array(F.struct(own.alias("band"), F.lit(0).alias("role")), F.struct((own + 1).alias("band"), F.lit(1).alias("role"))))})
+    member = member.select("key", "at.band", "place", "at.role", "id", "label", "n", "sketch")
+    sizes = member.groupBy("key", "band").agg(F.count("*").alias("m"), F.min("role").alias("r"), F.min("label").alias("x"), F.max("label").alias("y")).where("r = 0 AND x <> y").select("key", "band", F.ceil(F.col("m") / F.greatest(F.lit(8.0), F.least(F.lit(float(BLOCK)), 1e6 / F.pow(F.lit(1.25), F.col("band"))))).alias("blocks"))
+    spread = member.join(sizes, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other"), "role": F.col("role").cast("int")})
+    spread = spread.select(*_GROUP, "place", "role", "block", "id", "label", "n", "sketch")
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            used = np.unique(_uncompared(rows)).tolist() if len(rows) > 1 else []
+            if used:
+                yield pa.RecordBatch.from_pylist([rows[k] for k in used], schema=pa.schema([(x, {"place": pa.int32(), "role": pa.int32(), "id": _ARROW, "label": _ARROW, "sketch": pa.list_(pa.int64())}.get(x, pa.int64())) for x in rows[0]]))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            pairs = _uncompared(rows)
+            if not len(pairs):
+                continue
+            docs = {k: shingles(words(rows[k]["text"])) for k in np.unique(pairs).tolist()}
+            found = [{"a": rows[a]["id"], "b": rows[b]["id"]} for a, b in _similar_pairs(docs, pairs)]
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("a", _ARROW), ("b", _ARROW)]))
+
+    rest = cut(grouped(spread).mapInArrow(needed, _OPEN))
+    full = grouped(rest.join(texts.select("id", F.col("text").cast("binary").alias("text")), "id"))
+    return full.mapInArrow(compared, f"a {_ID}, b {_ID}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, mark, k1, k2) and the verified links (a, b) of nodes, a node being (least doc_id, its mark, k1, k2)."""
     rows = cut(_sketched(docs))
-    nodes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark", "sketch")).alias("x"))
-    nodes = cut(nodes.select(F.struct("x.doc_id", "x.mark", "k1", "k2").alias("id"), F.col("x.sketch").alias("sketch")))
+    nodes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark", "sketch", "n")).alias("x"))
+    nodes = cut(nodes.select(F.struct("x.doc_id", "x.mark", "k1", "k2").alias("id"), F.col("x.sketch").alias("sketch"), F.col("x.n").alias("n")))
     keys = F.concat(F.col("sketch"), F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", (i + 1) % SKETCHES))))
     member = nodes.select("id", F.explode(keys).alias("key"))
-    leader = member.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
-    pairs = cut(member.join(leader, "key").where("a < id").select("a", F.col("id").alias("b")).distinct())
+    leader = cut(member.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a", "size"))
+    pairs = cut(member.join(leader.select("key", "a"), "key").where("a < id").select("a", F.col("id").alias("b")).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", "id.doc_id", "id.mark")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").join(needed, ["doc_id", "mark"]).select("id", "text")
     texts = cut(texts.dropDuplicates(["id"]))
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return rows, cut(_verified(both.select(F.struct("a", "b").alias("pair"), "ta", "tb")).select("pair.a", "pair.b"))
+    first = cut(_verified(both.select(F.struct("a", "b").alias("pair"), "ta", "tb")).select("pair.a", "pair.b"))
+    return rows, cut(first.unionByName(_rest(nodes, leader.where("size > 2"), first, texts)))
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -94,3 +94,20 @@ def test_odd_rows(odd, none):
     kept = op.deduplicate(odd)
     assert kept.columns == odd.columns
     assert {1, 7, 10}.issubset({r.doc_id for r in kept.collect()}) and not {2, 3} & {r.doc_id for r in kept.collect()}
+
+
+def test_near_copies_inside_one_template(spark):
+    """Copies whose shared sketches nearly all fall in a passage that 60 unlike documents share as well."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(170)]
+    own = [[f"d{k}x{i}" for i in range(34)] for k in range(60)]
+    texts = [" ".join(passage + w) for w in own]
+    for w in own[1:]:
+        near = list(w)
+        near[rng.randrange(8, 26)] = f"new{rng.randrange(10**6)}"
+        near[rng.randrange(8, 26)] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(passage + near))
+    grams = [op.shingles(op.words(t)) for t in texts]
+    assert [(i, j) for j in range(len(texts)) for i in range(j) if op.similar(grams[i], grams[j])] == [(k, 59 + k) for k in range(1, 60)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in op.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i] for i in range(len(texts))] == [(0, 0)] + [(k, 1) for k in range(1, 60)] * 2
