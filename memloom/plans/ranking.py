@@ -160,7 +160,7 @@ def vec02_nearest(spark, sf_dir):
 
 
 def _bigrams(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) BETWEEN 1 AND 600")
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 1")
     return docs.select(F.col("doc_id").alias("id"), F.expr(t.grams(SPARK, "text")).alias("items"))
 
 
