@@ -35,6 +35,38 @@ def centroid(df: DataFrame, key: str, vec: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"), F.max("n").alias("n"))
 
 
+def unit_rows(v: pd.Series) -> np.ndarray:
+    m = np.stack(v.to_list()).astype(float)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def spanning_links(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """Links (a, b) with the components of all pairs of vectors (id, vec) of cosine >= threshold; cosines are rounded to 6 places.
+
+    Each task compares all pairs of two blocks and returns a forest that connects what they connect, so no
+    pair is left out and the links of a pair of blocks are fewer than its vectors.
+    """
+    n = max(1, math.ceil(vectors.count() / block))
+    own = vectors.where(finite("vec")).select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+
+    def forest(g: pd.DataFrame) -> pd.DataFrame:
+        ids, u = g["id"].to_numpy(), unit_rows(g["vec"])
+        left, links = np.arange(len(ids)), []
+        while len(left):
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                k = todo.pop()
+                hit = np.round(u[left] @ u[k], 6) >= threshold
+                found, left = left[hit], left[~hit]
+                links += [(ids[k], ids[j]) for j in found if ids[k] != ids[j]]
+                todo += found.tolist()
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("p", "q").applyInPandas(forest, "a long, b long")
+
+
 def nearest(candidates: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0, block: int = 8192, group: int = 8192) -> DataFrame:
     """Exact cosine top-k: (qid, id, sim) for queries (qid, vec) over candidates (id, vec), sim >= threshold, ties by id.
 

@@ -186,8 +186,7 @@ def ded07_jaccard_pairs(spark, sf_dir):
 @R.add("clu04_components")
 def clu04_components(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    near = vectors.nearest(e, e.select(F.col("id").alias("qid"), "vec"), 20, 0.4)
-    return dedup.components(near.where("qid <> id").select(F.col("qid").alias("a"), F.col("id").alias("b")))
+    return dedup.components(vectors.spanning_links(e, 0.4))
 
 
 @R.add("clu01_density_clusters")
