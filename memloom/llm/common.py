@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the synthetic tables, opened by Spark alone so that any store works."""
@@ -17,34 +17,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session. A local master may go without: it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "memloom-shared")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and survives the loss of any executor."""
+    """Write df to the shared folder and read it back: lineage ends there and survives the loss of any executor.
+
+    The write's shuffle files go as soon as it is done, by Spark's own setting for that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps: their plans are garbage once a step is written."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the folder behind a frame that cut() returned."""
-    files = df.inputFiles()
-    if files:
-        jvm = df.sparkSession._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders behind frames that cut() returned; nothing may read them any more."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

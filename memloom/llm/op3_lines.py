@@ -1,139 +1,164 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations alone.
 
-A line is the set of its space-separated tokens. Tokens are ordered by rarity: occurrences are counted
-over the whole corpus in CELLS hash cells and the fullest cells form frequency classes; the rest, the rare
-tokens, come first, longer ones before shorter ones, then in hash order (any one order gives exact results). Lines of equal sets form classes before anything is joined, so
-copies meet no copies. Class representatives with a common token in their prefixes are candidates under the
-length and positional filters and a bound from bit maps of the sets; Jaccard >= 0.8 is verified on the whole
-sets, read again from the documents. A line is removed if an earlier line (smaller doc_id, or the same
-document and a smaller line number), removed or not, is similar. One earlier match decides, so each line first
-meets the earliest line and the one before it in its tokens' lists; only lines that find no match there are
-joined with all earlier lines. Large groups of similar lines thus cost a few comparisons a line.
+A line is the set of its space-separated tokens, ordered by rarity: occurrences are counted over the whole
+corpus in CELLS hash cells, and tokens are sorted by the power of two of their cell's count, then by hash
+(any one order gives exact results; this one puts rare tokens first without a join on every token). Lines of
+equal sets form classes before anything is joined, so copies meet no copies.
+
+Two sets of sizes a, b with Jaccard >= 0.8 share o >= 4(a + b)/9 tokens and differ in d = a + b - 2o. Each
+differing token parts at most one pair of tokens that are neighbours in the common order, so o - 1 - d
+neighbour pairs are common as well. The prefix filter works on these pairs: it indexes the first ones of each
+line, as many as that bound asks for. A pair of neighbours is far rarer than a token, so lists stay short
+when the corpus outgrows its vocabulary. Keys that only one line has are dropped at once.
+The length filter, the positional filter (what can follow the first common pair) and the count of
+common prefix pairs (with what can follow the prefixes) leave the candidates. Their lines are read again
+from the documents: bit maps of the sets bound the difference, and Jaccard is verified on the tokens themselves.
+
+A line is removed if an earlier line (smaller doc_id, or the same document and a smaller line number),
+removed or not, is similar. One earlier match decides, so each line first meets the earliest line and the one
+before it in its keys' lists, and the best of these is verified; only lines that find no match there are joined with all
+earlier lines. Large groups of similar lines thus cost a few comparisons a line. A key of more than
+SPLIT lines is dealt out in blocks.
 
 Defined results: null text has no lines; a line without tokens stays and matches nothing; rows that
 repeat doc_id and text are one position and don't remove each other; different texts of one doc_id are
-ordered by their hash; an empty table gives no rows; other columns are ignored (lines) or kept (dedupe).
+ordered by their hash; a null doc_id counts as the least one; an empty table gives no rows; other columns
+are ignored (lines) or kept (dedupe).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, release, table
+from .common import cut, discard, table
 
 CELLS = 1 << 16
-#: Sizes of the frequency classes, fullest cells first; every other token is rare.
-CLASSES = (512, 7680)
-_HASH = 52
-
-
-def _frequent(docs: DataFrame) -> list[list[int]]:
-    """The fullest hash cells, in classes; the table that comes to the driver has CELLS rows at most."""
-    cell = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''").select(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"))
-    counts = cell.groupBy("cell").count().orderBy(F.desc("count"), "cell").limit(sum(CLASSES)).collect()
-    out, at = [], 0
-    for n in CLASSES:
-        out.append([r["cell"] for r in counts[at : at + n]])
-        at += n
+SPLIT = 4096
+#: Words of 64 bits in a line's map of its tokens: each differing token flips one bit at most.
+MAPS = 4
+_HASH = 58
+#: A posting is one number: place of the line, its size (at most SIZE) and the pair's place in it (at most PLACE).
+SIZE, PLACE = 127, 31
+_LEAST = -(1 << 63)
+
+
+def _levels(base: DataFrame) -> list[int]:
+    """Power of two of each hash cell's count; the table that comes to the driver has CELLS rows at most."""
+    cell = base.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''").select(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"))
+    out = [0] * CELLS
+    for r in cell.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        out[r["cell"]] = r["n"].bit_length()
     return out
 
 
-def _tokens(line: str, frequent: list[list[int]]) -> str:
-    """Sorted distinct token codes of a line: frequency class, 63 less the length in bytes, hash."""
-    levels = " ".join(f"WHEN (x & {CELLS - 1}) IN ({','.join(map(str, cells))}) THEN {(len(frequent) - k) << 58}L" for k, cells in enumerate(frequent) if cells)
-    code = f"(xxhash64(w) & {(1 << _HASH) - 1}L) + shiftleft(63L - least(octet_length(w), 63), {_HASH})"
-    ranked = f"transform(transform(array_remove(split({line}, ' '), ''), w -> {code}), x -> x + CASE {levels} ELSE 0L END)" if levels else f"transform(array_remove(split({line}, ' '), ''), w -> {code})"
-    return f"sort_array(array_distinct({ranked}))"
+def _tokens(line: str, levels: list[int]) -> str:
+    """Sorted distinct token codes of a line: level, then hash."""
+    level = f"CAST(from_json('{json.dumps(levels, separators=(',', ':'))}', 'ARRAY<TINYINT>')[CAST(xxhash64(w) & {CELLS - 1} AS INT)] AS LONG)"
+    return f"sort_array(array_distinct(transform(array_remove(split({line}, ' '), ''), w -> shiftleft({level}, {_HASH}) | (xxhash64(w) & {(1 << _HASH) - 1}))))"
 
 
-def _mark(docs: DataFrame) -> Column:
-    """What tells texts of one doc_id apart: the text's hash if some doc_id repeats, else 0."""
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return (F.coalesce(F.xxhash64("text"), F.lit(0)) if twice else F.lit(0)).cast("long")
+#: Pairs of the prefix: the first n - ceil((n + ceil(4n/5)) / 3) + 1 of them. Smaller sets are similar to equal ones only.
+_KEYS = "IF(n < 4, null, transform(sequence(0, n - (n + (4 * n + 4) div 5 + 2) div 3), i -> xxhash64(toks[i], toks[i + 1]) & 0xFFFFFFFFFFFF))".replace("0xFFFFFFFFFFFF", str((1 << 48) - 1))
 
 
-_SPOT = ("doc_id", "mark", "line")
+def _identified(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with __id (null: the least number) and __mark (the text's hash if some id repeats, else 0), and whether some id repeats."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
+    twice = docs.select(own.alias("id")).groupBy("id").count().where("count > 1").limit(1).count() > 0
+    return docs.withColumns({"__id": own, "__mark": (F.coalesce(F.xxhash64("text"), F.lit(0)) if twice else F.lit(0)).cast("long")}), twice
 
 
-def _map(k: int) -> str:
-    """Word k of a set's 128-bit map."""
-    return f"aggregate(toks, 0L, (m, x) -> m | IF((x & 64) = {64 * k}, shiftleft(1L, CAST(x & 63 AS INT)), 0L))"
+def _postings(lines: DataFrame) -> DataFrame:
+    """key and v of each prefix pair."""
+    return lines.select("id", F.posexplode("keys").alias("at", "key")).selectExpr("key", f"id * {PLACE + 1} + least(at, {PLACE}) AS v")
 
 
-def _passes(x: str, y: str) -> Column:
-    """Length filter, positional filter, and the bit maps' bound: each differing token flips one bit at most."""
-    n = f"({x}.n + {y}.n)"
-    return F.expr(
-        f"5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n) AND 9 * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= 4 * {n} AND 9 * ({n} - bit_count({x}.m0 ^ {y}.m0) - bit_count({x}.m1 ^ {y}.m1)) >= 8 * {n}"
-    )
+def _shared(lines: DataFrame) -> DataFrame:
+    """Postings (key, v) of keys that more lines have, with the number of blocks their list is dealt out in."""
+    p = _postings(lines)
+    lists = cut(p.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.expr("bit_xor(v)").alias("x"), F.count("*").alias("m")).where("m > 1"))
+    few = lists.where("m <= 3").select("key", F.explode(F.expr("IF(m = 2, array(a, b), array(a, b, x ^ a ^ b))")).alias("v"), F.lit(1).cast("long").alias("blocks"))
+    many = p.join(lists.where("m > 3").selectExpr("key", f"m div {SPLIT} + 1 AS blocks"), "key")
+    out = cut(few.unionByName(many.select("key", "v", "blocks")))
+    discard(lists)
+    return out
 
 
-def _verified(pairs: DataFrame, base: DataFrame, frequent: list[list[int]]) -> DataFrame:
-    """The pairs (late, early) of line spots whose whole sets are similar: their distinct late ones."""
-    pairs = cut(pairs.distinct())
-    needed = pairs.select(F.explode(F.array("late", "early")).alias("id")).distinct()
-    wanted = needed.groupBy("id.doc_id", "id.mark").agg(F.collect_list("id.line").alias("wanted"))
-    whole = base.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    whole = whole.select("doc_id", "mark", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
-    release(base.sparkSession)
-    whole = cut(whole.select(F.struct(*_SPOT).alias("id"), F.expr(_tokens("all[line]", frequent)).alias("toks")))
-    release(base.sparkSession)
-    both = pairs.join(whole.select(F.col("id").alias("late"), F.col("toks").alias("x")), "late").join(whole.select(F.col("id").alias("early"), F.col("toks").alias("y")), "early")
-    return cut(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("late").distinct())
-
-
-def removals(docs: DataFrame, mark: Column) -> DataFrame:
-    """Per document with removed lines: doc_id, mark, removed array<int> (line numbers from 0)."""
-    spark = docs.sparkSession
-    base = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text")
-    frequent = _frequent(base)
-    lines = base.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    lines = lines.select(*_SPOT, F.expr(_tokens("words", frequent)).alias("toks")).where("size(toks) > 0")
-    wide = cut(
-        lines.selectExpr(
-            *_SPOT,
-            "size(toks) AS n",
-            "xxhash64(toks) AS k1",
-            "hash(toks) AS k2",
-            *[f"IF(size(toks) < 4, 0L, {_map(k)}) AS m{k}" for k in (0, 1)],
-            "slice(toks, 1, IF(size(toks) < 4, 0, size(toks) - (4 * size(toks) + 4) div 5 + 1)) AS prefix",
-        )
-    )
-    key = ["k1", "k2", "n"]
-    # Lines of one to three tokens are similar to equal sets only.
-    reps = cut(wide.where("n >= 4").groupBy(*key).agg(F.min(F.struct(*_SPOT, "m0", "m1", "prefix")).alias("x")).select("n", "x.*"))
-    lines = cut(wide.drop("m0", "m1", "prefix"))
-    discard(wide)
-    release(spark)
-    postings = lambda lines: lines.select(*_SPOT, "n", "m0", "m1", F.posexplode("prefix").alias("pos", "tok"))
-    index = postings(reps)
-    line = F.struct(*_SPOT, "n", "m0", "m1", "pos")
-    order = Window.partitionBy("tok").orderBy(*_SPOT)
-    near = index.select("tok", line.alias("x"), *_SPOT).select("x", F.lag("x").over(order).alias("before"), F.first("x").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("least"))
-    spot = lambda x: F.struct(*[F.col(f"{x}.{c}").alias(c) for c in _SPOT])
-    met = near.where("before IS NOT NULL").select("x", F.explode(F.array("before", "least")).alias("y")).where(_passes("x", "y"))
-    matched = _verified(met.select(spot("x").alias("late"), spot("y").alias("early")), base, frequent)
-    release(spark)
-    probes = postings(reps.join(matched.select("late.*"), list(_SPOT), "left_anti")).select("tok", line.alias("x"))
-    met = probes.join(index.select("tok", line.alias("y")), "tok").where(spot("y") < spot("x")).where(_passes("x", "y"))
-    late = matched.unionByName(_verified(met.select(spot("x").alias("late"), spot("y").alias("early")), base, frequent))
-    release(spark)
-    firsts = lines.groupBy(*key).agg(F.min(F.struct(*_SPOT)).alias("id"), F.count("*").alias("copies"))
-    classes = firsts.join(late.select(F.col("late").alias("id"), F.lit(True).alias("gone")), "id", "left").where("copies > 1 OR gone")
-    hit = lines.select(*key, *_SPOT).join(classes, key)
-    removed = hit.where((F.struct(*_SPOT) != F.col("id")) | F.coalesce("gone", F.lit(False)))
-    return cut(removed.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+def _candidates(met: DataFrame) -> DataFrame:
+    """x, y (line ids) and c of the pairs of postings (vx, vy) that pass the filters; c: their common prefix pairs among the rows of met."""
+    line, size, at = f"({{0}} div {PLACE + 1})", f"({{0}} div {PLACE + 1} % {SIZE + 1})", f"({{0}} % {PLACE + 1})"
+    met = met.selectExpr(line.format("vx") + " AS x", line.format("vy") + " AS y", at.format("vx") + " AS i", at.format("vy") + " AS j")
+    pairs = met.where(f"5 * least(x % {SIZE + 1}, y % {SIZE + 1}) >= 4 * greatest(x % {SIZE + 1}, y % {SIZE + 1})").groupBy("x", "y").agg(F.count("*").alias("c"), F.min("i").alias("i"), F.min("j").alias("j"))
+    pairs = pairs.selectExpr("*", f"x % {SIZE + 1} AS nx", f"y % {SIZE + 1} AS ny").selectExpr("*", "3 * ((4 * (nx + ny) + 8) div 9) - nx - ny - 1 AS least_common")
+    behind = "(n{0} + (4 * n{0} + 4) div 5 + 2) div 3 - 2"
+    fits = f"1 + least(nx - 2 - i, ny - 2 - j) >= least_common AND c + greatest({behind.format('x')}, {behind.format('y')}) >= least_common"
+    return pairs.where(f"greatest(nx, ny) >= {SIZE} OR {fits}").select("x", "y", "c")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, base: DataFrame) -> DataFrame:
+    """The distinct x of the pairs (x, y) of line ids whose token sets are similar, judged on the tokens themselves."""
+    pairs = cut(pairs.select("x", "y"))
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    wanted = reps.select("id", "__id", "__mark", "line").join(needed, "id").groupBy("__id", "__mark").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
+    split = base.join(wanted, ["__id", "__mark"]).select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
+    maps = [f"aggregate(codes, 0L, (m, x) -> m | IF((x & 192) = {64 * k}, shiftleft(1L, CAST(x & 63 AS INT)), 0L)) AS m{k}" for k in range(MAPS)]
+    sets = split.select("w.id", F.expr("array_distinct(array_remove(split(all[w.line], ' '), ''))").alias("toks")).selectExpr("id", "toks", "transform(toks, x -> xxhash64(x)) AS codes")
+    sets = cut(sets.selectExpr("id", "toks", "size(toks) AS n", *maps))
+    small = lambda side: sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *[f"m{k}" for k in range(MAPS)])])
+    differ = " + ".join(f"bit_count(x_m{k} ^ y_m{k})" for k in range(MAPS))
+    close = cut(pairs.join(small("x"), "x").join(small("y"), "y").where(f"9 * (x_n + y_n - ({differ})) >= 8 * (x_n + y_n)").select("x", "y"))
+    both = close.join(sets.select(F.col("id").alias("y"), F.col("toks").alias("ty")), "y").join(sets.select(F.col("id").alias("x"), F.col("toks").alias("tx")), "x")
+    out = cut(both.where("9 * size(array_intersect(tx, ty)) >= 4 * (size(tx) + size(ty))").select("x").distinct())
+    discard(pairs, sets, close)
+    return out
+
+
+def _similar_to_earlier(reps: DataFrame, base: DataFrame) -> list[DataFrame]:
+    """Tables of x: ids of the lines of reps that are similar to an earlier one."""
+    shared = _shared(reps)
+    order = Window.partitionBy("key", F.pmod(F.xxhash64("v"), "blocks")).orderBy("v")
+    near = shared.select("v", F.lag("v").over(order).alias("before"), F.first("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first")).where("before IS NOT NULL")
+    near = near.select(F.col("v").alias("vx"), F.explode(F.array_distinct(F.array("before", "first"))).alias("vy"))
+    best = _candidates(near).groupBy("x").agg(F.max_by("y", F.struct("c", -F.col("y"))).alias("y"))
+    matched = _verified(best, reps, base)
+    left = shared.select("key", F.col("v").alias("vx"), F.expr(f"v div {PLACE + 1}").alias("x"), F.pmod(F.xxhash64("v"), "blocks").alias("block")).join(matched, "x", "left_anti").drop("x")
+    every = shared.select("key", F.col("v").alias("vy"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    rest = _verified(_candidates(left.join(every, ["key", "block"]).where("vy < vx").select("vx", "vy")), reps, base)
+    discard(shared)
+    return [matched, rest]
+
+
+def removals(docs: DataFrame, twice: bool) -> DataFrame:
+    """Per document (__id, __mark) with removed lines: removed array<int> (line numbers from 0)."""
+    base = docs.where("text IS NOT NULL").select("__id", "__mark", "text")
+    base = base.dropDuplicates(["__id", "__mark"]) if twice else base
+    # In order of the documents, so that the numbers Spark gives to rows are in order of the lines.
+    lines = base.repartitionByRange("__id", "__mark").sortWithinPartitions("__id", "__mark").select("__id", "__mark", F.posexplode(F.split("text", "\n")).alias("line", "words")).where("ltrim(words) <> ''")
+    lines = lines.select("__id", "__mark", "line", F.monotonically_increasing_id().alias("place"), F.expr(_tokens("words", _levels(base))).alias("toks")).withColumn("n", F.size("toks"))
+    wide = cut(lines.selectExpr("__id", "__mark", "line", f"place * {SIZE + 1} + least(n, {SIZE}) AS id", "n", "xxhash64(toks) AS k1", "hash(toks) AS k2", f"{_KEYS} AS keys"))
+    dups = cut(wide.groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    spot = ("__id", "__mark", "line")
+    copies = cut(wide.join(dups, ["k1", "k2", "n"]).where("id <> first").select(*spot))
+    reps = cut(wide.where("keys IS NOT NULL").join(dups, ["k1", "k2", "n"], "left").where("first IS NULL OR id = first").select(*spot, "id", "keys"))
+    discard(wide, dups)
+    late = _similar_to_earlier(reps, base)
+    gone = copies
+    for x in late:
+        gone = gone.unionByName(reps.join(x.withColumnRenamed("x", "id"), "id").select(*spot))
+    out = cut(gone.groupBy("__id", "__mark").agg(F.sort_array(F.collect_set("line")).alias("__removed")))
+    discard(copies, reps, *late)
+    return out
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs with the removed lines taken out of text and n_chars, where there is one, set anew; every other column as it was."""
     names = docs.columns
-    mark = _mark(docs)
-    gone = removals(docs, mark).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"))
-    out = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": mark})
+    out, twice = _identified(docs)
     kept = "IF(__removed IS NULL, text, array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__removed, i)), '\\n'))"
-    out = out.join(gone, ["__id", "__mark"], "left").withColumn("text", F.expr(kept))
+    out = out.join(removals(out, twice), ["__id", "__mark"], "left").withColumn("text", F.expr(kept))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
@@ -141,13 +166,13 @@ def dedupe(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row of docs: its lines, how many are removed, and their numbers."""
-    mark = _mark(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("lines"))
-    return rows.join(removals(docs, mark), ["doc_id", "mark"], "left").select(
+    rows, twice = _identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    lines = rows.select("__id", "__mark", "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    return lines.join(removals(rows, twice), ["__id", "__mark"], "left").select(
         "doc_id",
-        F.col("lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
+        "n_lines",
+        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("__removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
     )
 
 
