@@ -1,14 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-Each host is represented by two reference pages (least and greatest id hash, so every page meets another
-one where there is one). A page's tree of block elements is aligned with each reference by simple tree
-matching; matched nodes of equal text are template, the other slots vary. The content root is the
-page's <article> (or <main>); where a site marks none, it is the smallest element that holds most of the
-varying text. Menus, footers, adverts, forms, reader comments and the like go wherever they are; inside
-the content root nothing else is dropped, so paragraphs that two pages share stay.
+1. Each host has a reference page (least id hash). Every page's tree of block elements is aligned with it by
+   simple tree matching; a page's matched nodes report the reference's node and a hash of their own text.
+2. The reports are counted over all pages of the host (partial sums before the shuffle). A node's text that at
+   least SUPPORT pages and half of the host's pages show is constant: template. All other text varies.
+3. The page is aligned once more: constant nodes drop out, varying slots are content. The content root is
+   found from the body down: into the one child that holds nearly all varying text outside links, as long as
+   no heading, no bare text and little other such text lie beside it; <article> and <main> only end the descent. Menus, footers,
+   adverts, forms, reader comments and blocks that are mostly links go wherever they are. Where nearly all
+   text of a page is constant (copies of one page), its text counts as varying.
 
 Text: character references decoded, white space inside a block one space, blocks in page order one per
-line; <br> is white space.
+line; <br> is white space. Elements nested deeper than DEPTH lie flat in their ancestor, so no text is lost.
+Child lists whose matching would take more than CELLS comparisons after their equal ends are matched in
+order of their labels only.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; broken nesting
 is closed at the next matching end tag; repeated rows are extracted one by one; an empty table gives no
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg")}
@@ -34,6 +40,9 @@ _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NOISE = frozenset("head nav footer aside form dialog menu button select option textarea script style noscript template iframe svg title object canvas audio video".split())
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LISTS = frozenset("ul ol dl table div section p".split())
+_HOLDERS = frozenset("html body div section article main td tr tbody table center".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _NOISE_NAME = re.compile(
@@ -43,6 +52,17 @@ _NOISE_NAME = re.compile(
 )
 
 
+DEPTH = 200
+CELLS = 200_000
+SUPPORT = 3
+#: Pages of a host that a task takes: larger hosts are dealt out.
+SPLIT = 500
+
+
+class Link(str):
+    """Text inside a link."""
+
+
 class Node:
     __slots__ = ("tag", "name", "children", "noise")
 
@@ -53,36 +73,46 @@ class Node:
 def parse(page: str) -> Node:
     """Tree of block elements; inline elements leave only their text unless they are noise."""
     root = Node("#root", "", False)
-    stack, at = [root], 0
+    stack, at, links = [("#root", root)], 0, 0
+
+    def say(text: str) -> None:
+        stack[-1][1].children.append(Link(text) if links else text)
 
     def close(tags: set[str] | frozenset[str], stop: tuple[str, ...] = ("table", "ul", "ol", "dl", "article", "div", "section", "body", "select")) -> None:
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
+            if stack[k][0] in tags:
+                leave(k)
                 return
-            if stack[k].tag in stop:
+            if stack[k][0] in stop:
                 return
 
+    def leave(k: int) -> None:
+        if stack[k][1] is stack[k - 1][1]:
+            stack[k][1].children.append(None)
+        del stack[k:]
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
+            say(page[at : m.start()])
         at = m.end()
         if m[1] is not None:
-            stack[-1].children.append(entities.escape(m[1], False))
+            say(entities.escape(m[1], False))
             continue
         if m[3] is None:
             continue
         tag, attrs = m[3].lower(), m[4]
+        if tag == "a":
+            links = 0 if m[2] else 1
         if m[2]:
-            if tag in ("br", "p") and not any(x.tag == tag for x in stack):
-                stack[-1].children.append(" " if tag == "br" else None)
+            if tag in ("br", "p") and not any(x[0] == tag for x in stack):
+                stack[-1][1].children.append(" " if tag == "br" else None)
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
+                if stack[k][0] == tag:
+                    leave(k)
                     break
             continue
         if tag in _VOID:
-            stack[-1].children.append(None if tag == "hr" else " " if tag == "br" else "")
+            stack[-1][1].children.append(None if tag == "hr" else " " if tag == "br" else "")
             continue
         if tag in _RAW and not attrs.rstrip().endswith("/"):
             end = _RAW[tag].search(page, at)
@@ -99,16 +129,20 @@ def parse(page: str) -> Node:
             close(_SELF_CLOSING[tag], ("table", "ul", "ol", "dl", "select"))
         if attrs.rstrip().endswith("/") and tag not in ("p", "div"):
             continue
+        if len(stack) > DEPTH and (not noise or stack[-1][1].noise):
+            stack[-1][1].children.append(None)
+            stack.append((tag, stack[-1][1]))
+            continue
         node = Node(tag, " ".join(v for k, v in sorted(found.items())), noise)
-        stack[-1].children.append(node)
-        stack.append(node)
+        stack[-1][1].children.append(node)
+        stack.append((tag, node))
     if at < len(page):
-        stack[-1].children.append(page[at:])
+        say(page[at:])
     return root
 
 
-def blocks(node: Node, keep: set[int] | None = None) -> list[str]:
-    """Texts of the blocks below node; keep: only blocks that lie in these nodes (by identity)."""
+def blocks(node: Node, skip: set[int] = frozenset()) -> list[str]:
+    """Texts of the blocks below node; skip: nodes (by identity) whose own text is left out."""
     out: list[str] = []
     run: list[str] = []
 
@@ -119,7 +153,7 @@ def blocks(node: Node, keep: set[int] | None = None) -> list[str]:
             out.append(text)
 
     def walk(x: Node) -> None:
-        on = keep is None or id(x) in keep
+        on = id(x) not in skip
         for c in x.children:
             if c is None:
                 flush()
@@ -139,119 +173,163 @@ def blocks(node: Node, keep: set[int] | None = None) -> list[str]:
     return out
 
 
+def _kids(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node) and not c.noise]
+
+
 def _tree(node: Node) -> tuple[tuple, list[Node]]:
-    """Signature (label, children...) of the element tree and its nodes in preorder; noise is left out."""
+    """Signature (label, size, children...) of the element tree and its nodes in preorder; noise is left out."""
     nodes = [node]
     kids = []
-    for c in node.children:
-        if isinstance(c, Node) and not c.noise:
-            sig, own = _tree(c)
-            kids.append(sig)
-            nodes += own
-    return ((node.tag, node.name), tuple(kids)), nodes
-
-
-def _count(sig: tuple) -> int:
-    return 1 + sum(_count(k) for k in sig[1])
+    for c in _kids(node):
+        sig, own = _tree(c)
+        kids.append(sig)
+        nodes += own
+    return ((node.tag, node.name), len(nodes), tuple(kids)), nodes
 
 
-@lru_cache(maxsize=4096)
-def tree_match(a: tuple, b: tuple) -> tuple[tuple[int, int], ...]:
+def tree_match(a: tuple, b: tuple, memo: dict | None = None) -> list[tuple[int, int]]:
     """Simple tree matching: pairs of preorder numbers of a largest order-keeping, parent-keeping match of two signatures."""
+    memo = {} if memo is None else memo
     if a[0] != b[0]:
-        return ()
+        return []
     if a == b:
-        return tuple((i, i) for i in range(_count(a)))
-    x, y = a[1], b[1]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        for j in range(len(y)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + len(tree_match(x[i], y[j])))
-    pairs, i, j = [(0, 0)], len(x), len(y)
+        return [(i, i) for i in range(a[1])]
+    key = (id(a), id(b))
+    if key in memo:
+        return memo[key]
+    x, y = a[2], b[2]
     at_x, at_y = [1], [1]
     for k in x:
-        at_x.append(at_x[-1] + _count(k))
+        at_x.append(at_x[-1] + k[1])
     for k in y:
-        at_y.append(at_y[-1] + _count(k))
-    while i and j:
-        own = tree_match(x[i - 1], y[j - 1])
-        if own and best[i][j] == best[i - 1][j - 1] + len(own):
-            pairs += [(at_x[i - 1] + p, at_y[j - 1] + q) for p, q in own]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return tuple(pairs)
+        at_y.append(at_y[-1] + k[1])
+    low, m, n = 0, len(x), len(y)
+    while low < min(m, n) and x[low] == y[low]:
+        low += 1
+    while m > low and n > low and x[m - 1] == y[n - 1]:
+        m, n = m - 1, n - 1
+    joined = [(i, i) for i in range(low)] + [(m + i, n + i) for i in range(len(x) - m)]
+    if (m - low) * (n - low) > CELLS:
+        i = j = low
+        while i < m and j < n:
+            if x[i][0] == y[j][0]:
+                joined.append((i, j))
+                i, j = i + 1, j + 1
+            elif m - i > n - j:
+                i += 1
+            else:
+                j += 1
+    elif m > low and n > low:
+        best = [[0] * (n - low + 1) for _ in range(m - low + 1)]
+        for i in range(m - low):
+            for j in range(n - low):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + len(tree_match(x[low + i], y[low + j], memo)))
+        i, j = m - low, n - low
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                joined.append((low + i, low + j))
+    pairs = [(0, 0)]
+    for i, j in joined:
+        pairs += [(at_x[i] + p, at_y[j] + q) for p, q in tree_match(x[i], y[j], memo)]
+    memo[key] = pairs
+    return pairs
 
 
 def _own_text(node: Node) -> str:
     return " ".join("".join(c for c in node.children if isinstance(c, str)).split())
 
 
-@lru_cache(maxsize=512)
-def _reference(page: str) -> tuple[tuple, list[str]]:
-    sig, nodes = _tree(parse(page))
-    return sig, [_own_text(n) for n in nodes]
+@lru_cache(maxsize=64)
+def _reference(page: str) -> tuple:
+    return _tree(parse(page))[0]
 
 
-def _marked(node: Node) -> list[Node]:
-    """Outermost article elements outside noise, or else main elements."""
-    for fits in (lambda n: n.tag == "article" or "articleBody" in n.name.split(), lambda n: n.tag == "main" or "main" in n.name.split()):
-        found, todo = [], [node]
-        while todo:
-            n = todo.pop(0)
-            if n.noise:
-                continue
-            if fits(n):
-                found.append(n)
-            else:
-                todo[:0] = [c for c in n.children if isinstance(c, Node)]
-        if found:
-            return found
-    return []
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def main_text(page: str | None, references: tuple[str, ...] = ()) -> str:
-    """The text of a page, with other pages of its host as references."""
-    root = parse(page or "")
-    marked = _marked(root)
-    if marked:
-        return "\n".join(t for n in marked for t in blocks(n))
-    sig, nodes = _tree(root)
+def slots(page: str | None, reference: str | None) -> list[tuple[int, int]]:
+    """(reference's node, hash of the page's own text there) of matched nodes that hold text."""
+    sig, nodes = _tree(parse(page or ""))
     texts = [_own_text(n) for n in nodes]
-    constant: set[int] = set()
-    for other in references:
-        ref, known = _reference(other)
-        if other != page:
-            constant |= {i for i, j in tree_match(sig, ref) if texts[i] == known[j]}
-    varying = [i for i, t in enumerate(texts) if t and i not in constant and nodes[i].tag != "header"]
-    if not varying:
-        varying = [i for i, t in enumerate(texts) if t and nodes[i].tag != "header"]
-    size = {id(nodes[i]): len(texts[i]) for i in varying}
+    return [(j, _hash(texts[i])) for i, j in tree_match(sig, _reference(reference or "")) if texts[i]]
 
-    def weigh(n: Node) -> int:
-        return size.get(id(n), 0) + sum(weigh(c) for c in n.children if isinstance(c, Node) and not c.noise)
 
-    top, total = root, weigh(root)
-    while inner := next((c for c in top.children if isinstance(c, Node) and not c.noise and total and weigh(c) >= 0.6 * total and any(isinstance(g, Node) for g in c.children)), None):
-        top = inner
-    return "\n".join(blocks(top, {id(nodes[i]) for i in varying}))
+def main_text(page: str | None, reference: str | None = None, template: set[tuple[int, int]] = frozenset()) -> str:
+    """The text of a page; template: slots of the reference that are constant over the host."""
+    root = parse(page or "")
+    sig, nodes = _tree(root)
+    texts = [_own_text(n) for n in nodes]
+    constant = {i for i, j in tree_match(sig, _reference(reference)) if (j, _hash(texts[i])) in template} if template else set()
+    if sum(len(texts[i]) for i in constant) >= 0.9 * sum(map(len, texts)):
+        constant = set()
+    plain: dict[int, int] = {}  # varying text outside links, of whole subtrees
+    bare: dict[int, int] = {}  # the same of nodes themselves
+    linked: dict[int, int] = {}
+    heads: dict[int, bool] = {}
+    for i in range(len(nodes) - 1, -1, -1):
+        n = nodes[i]
+        own = 0 if i in constant else sum(len(c.strip()) for c in n.children if isinstance(c, str) and not isinstance(c, Link))
+        bare[id(n)] = own
+        plain[id(n)] = own + sum(plain[id(c)] for c in _kids(n))
+        linked[id(n)] = sum(len(c.strip()) for c in n.children if isinstance(c, Link)) + sum(linked[id(c)] for c in _kids(n))
+        heads[id(n)] = n.tag in _HEADS and bool(texts[i]) and i not in constant or any(heads[id(c)] for c in _kids(n))
+    inside = {"article", "main"}
+    within: set[int] = set()
+    for n in nodes:  # outside an article, headers and what is mostly links go
+        for c in _kids(n):
+            if id(n) in within or n.tag in inside:
+                within.add(id(c))
+            c.noise = id(c) not in within and (c.tag == "header" or c.tag in _LISTS and linked[id(c)] > plain[id(c)])
+    top, total = root, plain[id(root)]
+    while top.tag not in inside:
+        kids = _kids(top)
+        heavy = max(kids, key=lambda c: plain[id(c)], default=None)
+        if heavy is None or bare[id(top)] or heavy.tag not in _HOLDERS or plain[id(heavy)] < 0.8 * total:
+            break
+        if heavy.tag not in inside and any(heads[id(c)] for c in kids if c is not heavy):
+            break
+        top = heavy
+    return "\n".join(blocks(top, {id(nodes[i]) for i in constant}))
+
+
+def _host(url: str) -> F.Column:
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    p = p.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit("")))
-    mark = F.xxhash64("page_id")
-    refs = p.where("html IS NOT NULL").groupBy("host").agg(F.min_by("html", mark).alias("low"), F.max_by("html", mark).alias("high"))
-    both = p.join(refs, "host", "left").select("page_id", "url", "html", "low", "high")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", _host("url"))
+    hosts = cut(p.where("html IS NOT NULL").groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("page_id"), F.xxhash64("html"))).alias("reference"), F.count("*").alias("pages")))
+    many = hosts.where(F.col("pages") > SPLIT).select("host", F.expr(f"pages div {SPLIT} + 1").alias("parts"))
+    p = p.join(many, "host", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "html"), "parts"))).drop("parts")
+    spread = lambda df: df.withColumn("part", F.explode(F.expr(f"sequence(0L, IF(pages > {SPLIT}, pages div {SPLIT}, 0))")))
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                got = [(h, j, t) for h, html, ref in zip(*(c.to_pylist() for c in part.columns)) for j, t in slots(html, ref)]
+                c = list(zip(*got)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64())], ["host", "node", "own"])
+
+    several = spread(hosts.where(F.col("pages") >= SUPPORT)).select("host", "part", "reference")
+    seen = p.where("html IS NOT NULL").join(several, ["host", "part"]).select("host", "html", "reference").mapInArrow(report, "host string, node int, own long")
+    shown = seen.groupBy("host", "node", "own").agg(F.count("*").alias("n")).join(hosts.select("host", "pages"), "host").where(f"n >= {SUPPORT} AND 2 * n >= pages")
+    wrappers = cut(shown.groupBy("host").agg(F.collect_list(F.struct("node", "own")).alias("template")))  # two texts of a node at most
+    both = p.join(spread(hosts.join(wrappers, "host")).select("host", "part", "reference", "template"), ["host", "part"], "left").select("page_id", "url", "html", "reference", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [main_text(h.as_py(), tuple(dict.fromkeys(r for r in (a.as_py(), b.as_py()) if r))) for h, a, b in zip(part.column(2), part.column(3), part.column(4))]
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = [main_text(h.as_py(), r.as_py(), {(x["node"], x["own"]) for x in t.as_py() or ()}) for h, r, t in zip(part.column(2), part.column(3), part.column(4))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")
