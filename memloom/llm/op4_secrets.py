@@ -26,6 +26,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 WINDOW = 20
+CHUNK = 256
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Least entropy of a window, in thousandths of a bit per character: lower-case hexadecimal strings, and all others.
@@ -51,28 +52,41 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+_SPAN = "array<struct<s:bigint,e:bigint,w:string>>"
+
+
 def _found(pattern: str) -> str:
-    """array<struct<s, e, w>>: every match's start, end and text."""
+    """array<struct<s, e, w>>: every match's start, end and text.
+
+    Matches are bound once, and so are the pieces between them. Lengths are summed in chunks of CHUNK matches, so that many
+    matches copy no long array each.
+    """
     q = _quoted(pattern)
-    return (
-        f"CASE WHEN t RLIKE {q} THEN aggregate(zip_with(regexp_extract_all(t, {q}, 0), slice(split(t, {q}, -1), 1, size(regexp_extract_all(t, {q}, 0))), (m, p) -> struct(length(p) AS gap, m AS w)), "
-        "named_struct('at', 0L, 'out', CAST(array() AS array<struct<s:bigint,e:bigint,w:string>>)), "
-        "(a, x) -> named_struct('at', a.at + x.gap + length(x.w), 'out', array_append(a.out, named_struct('s', a.at + x.gap, 'e', a.at + x.gap + length(x.w), 'w', x.w))), a -> a.out) "
-        "ELSE CAST(array() AS array<struct<s:bigint,e:bigint,w:string>>) END"
+    walk = (
+        "aggregate({part}, named_struct('at', {at}, 'out', CAST(array() AS " + _SPAN + ")), "
+        "(a, x) -> named_struct('at', a.at + x.gap + length(x.w), 'out', array_append(a.out, named_struct('s', a.at + x.gap, 'e', a.at + x.gap + length(x.w), 'w', x.w))))"
     )
+    chunks = f"transform(sequence(1, size(z), {CHUNK}), k -> slice(z, k, {CHUNK}))"
+    joined = f"aggregate({chunks}, named_struct('at', 0L, 'out', CAST(array() AS array<{_SPAN}>)), (b, c) -> transform(array({walk.format(part='c', at='b.at')}), y -> named_struct('at', y.at, 'out', array_append(b.out, y.out)))[0], b -> flatten(b.out))"
+    pairs = f"transform(array(regexp_extract_all(t, {q}, 0)), m -> zip_with(m, slice(split(t, {q}, -1), 1, size(m)), (w, g) -> struct(length(g) AS gap, w AS w)))"
+    return f"CASE WHEN t RLIKE {q} THEN transform({pairs}, z -> {joined})[0] ELSE CAST(array() AS {_SPAN}) END"
 
 
 def _least_sum() -> str:
-    """Of candidate x.w: the least sum of c*log2(c) over its windows, by incremental counts."""
+    """Of candidate x.w: the least sum of c*log2(c) over its windows, by incremental counts.
+
+    The candidate becomes an array of character codes once, so each step looks up one code that enters and one that leaves.
+    """
     bits = "array(" + ",".join(map(str, _BITS)) + ")"
-    come, go = f"locate(substring(x.w, i, 1), '{ALPHABET}')", f"locate(substring(x.w, i - {WINDOW}, 1), '{ALPHABET}')"
-    more = f"{bits}[b.n[{come} - 1] + 1] - {bits}[b.n[{come} - 1]]"
-    less = f"{bits}[b.n[{go} - 1] - 1] - {bits}[b.n[{go} - 1]]"
-    total = f"b.sum + CASE WHEN i <= {WINDOW} THEN {more} WHEN {come} = {go} THEN 0 ELSE {more} + {less} END"
-    counts = f"transform(b.n, (c, k) -> c + IF(k + 1 = {come}, 1, 0) - IF(i > {WINDOW} AND k + 1 = {go}, 1, 0))"
+    come, go = "v[i]", f"v[i - {WINDOW}]"
+    more = f"{bits}[b.n[{come}] + 1] - {bits}[b.n[{come}]]"
+    less = f"{bits}[b.n[{go}] - 1] - {bits}[b.n[{go}]]"
+    total = f"b.sum + CASE WHEN i < {WINDOW} THEN {more} WHEN {come} = {go} THEN 0 ELSE {more} + {less} END"
+    counts = f"CASE WHEN i >= {WINDOW} AND {come} = {go} THEN b.n ELSE transform(b.n, (c, k) -> c + IF(k = {come}, 1, 0) - IF(i >= {WINDOW} AND k = {go}, 1, 0)) END"
     start = f"named_struct('n', array_repeat(0, {len(ALPHABET)}), 'sum', 0, 'best', 1000000)"
-    step = f"(b, i) -> named_struct('n', {counts}, 'sum', {total}, 'best', IF(i >= {WINDOW}, least(b.best, {total}), b.best))"
-    return f"aggregate(sequence(1, length(x.w)), {start}, {step}, b -> b.best)"
+    step = f"(b, i) -> named_struct('n', {counts}, 'sum', {total}, 'best', IF(i >= {WINDOW - 1}, least(b.best, {total}), b.best))"
+    codes = f"transform(filter(split(x.w, ''), c -> c <> ''), c -> locate(c, '{ALPHABET}') - 1)"
+    return f"transform(array({codes}), v -> aggregate(sequence(0, size(v) - 1), {start}, {step}, b -> b.best))[0]"
 
 
 def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
