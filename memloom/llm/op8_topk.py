@@ -10,7 +10,7 @@ The tiles' best are merged by query.
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors meet
 only those of their own length; rows of the query's own vec_id are no candidates; a repeated query row
 answers once; ties go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
-Scores must fit 64 bits.
+Scores must fit 64 bits, the least number excepted.
 """
 
 from __future__ import annotations
@@ -39,13 +39,13 @@ def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row, the k best columns by score, then id; with rows of ids or one row for all."""
     ids = np.broadcast_to(ids, scores.shape)
-    order = np.lexsort((ids, -scores), axis=-1)[:, :k]
+    order = np.lexsort((ids, ~scores), axis=-1)[:, :k]
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
 def threshold_topk(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Scores and ids (-1: none) of each query's k best among vectors, and the share of pairs that were scored."""
-    n, worst = len(ids), np.iinfo(np.int64).min // 2
+    n, worst = len(ids), np.iinfo(np.int64).min
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     exact = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1]) * n < 2**52
@@ -73,13 +73,21 @@ def threshold_topk(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray,
                 s = q[part] @ v[cols].T
                 scored += s.size
                 lo, hi = np.searchsorted(ids[cols], query_ids[part]), np.searchsorted(ids[cols], query_ids[part], side="right")
-                key = s * len(cols) - np.arange(len(cols), dtype=kind)  # ties: columns are in order of ids
-                for r in np.flatnonzero(hi > lo):
-                    key[r, lo[r] : hi[r]] = worst
+                own = [(r, slice(lo[r], hi[r])) for r in np.flatnonzero(hi > lo)]
                 top = min(k, len(cols))
-                pick = np.argpartition(-key, top - 1, axis=1)[:, :top]
+                if exact:  # ties: columns are in order of ids
+                    key = s * len(cols) - np.arange(len(cols), dtype=kind)
+                    for r, at_own in own:
+                        key[r, at_own] = -np.inf
+                    pick = np.argpartition(-key, top - 1, axis=1)[:, :top]
+                else:  # score and place together would not fit 64 bits
+                    for r, at_own in own:
+                        s[r, at_own] = worst
+                    pick = np.argsort(~s, axis=1, kind="stable")[:, :top]
                 own_s = np.take_along_axis(s, pick, 1).astype(np.int64)
-                none = np.take_along_axis(key, pick, 1) == worst
+                none = np.zeros(pick.shape, bool)
+                for r, at_own in own:
+                    none[r] = (pick[r] >= at_own.start) & (pick[r] < at_own.stop)
                 own_s[none] = worst
                 own_i = np.where(none, -1, ids[cols][pick])
                 got_s[part], got_i[part] = _best(np.concatenate([got_s[part], own_s], 1), np.concatenate([got_i[part], own_i], 1), k)
@@ -102,7 +110,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK,
             return pd.DataFrame({"query_id": [], "mark": [], "vec_id": [], "score": []}).astype("int64")
         width = len(cand["v"].iloc[0])
         s, i, _ = threshold_topk(cand["vec_id"].to_numpy(), np.stack(cand["v"].to_list()).reshape(-1, width), asked["vec_id"].to_numpy(), np.stack(asked["v"].to_list()).reshape(-1, width), k)
-        keep = i >= 0 if (cand["vec_id"] >= 0).all() else s > np.iinfo(np.int64).min // 2
+        keep = i >= 0 if (cand["vec_id"] >= 0).all() else s > np.iinfo(np.int64).min
         rows = np.nonzero(keep)[0]
         return pd.DataFrame({"query_id": asked["vec_id"].to_numpy()[rows], "mark": asked["mark"].to_numpy()[rows], "vec_id": i[keep], "score": s[keep]})
 
