@@ -15,8 +15,8 @@ meet wherever they are. Runs of windows with one anchor form a span.
    windows are dealt out one by one, by the hash of their content.
 
 Defined results: null text counts as empty; texts shorter than LENGTH lose nothing; repeated rows (same
-doc_id and text) are one document and alike; different texts of one doc_id are ordered by their hash; an
-empty table gives no rows; other columns are ignored.
+doc_id and text) are one document and alike; different texts of one doc_id are ordered by their hash; a null
+doc_id counts as the least one and stays null in the result; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, discard, table
 
 LENGTH, GRAM = 100, 20
 STARTS = LENGTH - GRAM + 1
@@ -43,6 +43,7 @@ _PLACE = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = np.uint64
+_LEAST = -(1 << 63)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -145,6 +146,8 @@ def sort_block(spans: list[tuple[int, bytes, int, int]]) -> list[tuple[int, int,
 
     Returns (span, first, last) of the runs of windows that an earlier span of the same bucket also holds.
     """
+    if any(len(b) != windows + LENGTH - 1 for _, b, _, windows in spans):
+        raise ValueError("a span holds exactly the bytes of its windows")
     m, left = len(spans), STARTS - 1
     width = left + LENGTH
     grid = np.zeros((m, width + 16), np.uint8)
@@ -247,8 +250,8 @@ def _dealt_windows(spans: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (0 unless some doc_id repeats: then the text's hash) and the text's bytes."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id (null: the least number), mark (0 unless some doc_id repeats: then the text's hash) and the text's bytes."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     twice = ids.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return ids.select("doc_id", (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("mark"), F.col("text").cast("binary").alias("text"))
 
@@ -275,11 +278,11 @@ def _with_bytes(texts: DataFrame, left: DataFrame) -> DataFrame:
 
 def removals(texts: DataFrame) -> DataFrame:
     """Runs of repeated windows of texts (doc_id, mark, text), by their first and last starts."""
-    spark = texts.sparkSession
     repeats, left = _first_pass(texts)
     filled = cut(_with_bytes(texts, left).distinct())
     runs = _sorted_buckets(filled.where(F.col("size") <= HOT)).unionByName(_dealt_windows(filled.where(F.col("size") > HOT)))
     runs = cut(repeats.unionByName(runs).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs")))
+    discard(left, filled)
     return runs
 
 
@@ -304,7 +307,7 @@ def dedupe(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
                     at = max(at, end)
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                rows.append((doc, len(text), len(text) - len(rest), spans, hashlib.sha256(rest).hexdigest(), rest if keep_bytes else None))
+                rows.append((None if doc == _LEAST else doc, len(text), len(text) - len(rest), spans, hashlib.sha256(rest).hexdigest(), rest if keep_bytes else None))
             c = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.string()), pa.array(c[5], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -63,7 +65,8 @@ def test_sorted_block_finds_equal_windows(texts):
     for t in texts:
         b = t.encode()
         if len(b) >= op.LENGTH + lead:
-            spans.append((1, b, lead, min(lead + 1, len(b) - op.LENGTH + 1)))
+            windows = min(lead + 1, len(b) - op.LENGTH + 1)
+            spans.append((1, b[: windows + op.LENGTH - 1], lead, windows))
     got = {(r, k) for r, a, b in op.sort_block(spans) for k in range(a, b + 1)}
     want = {(r, k) for r, (_, b, _, n) in enumerate(spans) for k in range(n) if any(k < m and c[k : k + op.LENGTH] == b[k : k + op.LENGTH] for _, c, _, m in spans[:r])}
     assert got == want
@@ -76,3 +79,16 @@ def test_odd_rows(spark, odd, none):
     by = {(r.doc_id, r.n_bytes): r for r in rows}
     assert by[4, 0].n_removed == 0 and by[4, 0].kept_sha256 == hashlib.sha256(b"").hexdigest()
     assert next(r for r in rows if r.doc_id == 2).n_removed == next(r for r in rows if r.doc_id == 1).n_bytes
+
+
+def test_null_and_large_ids(spark):
+    """A null id counts as the least; ids above 2^53 stay apart."""
+    t, u = "".join(f"word {i} " for i in range(40)), "".join(f"other {i} " for i in range(40))
+    rows = spark.createDataFrame([(5, t), (None, t), (2**60 + 1, u), (2**60, u)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in op.dedupe(rows).collect()}
+    assert got == {None: (len(t), 0), 5: (len(t), len(t)), 2**60: (len(u), 0), 2**60 + 1: (len(u), len(u))}
+
+
+def test_a_span_must_hold_its_windows_only():
+    with pytest.raises(ValueError):
+        op.sort_block([(1, b"a" * 120, 5, 3)])
