@@ -13,7 +13,8 @@ join nodes into classes.
 Defined results: null, empty and wordless texts form one class, that of the empty word sequence, and are
 linked to nothing; texts shorter than k words are one shingle; repeated rows
 share a class; n_links counts the verified links of a word sequence (pairs that earlier links already put in
-one class aren't compared, so it isn't the number of its near-duplicates); an empty table gives no rows; other columns are ignored (classes) or kept (deduplicate).
+one class aren't compared, so it isn't the number of its near-duplicates); a null doc_id counts as the least one
+(and is returned as null); an empty table gives no rows; other columns are ignored (classes) or kept (deduplicate).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -34,6 +35,7 @@ from .graph import components
 
 K, L, SKETCHES = 5, 2, 12
 BLOCK = 256
+_LEAST = -(1 << 63)
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ODD = np.array([int(x) | 1 for x in np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, SKETCHES + K + 2)], np.uint64)
@@ -149,6 +151,11 @@ def _slices(batch: pa.RecordBatch, columns: tuple[int, ...], limit: int = 8 << 2
         at = end
 
 
+def _id() -> Column:
+    """doc_id, a null as the least number."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id")
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), node (two hashes of the word sequence), n shingles, sketches."""
 
@@ -176,7 +183,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                     ["doc_id", "mark", "k1", "k2", "n", "sketch"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(_id(), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, mark long, k1 long, k2 long, n long, sketch array<long>")
 
 
@@ -307,7 +314,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leader = cut(member.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a", "size"))
     pairs = cut(member.join(leader.select("key", "a"), "key").where("a < id").select("a", F.col("id").alias("b")).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", "id.doc_id", "id.mark")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").join(needed, ["doc_id", "mark"]).select("id", "text")
+    texts = docs.select(_id(), F.xxhash64("text").alias("mark"), "text").join(needed, ["doc_id", "mark"]).select("id", "text")
     texts = cut(texts.dropDuplicates(["id"]))
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     first = cut(_verified(both.select(F.struct("a", "b").alias("pair"), "ta", "tb")).select("pair.a", "pair.b"))
@@ -320,10 +327,10 @@ def classes(docs: DataFrame) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     label = cut(components(links).join(degree, "id").select("id.k1", "id.k2", "label", "n_links"))
     own = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("own"))
-    known = own.join(label, ["k1", "k2"], "left").select("k1", "k2", "own", F.coalesce(F.struct("label.doc_id", "label.mark"), "own").alias("top"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    known = known.withColumn("top", F.when(F.col("top.doc_id").isNull() & F.col("own.doc_id").isNotNull(), F.col("own")).otherwise(F.col("top")))
+    known = own.join(label, ["k1", "k2"], "left").select("k1", "k2", "own", F.when(F.col("label").isNull(), F.col("own")).otherwise(F.struct("label.doc_id", "label.mark")).alias("top"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    back = lambda c: F.when(F.col(c) != _LEAST, F.col(c))
     return rows.select("doc_id", "mark", "k1", "k2").join(known, ["k1", "k2"]).select(
-        "doc_id", "mark", F.col("top.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), F.struct("doc_id", "mark").eqNullSafe(F.struct("top.doc_id", "top.mark")).alias("first")
+        back("doc_id").alias("doc_id"), "mark", back("top.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), (F.struct("doc_id", "mark") == F.struct("top.doc_id", "top.mark")).alias("first")
     )
 
 

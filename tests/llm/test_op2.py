@@ -111,3 +111,12 @@ def test_near_copies_inside_one_template(spark):
     assert [(i, j) for j in range(len(texts)) for i in range(j) if op.similar(grams[i], grams[j])] == [(k, 59 + k) for k in range(1, 60)]
     got = {r.doc_id: (r.class_id, r.n_links) for r in op.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
     assert [got[i] for i in range(len(texts))] == [(0, 0)] + [(k, 1) for k in range(1, 60)] * 2
+
+
+def test_null_ids_keep_their_links(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = [*base[:100], "new", *base[101:]]
+    rows = [(None, " ".join(base)), (4, " ".join(near)), (5, "something else entirely in here")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in op.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: (None, 1), 4: (None, 1), 5: (5, 0)}
+    assert {r.doc_id for r in op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {None, 5}
