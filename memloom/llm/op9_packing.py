@@ -31,7 +31,7 @@ from .common import table
 END = 2
 LENGTH = 4096
 #: Distinct pieces whose ids a worker remembers; beyond it the memory starts anew (ids stay the same).
-MEMORY = 1_500_000
+MEMORY = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -144,7 +144,7 @@ class Packer:
     def add(self, doc: object, n: int, loss_of: Callable[[int, int], int]) -> None:
         """loss_of(start, length): the loss-bearing tokens of that part of the document."""
         start, full = 0, self.limits[0]
-        while n - start >= full and loss_of(start, full) <= self.limits[2]:
+        while n - start >= full and loss_of(start, full) <= self.limits[2]:  # full sequences of this document alone
             b = self.new()
             self.put(b, doc, start, full, loss_of(start, full))
             self.emit(b)
@@ -186,13 +186,17 @@ class Packer:
             room = min(self.limits[0], 1 << (left.bit_length() - 1))
             b = self.new()
             b.room = room
-            while b.room and b.segments:
+            while b.room and b.segments and queue:
                 doc, start, n, loss = queue.pop()
                 take = min(n, b.room)
-                part = loss * take // n
-                self.put(b, doc, start, take, part)
+                if loss:  # every token of a piece bears loss, or none does
+                    take = min(take, b.loss)
+                if not take:
+                    queue.append((doc, start, n, loss))
+                    break
+                self.put(b, doc, start, take, take if loss else 0)
                 if take < n:
-                    queue.append((doc, start + take, n - take, loss - part))
+                    queue.append((doc, start + take, n - take, n - take if loss else 0))
             left -= room - b.room
             self.emit(b)
 
@@ -204,10 +208,13 @@ def pack(
     max_segments: int = 1024,
     max_loss: int = LENGTH,
     open_bins: int = 32,
+    bears_loss: str | None = None,
 ) -> DataFrame:
-    """Rows of docs (doc_id, text) as pieces of sequences: SCHEMA. Every token of a document bears loss here.
+    """Rows of docs (doc_id, text) as pieces of sequences: SCHEMA.
 
-    Sequences of one partition carry the partition's number in the upper bits of sequence_id. loss_tokens
+    bears_loss: a boolean column that tells whether a row's tokens bear loss (null: no); without one all do.
+    In instruction data a row is a turn, and only the assistant's turns bear loss: see pack_turns. A sequence that a
+    limit closes early keeps the rest of its length as padding. Sequences of one partition carry the partition's number in the upper bits of sequence_id. loss_tokens
     is the piece's share of the sequence's loss limit.
     """
 
@@ -232,14 +239,21 @@ def pack(
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                for doc_id, ids in zip(part.column(0).to_pylist(), ids_of([t or b"" for t in part.column(1).to_pylist()])):
+                for doc_id, loss, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), ids_of([t or b"" for t in part.column(1).to_pylist()])):
                     ids = np.concatenate([ids, tail]).astype("<u4")
-                    packer.add((doc_id, ids), len(ids), lambda _, n: n)
+                    packer.add((doc_id, ids), len(ids), (lambda _, n: n) if loss else lambda _, n: 0)
                 yield from flush()
         packer.finish()
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, SCHEMA)
+    loss = F.lit(True) if bears_loss is None else F.coalesce(F.col(bears_loss), F.lit(False))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), loss.alias("loss")).mapInArrow(run, SCHEMA)
+
+
+def pack_turns(conversations: DataFrame, tokenizer: str, max_segments: int = 64, max_loss: int = LENGTH // 2, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Turns (conv_id, turn, role, text) under three limits that differ: tokens, segments, and tokens of roles that bear loss."""
+    turns = conversations.select(F.col("conv_id").alias("doc_id"), "text", F.col("role").isin(*roles).alias("loss"))
+    return pack(turns, tokenizer, max_segments=max_segments, max_loss=max_loss, bears_loss="loss")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
