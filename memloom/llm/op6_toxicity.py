@@ -32,7 +32,8 @@ WINDOW = 2
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 2500
 THRESHOLD = 0.3
-MEMORY = 600_000
+#: Words whose sums a worker remembers; beyond it the memory starts anew (scores stay the same).
+MEMORY = 250_000
 
 _BREAK = {c: " " for c in range(128) if not chr(c).isalnum()}
 
