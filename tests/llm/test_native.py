@@ -1,5 +1,8 @@
 """op3, op4 and op7: against SQL on small tables and on odd rows."""
 
+import random
+import time
+
 import duckdb
 import pytest
 
@@ -63,3 +66,51 @@ def test_lists_are_read_as_of_the_fetch(spark):
     rows = [(1, "http://www.bad.org/x", "2024-01-09"), (2, "http://www.bad.org/x", "2024-01-10"), (3, "https://user@www.BAD.org:80/ok/y?z", "2024-01-20"), (4, "http://bad.org", "2024-02-01"), (5, None, "2024-01-20"), (6, "http://bad.org", None), (2, "http://www.bad.org/x", "2024-01-10"), (7, "http://notbad.org/", "2024-01-20")]
     got = op7_url_lists.evaluate(spark.createDataFrame(rows, "page_id long, url string, fetched_at string"), changes).collect()
     assert sorted((r.page_id, r.n_entries, r.blocked) for r in got) == [(1, 0, False), (2, 1, True), (2, 1, True), (3, 2, False), (4, 0, False), (5, 0, False), (6, 0, False), (7, 0, False)]
+
+
+def test_lines_of_a_null_id(spark):
+    w = [f"w{i}" for i in range(20)]
+    rows = [(3, " ".join(w)), (None, " ".join([*w[:19], "x"])), (3, " ".join([*w[:19], "y"]))]
+    got = {(r.doc_id, r.n_removed) for r in op3_lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 0), (3, 1)}
+
+
+def test_lines_against_all_pairs(spark, monkeypatch):
+    """Groups of variants, with lists dealt out in blocks as well."""
+    rng = random.Random(3)
+    lines = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randrange(40)}" for _ in range(rng.randint(3, 40))]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = f"c{rng.randrange(30)}"
+            lines.append(" ".join(own))
+    rng.shuffle(lines)
+    df = spark.createDataFrame([(k, "\n".join(lines[k * 4 : k * 4 + 4])) for k in range(len(lines) // 4)], "doc_id long, text string")
+    sets = [set(x.split(" ")) for x in lines]
+    gone = [any(9 * len(a & b) >= 4 * (len(a) + len(b)) for b in sets[:i]) for i, a in enumerate(sets)]
+    want = [(k, ",".join(str(j) for j in range(4) if gone[k * 4 + j])) for k in range(len(lines) // 4)]
+    for split in (4096, 3):
+        monkeypatch.setattr(op3_lines, "SPLIT", split)
+        assert sorted((r.doc_id, r.removed_lines) for r in op3_lines.report(df).collect()) == want
+
+
+def test_secrets_in_long_candidates_and_many_matches(spark):
+    """Linear in the candidate's length and the number of matches."""
+    rng = random.Random(8)
+    run = "".join(rng.choice(op4_secrets.ALPHABET[:62]) for _ in range(60_000))
+    many = " ".join(f"token={k:06d}" for k in range(20_000))
+    started = time.time()
+    got = {r.doc_id: r for r in op4_secrets.scan(spark.createDataFrame([(1, "x " + run), (2, many)], "doc_id long, text string")).collect()}
+    assert time.time() - started < 60
+    assert [(x.kind, x.s, x.e) for x in got[1].found if x.kind == "entropy"] == [("entropy", 2, 60_002)]
+    assert got[2].n_assign == 20_000 and (got[2].found[-1].s, got[2].found[-1].e) == (len(many) - 12, len(many))
+
+
+def test_lists_empty_tables_ties_and_other_columns(spark):
+    changes = spark.createDataFrame([("h:a.org", "block", "2024-01-01", "add"), ("h:a.org", "block", "2024-02-01", "remove"), ("h:a.org", "block", "2024-02-01", "add")], "key string, verdict string, changed_at string, change string")
+    pages = spark.createDataFrame([(1, "http://a.org/", "2024-02-01", "k", "v")], "page_id long, url string, fetched_at string, key string, verdict string")
+    assert [r.blocked for r in op7_url_lists.evaluate(pages, changes).collect()] == [True]
+    assert op7_url_lists.evaluate(pages.limit(0), changes).count() == 0
+    assert [r.blocked for r in op7_url_lists.evaluate(pages, changes.limit(0)).collect()] == [False]

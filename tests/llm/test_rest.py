@@ -21,9 +21,33 @@ def test_article_text_and_noise():
     assert op5_wrapper.main_text(None) == op5_wrapper.main_text("") == ""
 
 
-def test_induced_root_without_article():
-    site = lambda k: f"<body><div class=top>Site</div><div id=w><div class=side>Links</div><div class=c><h2>Head {k}</h2><p>Body {k} of page {k}</p><p>More {k}</p></div></div><div>All rights</div></body>"
-    assert op5_wrapper.main_text(site(1), (site(2), site(3))) == "Head 1\nBody 1 of page 1\nMore 1"
+SITE = "<body><div class=top>Site</div><div id=w><div class=side>Links</div><div class=c><h2>Head {k}</h2><p>Body {k} of page {k}</p><p>Shared words</p></div></div><div>All rights</div></body>"
+
+
+def test_wrapper_of_a_host_without_article(spark):
+    """Template goes because the host's pages agree on it; without other pages nothing can be told apart."""
+    pages = [(k, f"http://{'one' if k < 9 else 'lone'}.org/{k}", SITE.format(k=k).replace("<p>Shared words</p>", "<p>Shared words</p>" if k < 3 else "")) for k in range(10)]
+    got = {r.page_id: r.text for r in op5_wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[5] == "Head 5\nBody 5 of page 5" and got[2] == "Head 2\nBody 2 of page 2\nShared words"
+    assert got[9].startswith("Site\n") and "Body 9 of page 9" in got[9]
+
+
+def test_hot_host_is_dealt_out(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, "http://one.org/", SITE.format(k=k)) for k in range(40)], "page_id long, url string, html string")
+    plain = sorted(op5_wrapper.extract(pages).collect())
+    monkeypatch.setattr(op5_wrapper, "SPLIT", 4)
+    assert sorted(op5_wrapper.extract(pages).collect()) == plain and len(plain) == 40
+
+
+def test_deep_nesting_keeps_text_in_order():
+    assert op5_wrapper.main_text("<div>a" * 5000 + "</div>b" * 5000) == "\n".join(["a"] * 5000 + ["b"] * 5000)
+    assert op5_wrapper.main_text("<article>" + "<div>" * 3000 + "<p>x</p><nav>menu</nav><p>y</p>") == "x\ny"
+
+
+def test_tree_match_is_a_largest_match():
+    tree = lambda html: op5_wrapper._tree(op5_wrapper.parse(html))[0]
+    a, b = tree("<div><p>1</p><section><p>2</p></section><p>3</p></div>"), tree("<div><section><p>x</p><p>y</p></section><p>z</p></div>")
+    assert len(op5_wrapper.tree_match(a, b)) == 5 and len(op5_wrapper.tree_match(a, a)) == a[1]
 
 
 def test_pages_odd_rows(spark):
@@ -82,6 +106,22 @@ def test_topk_against_brute_force(spark, block, group):
     assert got == sorted(want)
 
 
+def test_topk_of_large_components_and_of_nothing(spark):
+    """Scores near 2^59 keep their order."""
+    rng = np.random.default_rng(5)
+    vecs = np.round(rng.normal(0, 3e5, (300, 64)), 3)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    v = op8_topk.quantized(df)
+    q = np.floor(256 * vecs).astype(np.int64).tolist()
+    got = sorted(map(tuple, op8_topk.topk(v, v.where("vec_id % 50 = 0"), 5, 100, 3).collect()))
+    want = []
+    for i in range(0, 300, 50):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in range(300) if j != i)[:5]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == want
+    assert op8_topk.topk(v.limit(0), v.limit(0)).count() == 0
+
+
 def test_threshold_algorithm_stops_early():
     ids = np.arange(4000)
     vecs = np.zeros((4000, 3), np.int64)
@@ -115,12 +155,23 @@ def test_packing_round_trip(spark, odd, none):
             s.sort(key=lambda r: r.offset)
             assert [r.offset for r in s] == [sum(x.length for x in s[:k]) for k in range(len(s))] and sum(r.length for r in s) <= 4096
             if kwargs:
-                assert len(s) <= 3
+                assert len(s) <= 3 and sum(r.loss_tokens for r in s) <= 2000
             else:
                 n = sum(r.length for r in s)
                 assert n & (n - 1) == 0
 
 
+def test_turns_under_three_limits(spark):
+    rows = [(c, k, ("user", "assistant", None)[k % 3], "some words of a turn " * (1 + 37 * c % 50)) for c in range(60) for k in range(6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    seqs = {}
+    for r in op9_packing.pack_turns(turns, op9_packing.default_tokenizer(), max_segments=5, max_loss=700).collect():
+        seqs.setdefault(r.sequence_id, []).append(r)
+    assert all(len(s) <= 5 and sum(r.loss_tokens for r in s) <= 700 and sum(r.length for r in s) <= 4096 for s in seqs.values())
+    assert any(r.loss_tokens == r.length for s in seqs.values() for r in s) and any(r.loss_tokens == 0 for s in seqs.values() for r in s)
+    assert max(sum(r.length for r in s) for s in seqs.values()) > 700
+
+
 def brute_hits(words, items):
     hit, found = [False] * len(words), set()
     for i, w in items:
