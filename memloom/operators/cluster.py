@@ -1,17 +1,24 @@
-"""Density clustering by mutual-reachability trees, one group of vectors at a time.
+"""Density clustering by mutual-reachability trees.
 
-A group is a subject or a batch that its caller bounds; groups of more than LIMIT vectors are split into
-cells around sampled pivots first, each vector in the cell of its nearest pivot.
+A group of up to BLOCK vectors is one task's work. Of a larger group the same tree is built from pairs of blocks:
+core distances are merged from each pair's nearest, then Boruvka rounds join every component by its least edge
+to another one. Only the tree, one edge a vector, is gathered for a group. Labels are those of the whole group
+either way (equal distances may be merged in another order).
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from memloom.operators.dedup import components
+from memloom.sources.shared import cut
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIMIT = 4000
+BLOCK = 4000
 
 
 def tree_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarray:
@@ -31,6 +38,11 @@ def tree_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.
         seen[j] = True
         closer = ~seen & (reach[j] < near)
         near[closer], link[closer] = reach[j][closer], j
+    return labels_of(edges, n, min_cluster_size)
+
+
+def labels_of(edges: list[tuple[float, int, int]], n: int, min_cluster_size: int) -> np.ndarray:
+    """Labels of the n vectors that the edges (distance, a, b) of a spanning tree join."""
     parent, kids, height, size = list(range(2 * n - 1)), {}, {}, [1] * n + [0] * (n - 1)
 
     def find(i: int) -> int:
@@ -80,17 +92,92 @@ def tree_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.
     return labels
 
 
+def _unit(v: pd.Series) -> np.ndarray:
+    x = np.stack(v.to_list()).astype(float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _tiles(rows: DataFrame, blocks: int, f: Callable, schema: str) -> DataFrame:
+    """f on each pair of blocks (two frames sorted by id; the same one twice on the diagonal) of each group."""
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = own.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        p, q = g["p"].iloc[0], g["q"].iloc[0]
+        return f(g[g["own"] == p], g[g["own"] == q])
+
+    return dealt.groupBy("grp", "p", "q").applyInPandas(run, schema)
+
+
+def _spanning_tree(rows: DataFrame, min_samples: int) -> DataFrame:
+    """(grp, a, b, w): the least spanning tree of each group of rows (grp, id, vec) by mutual reachability."""
+    blocks = math.ceil(rows.groupBy("grp").count().agg(F.max("count")).first()[0] / BLOCK)
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"grp": [], "id": [], "d": []})
+        dist = np.clip(1 - _unit(x["vec"]) @ _unit(y["vec"]).T, 0, 2)
+        k = min_samples + 1
+        one = lambda rows, d: pd.DataFrame({"grp": rows["grp"], "id": rows["id"], "d": list(np.sort(d, axis=1)[:, :k])})
+        return one(x, dist) if x["own"].iloc[0] == y["own"].iloc[0] else pd.concat([one(x, dist), one(y, dist.T)])
+
+    near = _tiles(rows, blocks, nearest, "grp long, id long, d array<double>").groupBy("grp", "id").agg(F.sort_array(F.flatten(F.collect_list("d"))).alias("d"))
+    core = near.select("grp", "id", F.element_at("d", F.least(F.lit(min_samples + 1), F.size("d"))).alias("core"))
+    points = cut(rows.join(core, ["grp", "id"]).select("grp", "id", "vec", "core"))
+    label, trees = points.select("grp", "id", F.col("id").alias("comp")), []
+
+    def least(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"grp": [], "comp": [], "w": [], "a": [], "b": []})
+        if not len(x) or not len(y):
+            return none
+        reach = np.maximum(np.clip(1 - _unit(x["vec"]) @ _unit(y["vec"]).T, 0, 2), np.maximum(x["core"].to_numpy()[:, None], y["core"].to_numpy()[None]))
+        reach[x["comp"].to_numpy()[:, None] == y["comp"].to_numpy()[None]] = np.inf
+        out = []
+        for r, c, d in ((x, y, reach), (y, x, reach.T)):
+            j = d.argmin(axis=1)
+            a, b = r["id"].to_numpy(), c["id"].to_numpy()[j]
+            out.append(pd.DataFrame({"grp": r["grp"].to_numpy(), "comp": r["comp"].to_numpy(), "w": d[np.arange(len(d)), j], "a": np.minimum(a, b), "b": np.maximum(a, b)}))
+        found = pd.concat(out)
+        return found[np.isfinite(found["w"])].sort_values(["w", "a", "b"]).groupby(["grp", "comp"], as_index=False).first()
+
+    while True:
+        edges = _tiles(points.join(label, ["grp", "id"]), blocks, least, "grp long, comp long, w double, a long, b long")
+        chosen = cut(edges.groupBy("grp", "comp").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("grp", "e.*").distinct())
+        if not chosen.limit(1).count():
+            break
+        trees.append(chosen)
+        ends = chosen.join(label.selectExpr("grp", "id AS a", "comp AS x"), ["grp", "a"]).join(label.selectExpr("grp", "id AS b", "comp AS y"), ["grp", "b"])
+        joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).selectExpr("id AS comp", "label")
+        label = cut(label.join(joined, "comp", "left").select("grp", "id", F.coalesce("label", "comp").alias("comp")))
+    tree = trees[0]
+    for more in trees[1:]:
+        tree = tree.unionByName(more)
+    return tree.select("grp", "a", "b", "w")
+
+
 def density_clusters(vectors: DataFrame, group: str, min_cluster_size: int = 3, min_samples: int = 2) -> DataFrame:
-    """(grp, id, cluster) of vectors (group, id, vec); cluster -1 is noise."""
-    rows = vectors.withColumn("n", F.count("*").over(Window.partitionBy(group)))
-    cell = F.when(F.col("n") <= LIMIT, 0).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LIMIT))).cast("int")
+    """(grp, id, cluster) of vectors (group, id, vec), ids being unique; cluster -1 is noise."""
+    rows = vectors.select(F.col(group).cast("long").alias("grp"), F.col("id").cast("long").alias("id"), "vec")
+    large = rows.groupBy("grp").count().where(F.col("count") > BLOCK).select("grp")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")
         labels = tree_clusters(np.stack(g["vec"].to_list()).astype(float), min_cluster_size, min_samples)
-        return pd.DataFrame({"grp": g[group].to_numpy(), "id": g["id"].to_numpy(), "cluster": labels})
-
-    return rows.withColumn("cell", cell).groupBy(group, "cell").applyInPandas(run, "grp long, id long, cluster int")
+        return pd.DataFrame({"grp": g["grp"].to_numpy(), "id": g["id"].to_numpy(), "cluster": labels})
+
+    def extract(ids: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        order = np.sort(ids["id"].to_numpy())
+        edges = list(zip(tree["w"].tolist(), np.searchsorted(order, tree["a"]).tolist(), np.searchsorted(order, tree["b"]).tolist()))
+        return pd.DataFrame({"grp": ids["grp"].iloc[0], "id": order, "cluster": labels_of(edges, len(order), min_cluster_size)})
+
+    schema = "grp long, id long, cluster int"
+    small = rows.join(large, "grp", "left_anti").groupBy("grp").applyInPandas(run, schema)
+    if not large.limit(1).count():
+        return small
+    big = rows.join(large, "grp")
+    tree = _spanning_tree(big, min_samples)
+    return small.unionByName(big.select("grp", "id").groupBy("grp").cogroup(tree.groupBy("grp")).applyInPandas(extract, schema))
 
 
 def build_tree(vectors: DataFrame, max_depth: int = 3, min_cluster_size: int = 3) -> DataFrame:

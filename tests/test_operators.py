@@ -171,3 +171,22 @@ def test_first_events_within_watermark(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(path)
     out = ev.run(ev.first_events(ev.read_events(spark, path), ["user_id"]), "append", str(tmp_path))
     assert sorted(r.user_id for r in out.collect()) == [1, 2]
+
+
+def test_large_groups_get_the_labels_of_the_whole_group(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    x = np.concatenate([c + 0.08 * rng.normal(size=(25, 8)) for c in centres] + [rng.normal(size=(20, 8))])
+    df = spark.createDataFrame([(k % 2, k, [float(z) for z in v]) for k, v in enumerate(x)], "grp long, id long, vec array<double>")
+    parts = lambda: {frozenset(r.id for r in rows) for rows in _by_cluster(cluster.density_clusters(df, "grp", 5, 2).collect())}
+    whole = parts()
+    assert len(whole) > 6
+    monkeypatch.setattr(cluster, "BLOCK", 20)
+    assert parts() == whole
+
+
+def _by_cluster(rows):
+    found = {}
+    for r in rows:
+        found.setdefault((r.grp, r.cluster), []).append(r)
+    return found.values()
