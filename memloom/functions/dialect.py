@@ -97,6 +97,10 @@ class Spark:
         """The characters of a text that isn't empty."""
         return f"split({x}, '')"
 
+    def windows(self, a: str, n: int, sep: str) -> str:
+        """Each n neighbours of an array that has as many, joined."""
+        return self.map(self.steps("1", f"{self.size(a)} - {n - 1}"), "i", self.join(self.part(a, "i", n), sep))
+
     def pct(self, x: str, p: float) -> str:
         return f"percentile({x}, {p})"
 
@@ -137,6 +141,11 @@ class Duck(Spark):
     def chars(self, x: str) -> str:
         return f"string_split({x}, '')"
 
+    def windows(self, a: str, n: int, sep: str) -> str:
+        rows = ", ".join([a, *[f"{a}[{k}:]" for k in range(2, n + 1)]])
+        shown = f" || {self.lit(sep)} || ".join(f"z[{k}]" for k in range(1, n + 1))
+        return f"list_transform(list_zip({rows})[1:len({a}) - {n - 1}], lambda z: {shown})"
+
     def pct(self, x: str, p: float) -> str:
         return f"quantile_cont({x}, {p})"
 

@@ -40,7 +40,7 @@ DASH = "-"
 
 def grams(d: Spark, x: str, n: int = 2) -> str:
     """Distinct character n-grams of x; a shorter, non-empty x is its own gram."""
-    many = d.let(d.chars("gx"), "gc", d.distinct(d.map(d.steps("1", f"{d.size('gc')} - {n - 1}"), "i", d.join(d.part("gc", "i", n), ""))))
+    many = d.let(d.chars("gx"), "gc", d.distinct(d.windows("gc", n, "")))
     return d.let(x, "gx", f"CASE WHEN length(gx) = 0 THEN {d.array([])} WHEN length(gx) < {n} THEN {d.array(['gx'])} ELSE {many} END")
 
 
@@ -72,7 +72,7 @@ def denoised(d: Spark, x: str) -> str:
 
 def word_shingles(d: Spark, x: str, k: int = 2) -> str:
     """Distinct k-word shingles; a shorter text is its own shingle."""
-    many = d.distinct(d.map(d.steps("1", f"{d.size('ws')} - {k - 1}"), "i", d.join(d.part("ws", "i", k), " ")))
+    many = d.distinct(d.windows("ws", k, " "))
     return d.let(d.words(f"lower({x})"), "ws", f"CASE WHEN {d.size('ws')} < {k} THEN {d.array([d.join('ws', ' ')])} ELSE {many} END")
 
 

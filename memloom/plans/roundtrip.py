@@ -87,14 +87,15 @@ def _office(d, x):
     return d.join(d.keep(d.words(d.sub(d.sub(f"lower({x})", ","), "[^a-z0-9.% ]", " ")), "w", "w NOT IN ('million', 'billion', 'thousand', 'a', 'an', 'the')"), " ")
 
 
-_A, _B = "substring(text, 1, 200)", "substring(text, 50, 200)"
-_SQL = "SELECT doc_id, {} AS score FROM documents WHERE text IS NOT NULL"
+_SQL = "SELECT id AS conv_id, {} AS score FROM (SELECT conv_id AS id, max(CASE WHEN turn = 0 THEN text END) AS a, max(CASE WHEN turn = 1 THEN text END) AS b FROM conversations GROUP BY conv_id) x WHERE a IS NOT NULL AND b IS NOT NULL"
 
 
 def _f1(d):
-    return t.token_f1(d, _office(d, _A), _office(d, _B))
+    return t.token_f1(d, _office(d, "a"), _office(d, "b"))
 
 
 @R.add("fn41_office_f1", _SQL.format(_f1(DUCK)))
 def fn41_office_f1(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.expr(_f1(SPARK)).alias("score"))
+    turn = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
+    pairs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turn(0).alias("a"), turn(1).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return pairs.select("conv_id", F.expr(_f1(SPARK)).alias("score"))

@@ -36,16 +36,19 @@ CASES = [
 ]
 
 _VALUES = ", ".join("({}, {}, {}, {})".format(i, *(DUCK.lit(x).replace("\n", "' || chr(10) || '") for x in rest)) for i, *rest in CASES)
-_SQL = f"WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS text, CASE doc_id % 6 WHEN 0 THEN 'principle' WHEN 1 THEN 'formula' WHEN 2 THEN 'key_point' WHEN 3 THEN 'conclusion' WHEN 4 THEN 'method' ELSE 'other' END AS kind, substring(coalesce(text, ''), 1, 300) AS other FROM documents UNION ALL SELECT * FROM (VALUES {_VALUES}))"
+_SQL = f"WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS text, CASE doc_id % 6 WHEN 0 THEN 'principle' WHEN 1 THEN 'formula' WHEN 2 THEN 'key_point' WHEN 3 THEN 'conclusion' WHEN 4 THEN 'method' ELSE 'other' END AS kind, coalesce(item, '') AS other FROM documents LEFT JOIN (SELECT item_id, text AS item FROM benchmark) b ON item_id = doc_id % (SELECT count(*) FROM benchmark) UNION ALL SELECT * FROM (VALUES {_VALUES}))"
 
 
 def texts(spark, sf_dir):
-    """id, text, kind, other: the documents and CASES."""
-    docs = table(spark, sf_dir, "documents").select(
+    """id, text, kind, other (the text of a benchmark item): the documents and CASES."""
+    items = table(spark, sf_dir, "benchmark")
+    n = items.count()
+    docs = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % F.lit(n))
+    docs = docs.join(items.select("item_id", F.col("text").alias("item")), "item_id", "left").select(
         F.col("doc_id").alias("id"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.expr("CASE doc_id % 6 WHEN 0 THEN 'principle' WHEN 1 THEN 'formula' WHEN 2 THEN 'key_point' WHEN 3 THEN 'conclusion' WHEN 4 THEN 'method' ELSE 'other' END").alias("kind"),
-        F.expr("substring(coalesce(text, ''), 1, 300)").alias("other"),
+        F.coalesce("item", F.lit("")).alias("other"),
     )
     return docs.unionByName(spark.createDataFrame(CASES, docs.schema))
 
@@ -66,7 +69,7 @@ def joined(f):
 _register("flt01_admissible", ok=lambda d: g.admissible(d, "text"))
 _register("flt02_vague", vague=lambda d: g.vague(d, "text"))
 _register("flt03_guard", reason=lambda d: g.guard(d, "text", "kind"))
-_register("flt04_low_quality", kind=lambda d: g.low_quality(d, "substring(text, 1, 400)"), repeats=lambda d: g.top_bigram_count(d, "text"))
+_register("flt04_low_quality", kind=lambda d: g.low_quality(d, "text"), repeats=lambda d: g.top_bigram_count(d, "text"))
 _register("flt05_whitelisted", listed=lambda d: g.whitelisted(d, "text", ["router", "缓存", "idiot"]))
 _register("flt06_self_explanatory", pronoun=lambda d: d.one("text", "(它们?|这个|那个|该方法|上述|前者|后者)"), meta=lambda d: d.one("text", "(如上所述|如前所述|本文|见下文|上文)"))
 _register("flt07_format", reason=lambda d: g.format_reason(d, "text", "kind"))
@@ -85,7 +88,6 @@ _register("flt23_feedback", signals=lambda d: g.feedback(d, "text"))
 _register("fn01_keywords", words=joined(lambda d: t.keywords(d, "text")))
 _register("fn02_estimate_tokens", tokens=lambda d: t.estimate_tokens(d, "text"))
 _register("fn03_quality", quality=lambda d: t.quality(d, "text"))
-_register("fn04_causal_pairs", causes=joined(lambda d: d.all("text", "([一-鿿]{2,20})(?:导致|引发|造成|引起|触发|带来)([一-鿿]{2,20})", 1)), effects=joined(lambda d: d.all("text", "([一-鿿]{2,20})(?:导致|引发|造成|引起|触发|带来)([一-鿿]{2,20})", 2)), failing=joined(lambda d: d.all("text", "([一-鿿]{2,15})(?:失败|报错|崩溃|超时|卡死)", 1)), roots=joined(lambda d: d.all("text", r"(?:根因|根源)(?:是|为)\s*([一-鿿]{2,20})", 1)))
 _register("fn06_valid_range", valid_from=lambda d: t.valid_range(d, "text", False), valid_until=lambda d: t.valid_range(d, "text", True))
 _register("fn07_query_date", iso=lambda d: t.iso_date(d, "text"))
 _register("fn11_dates", dates=joined(lambda d: t.dates(d, "text")))
@@ -98,27 +100,27 @@ _register("fn19_halves", text=lambda d: t.halves(d, "text", 200))
 _register("fn23_condition", condition=lambda d: t.condition(d, "text"))
 _register("fn24_same_condition", same=lambda d: t.same_condition(d, t.condition(d, "text"), t.condition(d, "other")))
 _register("fn27_text_hash", hash=lambda d: "md5(text)")
-_register("fn28_eval_tokens", tokens=joined(lambda d: d.sort(t.eval_tokens(d, "other"))))
-_register("fn29_top_keywords", words=joined(lambda d: t.top_keywords(d, "other", 10)))
-_register("fn30_faithfulness", score=lambda d: t.faithfulness(d, "other", "substring(text, 1, 200)"))
-_register("fn31_relevance", score=lambda d: t.relevance(d, "other", "substring(text, 100, 300)"))
-_register("fn32_coverage", score=lambda d: t.coverage(d, "other", "substring(text, 100, 300)"))
+_register("fn28_eval_tokens", tokens=joined(lambda d: d.sort(t.eval_tokens(d, "text"))))
+_register("fn29_top_keywords", words=joined(lambda d: t.top_keywords(d, "text", 10)))
+_register("fn30_faithfulness", score=lambda d: t.faithfulness(d, "other", "text"))
+_register("fn31_relevance", score=lambda d: t.relevance(d, "other", "text"))
+_register("fn32_coverage", score=lambda d: t.coverage(d, "other", "text"))
 _register("fn33_contained", score=lambda d: t.contained(d, "other", "text"))
-_register("fn34_soft_keywords", score=lambda d: t.soft_keywords(d, "other", "substring(text, 50, 400)"))
+_register("fn34_soft_keywords", score=lambda d: t.soft_keywords(d, "other", "text"))
 _register("fn36_normal_answer", text=lambda d: t.normal_answer(d, "text"))
-_register("fn37_token_f1", score=lambda d: t.token_f1(d, "other", "substring(text, 50, 300)"))
-_register("fn38_exact_match", score=lambda d: t.exact_match(d, "other", "substring(text, 1, 300)"))
+_register("fn37_token_f1", score=lambda d: t.token_f1(d, "other", "text"))
+_register("fn38_exact_match", score=lambda d: t.exact_match(d, "other", "text"))
 _register("fn39_sub_match", score=lambda d: t.sub_match(d, "other", "text"))
-_register("fn40_anls", score=lambda d: t.anls(d, d.sub("other", "[^ -~]"), d.sub("substring(text, 6, 300)", "[^ -~]")))
+_register("fn40_anls", score=lambda d: t.anls(d, d.sub("other", "[^ -~]"), d.sub("text", "[^ -~]")))
 _register("fn53_marked", text=lambda d: t.marked(d, "text", "待验证", "check"))
 _register("fn54_unmarked", text=lambda d: t.unmarked(d, "text"))
 _register("fn56_replacement", text=lambda d: t.replacement(d, "text"))
-_register("ded04_bigrams", grams=joined(lambda d: d.sort(t.grams(d, "other"))))
-_register("ded05_jaccard", score=lambda d: f"round({t.jaccard(d, t.grams(d, 'other'), t.grams(d, 'substring(text, 100, 300)'))}, 6)")
-_register("ded06_word_shingles", shingles=joined(lambda d: d.sort(t.word_shingles(d, "other"))))
-_register("ded13_denoised_char_jaccard", score=lambda d: f"round({t.jaccard(d, t.char_set(d, t.denoised(d, 'other')), t.char_set(d, t.denoised(d, 'substring(text, 200, 100)')))}, 6)")
-_register("ded14_char_ngram_jaccard", score=lambda d: f"round({t.jaccard(d, t.grams(d, 'lower(other)', 3), t.grams(d, 'lower(substring(text, 100, 300))', 3))}, 6)")
-_register("ded18_default_judge", same=lambda d: f"{t.jaccard(d, t.char_set(d, 'other'), t.char_set(d, 'substring(text, 200, 100)'))} > 0.7")
-_register("ded21_trigram_dice", score=lambda d: f"round({t.dice(d, t.grams(d, 'lower(other)', 3), t.grams(d, 'lower(substring(text, 100, 300))', 3))}, 6)")
-_register("ded25_word_jaccard", score=lambda d: f"round({t.jaccard(d, t.word_set(d, 'other'), t.word_set(d, 'substring(text, 100, 300)'))}, 6)")
+_register("ded04_bigrams", grams=joined(lambda d: d.sort(t.grams(d, "text"))))
+_register("ded05_jaccard", score=lambda d: f"round({t.jaccard(d, t.grams(d, 'other'), t.grams(d, 'text'))}, 6)")
+_register("ded06_word_shingles", shingles=joined(lambda d: d.sort(t.word_shingles(d, "text"))))
+_register("ded13_denoised_char_jaccard", score=lambda d: f"round({t.jaccard(d, t.char_set(d, t.denoised(d, 'other')), t.char_set(d, t.denoised(d, 'text')))}, 6)")
+_register("ded14_char_ngram_jaccard", score=lambda d: f"round({t.jaccard(d, t.grams(d, 'lower(other)', 3), t.grams(d, 'lower(text)', 3))}, 6)")
+_register("ded18_default_judge", same=lambda d: f"{t.jaccard(d, t.char_set(d, 'other'), t.char_set(d, 'text'))} > 0.7")
+_register("ded21_trigram_dice", score=lambda d: f"round({t.dice(d, t.grams(d, 'lower(other)', 3), t.grams(d, 'lower(text)', 3))}, 6)")
+_register("ded25_word_jaccard", score=lambda d: f"round({t.jaccard(d, t.word_set(d, 'other'), t.word_set(d, 'text'))}, 6)")
 _register("vec15_keyword_domain", domain=lambda d: t.first_rule(d, "text", ((r"(?i)\brouter\b", "runtime"), (r"(?i)\bapi\b", "interface"), ("缓存|数据库", "storage"), ("(?i)license", "legal"))))
