@@ -25,7 +25,6 @@ q("ded17_two_zones", lambda d: f"{near(d)}, m AS (SELECT a, max(sim) AS sim, {d.
 q("ded19_first_leaf", lambda d: f"{near(d)} SELECT a, min(b) AS b FROM s WHERE sim > 0.35 GROUP BY a")
 q("ded20_best_leaf", lambda d: f"{near(d)} SELECT a, {d.best('b', 'sim', '-b')} AS b, round(max(sim), 6) AS sim FROM s WHERE sim > 0.35 GROUP BY a")
 q("ded10_similarity_histogram", lambda d: f"{near(d)} SELECT CASE WHEN sim < 0 THEN '<0' WHEN sim < 0.2 THEN '0-0.2' WHEN sim < 0.4 THEN '0.2-0.4' ELSE '0.4+' END AS bucket, count(*) AS n FROM s GROUP BY 1")
-q("ded11_paged_dedup", lambda d: "WITH p AS (SELECT doc_id, text, floor((row_number() OVER (ORDER BY doc_id) - 1) / 500) AS page FROM {documents} WHERE text IS NOT NULL), r AS (SELECT doc_id, row_number() OVER (PARTITION BY page, text ORDER BY doc_id) AS rn FROM p) SELECT doc_id, rn > 1 AS redundant FROM r")
 q("ded15_normal_bigram_jaccard", lambda d: f"SELECT conv_id, turn, round(CASE WHEN x = y AND x <> '' THEN CAST(1 AS DOUBLE) ELSE {t.jaccard(d, t.grams(d, 'x'), t.grams(d, 'y'))} END, 6) AS sim FROM (SELECT conv_id, turn, {d.sub('lower(text)', r'\s+')} AS x, {d.sub('lower(lag(text) OVER (PARTITION BY conv_id ORDER BY turn))', r'\s+')} AS y FROM {{conversations}} WHERE text IS NOT NULL) z WHERE y IS NOT NULL")
 q("ded22_match_entity", lambda d: f"WITH e AS (SELECT n_nationkey AS id, lower(n_name) AS name FROM {{nation}}), m AS (SELECT DISTINCT lower(substring(n_name, 1, 6)) AS mention FROM {{nation}}), x AS (SELECT mention, id, CASE WHEN name = mention THEN CAST(2 AS DOUBLE) ELSE {t.dice(d, t.grams(d, 'mention', 3), t.grams(d, 'name', 3))} END AS sim FROM m CROSS JOIN e), r AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY sim DESC, id) AS rn FROM x WHERE sim >= 0.5) SELECT mention, id FROM r WHERE rn = 1")
 q("vec03_similarity_sums", lambda d: f"{vecs(d)} SELECT a.label AS x, b.label AS y, round(avg({cos(d, 'a', 'b')}), 6) AS mean FROM v a CROSS JOIN v b GROUP BY 1, 2")
@@ -38,28 +37,19 @@ q("vec16_semantic_cache", lambda d: f"{near(d, more=' AND a.label = b.label')},
 q("vec17_recent_lookup", lambda d: f"{near(d, more=' AND a.label = b.label')} SELECT a, max(b) AS b FROM s WHERE sim >= 0.15 GROUP BY a")
 q("vec18_prescreen", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS rn FROM s) SELECT a, b, rn FROM r WHERE rn <= 30")
 q("clu06_assign", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn WHERE v.vec_id % 2 = 1) SELECT vec_id, {d.best('label', 'sim', '-label')} AS entity FROM s GROUP BY vec_id HAVING max(sim) >= 0.3")
-q("clu12_small_domains", lambda d: f"WITH {NODES}, k AS (SELECT s.parent AS domain, count(*) AS n FROM nodes p JOIN nodes s ON s.id = p.parent WHERE p.kind = 'knowledge_point' GROUP BY s.parent), big AS (SELECT domain, n FROM k WHERE n >= 290), small AS (SELECT domain, n FROM k WHERE n < 290) SELECT small.domain, {d.best('big.domain', 'big.n', '-big.domain')} AS target FROM small CROSS JOIN big GROUP BY small.domain")
 q("clu16_child_vectors", lambda d: f"WITH RECURSIVE {NODES}, walk(root, id, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'domain' UNION ALL SELECT w.root, n.id, w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE w.depth < 3) SELECT root, count(*) AS vectors FROM walk JOIN {{embeddings}} ON vec_id = walk.id GROUP BY root")
 q("clu17_backfill", lambda d: "SELECT conv_id, turn, text FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {conversations} WHERE text IS NOT NULL) x WHERE rn = 1")
 q("rnk17_match_skills", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS rn FROM s) SELECT a, b, round(least(0.49, 0.3 + greatest(sim, 0)), 6) AS score FROM r WHERE rn <= 3")
-q("join21_causal_groups", lambda d: f"SELECT a.l_orderkey AS grp, a.l_linenumber AS f, b.l_linenumber AS x, CASE WHEN a.l_shipdate < b.l_shipdate THEN 'causes' ELSE 'caused_by' END AS kind FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE a.l_quantity / 50 * 0.9 >= 0.6")
-q("join22_causal_new", lambda d: f"SELECT a.l_orderkey AS grp, a.l_linenumber AS f, b.l_linenumber AS x FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE a.l_returnflag = 'N' AND (b.l_returnflag = 'N' OR b.l_linestatus = 'F') AND a.l_quantity > 40")
 q("join26_similar_history", lambda d: f"WITH h AS (SELECT conv_id, turn, {t.word_set(d, 'text')} AS w FROM {{conversations}} WHERE text IS NOT NULL AND turn > 0), n AS (SELECT conv_id, {t.word_set(d, 'text')} AS w FROM {{conversations}} WHERE text IS NOT NULL AND turn = 0), s AS (SELECT h.conv_id, h.turn, {t.jaccard(d, 'h.w', 'n.w')} AS sim FROM h JOIN n ON n.conv_id = h.conv_id) SELECT conv_id, turn, round(sim, 6) AS sim FROM s WHERE sim > 0")
 q("join27_subject_load", lambda d: f"WITH {NODES} SELECT s.id AS subject, count(p.id) AS points, {d.join(d.map(d.first(d.collect('p.id'), 3), 'i', d.varchar('i')), ',')} AS ids FROM nodes s JOIN nodes p ON p.parent = s.id WHERE s.kind = 'subject' GROUP BY s.id HAVING count(p.id) >= 3")
-q("flt26_merge_quality", lambda d: f"WITH p AS (SELECT conv_id, {d.best('text', '-turn')} AS merged, sum(length(text)) AS total FROM {{conversations}} WHERE text IS NOT NULL GROUP BY conv_id) SELECT conv_id, length(merged) <= 0.8 * total AND {d.size(t.cleanup_bigrams(d, 'merged'))} > 0 AS ok FROM p")
 q("flt27_compress_quality", lambda d: f"SELECT doc_id, length(short) >= 20 AND length(short) <= 0.9 * length(text) AND {d.size(d.inter(t.key_numbers(d, 'text'), t.key_numbers(d, 'short')))} * 2 >= {d.size(t.key_numbers(d, 'text'))} AND {d.size(d.inter(t.proper_nouns(d, 'text'), t.proper_nouns(d, 'short')))} * 4 >= {d.size(t.proper_nouns(d, 'text'))} AS ok FROM (SELECT doc_id, text, {t.head_tail(d, 'text', 400)} AS short FROM {{documents}} WHERE text IS NOT NULL) x")
-q("flt28_tag_quality", lambda d: f"SELECT doc_id, length(text) >= 20 AND source IN ('src1', 'src2', 'src5') AS ok FROM {{documents}} WHERE text IS NOT NULL")
 q("fn05_enriched", lambda d: f"SELECT doc_id, CASE WHEN contains(text, '[tags:') OR length(text) > 200 THEN text ELSE concat(text, ' [tags: ', lang, ', ', source, ']') END AS text FROM {{documents}} WHERE text IS NOT NULL")
 q("fn15_capped_keywords", lambda d: f"SELECT doc_id, {d.join(d.first(d.distinct(d.map(d.all('text', '[A-Za-z]{4,}'), 'w', 'lower(w)')), 8) if d.name == 'spark' else 'list_transform(list_sort(list_transform(list_distinct(list_transform(regexp_extract_all(text, ' + d.lit('[A-Za-z]{4,}') + '), lambda w: lower(w))), lambda w: {p: list_position(list_transform(regexp_extract_all(text, ' + d.lit('[A-Za-z]{4,}') + '), lambda y: lower(y)), w), w: w}))[1:8], lambda s: s.w)', ',')} AS words FROM {{documents}} WHERE text IS NOT NULL".replace("{p:", "{{'p':").replace(", w: w}", ", 'w': w}}") if d.name == "spark" else f"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(ws), lambda w: {{'p': list_position(ws, w), 'w': w}}))[1:8], lambda s: s.w), ',') AS words FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]{{4,}}'), lambda w: lower(w)) AS ws FROM documents WHERE text IS NOT NULL) x")
 q("fn22_judge_reply", lambda d: f"SELECT event_id, round(least(1, greatest(0, CAST({d.one('s', '([0-9]+[.]?[0-9]*)', 1)} AS DOUBLE))), 6) AS score FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('score: ', {d.varchar('event_id % 3')}, '.', {d.varchar('event_id % 7')}) ELSE {d.varchar('event_id % 5')} END AS s FROM {{events}}) x")
-q("fn25_conflicts", lambda d: f"{near(d)} SELECT a, b, round(sim, 3) AS sim FROM s WHERE sim > 0.3 AND (a % 2) <> (b % 3 % 2)")
-q("fn35_rule_judge", lambda d: f"SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END + CASE WHEN {d.has('text', '[Tt]he')} THEN 1 ELSE 0 END + CASE WHEN length(text) <= 2000 THEN 1 ELSE 0 END + CASE WHEN length(text) >= 50 THEN 1 ELSE 0 END AS passed FROM {{documents}} WHERE text IS NOT NULL")
 q("fn42_choice_label", lambda d: f"SELECT conv_id, turn, coalesce(nullif({d.one('text', '[(]([A-D])[)]', 1)}, ''), nullif({d.one('text', '^([A-D])([ .]|$)', 1)}, ''), upper(substring(text, 1, 1))) AS label FROM {{conversations}} WHERE text IS NOT NULL")
-q("fn43_cell_equality", lambda d: "SELECT l_orderkey, l_linenumber, round(l_discount, 2) = round(l_tax, 2) AS same_number, l_returnflag = l_linestatus AS same_text FROM {lineitem}")
 q("fn55_keyword_marks", lambda d: f"WITH rules AS (SELECT 'license' AS word, '作废' AS mark UNION ALL SELECT 'idiot', '可疑'), h AS (SELECT doc_id, mark, row_number() OVER (PARTITION BY mark ORDER BY doc_id DESC) AS rn FROM {{documents}} CROSS JOIN rules WHERE contains(lower(text), word) AND NOT {d.has('text', '标记: ')}) SELECT doc_id, mark FROM h WHERE rn <= 500")
 q("src17_recall", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS pos FROM s) SELECT a AS query, b AS node_id, pos, round(sim, 6) AS rerank_score FROM r WHERE pos <= 10")
 q("src18_section_search", lambda d: f"{near(d, more=' AND b.label IN (1, 2, 3)')}, r AS (SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS pos FROM s) SELECT a, b, pos FROM r WHERE pos <= 5")
-q("snk03_batch_insert", lambda d: "SELECT row_number() OVER (ORDER BY p_partkey) + (SELECT max(p_partkey) FROM {part}) AS new_id, p_name AS name FROM {part} WHERE p_size = 1")
 q("str04_hour_of_state", lambda d: "SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS BIGINT) AS running FROM {events} GROUP BY 1, 2")
 
 

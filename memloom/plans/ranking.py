@@ -35,7 +35,7 @@ q("rnk10_decay", lambda d: f"SELECT event_id, round(score * w, 6) AS score, scor
 q("rnk11_tree_score", lambda d: "SELECT event_id, round(CASE WHEN event_type = 'error' THEN 0.45 ELSE 0.5 + 0.4 * least(greatest(value / 100, 0), 1) END, 4) AS score, CASE WHEN event_type = 'error' THEN 'fallback' ELSE 'tree_score' END AS how FROM {events}")
 q("rnk12_turn_dedup", lambda d: f"WITH {CAND}, s AS (SELECT query, id, score, row_number() OVER (PARTITION BY query, source, CAST(ts AS DATE) ORDER BY ts, id) AS seen FROM cand) SELECT query, id, round(CASE WHEN seen > 1 THEN score * 0.1 ELSE score END, 6) AS score FROM s")
 q("rnk13_recall_pipeline", lambda d: f"WITH {CAND}, kept AS (SELECT * FROM cand WHERE source <> 'error'), boosted AS (SELECT query, id, source, ts, least(2, score * least(1 + 0.1 * (row_number() OVER (PARTITION BY query, source ORDER BY ts, id) - 1), 2)) AS score FROM kept), fused AS (SELECT query, id, source, score * (0.5 + 0.5 * exp(-greatest({days(d, NOW, 'ts')}, 0) / 30)) AS score FROM boosted WHERE score >= 0.1), one AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) AS own FROM fused), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS BIGINT) AS rn FROM one WHERE own <= 2) SELECT query, id, source, round(score, 4) AS score, rn FROM top WHERE rn <= 5")
-q("rnk14_eval_match", lambda d: f"WITH u AS (SELECT doc_id, {d.distinct(d.words('lower(substring(text, 1, 400))'))} AS w FROM {{documents}} WHERE text IS NOT NULL), b AS (SELECT item_id, {d.distinct(d.words('lower(text)'))} AS w FROM {{benchmark}}), uw AS (SELECT doc_id, {d.explode('w')} AS x FROM u), bw AS (SELECT item_id, {d.explode('w')} AS x FROM b), o AS (SELECT doc_id, item_id, count(*) AS n FROM uw JOIN bw USING (x) GROUP BY 1, 2), s AS (SELECT o.doc_id, o.item_id, n / CAST({d.size('b.w')} AS DOUBLE) AS share FROM o JOIN b ON b.item_id = o.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, item_id) AS rn FROM s) SELECT doc_id, item_id, round(share, 6) AS share FROM r WHERE rn = 1 AND share >= 0.3")
+q("rnk14_eval_match", lambda d: f"WITH u AS (SELECT doc_id, {d.distinct(d.words('lower(text)'))} AS w FROM {{documents}} WHERE text IS NOT NULL), b AS (SELECT item_id, {d.distinct(d.words('lower(text)'))} AS w FROM {{benchmark}}), uw AS (SELECT doc_id, {d.explode('w')} AS x FROM u), bw AS (SELECT item_id, {d.explode('w')} AS x FROM b), o AS (SELECT doc_id, item_id, count(*) AS n FROM uw JOIN bw USING (x) GROUP BY 1, 2), s AS (SELECT o.doc_id, o.item_id, n / CAST({d.size('b.w')} AS DOUBLE) AS share FROM o JOIN b ON b.item_id = o.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, item_id) AS rn FROM s) SELECT doc_id, item_id, round(share, 6) AS share FROM r WHERE rn = 1 AND share >= 0.3")
 q("rnk15_keyword_prescreen", lambda d: f"WITH s AS (SELECT p_partkey AS id, {d.distinct(d.words('lower(p_name)'))} AS n, {d.distinct(d.words('lower(p_type)'))} AS c, lower(p_brand) AS b FROM {{part}}), qs AS (SELECT n_nationkey AS qid, {d.distinct(d.words("lower(concat('part ', n_name, ' economy 7 12'))"))} AS w FROM {{nation}}), x AS (SELECT qid, id, 5 * {d.size(d.inter('w', 'n'))} + 3 * {d.size(d.inter('w', 'c'))} AS score FROM qs CROSS JOIN s), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM x WHERE score > 0) SELECT qid, id, score FROM r WHERE rn <= 10")
 q("rnk16_synonyms", lambda d: f"WITH g AS (SELECT p_partkey % 50 AS grp, p_brand AS w FROM {{part}}), k AS (SELECT DISTINCT p_partkey AS id, p_brand AS w FROM {{part}} WHERE p_partkey % 40 = 0) SELECT DISTINCT id, b.w AS word FROM k JOIN g a ON a.w = k.w JOIN g b ON b.grp = a.grp")
 q("rnk18_sort_key", lambda d: "SELECT event_id, round(greatest(0.01 * event_id % 7, 0.2 * value / 100), 6) AS k FROM {events}".replace("0.01 * event_id % 7", "0.01 * (event_id % 7)"))
@@ -104,8 +104,6 @@ q("fn50_improved", lambda d: "SELECT event_id, CASE event_id % 3 WHEN 0 THEN val
 q("fn51_valid_step", lambda d: "SELECT event_id, CASE WHEN value = 0 THEN true WHEN event_id % 2 = 0 THEN abs(prev - value) <= 5 + 0.000000001 ELSE abs((prev - value) / value) * 100 <= 20 + 0.000000001 END AS ok FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM {events}) x WHERE prev IS NOT NULL")
 q("fn52_guards", lambda d: "WITH rules AS (SELECT 'view' AS metric, 'ge' AS op, 60.0 AS bound UNION ALL SELECT 'error', 'le', 40.0), m AS (SELECT event_type AS metric, avg(value) AS v FROM {events} GROUP BY 1) SELECT m.metric, CASE WHEN op = 'ge' THEN v >= bound ELSE v <= bound END AS ok FROM m JOIN rules ON rules.metric = m.metric")
 q("fn57_anchors", lambda d: f"SELECT doc_id, (length(text) - length(replace(text, 'the ', ''))) / 4 = 1 AS unique_anchor FROM {{documents}} WHERE text IS NOT NULL")
-q("fn58_estimate_quality", lambda d: "SELECT doc_id, round(CASE WHEN text IS NULL OR length(text) < 10 THEN CAST(0.1 AS DOUBLE) ELSE 0.3 + CASE WHEN contains(text, '.') THEN 0.2 ELSE 0 END + CASE WHEN contains(text, chr(10)) THEN 0.2 ELSE 0 END + least(length(text), 1000) / 1000.0 * 0.3 END, 4) AS quality FROM {documents}")
-q("fn59_component_kind", lambda d: "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'legal' WHEN contains(text, '|') THEN 'table' WHEN contains(text, ': ') THEN 'list' ELSE 'prose' END AS kind FROM {documents} WHERE text IS NOT NULL")
 q("fn60_context_xml", lambda d: f"SELECT source, concat('<source name=\"', source, '\">', {d.join(d.collect('concat(' + d.lit('<item>') + ', replace(replace(substring(text, 1, 40), ' + d.lit('&') + ', ' + d.lit('&amp;') + '), ' + d.lit('<') + ', ' + d.lit('&lt;') + '), ' + d.lit('</item>') + ')'), '')}, '</source>') AS xml FROM {{documents}} WHERE text IS NOT NULL GROUP BY source")
 q("fn61_fallback_embedding", lambda d: f"SELECT doc_id, round({d.dot('v', 'v')}, 4) AS sq, round({d.at('v', '1')}, 6) AS first FROM (SELECT doc_id, {d.map(d.steps('1', '16'), 'i', f'((instr({d.lit("0123456789abcdef")}, substring(h, 2 * i - 1, 1)) - 1) * 16 + instr({d.lit("0123456789abcdef")}, substring(h, 2 * i, 1)) - 1) / CAST(255 AS DOUBLE) * 2 - 1')} AS v FROM (SELECT doc_id, md5(text) AS h FROM {{documents}} WHERE text IS NOT NULL) x) y")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memloom.plans import kpi, more, ranking, relational, roundtrip, scalar, streams
+from memloom.plans import knowledge, kpi, more, ranking, relational, roundtrip, scalar, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (kpi, scalar, relational, ranking, streams, more, roundtrip):
+for _module in (kpi, scalar, relational, ranking, streams, more, roundtrip, knowledge):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -48,7 +48,6 @@ q("snk07_archive", lambda d: f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n,
 q("flt12_sources", lambda d: "SELECT doc_id FROM {documents} WHERE source NOT IN ('src1', 'src2', 'src3')")
 q("flt19_eligible", lambda d: "SELECT p_partkey FROM {part} WHERE p_size <> 1 AND NOT (p_name LIKE 'Part 1%') AND (p_brand = 'Brand#1' OR p_partkey IN (SELECT l_partkey FROM {lineitem}))")
 q("flt20_since", lambda d: "SELECT conv_id FROM (SELECT conv_id, max(turn) AS ended, min(turn) AS started FROM {conversations} GROUP BY conv_id) x WHERE coalesce(ended, started, 0) >= 3")
-q("flt22_mentions", lambda d: f"SELECT DISTINCT n_name, doc_id FROM {{nation}} CROSS JOIN (SELECT doc_id, source FROM {{documents}}) t WHERE concat('src', {d.varchar('n_nationkey')}) = source")
 q("flt24_cold", lambda d: "SELECT c_custkey, CAST(date_diff_ AS BIGINT) AS days_since FROM (SELECT c_custkey, DATEDIFF_EXPR AS date_diff_ FROM {customer} JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM {orders} GROUP BY 1) o ON o_custkey = c_custkey CROSS JOIN (SELECT max(o_orderdate) AS now FROM {orders}) m WHERE c_mktsegment <> 'BUILDING') x WHERE date_diff_ >= 90".replace("DATEDIFF_EXPR", "datediff(now, last)" if d.name == "spark" else "date_diff('day', CAST(last AS DATE), CAST(now AS DATE))"))
 q("flt25_hot", lambda d: "SELECT o_custkey, count(*) AS accesses FROM {orders} GROUP BY o_custkey HAVING count(*) >= 15")
 q("flt29_remove_candidates", lambda d: "SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 20 THEN 'auto' WHEN doc_id IN (SELECT doc_id FROM {labels} WHERE quality = 0) THEN 'verify' ELSE 'keep' END AS action FROM {documents}")
