@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir (a local folder where that is unset) and read back: its lineage ends there."""
+    """df written to spark.checkpoint.dir and read back: its lineage ends there. A local master may go without the setting."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "memloom-shared")
     path = f"{root}/memloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
