@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives the loss of any executor.
 
     The write's shuffle files go as soon as it is done, by Spark's own setting for that.
@@ -37,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -138,11 +138,11 @@ def removals(docs: DataFrame, twice: bool) -> DataFrame:
     # In order of the documents, so that the numbers Spark gives to rows are in order of the lines.
     lines = base.repartitionByRange("__id", "__mark").sortWithinPartitions("__id", "__mark").select("__id", "__mark", F.posexplode(F.split("text", "\n")).alias("line", "words")).where("ltrim(words) <> ''")
     lines = lines.select("__id", "__mark", "line", F.monotonically_increasing_id().alias("place"), F.expr(_tokens("words", _levels(base))).alias("toks")).withColumn("n", F.size("toks"))
-    wide = cut(lines.selectExpr("__id", "__mark", "line", f"place * {SIZE + 1} + least(n, {SIZE}) AS id", "n", "xxhash64(toks) AS k1", "hash(toks) AS k2", f"{_KEYS} AS keys"))
+    wide = cut(lines.selectExpr("__id", "__mark", "line", f"place * {SIZE + 1} + least(n, {SIZE}) AS id", "n", "xxhash64(toks) AS k1", "hash(toks) AS k2", f"{_KEYS} AS keys"), "zstd")
     dups = cut(wide.groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     spot = ("__id", "__mark", "line")
     copies = cut(wide.join(dups, ["k1", "k2", "n"]).where("id <> first").select(*spot))
-    reps = cut(wide.where("keys IS NOT NULL").join(dups, ["k1", "k2", "n"], "left").where("first IS NULL OR id = first").select(*spot, "id", "keys"))
+    reps = cut(wide.where("keys IS NOT NULL").join(dups, ["k1", "k2", "n"], "left").where("first IS NULL OR id = first").select(*spot, "id", "keys"), "zstd")
     discard(wide, dups)
     late = _similar_to_earlier(reps, base)
     gone = copies
