@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.sources.shared import cut
+
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, z: s + z)
@@ -67,35 +69,111 @@ def spanning_links(vectors: DataFrame, threshold: float, block: int = 2048) -> D
     return dealt.groupBy("p", "q").applyInPandas(forest, "a long, b long")
 
 
-def nearest(candidates: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0, block: int = 8192, group: int = 8192) -> DataFrame:
-    """Exact cosine top-k: (qid, id, sim) for queries (qid, vec) over candidates (id, vec), sim >= threshold, ties by id.
+def _dealt(candidates: DataFrame, queries: DataFrame, block: int, within: str | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the tile (within, b, g) each row belongs to: every block of candidates meets every block of queries, of the same group only."""
+    deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    if within is None:
+        c, q = candidates.withColumn("grp", F.lit(0)), queries.withColumn("grp", F.lit(0))
+        nb, ng = (F.lit(max(1, math.ceil(x.count() / block))) for x in (candidates, queries))
+        c, q = c.withColumns({"nb": nb, "ng": ng}), q.withColumns({"nb": nb, "ng": ng})
+    else:
+        c, q = (x.withColumn("grp", F.col(within).alias("grp")) for x in (candidates, queries))
+        size = lambda x, n: x.groupBy("grp").agg(F.ceil(F.count("*") / block).alias(n))
+        sizes = size(c, "nb").join(size(q, "ng"), "grp")
+        c, q = c.join(sizes, "grp"), q.join(sizes, "grp")
+    c = c.where(finite("vec")).select("id", "vec", "grp", deal("id", F.col("nb")).alias("b"), every(F.col("ng")).alias("g"))
+    q = q.where(finite("vec")).select("qid", F.col("vec").alias("qvec"), "grp", deal("qid", F.col("ng")).alias("g"), every(F.col("nb")).alias("b"))
+    return c, q
+
+
+def nearest(candidates: DataFrame, queries: DataFrame, k: int | None, threshold: float = -1.0, block: int = 4096, order: str = "best", among: str = "all", within: str | None = None) -> DataFrame:
+    """(qid, id, sim, rank): the first k candidates (id, vec) of each query (qid, vec) with a cosine >= threshold, exactly.
+
+    order: "best" (by cosine, ties by id), "first" (by id) or "last" (by id, downwards); k None: all of them.
+    among: "all" candidates, the "other" ones (id <> qid) or the "earlier" ones (id < qid); within: only candidates
+    with the same value in that column (null: none).
+    Cosines are rounded to 6 places. Both sides are dealt into blocks; a task multiplies one block of each, so
+    neither side is collected or broadcast, and a hot group is spread over its pairs of blocks.
+    """
+    c, q = _dealt(candidates, queries, block, within)
 
-    Both sides are dealt into blocks; a task multiplies one block of each, so neither side is collected or broadcast.
+    def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+        x = x.sort_values("id", ascending=order != "last")
+        ids, qids = x["id"].to_numpy(), y["qid"].to_numpy()
+        sims = np.round(unit_rows(y["qvec"]) @ unit_rows(x["vec"]).T, 6)
+        good = sims >= threshold
+        if among != "all":
+            good &= ids[None, :] < qids[:, None] if among == "earlier" else ids[None, :] != qids[:, None]
+        if k is None:
+            r, j = np.nonzero(good)
+        else:
+            cost = np.where(good, -sims if order == "best" else 0.0, np.inf)
+            top = np.argsort(cost, axis=1, kind="stable")[:, :k]
+            r, at = np.nonzero(np.take_along_axis(good, top, 1))
+            j = top[r, at]
+        return pd.DataFrame({"qid": qids[r], "id": ids[j], "sim": sims[r, j]})
+
+    found = c.groupBy("grp", "b", "g").cogroup(q.groupBy("grp", "b", "g")).applyInPandas(tile, "qid long, id long, sim double")
+    if k is None:
+        return found
+    by = {"best": [F.desc("sim"), F.col("id")], "first": [F.col("id")], "last": [F.desc("id")]}[order]
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*by))).where(F.col("rank") <= k)
+
+
+def similarity_counts(vectors: DataFrame, edges: list[float], block: int = 4096) -> DataFrame:
+    """(bucket, n): how many pairs of vectors (id, vec) have a cosine, rounded to 6 places, in each bucket; bucket i holds edges[i - 1] <= cosine < edges[i].
+
+    Each task counts the pairs of two blocks, so a task returns len(edges) + 1 rows at most.
     """
-    nb, ng = max(1, math.ceil(candidates.count() / block)), max(1, math.ceil(queries.count() / group))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = candidates.where(finite("vec")).select("id", "vec", deal("id", nb).alias("b"), every(ng).alias("g"))
-    q = queries.where(finite("vec")).select("qid", "vec", deal("qid", ng).alias("g"), every(nb).alias("b"))
+    n = max(1, math.ceil(vectors.count() / block))
+    own = vectors.where(finite("vec")).select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+
+    def count(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        p, q = key
+        u = unit_rows(g["vec"])
+        side = g["own"].to_numpy()
+        sims = np.round(u @ u.T, 6)[np.triu_indices(len(g), 1)] if p == q else np.round(u[side == p] @ u[side == q].T, 6).ravel()
+        bucket, times = np.unique(np.searchsorted(edges, sims, side="right"), return_counts=True)
+        return pd.DataFrame({"bucket": bucket, "n": times})
+
+    return dealt.groupBy("p", "q").applyInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
 
-    def unit(v: pd.Series) -> np.ndarray:
-        m = np.stack(v.to_list()).astype(float)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+def attend(vectors: DataFrame, within: str, keep: int = 5, block: int = 4096) -> DataFrame:
+    """(query, id, soft): softmax attention of each vector (id, vec) to the others of its group, scores dot / sqrt(dimension) rounded to 6 places.
+
+    Kept are shares of at least a tenth of the mean share with a positive score, the `keep` best, ties by id.
+    A task returns its blocks' best rows and, per query, the count, greatest score and sum that make up the
+    softmax; no group is gathered.
+    """
+    c, q = _dealt(vectors, vectors.select(F.col("id").alias("qid"), "vec", within), block, within)
 
     def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+            return pd.DataFrame(columns=["qid", "id", "raw", "n", "most", "total"])
         x = x.sort_values("id")
-        sims = np.round(unit(y["vec"]) @ unit(x["vec"]).T, 6)
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        s = np.take_along_axis(sims, top, 1)
-        keep = s >= threshold
-        return pd.DataFrame({"qid": np.repeat(y["qid"].to_numpy(), keep.sum(1)), "id": x["id"].to_numpy()[top[keep]], "sim": s[keep]})
-
-    found = c.groupBy("b", "g").cogroup(q.groupBy("b", "g")).applyInPandas(tile, "qid long, id long, sim double")
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        ids, qids = x["id"].to_numpy(), y["qid"].to_numpy()
+        a, b = (np.stack(v.to_list()).astype(float) for v in (y["qvec"], x["vec"]))
+        raw = np.where(ids[None, :] == qids[:, None], -np.inf, np.round(a @ b.T / math.sqrt(a.shape[1]), 6))
+        most = raw.max(axis=1)
+        some = np.isfinite(most)
+        sums = pd.DataFrame({"qid": qids[some], "id": None, "raw": None, "n": np.isfinite(raw[some]).sum(1), "most": most[some], "total": np.exp(raw[some] - most[some, None]).sum(1)})
+        top = np.argsort(-raw, axis=1, kind="stable")[:, :keep]
+        r, at = np.nonzero(np.take_along_axis(raw, top, 1) > 0)
+        best = pd.DataFrame({"qid": qids[r], "id": ids[top[r, at]], "raw": raw[r, top[r, at]], "n": None, "most": None, "total": None})
+        return pd.concat([sums.astype(object), best.astype(object)])
+
+    out = cut(c.groupBy("grp", "b", "g").cogroup(q.groupBy("grp", "b", "g")).applyInPandas(tile, "qid long, id long, raw double, n long, most double, total double"))
+    sums = out.where("id IS NULL")
+    peak = sums.groupBy("qid").agg(F.sum("n").alias("n"), F.max("most").alias("peak"))
+    total = sums.select("qid", "most", "total").join(peak, "qid").groupBy("qid", "n", "peak").agg(F.sum(F.col("total") * F.exp(F.col("most") - F.col("peak"))).alias("total"))
+    soft = out.where("id IS NOT NULL").select("qid", "id", "raw").join(total, "qid").select(F.col("qid").alias("query"), "id", "n", (F.exp(F.col("raw") - F.col("peak")) / F.col("total")).alias("soft"))
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("soft"), "id"))
+    return soft.where(F.col("soft") >= 0.1 / F.col("n")).withColumn("rank", order).where(F.col("rank") <= keep).select("query", "id", "soft")
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, threshold: float, strict: bool = True) -> DataFrame:

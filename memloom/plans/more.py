@@ -8,7 +8,7 @@ from memloom.functions.dialect import SPARK
 from memloom.operators import cluster, dedup, parse
 from memloom.plans.base import Registry, table
 from memloom.plans.ranking import _bigrams, cents, cos, vecs
-from memloom.plans.relational import NODES, PAIRS, USES
+from memloom.plans.relational import NODES
 from pyspark.sql import functions as F
 
 R = Registry()
@@ -16,30 +16,15 @@ QUERIES, ORACLES = R.queries, R.oracles
 q = R.sql
 
 
-def near(d, where="a.vec_id % 20 = 0", more=""):
-    """Pairs (a, b, sim) of a few new vectors with all older ones."""
-    return f"{vecs(d)}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, {cos(d, 'a', 'b')} AS sim FROM v a JOIN v b ON b.vec_id < a.vec_id WHERE {where}{more})"
-
-
-q("ded17_two_zones", lambda d: f"{near(d)}, m AS (SELECT a, max(sim) AS sim, {d.best('b', 'sim', '-b')} AS b FROM s GROUP BY a) SELECT a, b, CASE WHEN sim > 0.45 THEN 'duplicate' WHEN sim >= 0.40 THEN 'judge' ELSE 'new' END AS zone FROM m")
-q("ded19_first_leaf", lambda d: f"{near(d)} SELECT a, min(b) AS b FROM s WHERE sim > 0.35 GROUP BY a")
-q("ded20_best_leaf", lambda d: f"{near(d)} SELECT a, {d.best('b', 'sim', '-b')} AS b, round(max(sim), 6) AS sim FROM s WHERE sim > 0.35 GROUP BY a")
-q("ded10_similarity_histogram", lambda d: f"{near(d)} SELECT CASE WHEN sim < 0 THEN '<0' WHEN sim < 0.2 THEN '0-0.2' WHEN sim < 0.4 THEN '0.2-0.4' ELSE '0.4+' END AS bucket, count(*) AS n FROM s GROUP BY 1")
 q("ded15_normal_bigram_jaccard", lambda d: f"SELECT conv_id, turn, round(CASE WHEN x = y AND x <> '' THEN CAST(1 AS DOUBLE) ELSE {t.jaccard(d, t.grams(d, 'x'), t.grams(d, 'y'))} END, 6) AS sim FROM (SELECT conv_id, turn, {d.sub('lower(text)', r'\s+')} AS x, {d.sub('lower(lag(text) OVER (PARTITION BY conv_id ORDER BY turn))', r'\s+')} AS y FROM {{conversations}} WHERE text IS NOT NULL) z WHERE y IS NOT NULL")
 q("ded22_match_entity", lambda d: f"WITH e AS (SELECT n_nationkey AS id, lower(n_name) AS name FROM {{nation}}), m AS (SELECT DISTINCT lower(substring(n_name, 1, 6)) AS mention FROM {{nation}}), x AS (SELECT mention, id, CASE WHEN name = mention THEN CAST(2 AS DOUBLE) ELSE {t.dice(d, t.grams(d, 'mention', 3), t.grams(d, 'name', 3))} END AS sim FROM m CROSS JOIN e), r AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY sim DESC, id) AS rn FROM x WHERE sim >= 0.5) SELECT mention, id FROM r WHERE rn = 1")
-q("vec03_similarity_sums", lambda d: f"{vecs(d)} SELECT a.label AS x, b.label AS y, round(avg({cos(d, 'a', 'b')}), 6) AS mean FROM v a CROSS JOIN v b GROUP BY 1, 2")
 q("vec04_batch_cosine", lambda d: f"{vecs(d)}, u AS (SELECT * FROM v WHERE vec_id = 0) SELECT v.vec_id, round(coalesce(CASE WHEN v.vec_id % 7 <> 0 THEN {cos(d, 'u', 'v')} END, 0), 6) + CAST(0 AS DOUBLE) AS sim FROM v CROSS JOIN u")
 q("vec08_local_query", lambda d: f"{vecs(d)}, {cents(d)}, k AS (SELECT label, count(*) AS m FROM v GROUP BY label) SELECT v.vec_id, round({d.at('v.embedding', '1')} + CASE WHEN m >= 20 THEN 0.3 * {d.at('cn.embedding', '1')} ELSE 0 END, 6) AS q1 FROM v JOIN cn ON cn.label = v.label JOIN k ON k.label = v.label")
 q("vec12_match_or_create", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn), m AS (SELECT vec_id, {d.best('label', 'sim', '-label')} AS label, max(sim) AS sim FROM s GROUP BY vec_id) SELECT vec_id, CASE WHEN sim > 0.3 THEN {d.varchar('label')} ELSE 'new' END AS subject FROM m")
 q("vec13_locate_subject", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn), m AS (SELECT vec_id, {d.best('label', 'sim', '-label')} AS label FROM s GROUP BY vec_id), k AS (SELECT vec_id, label AS hit FROM v WHERE vec_id % 4 = 0) SELECT m.vec_id, coalesce(k.hit, m.label) AS subject, k.hit IS NOT NULL AS by_keyword FROM m LEFT JOIN k ON k.vec_id = m.vec_id")
 q("vec14_semantic_domain", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn) SELECT vec_id, {d.best('label', 'sim', '-label')} AS domain FROM s GROUP BY vec_id HAVING max(sim) > 0.28")
-q("vec16_semantic_cache", lambda d: f"{near(d, more=' AND a.label = b.label')}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS rn FROM s WHERE sim >= 0.2) SELECT a, b FROM r WHERE rn = 1")
-q("vec17_recent_lookup", lambda d: f"{near(d, more=' AND a.label = b.label')} SELECT a, max(b) AS b FROM s WHERE sim >= 0.15 GROUP BY a")
-q("vec18_prescreen", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS rn FROM s) SELECT a, b, rn FROM r WHERE rn <= 30")
-q("clu06_assign", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn WHERE v.vec_id % 2 = 1) SELECT vec_id, {d.best('label', 'sim', '-label')} AS entity FROM s GROUP BY vec_id HAVING max(sim) >= 0.3")
 q("clu16_child_vectors", lambda d: f"WITH RECURSIVE {NODES}, walk(root, id, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'domain' UNION ALL SELECT w.root, n.id, w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE w.depth < 3) SELECT root, count(*) AS vectors FROM walk JOIN {{embeddings}} ON vec_id = walk.id GROUP BY root")
 q("clu17_backfill", lambda d: "SELECT conv_id, turn, text FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {conversations} WHERE text IS NOT NULL) x WHERE rn = 1")
-q("rnk17_match_skills", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS rn FROM s) SELECT a, b, round(least(0.49, 0.3 + greatest(sim, 0)), 6) AS score FROM r WHERE rn <= 3")
 q("join26_similar_history", lambda d: f"WITH h AS (SELECT conv_id, turn, {t.word_set(d, 'text')} AS w FROM {{conversations}} WHERE text IS NOT NULL AND turn > 0), n AS (SELECT conv_id, {t.word_set(d, 'text')} AS w FROM {{conversations}} WHERE text IS NOT NULL AND turn = 0), s AS (SELECT h.conv_id, h.turn, {t.jaccard(d, 'h.w', 'n.w')} AS sim FROM h JOIN n ON n.conv_id = h.conv_id) SELECT conv_id, turn, round(sim, 6) AS sim FROM s WHERE sim > 0")
 q("join27_subject_load", lambda d: f"WITH {NODES} SELECT s.id AS subject, count(p.id) AS points, {d.join(d.map(d.first(d.collect('p.id'), 3), 'i', d.varchar('i')), ',')} AS ids FROM nodes s JOIN nodes p ON p.parent = s.id WHERE s.kind = 'subject' GROUP BY s.id HAVING count(p.id) >= 3")
 q("flt27_compress_quality", lambda d: f"SELECT doc_id, length(short) >= 20 AND length(short) <= 0.9 * length(text) AND {d.size(d.inter(t.key_numbers(d, 'text'), t.key_numbers(d, 'short')))} * 2 >= {d.size(t.key_numbers(d, 'text'))} AND {d.size(d.inter(t.proper_nouns(d, 'text'), t.proper_nouns(d, 'short')))} * 4 >= {d.size(t.proper_nouns(d, 'text'))} AS ok FROM (SELECT doc_id, text, {t.head_tail(d, 'text', 400)} AS short FROM {{documents}} WHERE text IS NOT NULL) x")
@@ -48,8 +33,6 @@ q("fn15_capped_keywords", lambda d: f"SELECT doc_id, {d.join(d.first(d.distinct(
 q("fn22_judge_reply", lambda d: f"SELECT event_id, round(least(1, greatest(0, CAST({d.one('s', '([0-9]+[.]?[0-9]*)', 1)} AS DOUBLE))), 6) AS score FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('score: ', {d.varchar('event_id % 3')}, '.', {d.varchar('event_id % 7')}) ELSE {d.varchar('event_id % 5')} END AS s FROM {{events}}) x")
 q("fn42_choice_label", lambda d: f"SELECT conv_id, turn, coalesce(nullif({d.one('text', '[(]([A-D])[)]', 1)}, ''), nullif({d.one('text', '^([A-D])([ .]|$)', 1)}, ''), upper(substring(text, 1, 1))) AS label FROM {{conversations}} WHERE text IS NOT NULL")
 q("fn55_keyword_marks", lambda d: f"WITH rules AS (SELECT 'license' AS word, '作废' AS mark UNION ALL SELECT 'idiot', '可疑'), h AS (SELECT doc_id, mark, row_number() OVER (PARTITION BY mark ORDER BY doc_id DESC) AS rn FROM {{documents}} CROSS JOIN rules WHERE contains(lower(text), word) AND NOT {d.has('text', '标记: ')}) SELECT doc_id, mark FROM h WHERE rn <= 500")
-q("src17_recall", lambda d: f"{near(d)}, r AS (SELECT a, b, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS pos FROM s) SELECT a AS query, b AS node_id, pos, round(sim, 6) AS rerank_score FROM r WHERE pos <= 10")
-q("src18_section_search", lambda d: f"{near(d, more=' AND b.label IN (1, 2, 3)')}, r AS (SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS BIGINT) AS pos FROM s) SELECT a, b, pos FROM r WHERE pos <= 5")
 q("str04_hour_of_state", lambda d: "SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS BIGINT) AS running FROM {events} GROUP BY 1, 2")
 
 

@@ -37,7 +37,7 @@ q("rnk12_turn_dedup", lambda d: f"WITH {CAND}, s AS (SELECT query, id, score, ro
 q("rnk13_recall_pipeline", lambda d: f"WITH {CAND}, kept AS (SELECT * FROM cand WHERE source <> 'error'), boosted AS (SELECT query, id, source, ts, least(2, score * least(1 + 0.1 * (row_number() OVER (PARTITION BY query, source ORDER BY ts, id) - 1), 2)) AS score FROM kept), fused AS (SELECT query, id, source, score * (0.5 + 0.5 * exp(-greatest({days(d, NOW, 'ts')}, 0) / 30)) AS score FROM boosted WHERE score >= 0.1), one AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) AS own FROM fused), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS BIGINT) AS rn FROM one WHERE own <= 2) SELECT query, id, source, round(score, 4) AS score, rn FROM top WHERE rn <= 5")
 q("rnk14_eval_match", lambda d: f"WITH u AS (SELECT doc_id, {d.distinct(d.words('lower(text)'))} AS w FROM {{documents}} WHERE text IS NOT NULL), b AS (SELECT item_id, {d.distinct(d.words('lower(text)'))} AS w FROM {{benchmark}}), uw AS (SELECT doc_id, {d.explode('w')} AS x FROM u), bw AS (SELECT item_id, {d.explode('w')} AS x FROM b), o AS (SELECT doc_id, item_id, count(*) AS n FROM uw JOIN bw USING (x) GROUP BY 1, 2), s AS (SELECT o.doc_id, o.item_id, n / CAST({d.size('b.w')} AS DOUBLE) AS share FROM o JOIN b ON b.item_id = o.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, item_id) AS rn FROM s) SELECT doc_id, item_id, round(share, 6) AS share FROM r WHERE rn = 1 AND share >= 0.3")
 q("rnk15_keyword_prescreen", lambda d: f"WITH s AS (SELECT p_partkey AS id, {d.distinct(d.words('lower(p_name)'))} AS n, {d.distinct(d.words('lower(p_type)'))} AS c, lower(p_brand) AS b FROM {{part}}), qs AS (SELECT n_nationkey AS qid, {d.distinct(d.words("lower(concat('part ', n_name, ' economy 7 12'))"))} AS w FROM {{nation}}), x AS (SELECT qid, id, 5 * {d.size(d.inter('w', 'n'))} + 3 * {d.size(d.inter('w', 'c'))} AS score FROM qs CROSS JOIN s), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM x WHERE score > 0) SELECT qid, id, score FROM r WHERE rn <= 10")
-q("rnk16_synonyms", lambda d: f"WITH g AS (SELECT p_partkey % 50 AS grp, p_brand AS w FROM {{part}}), k AS (SELECT DISTINCT p_partkey AS id, p_brand AS w FROM {{part}} WHERE p_partkey % 40 = 0) SELECT DISTINCT id, b.w AS word FROM k JOIN g a ON a.w = k.w JOIN g b ON b.grp = a.grp")
+q("rnk16_synonyms", lambda d: f"WITH g AS (SELECT p_partkey % 50 AS grp, p_brand AS w FROM {{part}}), k AS (SELECT DISTINCT p_partkey AS id, p_brand AS w FROM {{part}} WHERE p_partkey % 50 = 0) SELECT DISTINCT id, b.w AS word FROM k JOIN g a ON a.w = k.w JOIN g b ON b.grp = a.grp")
 q("rnk18_sort_key", lambda d: "SELECT event_id, round(greatest(0.01 * event_id % 7, 0.2 * value / 100), 6) AS k FROM {events}".replace("0.01 * event_id % 7", "0.01 * (event_id % 7)"))
 q("rnk19_rank_skills", lambda d: "WITH s AS (SELECT s_suppkey AS id, count(l_orderkey) AS activity, avg(l_discount) AS neg FROM {supplier} LEFT JOIN {lineitem} ON l_suppkey = s_suppkey GROUP BY s_suppkey), r AS (SELECT id, round(3 * coalesce(neg, 0) + 0.5 * ln(1 + activity), 6) AS score FROM s WHERE activity > 0) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS BIGINT) AS rank FROM r")
 q("rnk20_negative_decay", lambda d: f"WITH o AS (SELECT user_id AS k, count(*) AS ema FROM {{events}} WHERE event_type = 'error' AND event_id % 2 = 0 GROUP BY 1), n AS (SELECT user_id AS k, count(*) AS fresh FROM {{events}} WHERE event_type = 'error' AND event_id % 2 = 1 GROUP BY 1) SELECT coalesce(o.k, n.k) AS k, round(coalesce(ema, 0) * power(0.5, 7 / CAST(14 AS DOUBLE)) + coalesce(fresh, 0), 6) AS ema FROM o FULL OUTER JOIN n ON o.k = n.k WHERE coalesce(ema, 0) * power(0.5, 7 / CAST(14 AS DOUBLE)) + coalesce(fresh, 0) >= 0.5")
@@ -112,7 +112,6 @@ q("clu02_parameters", lambda d: "SELECT source, n, CASE WHEN n < 20 THEN 2 WHEN
 q("clu03_clusters", lambda d: "SELECT label, count(*) AS n, min(vec_id) AS representative FROM {embeddings} WHERE label >= 0 GROUP BY label HAVING count(*) <= 60")
 q("clu09_report", lambda d: "SELECT count(*) AS clusters, round(avg(n), 6) AS mean_size, round(avg(CASE WHEN n < 50 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS small_share FROM (SELECT label, count(*) AS n FROM {embeddings} GROUP BY label) x")
 q("clu13_merge_candidates", lambda d: f"WITH {USES}, s AS (SELECT DISTINCT session, node % 25 AS subject FROM uses), n AS (SELECT subject, count(*) AS points FROM s GROUP BY 1), c AS (SELECT x.subject AS a, y.subject AS b, count(*) AS n FROM s x JOIN s y ON x.session = y.session AND x.subject < y.subject GROUP BY 1, 2), r AS (SELECT a, b, n / CAST(max(n) OVER () AS DOUBLE) AS rate FROM c) SELECT a, b, CASE WHEN p.points + o.points < 20 THEN 'merge' ELSE 'link' END AS action FROM r JOIN n p ON p.subject = a JOIN n o ON o.subject = b WHERE rate > 0.30")
-q("clu14_entity_jaccard", lambda d: "WITH bridge AS (SELECT DISTINCT l_orderkey AS u, l_suppkey AS e FROM {lineitem}), s AS (SELECT u, count(*) AS n FROM bridge GROUP BY u), p AS (SELECT x.u AS a, y.u AS b, count(*) AS n FROM bridge x JOIN bridge y ON x.e = y.e AND x.u < y.u WHERE x.u % 100 = 0 GROUP BY 1, 2) SELECT a, b, round(p.n / CAST(sa.n + sb.n - p.n AS DOUBLE), 6) AS sim FROM p JOIN s sa ON sa.u = a JOIN s sb ON sb.u = b")
 q("clu15_info_density", lambda d: f"WITH w AS (SELECT doc_id, {d.explode(d.words('lower(text)'))} AS w FROM {{documents}} WHERE text IS NOT NULL), f AS (SELECT w, count(*) AS cf FROM w GROUP BY w), n AS (SELECT count(*) AS n FROM {{documents}} WHERE text IS NOT NULL), s AS (SELECT doc_id, avg(ln(n / CAST(1 + cf AS DOUBLE))) AS density FROM w JOIN f USING (w) CROSS JOIN n GROUP BY doc_id) SELECT doc_id, round(CASE WHEN max(density) OVER () = min(density) OVER () THEN 0 ELSE (density - min(density) OVER ()) / (max(density) OVER () - min(density) OVER ()) END, 4) AS density FROM s")
 q("clu19_failure_patterns", lambda d: f"SELECT event_type, user_id % 10 AS op, count(*) AS n, {d.join(d.map(d.first(d.collect('event_id'), 3), 'i', d.varchar('i')), ',')} AS reasons FROM {{events}} GROUP BY 1, 2")
 q("clu20_placement", lambda d: f"WITH {NODES}, c AS (SELECT parent, count(*) AS n FROM nodes WHERE kind = 'subject' GROUP BY parent) SELECT k.id, CASE WHEN c.n < 3 THEN concat('root/', {d.varchar('s.parent')}) ELSE {d.varchar('s.id')} END AS place FROM nodes k JOIN nodes s ON s.id = k.parent JOIN c ON c.parent = s.parent WHERE k.kind = 'knowledge_point'")
@@ -144,19 +143,12 @@ def cents(d):
 q("vec01_cosine", lambda d: f"{vecs(d)} SELECT a.vec_id AS a, b.vec_id AS b, round({cos(d, 'a', 'b')}, 6) + CAST(0 AS DOUBLE) AS sim FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id")
 q("vec05_centroids", lambda d: f"{vecs(d)}, {cents(d)} SELECT label, round(n, 6) AS norm, round({d.at('embedding', '1')}, 6) AS first FROM cn")
 q("vec06_best_domain", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS rn FROM s) SELECT vec_id, CASE WHEN sim > 0.25 THEN label END AS domain, round(sim, 4) AS sim FROM r WHERE rn = 1")
-q("vec07_attention", lambda d: f"{vecs(d)}, s AS (SELECT a.vec_id AS query, b.vec_id AS id, {d.dot('a.embedding', 'b.embedding')} / sqrt(64) AS raw FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0), e AS (SELECT *, count(*) OVER (PARTITION BY query) AS n, exp(raw - max(raw) OVER (PARTITION BY query)) AS e FROM s), f AS (SELECT *, e / sum(e) OVER (PARTITION BY query) AS soft FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY soft DESC, id) AS rn FROM f WHERE soft >= 0.1 / n AND raw > 0) SELECT query, id, round(soft, 4) AS score FROM r WHERE rn <= 5")
 q("vec09_subject_offset", lambda d: f"{vecs(d)}, {cents(d)} SELECT a.label, round({d.at('a.embedding', '1')} - avg({d.at('b.embedding', '1')}), 6) AS offset1 FROM cn a JOIN cn b ON a.label <> b.label GROUP BY a.label, {d.at('a.embedding', '1')}")
 q("vec11_centroid_move", lambda d: f"{vecs(d)}, {cents(d)}, k AS (SELECT label, count(*) AS m FROM v GROUP BY label) SELECT v.vec_id, round(({d.at('cn.embedding', '1')} * m - {d.at('v.embedding', '1')}) / (m - 1), 6) AS left1 FROM v JOIN cn ON cn.label = v.label JOIN k ON k.label = v.label")
 q("clu05_match_entities", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT a.label AS fresh, b.label AS known, {cos(d, 'a', 'b')} AS sim FROM cn a JOIN cn b ON a.label >= 5 AND b.label < 5), r AS (SELECT *, row_number() OVER (PARTITION BY fresh ORDER BY sim DESC, known) AS rn FROM s) SELECT fresh, known, round(sim, 4) AS sim FROM r WHERE rn = 1")
 
 
 # --- Python-backed or iterative operators: rows-only for the driver, brute force in the tests
-@R.add("vec02_nearest", f"WITH v AS (SELECT vec_id, embedding, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings), s AS (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / (q.n * c.n), 6) AS sim FROM v q CROSS JOIN v c WHERE q.vec_id % 25 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS INTEGER) AS rank FROM s) SELECT qid, id, sim, rank FROM r WHERE rank <= 5")
-def vec02_nearest(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return vectors.nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")), 5)
-
-
 def _bigrams(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("length(text) >= 1")
     return docs.select(F.col("doc_id").alias("id"), F.expr(t.grams(SPARK, "text")).alias("items"))
@@ -174,9 +166,9 @@ def ded02_minhash(spark, sf_dir):
     return dedup.survivors(sets.select("id", F.col("id").alias("ord")), dedup.minhash_pairs(sets, 0.85)).select("id", "kept")
 
 
-@R.add("ded07_jaccard_pairs", "WITH s AS (SELECT doc_id AS id, CASE WHEN len(w) < 2 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS x FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda z: z <> '') AS w FROM documents WHERE length(text) BETWEEN 1 AND 2000)), e AS (SELECT id, len(x) AS n, unnest(x) AS g FROM s), p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3, 4) SELECT a, b, round(c / CAST(na + nb - c AS DOUBLE), 6) AS sim FROM p WHERE c / CAST(na + nb - c AS DOUBLE) >= 0.8")
+@R.add("ded07_jaccard_pairs", "WITH s AS (SELECT doc_id AS id, CASE WHEN len(w) < 2 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS x FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda z: z <> '') AS w FROM documents WHERE length(text) >= 1)), e AS (SELECT id, len(x) AS n, unnest(x) AS g FROM s), p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3, 4) SELECT a, b, round(c / CAST(na + nb - c AS DOUBLE), 6) AS sim FROM p WHERE c / CAST(na + nb - c AS DOUBLE) >= 0.8")
 def ded07_jaccard_pairs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) BETWEEN 1 AND 2000")
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 1")
     sets = docs.select(F.col("doc_id").alias("id"), F.expr(t.word_shingles(SPARK, "text")).alias("items"))
     return dedup.similar_pairs(sets, 0.8).withColumn("sim", F.round("sim", 6))
 

@@ -56,8 +56,8 @@ q("flt31_zombies", lambda d: "SELECT s_suppkey FROM {supplier} WHERE NOT EXISTS
 
 # --- joins
 q("join01_freshness", lambda d: "SELECT t.doc_id FROM {documents} t JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(text) WHEN doc_id % 3 = 1 THEN 'stale' END AS stored FROM {documents}) h ON h.doc_id = t.doc_id WHERE stored IS NULL OR stored <> md5(text)")
-q("join02_siblings", lambda d: f"WITH {NODES}, seeds AS (SELECT id, parent FROM nodes WHERE kind = 'knowledge_point' AND id % 97 = 0) SELECT id, CAST(0.5 AS DOUBLE) AS score FROM nodes WHERE parent IN (SELECT parent FROM seeds) AND id NOT IN (SELECT id FROM seeds)")
-q("join03_shared_entities", lambda d: "WITH bridge AS (SELECT DISTINCT l_orderkey AS unit, l_partkey AS entity FROM {lineitem}) SELECT a.unit AS seed, b.unit AS peer, least(1.0, count(*) / 5.0) AS score FROM bridge a JOIN bridge b ON a.entity = b.entity AND a.unit <> b.unit WHERE a.unit % 101 = 0 GROUP BY a.unit, b.unit".replace("least(1.0, count(*) / 5.0)", "least(CAST(1 AS DOUBLE), count(*) / CAST(5 AS DOUBLE))"))
+q("join02_siblings", lambda d: f"WITH {NODES}, seeds AS (SELECT id, parent FROM nodes WHERE kind = 'knowledge_point' AND id % 50 = 0) SELECT id, CAST(0.5 AS DOUBLE) AS score FROM nodes WHERE parent IN (SELECT parent FROM seeds) AND id NOT IN (SELECT id FROM seeds)")
+q("join03_shared_entities", lambda d: "WITH bridge AS (SELECT DISTINCT l_orderkey AS unit, l_partkey AS entity FROM {lineitem}) SELECT a.unit AS seed, b.unit AS peer, least(1.0, count(*) / 5.0) AS score FROM bridge a JOIN bridge b ON a.entity = b.entity AND a.unit <> b.unit WHERE a.unit % 50 = 0 GROUP BY a.unit, b.unit".replace("least(1.0, count(*) / 5.0)", "least(CAST(1 AS DOUBLE), count(*) / CAST(5 AS DOUBLE))"))
 q("join04_edge_hops", lambda d: f"WITH {PAIRS}, sides AS (SELECT a AS seed, b AS peer, n FROM pairs UNION ALL SELECT b, a, n FROM pairs) SELECT seed, peer, round(least(CAST(1 AS DOUBLE), sum(n) / CAST(3 AS DOUBLE)), 6) AS score FROM sides WHERE seed % 50 = 0 GROUP BY seed, peer")
 q("join05_multi_hop", lambda d: f"WITH {PAIRS}, routes AS (SELECT b AS id, 1 AS route, least(CAST(1 AS DOUBLE), n / CAST(3 AS DOUBLE)) AS score FROM pairs WHERE a = 7 UNION ALL SELECT p_partkey, 2, CAST(0.5 AS DOUBLE) FROM {{part}} WHERE p_brand = (SELECT p_brand FROM {{part}} WHERE p_partkey = 7) AND p_partkey <> 7 UNION ALL SELECT p_partkey, 3, CAST(0.4 AS DOUBLE) FROM {{part}} WHERE p_size = (SELECT p_size FROM {{part}} WHERE p_partkey = 7) AND p_partkey <> 7), one AS (SELECT id, route, score, row_number() OVER (PARTITION BY id ORDER BY route, score DESC) AS rn FROM routes) SELECT id, route, round(score, 6) AS score FROM one WHERE rn = 1")
 q("join06_orphans", lambda d: "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON o_custkey = c_custkey".replace("LEFT ANTI JOIN", "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"))
@@ -74,10 +74,8 @@ q("join16_versions", lambda d: "SELECT o_custkey AS k, o_orderkey AS version, o_
 q("join17_eval_traffic", lambda d: f"WITH e AS (SELECT user_id, ts, CAST(floor({d.epoch('ts')} / 3600) AS BIGINT) AS b FROM {{events}} WHERE event_type = 'error'), m AS (SELECT event_id, user_id, ts, CAST(floor({d.epoch('ts')} / 3600) AS BIGINT) AS b FROM {{events}} WHERE event_type = 'view'), near AS (SELECT user_id, ts, {d.explode('[b, b + 1]' if d.name == 'duckdb' else 'array(b, b + 1)')} AS b FROM e) SELECT event_id, EXISTS (SELECT 1 FROM near WHERE near.user_id = m.user_id AND near.b = m.b AND m.ts >= near.ts AND m.ts <= near.ts + INTERVAL '3600' SECOND) AS is_eval FROM m")
 q("join18_causal_boost", lambda d: f"WITH {PAIRS}, s AS (SELECT p_partkey AS id, p_size / CAST(50 AS DOUBLE) AS score FROM {{part}}), f AS (SELECT b AS id, sum(ln(least(1 + 0.05 * s.score * coalesce(n / CAST(10 AS DOUBLE), 0.5), 1.10))) AS g FROM pairs JOIN s ON s.id = pairs.a GROUP BY b) SELECT s.id, round(score * exp(coalesce(g, 0)), 6) AS score FROM s LEFT JOIN f ON f.id = s.id")
 q("join19_subject_edges", lambda d: f"WITH v AS (SELECT vec_id, label, embedding, sqrt({d.dot('embedding', 'embedding')}) AS n FROM {{embeddings}}), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM v) SELECT a.vec_id AS a, b.vec_id AS b FROM r a JOIN r b ON a.label = b.label AND a.vec_id < b.vec_id AND a.rn <= 100 AND b.rn <= 100 WHERE {d.dot('a.embedding', 'b.embedding')} / (a.n * b.n) > 0.25")
-q("join20_edge_weights", lambda d: f"WITH v AS (SELECT vec_id, label, embedding, sqrt({d.dot('embedding', 'embedding')}) AS n FROM {{embeddings}}), e AS (SELECT a.vec_id AS a, b.vec_id AS b, {d.dot('a.embedding', 'b.embedding')} / (a.n * b.n) AS sim FROM v a JOIN v b ON b.label = (a.label + 1) % 10) SELECT a, b, greatest(1, {d.trunc('10 * sim')}) AS weight FROM e WHERE sim > 0.25")
 q("join23_link_dedup", lambda d: f"WITH {PAIRS}, l AS (SELECT a AS f, b AS t, n FROM pairs UNION ALL SELECT b, a, n + 1 FROM pairs) SELECT least(f, t) AS a, greatest(f, t) AS b, {d.best('n', '-f', '-t')} AS n FROM l GROUP BY 1, 2")
 q("join24_cross_dedup", lambda d: "SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM {documents} m WHERE m.source = 'src0' AND m.text = d.text) THEN 0.5 ELSE 1.0 END AS factor FROM {documents} d WHERE d.source <> 'src0'".replace("0.5 ELSE 1.0", "CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE)"))
 q("join25_pair_outcomes", lambda d: "WITH p AS (SELECT doc_id, quality FROM {labels}), c AS (SELECT doc_id, (quality + doc_id) % 2 AS quality FROM {labels}) SELECT CASE WHEN p.quality < c.quality THEN 'improved' WHEN p.quality > c.quality THEN 'regressed' WHEN p.quality = 1 THEN 'stable' ELSE 'persistent' END AS outcome, count(*) AS n FROM p JOIN c ON p.doc_id = c.doc_id GROUP BY 1")
 q("join28_find", lambda d: f"WITH {NODES} SELECT id, name FROM nodes LEFT JOIN {{documents}} ON doc_id = id WHERE name ILIKE '%china%' OR text ILIKE '%idiot%'")
 q("join29_source_pairs", lambda d: "WITH r AS (SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem}), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rn FROM r) SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.rn <= 50 AND b.rn <= 50 AND NOT EXISTS (SELECT 1 FROM {part} WHERE p_partkey = a.l_partkey AND p_size = 1)")
-q("join30_same_subject", lambda d: f"SELECT a.vec_id AS a, b.vec_id AS b FROM {{embeddings}} a JOIN {{embeddings}} b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {d.dot('a.embedding', 'b.embedding')} / sqrt({d.dot('a.embedding', 'a.embedding')} * {d.dot('b.embedding', 'b.embedding')}) > 0.3")

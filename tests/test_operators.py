@@ -54,13 +54,51 @@ def test_nearest_in_blocks(spark):
     m = rng.normal(size=(50, 5))
     m[7] = m[3]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(99, None)], "id long, vec array<double>")
-    got = vectors.nearest(df, df.where("id % 10 = 0").select(F.col("id").alias("qid"), "vec"), 4, block=9, group=2).collect()
+    got = vectors.nearest(df, df.where("id % 10 = 0").select(F.col("id").alias("qid"), "vec"), 4, block=9).collect()
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     s = np.round(u @ u.T, 6)
     want = {(q, r + 1): i for q in range(0, 50, 10) for r, i in enumerate(sorted(range(50), key=lambda j: (-s[q, j], j))[:4])}
     assert {(r.qid, r.rank): r.id for r in got} == want
 
 
+def test_matches_over_many_blocks(spark):
+    """Orders, groups and earlier rows against brute force, with tiles of a few rows, copies, a null vector and a null group."""
+    rng = np.random.default_rng(3)
+    m = np.round(rng.normal(size=(60, 4)), 1)
+    m[20:30] = m[5]
+    grp = [None if i == 59 else 0 if i % 3 else i % 4 for i in range(60)]
+    df = spark.createDataFrame([(i, m[i].tolist(), grp[i]) for i in range(60)] + [(99, None, 0)], "id long, vec array<double>, grp int")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    new = df.withColumnRenamed("id", "qid")
+    for order, key in (("best", lambda q: lambda j: (-s[q, j], j)), ("first", lambda q: lambda j: j), ("last", lambda q: lambda j: -j)):
+        for within in (None, "grp"):
+            got = vectors.nearest(df, new, 2, 0.2, block=7, order=order, among="earlier", within=within).collect()
+            fits = lambda q, j: j < q and s[q, j] >= 0.2 and (within is None or (grp[q] is not None and grp[q] == grp[j]))
+            want = {(q, r + 1): j for q in range(60) for r, j in enumerate(sorted((j for j in range(60) if fits(q, j)), key=key(q))[:2])}
+            assert {(r.qid, r.rank): r.id for r in got} == want
+    counts = {r.bucket: r.n for r in vectors.similarity_counts(df, [0.0, 0.5], block=7).collect()}
+    pairs = s[np.triu_indices(60, 1)]
+    assert counts == {0: (pairs < 0).sum(), 1: ((pairs >= 0) & (pairs < 0.5)).sum(), 2: (pairs >= 0.5).sum()}
+    assert vectors.nearest(df.limit(0), new, 2).count() == vectors.similarity_counts(df.limit(0), [0.0]).count() == 0
+
+
+def test_attention_over_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    m = np.round(rng.normal(size=(40, 4)), 1)
+    m[10:20] = m[3]
+    df = spark.createDataFrame([(i, m[i].tolist(), i % 2) for i in range(40)], "id long, vec array<double>, grp int")
+    want = {}
+    for q in range(40):
+        ids = [j for j in range(40) if j % 2 == q % 2 and j != q]
+        raw = np.round(m[ids] @ m[q] / 2, 6)
+        soft = np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+        kept = sorted((-round(x, 9), j) for x, y, j in zip(soft, raw, ids) if x >= 0.1 / len(ids) and y > 0)[:3]
+        want |= {(q, j): pytest.approx(-x, abs=1e-8) for x, j in kept}
+    got = {(r.query, r.id): r.soft for r in vectors.attend(df, "grp", keep=3, block=7).collect()}
+    assert got == want
+
+
 def test_centroid_and_ema(spark):
     df = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("a", 2, [3.0, 4.0]), ("a", 3, None), ("b", 1, [float("nan"), 1.0])], "k string, o int, v array<double>")
     assert [(r.k, r.centroid, r.n) for r in vectors.centroid(df, "k", "v").collect()] == [("a", [2.0, 3.0], 2)]
