@@ -122,7 +122,7 @@ def src18_section_search(spark, sf_dir):
 def clu06_assign(spark, sf_dir):
     known = _known(spark, sf_dir)
     centres = vectors.centroid(known, "label", "vec").select(F.col("label").alias("cid"), "centroid")
-    return vectors.assign(known, centres, 0.3, strict=False).where("cid IS NOT NULL").select(F.col("id").alias("vec_id"), F.col("cid").alias("entity"))
+    return vectors.assign(known, centres, 0.3, strict=False).where("cid IS NOT NULL").select(F.col("id").alias("vec_id"), F.col("cid").cast("int").alias("entity"))
 
 
 @R.add("clu14_entity_jaccard", "WITH bridge AS (SELECT DISTINCT l_orderkey AS u, l_partkey AS e FROM lineitem), s AS (SELECT u, count(*) AS n FROM bridge GROUP BY u), p AS (SELECT x.u AS a, y.u AS b, count(*) AS n FROM bridge x JOIN bridge y ON x.e = y.e AND x.u < y.u GROUP BY 1, 2) SELECT a, b, round(p.n / CAST(sa.n + sb.n - p.n AS DOUBLE), 6) AS sim FROM p JOIN s sa ON sa.u = a JOIN s sb ON sb.u = b WHERE p.n / CAST(sa.n + sb.n - p.n AS DOUBLE) >= 0.5")
