@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_suffix, op2_order_minhash, op3_lines, op4_secrets, op5_wrapper, op6_toxicity, op7_url_lists, op8_topk, op9_packing, op10_fm_index
+from . import op1_suffix, op2_order_minhash, op3_lines, op4_secrets, op5_wrapper, op6_toxicity, op7_url_lists, op8_topk, op9_packing, op10_fm_index, op11_divergence, op12_elkan, op13_piecewise
 
 _MODULES = {
     "op1_suffix": op1_suffix,
@@ -15,6 +15,9 @@ _MODULES = {
     "op8_topk": op8_topk,
     "op9_packing": op9_packing,
     "op10_fm_index": op10_fm_index,
+    "op11_divergence": op11_divergence,
+    "op12_elkan": op12_elkan,
+    "op13_piecewise": op13_piecewise,
 }
 
 QUERIES = {name: m.query for name, m in _MODULES.items()}
