@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from memloom.plans.base import Registry
+from memloom.sources.shared import shared_root
 from memloom.streaming import events as ev
 from pyspark.sql import functions as F
 
@@ -14,7 +12,8 @@ QUERIES, ORACLES = R.queries, R.oracles
 
 
 def _shared(spark):
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "memloom-shared")
+    """The folder all executors share; only a local master may go without the setting."""
+    return shared_root(spark)
 
 
 @R.add("str01_hourly", "SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")

@@ -6,17 +6,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back: its lineage ends there. A local master may go without the setting."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local master may go without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "memloom-shared")
-    path = f"{root}/memloom-{uuid.uuid4().hex}"
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: its lineage ends there."""
+    path = f"{shared_root(df.sparkSession)}/memloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
