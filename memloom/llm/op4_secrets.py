@@ -14,6 +14,7 @@ one by one; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +33,25 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Least entropy of a window, in thousandths of a bit per character: lower-case hexadecimal strings, and all others.
 HEX_LIMIT, MIXED_LIMIT = 3000, 4000
 #: Candidates that are no secrets: words without a digit or without a letter, paths and dashed words in lower case, UUIDs, placeholders.
+#: A rule is a pattern, or patterns that must all match and patterns that must not. No rule repeats a group: Java's matcher
+#: goes one call deeper for each repeat, so a long candidate would end the executor.
 ALLOW = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"^[a-z]+([-_/][a-z0-9]+)+$",
+    ((r"^[a-z]+[-_/]", r"^[-a-z0-9_/]+$"), (r"[-_/]([-_/]|$)",)),
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"([eE][xX][aA][mM][pP][lL][eE]|[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR])",
 )
 
+Rule = str | tuple[tuple[str, ...], tuple[str, ...]]
+
+
+def _listed(rules: tuple[Rule, ...], matches: Callable[[str], str]) -> str:
+    """Whether any rule holds, in either engine's words for a match."""
+    parts = [((r,), ()) if isinstance(r, str) else r for r in rules]
+    return " OR ".join("(" + " AND ".join([matches(p) for p in yes] + [f"NOT {matches(p)}" for p in no]) + ")" for yes, no in parts) or "false"
+
+
 _BITS = [round(1000 * c * math.log2(c)) if c else 0 for c in range(WINDOW + 2)]
 
 
@@ -89,7 +101,7 @@ def _least_sum() -> str:
     return f"transform(array({codes}), v -> aggregate(sequence(0, size(v) - 1), {start}, {step}, b -> b.best))[0]"
 
 
-def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def scan(docs: DataFrame, allow: tuple[Rule, ...] = ALLOW) -> DataFrame:
     """Per row of docs (doc_id, text): counts of base kinds and all spans as array<struct<s, k, e, kind>> sorted by place."""
     kinds = ("assign", "access", "hex", "entropy")
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
@@ -97,7 +109,7 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     df = df.withColumns({"a": F.expr(_found(ASSIGN)), "b": F.expr(_found(ACCESS)), "c": F.expr(_found(HEX)), "d": F.expr(_found(CANDIDATE))})
     df = df.withColumn("a", F.expr(f"filter(a, x -> length(regexp_extract(x.w, {_quoted(ASSIGN)}, 2)) >= 6)"))
     df = df.withColumn("base", F.expr(f"array_sort(concat({as_spans('a', 0)}, {as_spans('b', 1)}, {as_spans('c', 2)}))"))
-    listed = " OR ".join(f"x.w RLIKE {_quoted(p)}" for p in allow) or "false"
+    listed = _listed(allow, lambda p: f"x.w RLIKE {_quoted(p)}")
     limit = f"IF(x.w RLIKE r'^[0-9a-f]+$', {_limit(HEX_LIMIT)}, {_limit(MIXED_LIMIT)})"
     df = df.withColumn("d", F.expr(f"filter(d, x -> NOT ({listed}) AND NOT exists(base, y -> y.s <= x.s AND x.e <= y.e) AND {_least_sum()} <= {limit})"))
     named = "'" + "','".join(kinds) + "'"
@@ -127,7 +139,7 @@ def _sql() -> str:
 
     p2 = "'" + ASSIGN.replace("'", "''") + "'"
     bits = "[" + ",".join(map(str, _BITS)) + "]"
-    listed = " OR ".join("regexp_matches(x.w, '" + p.replace("'", "''") + "')" for p in ALLOW)
+    listed = _listed(ALLOW, lambda p: "regexp_matches(x.w, '" + p.replace("'", "''") + "')")
     sums = f"list_min(list_transform(range(1, length(x.w) - {WINDOW} + 2), lambda j: list_sum(list_transform(map_values(list_histogram(string_split(substring(x.w, j, {WINDOW}), ''))), lambda n: {bits}[CAST(n AS BIGINT) + 1]))))"
     span = lambda c, k, kind: f"list_transform({c}, lambda x: {{'s': x.s, 'k': {k}, 'e': x.s + length(x.w), 'kind': '{kind}'}})"
     shown = "array_to_string(list_transform({}, lambda x: x.kind || ':' || x.s || ':' || x.e), ',')"

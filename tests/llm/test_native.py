@@ -114,3 +114,15 @@ def test_lists_empty_tables_ties_and_other_columns(spark):
     assert [r.blocked for r in op7_url_lists.evaluate(pages, changes).collect()] == [True]
     assert op7_url_lists.evaluate(pages.limit(0), changes).count() == 0
     assert [r.blocked for r in op7_url_lists.evaluate(pages, changes.limit(0)).collect()] == [False]
+
+
+def test_long_candidates_of_every_allowed_shape(spark):
+    """100,000 segments: no pattern may go deeper for each of them."""
+    shapes = ["ab-" + "-".join(["ab1"] * 100_000), "ab/" + "_".join(["x9"] * 100_000), "word" * 100_000, "1-" * 100_000 + "1", "Ab1-" * 100_000]
+    df = spark.createDataFrame(list(enumerate(shapes)), "doc_id long, text string")
+    got = {r.doc_id: [x.kind for x in r.found] for r in op4_secrets.scan(df).collect()}
+    assert got[0] == got[1] == got[2] == got[3] == []
+    rows = [(0, "path/to-some_file9-and/more"), (1, "path/to--some_file9and/more"), (2, "path/to-some_file9-and/more-"), (3, "pa9th/to-some_fileand-more"), (4, "-path/to-some_file9-and/mor")]
+    allow = [r for r in op4_secrets.ALLOW if not isinstance(r, str)]
+    text = spark.createDataFrame(rows, "doc_id long, x string").selectExpr("doc_id", "struct(x AS w) AS x")
+    assert [r.doc_id for r in text.where(op4_secrets._listed(tuple(allow), lambda p: f"x.w RLIKE {op4_secrets._quoted(p)}")).collect()] == [0]
