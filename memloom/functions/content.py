@@ -73,7 +73,8 @@ def cell(kind: Column, number: Column, text: Column) -> Column:
 
 def _normal(c: Column) -> Column:
     """Numbers and numeric texts rounded to cents, dates to days, times without their last three characters."""
-    parsed = F.when(c["text"].rlike(r"^\s*[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), F.replace(F.trim(c["text"]), F.lit("_"), F.lit("")).try_cast("double"))
+    number = c["text"].rlike(r"^\s*[+-]?([0-9][0-9_]*\.?([0-9]+)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$") & ~c["text"].rlike(r"_(_|[^0-9]|$)")
+    parsed = F.when(number, F.replace(F.trim(c["text"]), F.lit("_"), F.lit("")).try_cast("double"))
     value = F.when(c["kind"] == "number", F.bround(c["number"], 2)).when(c["kind"] == "date", F.bround(c["number"], 0)).when(c["kind"] == "text", F.bround(parsed, 2))
     shown = F.when(c["kind"] == "time", F.expr("null").cast("string")).otherwise(c["text"])
     shown = F.when(c["kind"] == "time", F.substring(c["text"], F.lit(1), F.length(c["text"]) - 3)).when((c["kind"] == "text") & parsed.isNull(), shown)
