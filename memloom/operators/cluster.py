@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from memloom.operators import vectors
 from memloom.operators.dedup import components
 from memloom.sources.shared import cut
 from pyspark.sql import DataFrame
@@ -156,9 +157,9 @@ def _spanning_tree(rows: DataFrame, min_samples: int) -> DataFrame:
     return tree.select("grp", "a", "b", "w")
 
 
-def density_clusters(vectors: DataFrame, group: str, min_cluster_size: int = 3, min_samples: int = 2) -> DataFrame:
-    """(grp, id, cluster) of vectors (group, id, vec), ids being unique; cluster -1 is noise."""
-    rows = vectors.select(F.col(group).cast("long").alias("grp"), F.col("id").cast("long").alias("id"), "vec")
+def density_clusters(points: DataFrame, group: str, min_cluster_size: int = 3, min_samples: int = 2) -> DataFrame:
+    """(grp, id, cluster) of points (group, id, vec), ids being unique; cluster -1 is noise."""
+    rows = points.select(F.col(group).cast("long").alias("grp"), F.col("id").cast("long").alias("id"), "vec")
     large = rows.groupBy("grp").count().where(F.col("count") > BLOCK).select("grp")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -180,9 +181,57 @@ def density_clusters(vectors: DataFrame, group: str, min_cluster_size: int = 3,
     return small.unionByName(big.select("grp", "id").groupBy("grp").cogroup(tree.groupBy("grp")).applyInPandas(extract, schema))
 
 
-def build_tree(vectors: DataFrame, max_depth: int = 3, min_cluster_size: int = 3) -> DataFrame:
-    """(id, path): vectors clustered level by level; each level is one grouped map, noise is a floating leaf of its group."""
-    level = vectors.withColumn("path", F.lit("root"))
+def silhouette(labelled: DataFrame, block: int = 4096) -> DataFrame:
+    """(grp, id, cluster, silhouette) of vectors (grp, id, vec) with a cluster: cosine silhouettes, exactly, without pairs of vectors.
+
+    The mean distance of a vector to a cluster is 1 less its product with the cluster's mean unit vector, so each vector
+    meets the sums of clusters, in blocks, and keeps the two nearest of them.
+    Defined results: noise (a cluster below 0 or null) and vectors that are null, not finite or of norm 0 take no part;
+    a vector alone in its cluster has 0, as have all vectors of a group with one cluster; ids are unique within a group.
+    """
+    u = F.transform("vec", lambda x: x.cast("double") / vectors.norm("vec"))
+    rows = labelled.where("cluster >= 0").where(vectors.finite("vec")).where(vectors.norm("vec") > 0)
+    rows = cut(rows.select("grp", "id", "cluster", u.alias("vec")).withColumn("key", F.monotonically_increasing_id()))
+    parts = rows.select("grp", "cluster", F.posexplode("vec").alias("pos", "x")).groupBy("grp", "cluster", "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = parts.groupBy("grp", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("sum"), F.max("n").alias("n"))
+    sums = cut(sums)
+    means = sums.select("grp", F.col("cluster").cast("long").alias("id"), F.transform("sum", lambda x: x / F.col("n")).alias("vec"))
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"qid": [], "id": [], "dot": []}).astype({"qid": "int64", "id": "int64", "dot": "float64"})
+        dots = np.stack(y["qvec"].to_list()) @ np.stack(x["vec"].to_list()).T
+        top = np.argsort(-dots, axis=1, kind="stable")[:, :2]
+        k = top.shape[1]
+        return pd.DataFrame({"qid": np.repeat(y["qid"].to_numpy(), k), "id": x["id"].to_numpy()[top].ravel(), "dot": np.take_along_axis(dots, top, 1).ravel()})
+
+    c, q = vectors.dealt(means, rows.select(F.col("key").alias("qid"), "vec", "grp"), block, "grp")
+    two = c.groupBy("grp", "b", "g").cogroup(q.groupBy("grp", "b", "g")).applyInPandas(near, "qid long, id long, dot double")
+    other = two.join(rows.select(F.col("key").alias("qid"), "cluster"), "qid").where("id <> cluster").groupBy(F.col("qid").alias("key")).agg((1 - F.max("dot")).alias("b"))
+    own = rows.join(sums, ["grp", "cluster"]).withColumn("a", (F.col("n") - vectors.dot("vec", "sum")) / F.nullif(F.col("n") - 1, F.lit(0)))
+    most = F.greatest("a", "b")
+    whole = F.when((F.col("n") > 1) & F.col("b").isNotNull() & (most > 0), (F.col("b") - F.col("a")) / F.nullif(most, F.lit(0.0))).otherwise(0.0)
+    return own.join(other, "key", "left").select("grp", "id", "cluster", whole.alias("silhouette"))
+
+
+def clustered(points: DataFrame, group: str, sizes: tuple[int, ...] = (3, 2), min_samples: int = 2) -> DataFrame:
+    """density_clusters with the first minimum size; groups that come out without any cluster are tried again with the next, alone."""
+    found, left = None, points
+    for k, size in enumerate(sizes):
+        out = cut(density_clusters(left, group, size, min_samples))
+        some = out.where("cluster >= 0").select("grp").distinct()
+        last = k == len(sizes) - 1
+        kept = out if last else out.join(some, "grp", "left_semi")
+        found = kept if found is None else found.unionByName(kept)
+        if last or not out.join(some, "grp", "left_anti").limit(1).count():
+            break
+        left = left.join(some.withColumnRenamed("grp", group), group, "left_anti")
+    return found
+
+
+def build_tree(points: DataFrame, max_depth: int = 3, min_cluster_size: int = 3) -> DataFrame:
+    """(id, path): points (id, vec) clustered level by level; each level is one grouped map, noise is a floating leaf of its group."""
+    level = points.withColumn("path", F.lit("root"))
     for _ in range(max_depth):
         keys = level.select("path").distinct().select("path", F.xxhash64("path").alias("grp"))
         found = density_clusters(level.join(keys, "path").select("grp", "id", "vec"), "grp", min_cluster_size)
@@ -191,10 +240,10 @@ def build_tree(vectors: DataFrame, max_depth: int = 3, min_cluster_size: int = 3
     return level.select("id", "path")
 
 
-def relaxed(vectors: DataFrame, group: str, start: int = 5, attempts: int = 3, most_noise: float = 0.5) -> DataFrame:
+def relaxed(points: DataFrame, group: str, start: int = 5, attempts: int = 3, most_noise: float = 0.5) -> DataFrame:
     """density_clusters with smaller minimum sizes, one attempt after another, while more than most_noise is noise."""
     for k in range(attempts):
-        out = density_clusters(vectors, group, max(2, start - 2 * k), max(1, 2 - k))
+        out = density_clusters(points, group, max(2, start - 2 * k), max(1, 2 - k))
         noise = out.agg(F.avg((F.col("cluster") < 0).cast("double"))).first()[0]
         if noise is None or noise <= most_noise:
             break

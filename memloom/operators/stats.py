@@ -50,11 +50,11 @@ def welch(rows: DataFrame, group: str, value: str, a: str, b: str, keys: tuple[s
     """
     one = lambda f, g: f(F.when(F.col(group) == g, F.col(value).cast("double")))
     both = rows.groupBy(*keys).agg(*[one(f, g).alias(f"{n}{i}") for i, g in (("a", a), ("b", b)) for f, n in ((F.avg, "m"), (F.var_samp, "v"), (F.count, "n"))])
-    part = lambda i: F.when(F.col(f"n{i}") > 1, F.col(f"v{i}")).otherwise(0.0) / F.col(f"n{i}")
+    part = lambda i: F.when(F.col(f"n{i}") > 1, F.col(f"v{i}")).otherwise(0.0) / F.nullif(F.col(f"n{i}"), F.lit(0))
     out = both.withColumns({"pa": part("a"), "pb": part("b"), "se": F.sqrt(part("a") + part("b"))})
-    below = lambda i: F.when(F.col(f"n{i}") > 1, F.pow(f"p{i}", 2) / (F.col(f"n{i}") - 1)).otherwise(0.0)
+    below = lambda i: F.when(F.col(f"n{i}") > 1, F.pow(f"p{i}", 2) / F.nullif(F.col(f"n{i}") - 1, F.lit(0))).otherwise(0.0)
     sound = (F.col("na") > 0) & (F.col("nb") > 0) & (F.col("se") > 0)
-    out = out.withColumns({"t": F.when(sound, (F.col("mb") - F.col("ma")) / F.col("se")).otherwise(0.0), "df": F.when(sound, F.pow(F.col("pa") + F.col("pb"), 2) / (below("a") + below("b")))})
+    out = out.withColumns({"t": F.when(sound, (F.col("mb") - F.col("ma")) / F.nullif("se", F.lit(0.0))).otherwise(0.0), "df": F.when(sound, F.pow(F.col("pa") + F.col("pb"), 2) / F.nullif(below("a") + below("b"), F.lit(0.0)))})
     p = F.when(sound, F.expr(p_value("t", "df"))).otherwise(1.0)
     mean = lambda i: F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col(f"m{i}")).otherwise(0.0)
     return out.withColumn("p", p).select(*keys, mean("a").alias("mean_a"), mean("b").alias("mean_b"), (mean("b") - mean("a")).alias("diff"), "t", "df", "p", (F.col("p") < 0.05).alias("significant"))

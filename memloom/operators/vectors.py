@@ -69,7 +69,7 @@ def spanning_links(vectors: DataFrame, threshold: float, block: int = 2048) -> D
     return dealt.groupBy("p", "q").applyInPandas(forest, "a long, b long")
 
 
-def _dealt(candidates: DataFrame, queries: DataFrame, block: int, within: str | None) -> tuple[DataFrame, DataFrame]:
+def dealt(candidates: DataFrame, queries: DataFrame, block: int, within: str | None) -> tuple[DataFrame, DataFrame]:
     """Both sides with the tile (within, b, g) each row belongs to: every block of candidates meets every block of queries, of the same group only."""
     deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -96,7 +96,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int | None, threshold:
     Cosines are rounded to 6 places. Both sides are dealt into blocks; a task multiplies one block of each, so
     neither side is collected or broadcast, and a hot group is spread over its pairs of blocks.
     """
-    c, q = _dealt(candidates, queries, block, within)
+    c, q = dealt(candidates, queries, block, within)
 
     def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
@@ -150,7 +150,7 @@ def attend(vectors: DataFrame, within: str, keep: int = 5, block: int = 4096) ->
     A task returns its blocks' best rows and, per query, the count, greatest score and sum that make up the
     softmax; no group is gathered.
     """
-    c, q = _dealt(vectors, vectors.select(F.col("id").alias("qid"), "vec", within), block, within)
+    c, q = dealt(vectors, vectors.select(F.col("id").alias("qid"), "vec", within), block, within)
 
     def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
