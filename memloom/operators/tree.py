@@ -38,7 +38,11 @@ def _plain(nodes: DataFrame) -> DataFrame:
 
 def ancestors(nodes: DataFrame) -> tuple[DataFrame, bool]:
     """(id, top, depth, up), and whether up is there: the root of every node that has one, its depth, and its path upwards in trees of at most SHALLOW levels."""
-    now = cut(_plain(nodes).select("id", F.col("parent").alias("next"), F.coalesce(F.col("parent"), F.col("id")).alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.array("id").alias("up")))
+    return _climbed(_plain(nodes))
+
+
+def _climbed(plain: DataFrame) -> tuple[DataFrame, bool]:
+    now = cut(plain.select("id", F.col("parent").alias("next"), F.coalesce(F.col("parent"), F.col("id")).alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.array("id").alias("up")))
     left, shallow, rounds = now.where("next IS NOT NULL").count(), True, 1
     while left:
         if rounds > SHALLOW.bit_length():  # paths of more levels are not carried along
@@ -64,7 +68,8 @@ def ancestors(nodes: DataFrame) -> tuple[DataFrame, bool]:
 
 def cycles(nodes: DataFrame) -> DataFrame:
     """(id) of the nodes that no root reaches: on a cycle of parents or below one."""
-    return _plain(nodes).select("id").join(ancestors(nodes)[0], "id", "left_anti")
+    plain = _plain(nodes)
+    return plain.select("id").join(_climbed(plain)[0], "id", "left_anti")
 
 
 def ranked(links: DataFrame) -> DataFrame:
@@ -120,7 +125,7 @@ def _toured(nodes: DataFrame) -> DataFrame:
 def label(nodes: DataFrame) -> DataFrame:
     """(id, parent, top, depth, low, high) of every node of a forest (id, parent) that a root reaches."""
     plain = _plain(nodes)
-    found, shallow = ancestors(nodes)
+    found, shallow = _climbed(plain)
     reached = plain.join(found.select("id", "top", "depth", "up"), "id")
     if shallow:
         paths = cut(reached.withColumn("path", F.reverse("up")))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from memloom.operators import fulltext, ivf
+from memloom.functions import text as t
+from memloom.functions.dialect import DUCK
+from memloom.operators import causal, cluster, edits, fulltext, ivf, skills, stats, tree
 from memloom.plans.base import Registry, table
 from memloom.plans.streams import _shared
+from memloom.sources import use_log
+from memloom.streaming import semantic_cache
 from pyspark.sql import functions as F
 
 R = Registry()
@@ -47,3 +51,198 @@ def src16_indexed_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     index = fulltext.build(docs, _folder(spark))
     return fulltext.search(index, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"))
+
+
+_NODES = """nodes AS (SELECT CAST(1000000 + r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent, r_name AS name, 'domain' AS kind FROM region
+UNION ALL SELECT 2000000 + n_nationkey, 1000000 + n_regionkey, n_name, 'subject' FROM nation UNION ALL SELECT c_custkey, 2000000 + c_nationkey, c_name, 'knowledge_point' FROM customer)"""
+
+
+def _nodes(spark, sf_dir):
+    """The tree region -> nation -> customer: id, parent, name, kind."""
+    one = lambda name, *cols: table(spark, sf_dir, name).selectExpr(*cols)
+    domains = one("region", "CAST(1000000 + r_regionkey AS LONG) AS id", "CAST(null AS LONG) AS parent", "r_name AS name", "'domain' AS kind")
+    subjects = one("nation", "CAST(2000000 + n_nationkey AS LONG) AS id", "CAST(1000000 + n_regionkey AS LONG) AS parent", "n_name AS name", "'subject' AS kind")
+    points = one("customer", "CAST(c_custkey AS LONG) AS id", "CAST(2000000 + c_nationkey AS LONG) AS parent", "c_name AS name", "'knowledge_point' AS kind")
+    return domains.unionByName(subjects).unionByName(points)
+
+
+@R.add(
+    "join10_subject_search",
+    f"WITH RECURSIVE {_NODES}, walk(id, name, depth) AS (SELECT id, name, 0 FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, n.name, w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE n.kind <> 'knowledge_point') SELECT id, name, depth FROM walk WHERE name ILIKE '%a%' OR name ILIKE '%e%'",
+)
+def join10_subject_search(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    subjects = nodes.where("kind <> 'knowledge_point'")
+    depths = tree.ancestors(subjects)[0].select("id", F.col("depth").cast("int").alias("depth"))
+    return subjects.where("name ILIKE '%a%' OR name ILIKE '%e%'").select("id", "name").join(depths, "id")
+
+
+@R.add(
+    "join11_descendants",
+    f"WITH RECURSIVE {_NODES}, walk(root, id) AS (SELECT id, id FROM nodes WHERE kind = 'domain' UNION ALL SELECT w.root, n.id FROM nodes n JOIN walk w ON n.parent = w.id) SELECT root, walk.id, name FROM walk JOIN nodes ON nodes.id = walk.id WHERE kind = 'knowledge_point'",
+)
+def join11_descendants(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    below = tree.descendants(tree.label(nodes), nodes.where("kind = 'domain'").select(F.col("id").alias("root")))
+    return below.join(nodes.where("kind = 'knowledge_point'").select("id", "name"), "id").select("root", "id", "name")
+
+
+@R.add(
+    "join12_guarded_descendants",
+    f"WITH RECURSIVE {_NODES}, walk(id, path, depth) AS (SELECT id, [CAST(id AS VARCHAR)], 0 FROM nodes WHERE kind = 'domain' UNION ALL SELECT n.id, list_append(w.path, CAST(n.id AS VARCHAR)), w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE NOT list_contains(w.path, CAST(n.id AS VARCHAR))) SELECT id, array_to_string(path, '/') AS path, depth FROM walk",
+)
+def join12_guarded_descendants(spark, sf_dir):
+    paths = tree.lineages(tree.label(_nodes(spark, sf_dir)))
+    return paths.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), F.col("depth").cast("int").alias("depth"))
+
+
+@R.add(
+    "join13_listing",
+    f"WITH RECURSIVE {_NODES}, walk(id, path, depth) AS (SELECT id, name, 0 FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, concat(w.path, '/', n.name), w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE w.depth < 2) SELECT id, path, depth FROM walk",
+)
+def join13_listing(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    labels = tree.label(nodes).where("depth <= 2")
+    pairs = tree.descendants(labels, labels.select(F.col("id").alias("root"))).join(nodes.select(F.col("id").alias("root"), "name"), "root")
+    path = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("level", "name")))), lambda s: s["name"]), "/")
+    return pairs.groupBy("id").agg(path.alias("path"), F.max("level").cast("int").alias("depth"))
+
+
+@R.add("join14_cascade", f"WITH RECURSIVE {_NODES}, gone(id) AS (SELECT id FROM nodes WHERE name = 'ASIA' OR id = 2000003 UNION ALL SELECT n.id FROM nodes n JOIN gone g ON n.parent = g.id) SELECT id, name FROM nodes WHERE id NOT IN (SELECT id FROM gone)")
+def join14_cascade(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    gone = tree.removed(tree.label(nodes), nodes.where("name = 'ASIA' OR id = 2000003").select(F.col("id").alias("root")))
+    return nodes.join(gone, "id", "left_anti").select("id", "name")
+
+
+@R.add(
+    "clu16_child_vectors",
+    f"WITH RECURSIVE {_NODES}, walk(root, id, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'domain' UNION ALL SELECT w.root, n.id, w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE w.depth < 3) SELECT root, count(*) AS vectors FROM walk JOIN embeddings ON vec_id = walk.id GROUP BY root",
+)
+def clu16_child_vectors(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    below = tree.descendants(tree.label(nodes), nodes.where("kind = 'domain'").select(F.col("id").alias("root"))).where("level <= 3")
+    return below.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id")), "id").groupBy("root").agg(F.count("*").alias("vectors"))
+
+
+@R.add(
+    "join18_link_order",
+    """WITH RECURSIVE l AS (SELECT o_orderkey AS g, l_linenumber AS n, max(l_quantity) / 50 AS score, max(l_discount) * 10 AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+s AS (SELECT g, map_from_entries(list((n, score))) AS now FROM l GROUP BY g),
+k AS (SELECT a.g, a.n AS src, b.n AS dst, a.w, row_number() OVER (PARTITION BY a.g ORDER BY (a.n * 3 + b.n * 5) % 7, a.n, b.n) AS i FROM l a JOIN l b ON a.g = b.g AND a.n <> b.n),
+walk(g, i, now) AS (SELECT g, 0, now FROM s UNION ALL SELECT walk.g, walk.i + 1, map_from_entries(list_transform(map_entries(walk.now), lambda e: (e.key, CASE WHEN e.key = k.dst AND walk.now[k.src] > 0 THEN e.value * least(1 + 0.15 * walk.now[k.src] * CASE WHEN k.w = 0 THEN 0.5 ELSE k.w END, 1.3) ELSE e.value END)))
+FROM walk JOIN k ON k.g = walk.g AND k.i = walk.i + 1),
+fin AS (SELECT g, unnest(map_entries(now)) AS e FROM (SELECT g, max_by(now, i) AS now FROM walk GROUP BY g))
+SELECT g AS within, e.key AS id, round(e.value, 6) AS score FROM fin""",
+)
+def join18_link_order(spark, sf_dir):
+    """A recall is an order: its lines' scores, boosted over links between every two of them, in a mixed order."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    lines = lines.groupBy(F.col("l_orderkey").alias("within"), F.col("l_linenumber").alias("id")).agg((F.max("l_quantity") / 50).alias("score"), (F.max("l_discount") * 10).alias("w"))
+    pairs = lines.select("within", F.col("id").alias("src"), F.col("w").alias("weight")).join(lines.select("within", F.col("id").alias("dst")), "within").where("src <> dst")  # the lines of one order
+    links = pairs.withColumn("ord", (F.col("src") * 3 + F.col("dst") * 5) % 7)
+    return causal.boosted(lines, links).select("within", "id", F.round("score", 6).alias("score"))
+
+
+@R.add(
+    "fn57_edit_scripts",
+    """WITH RECURSIVE b AS (SELECT doc_id AS id, coalesce(text, '') AS body, coalesce(item, '') AS item FROM documents LEFT JOIN (SELECT item_id, text AS item FROM benchmark) x ON item_id = doc_id % (SELECT count(*) FROM benchmark)),
+e AS (SELECT id, 1 AS k, 'replace' AS op, item AS content, split_part(body, ' ', 1) AS anchor FROM b UNION ALL SELECT id, 2, 'delete', '', split_part(body, '. ', 2) FROM b
+UNION ALL SELECT id, 3, 'add', item, '' FROM b UNION ALL SELECT id, 4, 'delete', '', item FROM b UNION ALL SELECT id, 5, 'replace', 'x', 'the ' FROM b),
+walk(id, k, body, log) AS (SELECT id, 0, body, '' FROM b UNION ALL SELECT id, k, CASE WHEN reason NOT LIKE 'ok%' THEN body WHEN op = 'add' THEN chr(10) || chr(10) || plain || chr(10) || chr(10) || content || chr(10) WHEN op = 'delete' THEN replace(body, anchor, '') ELSE replace(body, anchor, content) END, log || ',' || reason
+FROM (SELECT *, CASE WHEN op = 'add' THEN CASE WHEN content = '' THEN 'nothing to add' WHEN length(plain) + length(content) > 30000 THEN 'too long' WHEN length(plain) + length(content) > 12000 THEN 'ok: long' ELSE 'ok' END
+WHEN trim(anchor, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'no anchor' WHEN n = 0 THEN 'anchor not found' WHEN n > 1 THEN 'anchor found ' || n || ' times' ELSE 'ok' END AS reason
+FROM (SELECT w.id, e.k, op, trim(content, ' ' || chr(9) || chr(10) || chr(13)) AS content, anchor, body, log, trim(body, chr(10)) AS plain, CASE WHEN anchor = '' THEN 0 ELSE len(string_split(body, anchor)) - 1 END AS n FROM walk w JOIN e ON e.id = w.id AND e.k = w.k + 1)))
+SELECT id, md5(max_by(body, k)) AS body_md5, max_by(log, k) AS log FROM walk GROUP BY id""",
+)
+def fn57_edit_scripts(spark, sf_dir):
+    """Five edits a document: its first word gives way to a benchmark item, its second sentence goes, the item is added, the item goes, 'the ' is replaced."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    total = items.agg(F.count("*").alias("total"))  # one row
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body")).crossJoin(F.broadcast(total))
+    docs = docs.withColumn("item_id", F.when(F.col("total") > 0, F.col("id") % F.nullif("total", F.lit(0)))).join(items, "item_id", "left").select("id", "body", F.coalesce("item", F.lit("")).alias("item"))
+    one = lambda seq, op, content, anchor: F.struct(F.lit(seq).alias("seq"), F.lit(op).alias("op"), content.alias("content"), anchor.alias("anchor"))
+    none, item = F.lit(""), F.col("item")
+    script = [one(1, "replace", item, F.split_part("body", F.lit(" "), F.lit(1))), one(2, "delete", none, F.split_part("body", F.lit(". "), F.lit(2))), one(3, "add", item, none), one(4, "delete", none, item), one(5, "replace", F.lit("x"), F.lit("the "))]
+    done = edits.apply(docs, docs.select("id", F.explode(F.array(*script)).alias("e")).select("id", "e.*"))
+    return done.select("id", F.md5("body").alias("body_md5"), F.concat(F.lit(","), F.array_join(F.transform("log", lambda x: x["reason"]), ",")).alias("log"))
+
+
+@R.add(
+    "agg18_welch_test",
+    """WITH m AS (SELECT user_id % 10 AS part, avg(value) FILTER (event_type = 'view') AS ma, avg(value) FILTER (event_type = 'click') AS mb, var_samp(value) FILTER (event_type = 'view') / count(value) FILTER (event_type = 'view') AS pa,
+var_samp(value) FILTER (event_type = 'click') / count(value) FILTER (event_type = 'click') AS pb, count(value) FILTER (event_type = 'view') AS na, count(value) FILTER (event_type = 'click') AS nb FROM events GROUP BY 1),
+w AS (SELECT *, (mb - ma) / sqrt(pa + pb) AS t, (pa + pb) ** 2 / (pa ** 2 / (na - 1) + pb ** 2 / (nb - 1)) AS df FROM m),
+g AS (SELECT *, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS c FROM w),
+i AS (SELECT part, sum((CASE WHEN j IN (0, 4000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * c * (1 + (abs(t) * j / 4000) ** 2 / df) ** (-(df + 1) / 2)) * any_value(abs(t)) / 4000 / 3 AS area FROM g, range(0, 4001) r(j) GROUP BY part)
+SELECT part, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(t, 6) AS t, round(df, 4) AS df, round(1 - 2 * area, 6) AS p FROM g JOIN i USING (part)""",
+)
+def agg18_welch_test(spark, sf_dir):
+    """Values of views against clicks, by a tenth of the users; the SQL integrates the density."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("part"), "event_type", "value")
+    out = stats.welch(rows, "event_type", "value", "view", "click", ("part",))
+    return out.select("part", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "t")], F.round("df", 4).alias("df"), F.round("p", 6).alias("p"))
+
+
+@R.add("vec16_living_cache")
+def vec16_living_cache(spark, sf_dir):
+    """Every vector as a request of its label's cache, a minute apart, driven as a stream; a test replays it in a plain loop."""
+    folder = _folder(spark)
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("string").alias("key"),
+        F.col("vec_id").alias("id"),
+        F.timestamp_seconds(1_704_067_200 + F.col("vec_id") * 60).alias("at"),
+        F.expr("CAST(null AS array<double>)").alias("context"),
+        F.col("embedding").cast("array<double>").alias("query"),
+        F.concat(F.lit("r"), F.col("vec_id")).alias("answer"),
+    )
+    rows.repartitionByRange(4, "at").write.parquet(f"{folder}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        answered = semantic_cache.answers(stream, query=0.3, ttl=6 * 3600, most=20)
+        answered.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda b, n: use_log.record(b, n, f"{folder}/out", "cache")).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return use_log.read(spark, f"{folder}/out", semantic_cache.ANSWER).select("key", "id", "hit", "entry", "hits", "answer")
+
+
+@R.add(
+    "clu01_silhouette",
+    """WITH v AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label >= 0), u AS (SELECT id, cluster, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM v),
+d AS (SELECT a.id, a.cluster, b.cluster AS other, avg(1 - list_inner_product(a.u, b.u)) AS d, count(*) AS n FROM u a JOIN u b ON a.id <> b.id GROUP BY 1, 2, 3),
+s AS (SELECT id, cluster, max(d) FILTER (other = cluster) AS a, min(d) FILTER (other <> cluster) AS b FROM d GROUP BY 1, 2) SELECT id, cluster, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s""",
+)
+def clu01_silhouette(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("grp"), F.col("vec_id").alias("id"), F.col("label").cast("int").alias("cluster"), F.col("embedding").alias("vec"))
+    return cluster.silhouette(rows).select("id", "cluster", F.round("silhouette", 6).alias("silhouette"))
+
+
+def _kw(x):
+    return t.keywords(DUCK, x)
+
+
+@R.add(
+    "rnk17_skill_cascade",
+    f"""WITH s AS (SELECT vec_id AS id, p_name AS name, p_brand AS description, p_type AS category, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN part ON p_partkey = vec_id),
+q AS (SELECT id AS qid, name || ' ' || category AS text, CASE WHEN id % 100 = 0 THEN NULL ELSE e END AS e FROM s WHERE id % 50 = 0),
+c AS (SELECT qid, id, round(list_inner_product(q.e, s.e) / sqrt(list_inner_product(q.e, q.e)) / sqrt(list_inner_product(s.e, s.e)), 6) AS emb FROM q JOIN s ON q.e IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY emb DESC, id) AS n FROM c WHERE emb >= 0.25 QUALIFY n <= 30),
+left_ AS (SELECT qid, text, {_kw('text')} AS ws FROM q WHERE qid NOT IN (SELECT qid FROM n)),
+k AS (SELECT qid, id, name, 5 * len(list_intersect(ws, {_kw('name')})) + 3 * len(list_intersect(ws, {_kw('category')})) + len(list_intersect(ws, {_kw('description')})) + CASE WHEN lower(name) = lower(text) THEN 10 ELSE 0 END AS kw FROM left_, s WHERE category <> '.archive'),
+k30 AS (SELECT qid, id, kw FROM k WHERE kw > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY kw DESC, name, id) <= 30),
+f AS (SELECT qid, id, n, 0.2 * emb AS w FROM n UNION ALL SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY kw DESC, id), greatest(0.01 * kw, 0) FROM k30),
+z AS (SELECT *, count(*) OVER (PARTITION BY qid) AS size FROM f),
+w AS (SELECT z.*, q.text, lower(replace(s.name || ' ' || s.description, '.', ' ')) AS own FROM z JOIN s USING (id) JOIN q USING (qid) WHERE size > 3 AND n <= 20),
+j AS (SELECT qid, id, len(list_intersect(list_distinct(list_filter(string_split_regex(lower(replace(text, '.', ' ')), '\\s+'), lambda x: length(x) > 2)), list_distinct(list_filter(string_split_regex(own, '\\s+'), lambda x: length(x) > 2)))) AS m FROM w),
+o AS (SELECT qid, id, round(least(1, 0.5 + m / 10), 6) AS score, 'judge' AS stage FROM j WHERE m >= 2 UNION ALL SELECT qid, id, round(least(0.49, 0.3 + w), 6), CASE WHEN size <= 3 THEN 'early' ELSE 'fallback' END FROM z WHERE size <= 3 OR (n <= 20 AND qid NOT IN (SELECT qid FROM j WHERE m >= 2)))
+SELECT qid, id, score, stage, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM o QUALIFY rank <= 3""",
+)
+def rnk17_skill_cascade(spark, sf_dir):
+    """Parts with a vector as skills; the ids divisible by 50 as queries, half of them without their vector."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    own = e.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("description"), F.col("p_type").alias("category")), "id")
+    queries = own.where("id % 50 = 0").select(F.col("id").alias("qid"), F.concat_ws(" ", "name", "category").alias("text"), F.when(F.col("id") % 100 != 0, F.col("vec")).alias("vec"))
+    return skills.match(queries, own, threshold=0.25)

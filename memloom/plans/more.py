@@ -23,7 +23,6 @@ q("vec08_local_query", lambda d: f"{vecs(d)}, {cents(d)}, k AS (SELECT label, co
 q("vec12_match_or_create", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn), m AS (SELECT vec_id, {d.best('label', 'sim', '-label')} AS label, max(sim) AS sim FROM s GROUP BY vec_id) SELECT vec_id, CASE WHEN sim > 0.3 THEN {d.varchar('label')} ELSE 'new' END AS subject FROM m")
 q("vec13_locate_subject", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn), m AS (SELECT vec_id, {d.best('label', 'sim', '-label')} AS label FROM s GROUP BY vec_id), k AS (SELECT vec_id, label AS hit FROM v WHERE vec_id % 4 = 0) SELECT m.vec_id, coalesce(k.hit, m.label) AS subject, k.hit IS NOT NULL AS by_keyword FROM m LEFT JOIN k ON k.vec_id = m.vec_id")
 q("vec14_semantic_domain", lambda d: f"{vecs(d)}, {cents(d)}, s AS (SELECT v.vec_id, cn.label, {cos(d, 'v', 'cn')} AS sim FROM v CROSS JOIN cn) SELECT vec_id, {d.best('label', 'sim', '-label')} AS domain FROM s GROUP BY vec_id HAVING max(sim) > 0.28")
-q("clu16_child_vectors", lambda d: f"WITH RECURSIVE {NODES}, walk(root, id, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'domain' UNION ALL SELECT w.root, n.id, w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE w.depth < 3) SELECT root, count(*) AS vectors FROM walk JOIN {{embeddings}} ON vec_id = walk.id GROUP BY root")
 q("clu17_backfill", lambda d: "SELECT conv_id, turn, text FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {conversations} WHERE text IS NOT NULL) x WHERE rn = 1")
 q("join26_similar_history", lambda d: f"WITH h AS (SELECT conv_id, turn, {t.word_set(d, 'text')} AS w FROM {{conversations}} WHERE text IS NOT NULL AND turn > 0), n AS (SELECT conv_id, {t.word_set(d, 'text')} AS w FROM {{conversations}} WHERE text IS NOT NULL AND turn = 0), s AS (SELECT h.conv_id, h.turn, {t.jaccard(d, 'h.w', 'n.w')} AS sim FROM h JOIN n ON n.conv_id = h.conv_id) SELECT conv_id, turn, round(sim, 6) AS sim FROM s WHERE sim > 0")
 q("join27_subject_load", lambda d: f"WITH {NODES} SELECT s.id AS subject, count(p.id) AS points, {d.join(d.map(d.first(d.collect('p.id'), 3), 'i', d.varchar('i')), ',')} AS ids FROM nodes s JOIN nodes p ON p.parent = s.id WHERE s.kind = 'subject' GROUP BY s.id HAVING count(p.id) >= 3")

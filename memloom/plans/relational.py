@@ -64,11 +64,6 @@ q("join06_orphans", lambda d: "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {
 q("join07_without_entities", lambda d: "SELECT doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
 q("join08_orphan_nodes", lambda d: f"WITH {PAIRS}, ends AS (SELECT a AS id FROM pairs WHERE n > 1 UNION SELECT b FROM pairs WHERE n > 1) SELECT p_partkey FROM {{part}} WHERE p_partkey NOT IN (SELECT id FROM ends)")
 q("join09_cooccurrence", lambda d: f"WITH {USES}, s AS (SELECT DISTINCT session, node % 25 AS subject FROM uses), c AS (SELECT x.subject AS a, y.subject AS b, count(*) AS n FROM s x JOIN s y ON x.session = y.session AND x.subject < y.subject GROUP BY 1, 2) SELECT a, b, n, round(n / CAST(max(n) OVER () AS DOUBLE), 6) AS rate FROM c")
-q("join10_subject_search", lambda d: f"WITH RECURSIVE {NODES}, walk(id, name, depth) AS (SELECT id, name, 0 FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, n.name, w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE n.kind <> 'knowledge_point') SELECT id, name, depth FROM walk WHERE name ILIKE '%a%' OR name ILIKE '%e%'")
-q("join11_descendants", lambda d: f"WITH RECURSIVE {NODES}, walk(root, id) AS (SELECT id, id FROM nodes WHERE kind = 'domain' UNION ALL SELECT w.root, n.id FROM nodes n JOIN walk w ON n.parent = w.id) SELECT root, walk.id, name FROM walk JOIN nodes ON nodes.id = walk.id WHERE kind = 'knowledge_point'")
-q("join12_guarded_descendants", lambda d: f"WITH RECURSIVE {NODES}, walk(id, path, depth) AS (SELECT id, {d.array([d.varchar('id')])}, 0 FROM nodes WHERE kind = 'domain' UNION ALL SELECT n.id, {'array_append(w.path, CAST(n.id AS STRING))' if d.name == 'spark' else 'list_append(w.path, CAST(n.id AS VARCHAR))'}, w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE NOT {d.member('w.path', d.varchar('n.id'))}) SELECT id, {d.join('path', '/')} AS path, depth FROM walk")
-q("join13_listing", lambda d: f"WITH RECURSIVE {NODES}, walk(id, path, depth) AS (SELECT id, name, 0 FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, concat(w.path, '/', n.name), w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id WHERE w.depth < 2) SELECT id, path, depth FROM walk")
-q("join14_cascade", lambda d: f"WITH RECURSIVE {NODES}, gone(id) AS (SELECT id FROM nodes WHERE name = 'ASIA' OR id = 2000003 UNION ALL SELECT n.id FROM nodes n JOIN gone g ON n.parent = g.id) SELECT id, name FROM nodes WHERE id NOT IN (SELECT id FROM gone)")
 q("join15_as_of", lambda d: "WITH v AS (SELECT o_custkey AS k, o_totalprice AS val, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to, o_orderkey FROM {orders}), asked AS (SELECT o_custkey AS k, max(o_orderdate) - INTERVAL '200' DAY AS t FROM {orders} GROUP BY 1) SELECT asked.k, max(o_orderkey) AS o_orderkey FROM asked JOIN v ON v.k = asked.k AND valid_from <= t AND (valid_to IS NULL OR valid_to > t) GROUP BY asked.k")
 q("join16_versions", lambda d: "SELECT o_custkey AS k, o_orderkey AS version, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM {orders}")
 q("join17_eval_traffic", lambda d: f"WITH e AS (SELECT user_id, ts, CAST(floor({d.epoch('ts')} / 3600) AS BIGINT) AS b FROM {{events}} WHERE event_type = 'error'), m AS (SELECT event_id, user_id, ts, CAST(floor({d.epoch('ts')} / 3600) AS BIGINT) AS b FROM {{events}} WHERE event_type = 'view'), near AS (SELECT user_id, ts, {d.explode('[b, b + 1]' if d.name == 'duckdb' else 'array(b, b + 1)')} AS b FROM e) SELECT event_id, EXISTS (SELECT 1 FROM near WHERE near.user_id = m.user_id AND near.b = m.b AND m.ts >= near.ts AND m.ts <= near.ts + INTERVAL '3600' SECOND) AS is_eval FROM m")

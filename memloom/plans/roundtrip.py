@@ -9,7 +9,7 @@ from memloom.functions.dialect import DUCK, SPARK
 from memloom.operators import cluster
 from memloom.plans.base import Registry, table
 from memloom.plans.streams import _shared
-from memloom.sources import files, sinks
+from memloom.sources import files, sinks, use_log
 from pyspark.sql import functions as F
 
 R = Registry()
@@ -61,11 +61,12 @@ def snk06_ledger(spark, sf_dir):
 
 @R.add("snk08_use_log", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def snk08_use_log(spark, sf_dir):
-    path = _folder(spark)
+    path, schema = _folder(spark), "user_id long, event_id long"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]").select("user_id", "event_id")
-    query = stream.writeStream.format("json").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("user_id long, event_id long").json(path).groupBy("user_id").agg(F.count("*").alias("n"))
+    use_log.log_recall(stream, path, "recall", f"{path}-checkpoint", None).awaitTermination()
+    use_log.record(use_log.read(spark, path, schema).where("batch = 0").select("user_id", "event_id"), 0, path, "replay")
+    use_log.record(use_log.read(spark, path, schema).where("source = 'recall'").select("user_id", "event_id"), 0, path, "replay")  # a batch that comes again
+    return use_log.read(spark, path, schema).where("source = 'replay'").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @R.add("clu08_sub_clusters")
