@@ -17,7 +17,7 @@ from the documents: bit maps of the sets bound the difference, and Jaccard is ve
 A line is removed if an earlier line (smaller doc_id, or the same document and a smaller line number),
 removed or not, is similar. One earlier match decides, so each line first meets the earliest line and the one
 before it in its keys' lists, and the best of these is verified; only lines that find no match there are joined with all
-earlier lines. Large groups of similar lines thus cost a few comparisons a line. A key of more than
+earlier lines, where the join itself compares lengths and two words of parities of the tokens. Large groups of similar lines thus cost a few comparisons a line. A key of more than
 SPLIT lines is dealt out in blocks.
 
 Defined results: null text has no lines; a line without tokens stays and matches nothing; rows that
@@ -40,6 +40,8 @@ SPLIT = 4096
 #: Words of 64 bits in a line's map of its tokens: each differing token flips one bit at most.
 MAPS = 4
 _HASH = 58
+#: Two words of 64 bits, each token flipping one bit of each: bits that differ between two lines are at most the tokens that do.
+PARITY = {"p0": 0, "p1": 6}
 #: A posting is one number: place of the line, its size (at most SIZE) and the pair's place in it (at most PLACE).
 SIZE, PLACE = 127, 31
 _LEAST = -(1 << 63)
@@ -64,6 +66,9 @@ def _tokens(line: str, levels: list[int]) -> str:
 _KEYS = "IF(n < 4, null, transform(sequence(0, n - (n + (4 * n + 4) div 5 + 2) div 3), i -> xxhash64(toks[i], toks[i + 1]) & 0xFFFFFFFFFFFF))".replace("0xFFFFFFFFFFFF", str((1 << 48) - 1))
 
 
+_PARITY = [f"IF(n < 4, 0L, aggregate(toks, 0L, (m, x) -> m ^ shiftleft(1L, CAST(shiftright(x, {at}) & 63 AS INT)))) AS {name}" for name, at in PARITY.items()]
+
+
 def _identified(docs: DataFrame) -> tuple[DataFrame, bool]:
     """docs with __id (null: the least number) and __mark (the text's hash if some id repeats, else 0), and whether some id repeats."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
@@ -124,9 +129,14 @@ def _similar_to_earlier(reps: DataFrame, base: DataFrame) -> list[DataFrame]:
     near = near.select(F.col("v").alias("vx"), F.explode(F.array_distinct(F.array("before", "first"))).alias("vy"))
     best = _candidates(near).groupBy("x").agg(F.max_by("y", F.struct("c", -F.col("y"))).alias("y"))
     matched = _verified(best, reps, base)
-    left = shared.select("key", F.col("v").alias("vx"), F.expr(f"v div {PLACE + 1}").alias("x"), F.pmod(F.xxhash64("v"), "blocks").alias("block")).join(matched, "x", "left_anti").drop("x")
-    every = shared.select("key", F.col("v").alias("vy"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    rest = _verified(_candidates(left.join(every, ["key", "block"]).where("vy < vx").select("vx", "vy")), reps, base)
+    place = F.expr(f"v div {PLACE + 1}")
+    maps = lambda side: reps.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *PARITY)])
+    open_ = reps.select(F.col("id").alias("x")).join(matched, "x", "left_anti").join(maps("x"), "x")
+    left = shared.select("key", F.col("v").alias("vx"), place.alias("x"), F.pmod(F.xxhash64("v"), "blocks").alias("block")).join(open_, "x").drop("x")
+    every = shared.select("key", F.col("v").alias("vy"), place.alias("y"), "blocks").join(maps("y"), "y").drop("y").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    differ = " + ".join(f"bit_count(x_{m} ^ y_{m})" for m in PARITY)
+    met = left.join(every, ["key", "block"]).where(f"vy < vx AND 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n) AND 9 * ({differ}) <= x_n + y_n")
+    rest = _verified(_candidates(met.select("vx", "vy")), reps, base)
     discard(shared)
     return [matched, rest]
 
@@ -138,11 +148,11 @@ def removals(docs: DataFrame, twice: bool) -> DataFrame:
     # In order of the documents, so that the numbers Spark gives to rows are in order of the lines.
     lines = base.repartitionByRange("__id", "__mark").sortWithinPartitions("__id", "__mark").select("__id", "__mark", F.posexplode(F.split("text", "\n")).alias("line", "words")).where("ltrim(words) <> ''")
     lines = lines.select("__id", "__mark", "line", F.monotonically_increasing_id().alias("place"), F.expr(_tokens("words", _levels(base))).alias("toks")).withColumn("n", F.size("toks"))
-    wide = cut(lines.selectExpr("__id", "__mark", "line", f"place * {SIZE + 1} + least(n, {SIZE}) AS id", "n", "xxhash64(toks) AS k1", "hash(toks) AS k2", f"{_KEYS} AS keys"), "zstd")
+    wide = cut(lines.selectExpr("__id", "__mark", "line", f"place * {SIZE + 1} + least(n, {SIZE}) AS id", "n", "xxhash64(toks) AS k1", "hash(toks) AS k2", f"{_KEYS} AS keys", *_PARITY), "zstd")
     dups = cut(wide.groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     spot = ("__id", "__mark", "line")
     copies = cut(wide.join(dups, ["k1", "k2", "n"]).where("id <> first").select(*spot))
-    reps = cut(wide.where("keys IS NOT NULL").join(dups, ["k1", "k2", "n"], "left").where("first IS NULL OR id = first").select(*spot, "id", "keys"), "zstd")
+    reps = cut(wide.where("keys IS NOT NULL").join(dups, ["k1", "k2", "n"], "left").where("first IS NULL OR id = first").select(*spot, "id", "keys", "n", *PARITY), "zstd")
     discard(wide, dups)
     late = _similar_to_earlier(reps, base)
     gone = copies
