@@ -17,7 +17,7 @@ from the documents: bit maps of the sets bound the difference, and Jaccard is ve
 A line is removed if an earlier line (smaller doc_id, or the same document and a smaller line number),
 removed or not, is similar. One earlier match decides, so each line first meets the earliest line and the one
 before it in its keys' lists, and the best of these is verified; only lines that find no match there are joined with all
-earlier lines, where the join itself compares lengths and two words of parities of the tokens. Large groups of similar lines thus cost a few comparisons a line. A key of more than
+earlier lines, where the join itself compares lengths and maps of the parities of tokens. Large groups of similar lines thus cost a few comparisons a line. A key of more than
 SPLIT lines is dealt out in blocks.
 
 Defined results: null text has no lines; a line without tokens stays and matches nothing; rows that
@@ -40,8 +40,8 @@ SPLIT = 4096
 #: Words of 64 bits in a line's map of its tokens: each differing token flips one bit at most.
 MAPS = 4
 _HASH = 58
-#: Two words of 64 bits, each token flipping one bit of each: bits that differ between two lines are at most the tokens that do.
-PARITY = {"p0": 0, "p1": 6}
+#: A map of 128 bits, of which each token flips one: bits that differ between two lines are at most the tokens that do.
+PARITY = {"p0": 0, "p1": 64}
 #: A posting is one number: place of the line, its size (at most SIZE) and the pair's place in it (at most PLACE).
 SIZE, PLACE = 127, 31
 _LEAST = -(1 << 63)
@@ -66,7 +66,7 @@ def _tokens(line: str, levels: list[int]) -> str:
 _KEYS = "IF(n < 4, null, transform(sequence(0, n - (n + (4 * n + 4) div 5 + 2) div 3), i -> xxhash64(toks[i], toks[i + 1]) & 0xFFFFFFFFFFFF))".replace("0xFFFFFFFFFFFF", str((1 << 48) - 1))
 
 
-_PARITY = [f"IF(n < 4, 0L, aggregate(toks, 0L, (m, x) -> m ^ shiftleft(1L, CAST(shiftright(x, {at}) & 63 AS INT)))) AS {name}" for name, at in PARITY.items()]
+_PARITY = [f"IF(n < 4, 0L, aggregate(toks, 0L, (m, x) -> IF((x & 64) = {half}, m ^ shiftleft(1L, CAST(x & 63 AS INT)), m))) AS {name}" for name, half in PARITY.items()]
 
 
 def _identified(docs: DataFrame) -> tuple[DataFrame, bool]:
