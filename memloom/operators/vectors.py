@@ -205,3 +205,50 @@ def ema_fold(df: DataFrame, key: str, order: str, vec: str) -> DataFrame:
         return F.struct(moved.alias("v"), n.alias("n"))
 
     return rows.select(key, F.aggregate("vs", start, step, lambda s: s["v"]).alias("vec"))
+
+
+def subject_offsets(points: DataFrame) -> DataFrame:
+    """(parent, subject, offset, n): the centroid of each subject's vectors less that of its siblings' under the same parent.
+
+    points: (parent, subject, vec), null or non-finite vectors left out. A subject without siblings has its own centroid as
+    offset; n counts its vectors. Sums of a parent less a subject's own give its siblings', so no two subjects are paired.
+    """
+    rows = points.where(finite("vec")).where("parent IS NOT NULL AND subject IS NOT NULL").select("parent", "subject", F.posexplode("vec").alias("pos", "x"))
+    own = rows.groupBy("parent", "subject", "pos").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
+    every = own.groupBy("parent", "pos").agg(F.sum("s").alias("ps"), F.sum("n").alias("pn"))
+    rest = (F.col("ps") - F.col("s")) / F.nullif(F.col("pn") - F.col("n"), F.lit(0))
+    parts = own.join(every, ["parent", "pos"]).withColumn("o", F.col("s") / F.col("n") - F.coalesce(rest, F.lit(0.0)))
+    return parts.groupBy("parent", "subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "o"))), lambda z: z["o"]).alias("offset"), F.max("n").alias("n"))
+
+
+def local_queries(queries: DataFrame, offsets: DataFrame, coefficient: float = 0.3, cold: int = 20) -> DataFrame:
+    """queries (qid, subject, vec) moved by `coefficient` of their subject's offset (subject, offset, n); unmoved below `cold` vectors or without one."""
+    met = queries.join(offsets.select("subject", "offset", "n"), "subject", "left")
+    moved_ = F.zip_with(F.transform("vec", lambda x: x.cast("double")), "offset", lambda x, o: x + coefficient * o)
+    return met.select("qid", "subject", F.when((F.col("n") >= cold) & (F.size("offset") == F.size("vec")), moved_).otherwise(F.transform("vec", lambda x: x.cast("double"))).alias("vec"))
+
+
+def after_moves(parents: DataFrame, moves: DataFrame, most: float = 0.1) -> DataFrame:
+    """(id, vec, n) of parents (id, vec, n) after nodes moved between them: moves (ord, vec, source, target), in order.
+
+    The old parent loses the node's share, (n vec - v) / (n - 1), if it had more than one; the new one takes it in by
+    v's weight least(1 / (n + 1), most), from a zero vector if it had none. A move without a vector, or of another length
+    than the parent's, changes nothing there. A parent's own moves are folded in their order, ties by vector.
+    """
+    sound = moves.where(finite("vec")).select("ord", F.transform("vec", lambda x: x.cast("double")).alias("v"), "source", "target")
+    each = sound.select("ord", "v", F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(True).alias("leaves")), F.struct(F.col("target").alias("id"), F.lit(False).alias("leaves")))).alias("e"))
+    own = each.where("e.id IS NOT NULL").groupBy("e.id").agg(F.array_sort(F.collect_list(F.struct("ord", "e.leaves", "v"))).alias("moves"))
+    start = parents.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.coalesce("n", F.lit(0)).cast("long").alias("n")).join(own, "id", "left")
+
+    def step(s: Column, m: Column) -> Column:
+        n, v = s["n"], m["v"]
+        fits = s["vec"].isNull() | (F.size(s["vec"]) == F.size(v))
+        base = F.coalesce(s["vec"], F.transform(v, lambda _: F.lit(0.0)))
+        a = F.least(1.0 / (n + 1), F.lit(most))
+        out = F.struct(F.zip_with(base, v, lambda x, y: (x * n - y) / F.nullif(n - 1, F.lit(0))).alias("vec"), (n - 1).alias("n"))
+        into = F.struct(F.zip_with(base, v, lambda x, y: (1 - a) * x + a * y).alias("vec"), (n + 1).alias("n"))
+        leaves = m["leaves"] & (n > 1) & s["vec"].isNotNull()
+        return F.when(fits & leaves, out).when(fits & ~m["leaves"], into).otherwise(s)
+
+    folded = F.aggregate(F.coalesce("moves", F.expr("CAST(array() AS array<struct<ord: bigint, leaves: boolean, v: array<double>>>)")), F.struct("vec", "n"), step)
+    return start.withColumn("s", F.when(F.col("moves").isNull(), F.struct("vec", "n")).otherwise(folded)).select("id", "s.vec", "s.n")

@@ -6,7 +6,7 @@ import uuid
 
 from memloom.functions import text as t
 from memloom.functions.dialect import DUCK
-from memloom.operators import causal, cluster, edits, fulltext, ivf, skills, stats, tree
+from memloom.operators import causal, cluster, curate, edits, fulltext, ivf, recall, skills, stats, tree, vectors
 from memloom.plans.base import Registry, table
 from memloom.plans.streams import _shared
 from memloom.sources import use_log
@@ -246,3 +246,108 @@ def rnk17_skill_cascade(spark, sf_dir):
     own = e.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("description"), F.col("p_type").alias("category")), "id")
     queries = own.where("id % 50 = 0").select(F.col("id").alias("qid"), F.concat_ws(" ", "name", "category").alias("text"), F.when(F.col("id") % 100 != 0, F.col("vec")).alias("vec"))
     return skills.match(queries, own, threshold=0.25)
+
+
+@R.add("rnk13_whole_recall")
+def rnk13_whole_recall(spark, sf_dir):
+    """A recall is the 30 nearest of a vector whose id is divisible by 50, with the text of the document of that id; customers' parts of it come from the same label."""
+    known = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    near = vectors.nearest(known, known.where("id % 50 = 0").withColumnRenamed("id", "qid"), 30, among="other").join(texts, "id", "left")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    recalled = near.select(F.col("qid").alias("query"), "id", "text", (F.col("sim") * 2).alias("score"), F.col("sim").alias("ce"), (F.col("id") % 4 + 1).cast("int").alias("hits"), (now - F.make_dt_interval(days=F.col("id") % 60)).alias("at"))
+    pair = near.select(F.col("qid").alias("query"), F.col("rank").alias("ord"), F.col("id").alias("src"))
+    links = pair.join(pair.select("query", (F.col("ord") - 1).alias("ord"), F.col("src").alias("dst")), ["query", "ord"]).withColumn("weight", F.lit(0.5))
+    points = near.where("rank % 5 = 0").select(F.col("qid").alias("query"), (F.col("id") + 1_000_000).alias("id"), "text", F.lit("point").alias("name"), F.col("sim").alias("score"))
+    return recall.post_process(recalled, points, links, now, least=0.2).withColumn("score", F.round("score", 6))
+
+
+@R.add(
+    "agg30_vote_rounds",
+    """WITH v AS (SELECT event_id, user_id % 3 AS round, ['remove', 'compress', 'merge', 'flagged'][CAST(event_id % 4 AS INTEGER) + 1] AS kind, CAST(user_id // 3 AS VARCHAR) AS key, event_type || event_id AS value FROM events WHERE user_id IS NOT NULL),
+a AS (SELECT kind, key FROM v GROUP BY 1, 2 HAVING count(DISTINCT round) = 3)
+SELECT kind, key, value FROM v WHERE kind = 'flagged' UNION ALL SELECT kind, key, value FROM v SEMI JOIN a USING (kind, key) WHERE round = 0 AND kind IN ('compress', 'merge')
+UNION ALL SELECT kind, key, value FROM v WHERE kind = 'remove' QUALIFY row_number() OVER (PARTITION BY key ORDER BY round DESC, event_id DESC) = 1""",
+)
+def agg30_vote_rounds(spark, sf_dir):
+    kinds = F.array(*[F.lit(k) for k in ("remove", "compress", "merge", "flagged")])
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    votes = e.select((F.col("user_id") % 3).alias("round"), F.col("event_id").alias("pos"), F.get(kinds, (F.col("event_id") % 4).cast("int")).alias("kind"), F.floor(F.col("user_id") / 3).cast("string").alias("key"), F.concat("event_type", "event_id").alias("value"))
+    return curate.merged_votes(votes, 3)
+
+
+@R.add("fn55_mark_rules")
+def fn55_mark_rules(spark, sf_dir):
+    """Each document with one of 16 fixed reports below it; a test holds the rules against cases by hand."""
+    reports = F.array(*[F.lit(x) for x in ("服务崩溃", "异常处理方案", "请求超时", "讨论失败", "测试通过", "worker OOM", "磁盘满", "未找到文件", "熔断", "失败原因分析", "一切正常", "拒绝连接", "降级策略", "任务阻塞在队列", "连接失败", "无法连接")])
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", F.get(reports, (F.col("doc_id") % 16).cast("int"))).alias("text"))
+    return rows.withColumn("m", curate.keyword_mark("text")).where("m IS NOT NULL").select("doc_id", "m.mark", "m.keyword")
+
+
+@R.add(
+    "fn22_reply_objects",
+    """SELECT event_id, round(CASE event_id % 3 WHEN 0 THEN greatest(0, least(1, value / 100)) WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END + 0.25 * (1 - (CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END)) ELSE 1 END, 6) AS overall,
+CASE WHEN event_id % 3 = 0 THEN CAST(user_id % 2 AS DOUBLE) END AS sag FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL""",
+)
+def fn22_reply_objects(spark, sf_dir):
+    """Replies in three forms: an object in a fence, a number in words, an object with another field."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL AND user_id IS NOT NULL")
+    whole = F.concat(F.lit('```json\n{"overall": "'), (F.col("value") / 100).cast("string"), F.lit('", "sag": '), (F.col("user_id") % 2).cast("string"), F.lit("}\n```"))
+    text = F.when(F.col("event_id") % 3 == 0, whole).when(F.col("event_id") % 3 == 1, F.when(F.col("user_id") % 2 == 0, "about 1, or so").otherwise("it is 0.25")).otherwise(F.lit('{"relevance": 7}'))
+    out = e.select("event_id", text.alias("text")).withColumn("s", curate.judge_reply("text"))
+    return out.select("event_id", F.round("s.overall", 6).alias("overall"), F.col("s.sag").alias("sag"))
+
+
+@R.add(
+    "fn42_choices",
+    """WITH c AS (SELECT n_nationkey, n_name, chr(CAST(65 + n_nationkey % 5 AS INTEGER)) AS label, n_regionkey FROM nation)
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN label WHEN 1 THEN label WHEN 2 THEN label ELSE 'NOT SURE' END AS label FROM customer JOIN c ON n_nationkey = c_nationkey""",
+)
+def fn42_choices(spark, sf_dir):
+    """A customer answers with its nation: by label, by text, by a label and words, or not at all; the choices are all nations of the label."""
+    n = table(spark, sf_dir, "nation").withColumn("label", F.char(65 + F.col("n_nationkey") % 5))
+    choices = F.array(F.struct(F.concat(F.lower("label"), F.lit(".")).alias("label"), F.col("n_name").alias("text")))
+    forms = F.array(F.concat(F.lit("I think\n<answer> "), F.lower("label"), F.lit(") </answer>")), F.concat(F.lit("so it is\n"), F.lower("n_name")), F.concat("label", F.lit(". because")), F.lit("not sure"))
+    rows = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("c_custkey", F.get(forms, (F.col("c_custkey") % 4).cast("int")).alias("reply"), choices.alias("choices")).select("c_custkey", curate.choice_label("reply", "choices").alias("label"))
+
+
+_OFFSETS = """WITH v AS (SELECT vec_id, label, label % 3 AS parent, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT vec_id, label, parent, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM v),
+o AS (SELECT a.label, a.pos, any_value(a.m) - coalesce(avg(b.x), 0) AS o, any_value(a.n) AS n FROM (SELECT label, parent, pos, avg(x) AS m, count(*) AS n FROM x GROUP BY 1, 2, 3) a LEFT JOIN x b ON b.parent = a.parent AND b.label <> a.label AND b.pos = a.pos GROUP BY 1, 2)"""
+
+
+def _subjects(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e, vectors.subject_offsets(e.select((F.col("label") % 3).alias("parent"), F.col("label").alias("subject"), F.col("embedding").alias("vec")))
+
+
+@R.add("vec09_offsets", f"{_OFFSETS} SELECT label AS subject, CAST(pos AS INTEGER) AS pos, round(o, 6) AS value FROM o")
+def vec09_offsets(spark, sf_dir):
+    return _subjects(spark, sf_dir)[1].select("subject", F.posexplode("offset").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+@R.add("vec08_local_vectors", f"{_OFFSETS} SELECT vec_id AS qid, CAST(pos AS INTEGER) AS pos, round(x + CASE WHEN n >= 20 THEN 0.3 * o ELSE 0 END, 6) AS value FROM x JOIN o USING (label, pos)")
+def vec08_local_vectors(spark, sf_dir):
+    e, offsets = _subjects(spark, sf_dir)
+    out = vectors.local_queries(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("subject"), F.col("embedding").alias("vec")), offsets)
+    return out.select("qid", F.posexplode("vec").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+@R.add(
+    "vec11_moves",
+    """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM v),
+p AS (SELECT label AS id, list(m ORDER BY pos) AS vec, any_value(n) AS n FROM (SELECT label, pos, avg(x) AS m, count(*) AS n FROM x GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT vec_id, e, label AS source, (label + 1) % (SELECT count(*) FROM p) AS target FROM v WHERE vec_id % 10 = 3),
+m AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY vec_id, leaves) AS k, e, leaves FROM (SELECT source AS id, vec_id, e, true AS leaves FROM t UNION ALL SELECT target, vec_id, e, false FROM t)),
+walk(id, k, vec, n) AS (SELECT id, 0, vec, n FROM p UNION ALL SELECT w.id, m.k, CASE WHEN leaves AND n > 1 THEN list_transform(list_zip(vec, e), lambda z: (z[1] * n - z[2]) / (n - 1)) WHEN leaves THEN vec
+ELSE list_transform(list_zip(vec, e), lambda z: (1 - least(1 / (n + 1), 0.1)) * z[1] + least(1 / (n + 1), 0.1) * z[2]) END, CASE WHEN leaves AND n > 1 THEN n - 1 WHEN leaves THEN n ELSE n + 1 END FROM walk w JOIN m ON m.id = w.id AND m.k = w.k + 1),
+f AS (SELECT id, max_by(vec, k) AS vec, max_by(n, k) AS n FROM walk GROUP BY id) SELECT id, n, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS pos, round(unnest(vec), 5) AS value FROM f""",
+)
+def vec11_moves(spark, sf_dir):
+    """Every vector whose id ends in 3 moves from its label to the next one, in order of ids."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    parents = vectors.centroid(e, "label", "embedding").select(F.col("label").alias("id"), F.col("centroid").alias("vec"), "n")
+    total = e.agg(F.count_distinct("label").alias("labels"))  # one row
+    moves = e.where("vec_id % 10 = 3").crossJoin(F.broadcast(total)).select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"), F.col("label").alias("source"), ((F.col("label") + 1) % F.col("labels")).alias("target"))
+    out = vectors.after_moves(parents, moves)
+    return out.select("id", "n", F.posexplode("vec").alias("pos", "value")).withColumn("value", F.round("value", 5))
