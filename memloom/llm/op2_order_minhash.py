@@ -1,13 +1,14 @@
 """Near-duplicate documents by Order MinHash.
 
-A document is its sequence of k-word shingles. Each shingle is labelled with its occurrence number; a
+A document is its sequence of words. Each of its k-word shingles is labelled with its occurrence number; a
 sketch takes the L least labelled shingles under a hash and keeps their text order, so that agreement
 tells of edit similarity, not only of shared content. Documents of equal word sequences are merged into
 one node first. Nodes that share a sketch are compared with that bucket's least node, and with the least
 node of the sub-bucket that also shares the next sketch. Members of a bucket that are in different classes
 after that are compared with each other, block by block in Python, so that no two nodes of a bucket are left
-both unmatched and uncompared; nothing emits the pairs of a bucket. A candidate pair is verified by banded alignment of the two shingle sequences (bit-parallel longest common
-subsequence; the band is as wide as the limit allows): aligned / (a + b - aligned) >= 0.8. Verified links
+both unmatched and uncompared; nothing emits the pairs of a bucket. A candidate pair is verified by banded alignment of the two word sequences (bit-parallel longest common
+subsequence; the band is as wide as the limit allows): aligned / (a + b - aligned) >= 0.8. One changed word thus costs
+one word, not the five shingles that hold it. Verified links
 join nodes into classes.
 
 Defined results: null, empty and wordless texts form one class, that of the empty word sequence, and are
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .graph import components
 
-K, L, SKETCHES = 5, 2, 12
+K, L, SKETCHES = 5, 2, 24
 BLOCK = 256
 _LEAST = -(1 << 63)
 
@@ -52,9 +53,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(ws: list[bytes], k: int = K) -> np.ndarray:
-    """Hashes of the k-word shingles in text order; a shorter text is one shingle."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+def coded(ws: list[bytes]) -> np.ndarray:
+    """Hashes of the words in text order."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+
+
+def shingles(h: np.ndarray, k: int = K) -> np.ndarray:
+    """Hashes of the k-word shingles of coded words in text order; a shorter text is one shingle."""
     if len(h) < k:
         return _mix(np.array([(h * _ODD[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)) if len(h) else h
     return _mix(sum((h[i : len(h) - k + 1 + i] * _ODD[i] for i in range(k)), np.zeros(len(h) - k + 1, np.uint64)))
@@ -129,7 +134,7 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """aligned / (a + b - aligned) >= 0.8 for two shingle sequences."""
+    """aligned / (a + b - aligned) >= 0.8 for two word sequences."""
     need = -(-4 * (len(a) + len(b)) // 9)
     if not len(a) or not len(b) or need > min(len(a), len(b)):
         return False
@@ -157,14 +162,15 @@ def _id() -> Column:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (hash of the text), node (two hashes of the word sequence), n shingles, sketches."""
+    """doc_id, mark (hash of the text), node (two hashes of the word sequence), n words, sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, (2,)):
                 split = [words(t) for t in part.column(2).to_pylist()]
                 node = [xxhash.xxh3_128_intdigest(b" ".join(w)) for w in split]
-                grams = [shingles(w) for w in split]
+                coded_ = [coded(w) for w in split]
+                grams = [shingles(h) for h in coded_]
                 full = [k for k, g in enumerate(grams) if len(g)]
                 rows: list = [[] for _ in grams]
                 if full:
@@ -177,7 +183,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                         part.column(1),
                         pa.array([signed(x >> 64) for x in node], pa.int64()),
                         pa.array([signed(x & ((1 << 64) - 1)) for x in node], pa.int64()),
-                        pa.array(map(len, grams), pa.int64()),
+                        pa.array(map(len, coded_), pa.int64()),
                         pa.array(rows, pa.list_(pa.int64())),
                     ],
                     ["doc_id", "mark", "k1", "k2", "n", "sketch"],
@@ -195,8 +201,8 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 keep = []
                 for ta, tb in zip(part.column(1), part.column(2)):
                     if ta != last[0]:
-                        last = (ta, shingles(words(ta.as_py())))
-                    keep.append(similar(last[1], shingles(words(tb.as_py()))))
+                        last = (ta, coded(words(ta.as_py())))
+                    keep.append(similar(last[1], coded(words(tb.as_py()))))
                 yield part.select(["pair"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("pair", F.col("ta").cast("binary").alias("ta"), F.col("tb").cast("binary").alias("tb")).mapInArrow(run, pairs.select("pair").schema)
@@ -237,7 +243,7 @@ def _uncompared(rows: list[dict]) -> np.ndarray:
 
 
 def _labelled(grams: np.ndarray) -> np.ndarray:
-    """Shingles marked with their occurrence number: distinct, so that common ones count as a multiset does."""
+    """Words marked with their occurrence number: distinct, so that common ones count as a multiset does."""
     order = np.argsort(grams, kind="stable")
     at = np.arange(len(grams))
     first = np.concatenate([[True], grams[order][1:] != grams[order][:-1]])
@@ -245,7 +251,7 @@ def _labelled(grams: np.ndarray) -> np.ndarray:
 
 
 def _similar_pairs(docs: dict[int, np.ndarray], pairs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Those of the pairs (sorted by their first) that are similar; common shingles are counted against all partners of a document at once."""
+    """Those of the pairs (sorted by their first) that are similar; common words are counted against all partners of a document at once."""
     names = sorted(docs)
     sizes = np.array([len(docs[k]) for k in names])
     words_, ids = np.unique(np.concatenate([_labelled(docs[k]) for k in names]), return_inverse=True)
@@ -294,7 +300,7 @@ def _rest(nodes: DataFrame, leaders: DataFrame, links: DataFrame, texts: DataFra
             pairs = _uncompared(rows)
             if not len(pairs):
                 continue
-            docs = {k: shingles(words(rows[k]["text"])) for k in np.unique(pairs).tolist()}
+            docs = {k: coded(words(rows[k]["text"])) for k in np.unique(pairs).tolist()}
             found = [{"a": rows[a]["id"], "b": rows[b]["id"]} for a, b in _similar_pairs(docs, pairs)]
             if found:
                 yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("a", _ARROW), ("b", _ARROW)]))
