@@ -105,10 +105,14 @@ def mentions(messages: DataFrame, skills: DataFrame) -> DataFrame:
     s = s.withColumn("telling", F.filter("all", lambda w: ~w.isin(*AMBIGUOUS) & (F.length(w) >= 3))).where(F.size("all") > 0)
     longest = lambda c: F.expr(f"element_at(array_sort({c}, (a, b) -> length(a) - length(b)), -1)")
     s = s.withColumn("keys", F.array_distinct(F.array_compact(F.array(longest("all"), F.when(F.size("telling") > 1, longest("telling")))))).withColumn("key", F.explode("keys"))
-    m = messages.where("text IS NOT NULL").select("id", F.lower("text").alias("low")).withColumn("key", F.explode(F.array_distinct(words(F.col("low")))))
-    phrase = F.regexp_like(F.col("low"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("leaf"), F.lit(r"\E(?![a-z0-9])")))
-    telling = (F.size("telling") >= 2) & F.forall("telling", lambda w: F.array_contains(words(F.col("low")), w))
-    return m.join(s.select("skill", "leaf", "telling", "key"), "key").where(phrase | telling).select("id", "skill").distinct()
+    m = messages.where("text IS NOT NULL").select("id", F.lower("text").alias("low"))
+    # words travel with ids alone; a message meets its candidates, all at once, and is split once for them
+    met = m.select("id", F.explode(F.array_distinct(words(F.col("low")))).alias("key")).join(s.select("skill", "leaf", "telling", "key"), "key")
+    candidates = met.groupBy("id").agg(F.collect_set(F.struct("skill", "leaf", "telling")).alias("found"))
+    own = m.join(candidates, "id").withColumn("have", F.array_distinct(words(F.col("low"))))
+    phrase = lambda x: F.contains("low", x["leaf"]) & F.regexp_like(F.col("low"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), x["leaf"], F.lit(r"\E(?![a-z0-9])")))
+    all_ = lambda x: (F.size(x["telling"]) >= 2) & (F.size(F.array_except(x["telling"], "have")) == 0)
+    return own.select("id", F.explode(F.filter("found", lambda x: all_(x) | phrase(x))).alias("x")).select("id", "x.skill").distinct()
 
 
 def small_domain_targets(points: DataFrame, min_nodes: int = 5, threshold: float = 0.6) -> DataFrame:
