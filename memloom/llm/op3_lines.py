@@ -15,9 +15,9 @@ common prefix pairs (with what can follow the prefixes) leave the candidates. Th
 from the documents: bit maps of the sets bound the difference, and Jaccard is verified on the tokens themselves.
 
 A line is removed if an earlier line (smaller doc_id, or the same document and a smaller line number),
-removed or not, is similar. One earlier match decides, so each line first meets the earliest line and the one
-before it in its keys' lists, and the best of these is verified; only lines that find no match there are joined with all
-earlier lines, where the join itself compares lengths and maps of the parities of tokens. Large groups of similar lines thus cost a few comparisons a line. A key of more than
+removed or not, is similar. One earlier match decides, so each line first meets the earliest line and the NEAR lines
+before it in its keys' lists, and the one whose map of parities of tokens differs least is verified; only lines that find
+no match there are joined with all earlier lines, where the join itself compares lengths and those maps. Large groups of similar lines thus cost a few comparisons a line. A key of more than
 SPLIT lines is dealt out in blocks.
 
 Defined results: null text has no lines; a line without tokens stays and matches nothing; rows that
@@ -37,6 +37,8 @@ from .common import cut, discard, table
 
 CELLS = 1 << 16
 SPLIT = 4096
+#: Lines before it in a key's list that a line is held against at once.
+NEAR = 12
 #: Words of 64 bits in a line's map of its tokens: each differing token flips one bit at most.
 MAPS = 4
 _HASH = 58
@@ -69,6 +71,9 @@ _KEYS = "IF(n < 4, null, transform(sequence(0, n - (n + (4 * n + 4) div 5 + 2) d
 _PARITY = [f"IF(n < 4, 0L, aggregate(toks, 0L, (m, x) -> IF((x & 64) = {half}, m ^ shiftleft(1L, CAST(x & 63 AS INT)), m))) AS {name}" for name, half in PARITY.items()]
 
 
+_DIFFER = " + ".join(f"bit_count(x_{m} ^ y_{m})" for m in PARITY)
+
+
 def _identified(docs: DataFrame) -> tuple[DataFrame, bool]:
     """docs with __id (null: the least number) and __mark (the text's hash if some id repeats, else 0), and whether some id repeats."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
@@ -123,19 +128,22 @@ def _verified(pairs: DataFrame, reps: DataFrame, base: DataFrame) -> DataFrame:
 
 def _similar_to_earlier(reps: DataFrame, base: DataFrame) -> list[DataFrame]:
     """Tables of x: ids of the lines of reps that are similar to an earlier one."""
-    shared = _shared(reps)
-    order = Window.partitionBy("key", F.pmod(F.xxhash64("v"), "blocks")).orderBy("v")
-    near = shared.select("v", F.lag("v").over(order).alias("before"), F.first("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first")).where("before IS NOT NULL")
-    near = near.select(F.col("v").alias("vx"), F.explode(F.array_distinct(F.array("before", "first"))).alias("vy"))
-    best = _candidates(near).groupBy("x").agg(F.max_by("y", F.struct("c", -F.col("y"))).alias("y"))
+    lists = _shared(reps)
+    small = reps.select("id", "n", *PARITY)
+    shared = cut(lists.withColumn("id", F.expr(f"v div {PLACE + 1}")).join(small, "id").select("key", "v", "blocks", F.pmod(F.xxhash64("v"), "blocks").alias("block"), "n", *PARITY), "zstd")
+    discard(lists)
+    close = "5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n) AND 9 * ({}) <= x_n + y_n".format(_DIFFER)
+    order = Window.partitionBy("key", "block").orderBy("v")
+    one = F.struct("v", "n", *PARITY)
+    before = F.array_compact(F.array(F.first(one).over(order.rowsBetween(Window.unboundedPreceding, -1)), *[F.lag(one, k).over(order) for k in range(1, NEAR + 1)]))
+    near = shared.withColumn("before", before).select("v", "n", *PARITY, F.explode("before").alias("y")).selectExpr("v AS vx", "n AS x_n", *[f"{m} AS x_{m}" for m in PARITY], "y.v AS vy", "y.n AS y_n", *[f"y.{m} AS y_{m}" for m in PARITY])
+    near = near.where(close).selectExpr(f"vx div {PLACE + 1} AS x", f"vy div {PLACE + 1} AS y", f"{_DIFFER} AS d").where("y < x")
+    best = near.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))
     matched = _verified(best, reps, base)
-    place = F.expr(f"v div {PLACE + 1}")
-    maps = lambda side: reps.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *PARITY)])
-    open_ = reps.select(F.col("id").alias("x")).join(matched, "x", "left_anti").join(maps("x"), "x")
-    left = shared.select("key", F.col("v").alias("vx"), place.alias("x"), F.pmod(F.xxhash64("v"), "blocks").alias("block")).join(open_, "x").drop("x")
-    every = shared.select("key", F.col("v").alias("vy"), place.alias("y"), "blocks").join(maps("y"), "y").drop("y").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-    differ = " + ".join(f"bit_count(x_{m} ^ y_{m})" for m in PARITY)
-    met = left.join(every, ["key", "block"]).where(f"vy < vx AND 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n) AND 9 * ({differ}) <= x_n + y_n")
+    side = lambda c: shared.selectExpr("key", "block", "blocks", f"v AS v{c}", f"v div {PLACE + 1} AS id", f"n AS {c}_n", *[f"{m} AS {c}_{m}" for m in PARITY])
+    left = side("x").join(matched.withColumnRenamed("x", "id"), "id", "left_anti").drop("id", "blocks")
+    every = side("y").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("id", "blocks")
+    met = left.join(every, ["key", "block"]).where(f"vy < vx AND {close}")
     rest = _verified(_candidates(met.select("vx", "vy")), reps, base)
     discard(shared)
     return [matched, rest]
