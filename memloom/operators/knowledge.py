@@ -142,3 +142,20 @@ def insert_points(nodes: DataFrame, texts: DataFrame, records: DataFrame, parent
     new = cut(numbered(records.select("pos", "name", "text"), ["pos"]).withColumn("id", F.col("nth") + top))
     made = new.select("id", "name", F.lit("knowledge_point").alias("kind"), F.lit(parent).cast("long").alias("parent"))
     return nodes.select("id", "name", "kind", "parent").unionByName(made), texts.select("node_id", "text").unionByName(new.select(F.col("id").alias("node_id"), "text"))
+
+
+def cluster_plan(labelled: DataFrame, most: int = 20, prefix: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What clusters (id, cluster, text) write: entities (entity_id, name, members), bridge rows (unit_id, entity_id) and causal links.
+
+    Noise (a cluster below 0 or null) and clusters of more than `most` members are left out. An entity is named after the first ten
+    characters of its first member by id and its own id. Links are those of causal_links within a cluster; of several
+    clusters with the same two units and kind the least one's counts.
+    """
+    sized = labelled.where("cluster >= 0 AND id IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("members"), F.min_by("text", "id").alias("head"))
+    kept = cut(sized.where(F.col("members") <= most))
+    entity = F.concat(F.lit(f"group_{prefix}_" if prefix else "group_"), F.col("cluster").cast("string"))
+    entities = kept.select(entity.alias("entity_id"), F.concat(F.substring(F.coalesce("head", F.lit("")), 1, 10), F.lit("... ["), entity, F.lit("]")).alias("name"), "members")
+    units = labelled.where("id IS NOT NULL").join(kept.select("cluster"), "cluster")
+    bridge = units.select(F.col("id").alias("unit_id"), entity.alias("entity_id"))
+    links = causal_links(units.select(F.col("cluster").alias("grp"), F.col("id").alias("unit_id"), F.coalesce("text", F.lit("")).alias("text")))
+    return entities, bridge, links

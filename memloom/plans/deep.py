@@ -6,10 +6,11 @@ import uuid
 
 from memloom.functions import text as t
 from memloom.functions.dialect import DUCK
-from memloom.operators import causal, cluster, curate, edits, fulltext, ivf, recall, skills, stats, tree, vectors
+from memloom.operators import causal, cluster, curate, edits, expand, fulltext, ivf, recall, skills, stats, tree, vectors
+from memloom.plans import relational
 from memloom.plans.base import Registry, table
 from memloom.plans.streams import _shared
-from memloom.sources import use_log
+from memloom.sources import files, sinks, use_log
 from memloom.streaming import semantic_cache
 from pyspark.sql import functions as F
 
@@ -351,3 +352,100 @@ def vec11_moves(spark, sf_dir):
     moves = e.where("vec_id % 10 = 3").crossJoin(F.broadcast(total)).select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"), F.col("label").alias("source"), ((F.col("label") + 1) % F.col("labels")).alias("target"))
     out = vectors.after_moves(parents, moves)
     return out.select("id", "n", F.posexplode("vec").alias("pos", "value")).withColumn("value", F.round("value", 5))
+
+
+@R.add(
+    "join05_three_routes",
+    """WITH s AS (SELECT c_nationkey AS query, min(c_custkey) AS id FROM customer GROUP BY 1 UNION SELECT c_nationkey, max(c_custkey) FROM customer GROUP BY 1),
+e AS (SELECT DISTINCT o_custkey AS id, l_partkey AS entity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL),
+g AS (SELECT o_custkey AS a, o_custkey + 3 AS b, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
+p AS (SELECT DISTINCT query, c_nationkey % 7 AS parent FROM s JOIN customer ON c_custkey = id),
+r1 AS (SELECT query, c_custkey AS id, 0.5 AS score, 0.5 AS o FROM p JOIN customer ON c_nationkey % 7 = parent),
+r2 AS (SELECT query, b.id, least(1, count(*) / 5) AS score, count(*) AS o FROM (SELECT DISTINCT query, entity FROM s JOIN e USING (id)) a JOIN e b USING (entity) GROUP BY 1, 2),
+r3 AS (SELECT query, b AS id, least(1, sum(n) / 3) AS score, sum(n) AS o FROM s JOIN (SELECT a, b, n FROM g UNION ALL SELECT b, a, n FROM g) ON a = s.id GROUP BY 1, 2),
+u AS (SELECT *, 0 AS route, 'subject' AS strategy FROM r1 UNION ALL SELECT *, 1, 'entity' FROM r2 UNION ALL SELECT *, 2, 'edge' FROM r3),
+k AS (SELECT * FROM u ANTI JOIN s USING (query, id) QUALIFY row_number() OVER (PARTITION BY query, route ORDER BY o DESC, id) <= 4),
+f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY route) = 1)
+SELECT query, id, round(score, 6) AS score, strategy, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, route, id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""",
+)
+def join05_three_routes(spark, sf_dir):
+    """A recall is a nation with its first and last customer as seeds: customers of like nations, of shared parts, and over edges."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    seeds = c.groupBy(F.col("c_nationkey").alias("query")).agg(F.array(F.min("c_custkey"), F.max("c_custkey")).alias("ids")).select("query", F.explode("ids").alias("id"))
+    points = c.select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 7).alias("parent"), F.expr("CAST(null AS array<double>)").alias("vec"))
+    links = o.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("id"), F.col("l_partkey").alias("entity"))
+    edges = o.where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("a")).agg(F.count("*").alias("n")).select("a", (F.col("a") + 3).alias("b"), "n")
+    return expand.expand(points, links, edges, seeds, 10).withColumn("score", F.round("score", 6))
+
+
+def _through(name):
+    """A query that runs the library's function, held against the SQL that stands beside it in relational.py."""
+
+    def register(f):
+        R.add(name, relational.ORACLES[name])(f)
+        return f
+
+    return register
+
+
+@_through("src09_event_streams")
+def src09_event_streams(spark, sf_dir):
+    """The trace as JSON lines with a broken one in ten, read as one stream for each type."""
+    path, e = _folder(spark), table(spark, sf_dir, "events")
+    rows = e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("event_type").alias("event"), "props")
+    lines = rows.select(F.to_json(F.struct("*")).alias("value")).unionByName(rows.where("event = 'error'").select(F.lit('{"timestamp": "2024-01-1').alias("value")))
+    lines.write.text(path)
+    names = ["click", "view", "error", *[r[0] for r in e.where("event_type NOT IN ('click', 'view', 'error')").select("event_type").distinct().collect()]]  # the types of events, a few
+    found = None
+    for stream in files.event_log(spark, path, "timestamp string, event string, props string", "2024-01-1", names).values():
+        found = stream if found is None else found.unionByName(stream)
+    return found.groupBy(F.col("event").alias("event_type"), F.substring("timestamp", 1, 10).alias("day"), F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+@_through("src13_log_lines")
+def src13_log_lines(spark, sf_dir):
+    path, e = _folder(spark), table(spark, sf_dir, "events")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO"), F.lit(" "), "event_type", F.lit(": v="), F.col("event_id").cast("string"))
+    e.select(line.alias("value")).where("value IS NOT NULL").write.text(path)
+    return files.log_lines(spark, path).groupBy("day", "level", "module").agg(F.count("*").alias("n"))
+
+
+@_through("src21_digests")
+def src21_digests(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.lit("p").alias("project"), "role", F.coalesce("text", F.lit("")).alias("content"), F.col("turn").alias("ts"))
+    out = files.transcripts(rows)
+    return out.select(F.col("session_id").alias("conv_id"), F.col("n_user_turns").cast("long").alias("user_turns"), F.col("n_assistant_turns").cast("long").alias("assistant_turns"), F.col("started_at").alias("first_turn"), F.col("ended_at").alias("last_turn"))
+
+
+@_through("snk01_upsert")
+def snk01_upsert(spark, sf_dir):
+    side = lambda odd, how: table(spark, sf_dir, "orders").where(f"o_orderkey % 2 = {odd}").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("w")).withColumn("how", F.lit(how))
+    merged = sinks.upsert(side(0, "kept").withColumn("first", F.lit("kept")), side(1, "inserted").withColumn("first", F.lit("inserted")), ["k"], {"w": "greatest", "how": "new", "first": "old"})
+    return merged.select("k", "w", F.when(F.col("how") == F.col("first"), F.col("how")).otherwise("updated").alias("how"))
+
+
+@_through("snk05_rotate")
+def snk05_rotate(spark, sf_dir):
+    return sinks.rotate(table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id")), "user_id", "at", 5).select("user_id", "event_id")
+
+
+@_through("snk04_daily_append")
+def snk04_daily_append(spark, sf_dir):
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
+    fresh = days.orderBy(F.desc("date")).limit(2).select("date", (F.col("n") + 1).alias("n"))
+    return sinks.daily(days, fresh).select(F.col("date").cast("string").alias("day"), "n")
+
+
+@_through("snk07_archive")
+def snk07_archive(spark, sf_dir):
+    kept, _ = sinks.archive(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 5000)
+    return kept.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n"), "digest")
+
+
+@_through("snk02_edge_upsert")
+def snk02_edge_upsert(spark, sf_dir):
+    one = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a"))
+    pairs = one.join(one.withColumnRenamed("a", "b"), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))  # parts of one order
+    edge = lambda df, n: df.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.lit("co").alias("kind"), n.cast("long").alias("n"))
+    out = sinks.edges(edge(pairs.where("a % 2 = 0"), F.col("n")), edge(pairs, F.lit(1)))
+    return out.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("n").alias("cooccurrence"))
