@@ -159,3 +159,18 @@ def cluster_plan(labelled: DataFrame, most: int = 20, prefix: str = "") -> tuple
     bridge = units.select(F.col("id").alias("unit_id"), entity.alias("entity_id"))
     links = causal_links(units.select(F.col("cluster").alias("grp"), F.col("id").alias("unit_id"), F.coalesce("text", F.lit("")).alias("text")))
     return entities, bridge, links
+
+
+def info_density(docs: DataFrame) -> DataFrame:
+    """(id, density) of docs (id, text): the mean of ln(documents / (1 + occurrences)) over a text's words, brought to 0..1 over all documents.
+
+    A document without words has no row; if all are equal, density is 0. The least and greatest value are one row.
+    """
+    rows = docs.where("text IS NOT NULL")
+    said = rows.select("id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("w"))
+    total = rows.count()
+    weight = said.groupBy("w").agg(F.log(F.lit(float(total)) / (1 + F.count("*"))).alias("v"))
+    own = said.groupBy("id", "w").agg(F.count("*").alias("n")).join(weight, "w").groupBy("id").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("d"))
+    ends = own.agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    share = F.coalesce((F.col("d") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0))
+    return own.crossJoin(F.broadcast(ends)).select("id", share.alias("density"))

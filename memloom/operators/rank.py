@@ -41,12 +41,13 @@ def mmr(cand: DataFrame, keep: int, balance: float = 0.55, pool: int = POOL) ->
 def diverse(items: DataFrame) -> DataFrame:
     """Of (grp, id, source, kind, score), by score: each item with a source or a kind not seen before in its group.
 
-    Only the best item of a source and the best of a kind can be chosen, so two windows do the greedy walk:
-    an item is taken iff it is its source's first, or its kind's first.
+    Only the best item of a source and the best of a kind can be chosen, so the greedy walk is two aggregates: an item is
+    taken iff it is its source's first or its kind's first; ties by id. A group of any size is summed up before it is shuffled.
     """
-    order = lambda *keys: Window.partitionBy("grp", *keys).orderBy(F.desc("score"), "id")
-    first = (F.row_number().over(order("source")) == 1) | (F.row_number().over(order("kind")) == 1)
-    return items.withColumn("taken", first).where("taken").select("grp", "id", "source", "kind")
+    item = F.struct("score", (-F.col("id")).alias("__id"), "source", "kind")
+    first = lambda c: items.groupBy("grp", c).agg(F.max(item).alias("x"))
+    taken = [first(c).select("grp", (-F.col("x.__id")).alias("id"), "x.source", "x.kind") for c in ("source", "kind")]
+    return taken[0].unionByName(taken[1]).distinct()
 
 
 def bootstrap_ci(values: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:

@@ -6,8 +6,8 @@ import uuid
 
 from memloom.functions import text as t
 from memloom.functions.dialect import DUCK
-from memloom.operators import causal, cluster, curate, edits, expand, fulltext, ivf, recall, skills, stats, tree, vectors
-from memloom.plans import relational
+from memloom.operators import causal, cluster, curate, edits, expand, fulltext, ivf, knowledge, lineage, recall, skills, stats, tree, vectors
+from memloom.plans import ranking, relational
 from memloom.plans.base import Registry, table
 from memloom.plans.streams import _shared
 from memloom.sources import files, sinks, use_log
@@ -449,3 +449,25 @@ def snk02_edge_upsert(spark, sf_dir):
     edge = lambda df, n: df.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.lit("co").alias("kind"), n.cast("long").alias("n"))
     out = sinks.edges(edge(pairs.where("a % 2 = 0"), F.col("n")), edge(pairs, F.lit(1)))
     return out.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("n").alias("cooccurrence"))
+
+
+@R.add("clu15_info_density", ranking.ORACLES["clu15_info_density"])
+def clu15_info_density(spark, sf_dir):
+    out = knowledge.info_density(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return out.select(F.col("id").alias("doc_id"), F.round("density", 4).alias("density"))
+
+
+@R.add(
+    "clu18_versions",
+    """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS node, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS version FROM orders WHERE o_custkey IS NOT NULL),
+s AS (SELECT CAST(c_custkey AS VARCHAR) AS node, c_name FROM customer)
+SELECT node, version, CAST(o_orderkey AS VARCHAR) AS article, CASE WHEN version = max(version) OVER (PARTITION BY node) AND c_name IS NOT NULL THEN 'placed:' || c_name || ',checked:' ELSE '' END AS steps FROM r LEFT JOIN s USING (node)""",
+)
+def clu18_versions(spark, sf_dir):
+    """Orders as sources of their customer: the even ones first, the odd ones in a second run, and two steps for the newest version."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("article"), F.lit("").alias("text"), F.expr("CAST(null AS string)").alias("method"))
+    records = lineage.append(lineage.append(spark.createDataFrame([], lineage.SCHEMA), o.where("ord % 2 = 0")), o.where("ord % 2 = 1"))
+    c = table(spark, sf_dir, "customer")
+    steps = c.select(F.col("c_custkey").alias("node"), F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.lit("placed").alias("step"), F.col("c_name").alias("detail")), F.struct(F.lit(2).alias("ord"), F.lit("checked").alias("step"), F.lit("").alias("detail")))).alias("s")).select("node", "s.*")
+    out = lineage.add_steps(records, steps)
+    return out.select("node", "version", "article", F.array_join(F.transform("steps", lambda x: F.concat(x["step"], F.lit(":"), x["detail"])), ",").alias("steps"))

@@ -48,3 +48,42 @@ def test_moves_in_order(spark):
     assert got.keys() == state.keys()
     for i, (v, n) in state.items():
         assert got[i][1] == n and (got[i][0] is None if v is None else got[i][0] == pytest.approx(v))
+
+
+def test_versions_and_steps(spark):
+    from memloom.operators import lineage
+
+    new = "node string, ord long, article string, text string, method string"
+    first = lineage.append(spark.createDataFrame([], lineage.SCHEMA), spark.createDataFrame([("a", 2, "late", "x", None), ("a", 1, "early", "y", "rule"), ("b", 1, None, "z", None), (None, 1, "no node", "", None)], new), full=True)
+    again = lineage.append(first, spark.createDataFrame([("a", 0, "third", "w", None)], new))
+    got = {(r.node, r.version): (r.article, r.text, r.method) for r in again.collect()}
+    assert got == {("a", 1): ("early", "y", "rule"), ("a", 2): ("late", "x", "llm_extract"), ("a", 3): ("third", "", "llm_extract"), ("b", 1): ("", "z", "llm_extract")}
+    steps = lineage.add_steps(again, spark.createDataFrame([("a", 2, "two", "d"), ("a", 1, "one", None), ("zz", 1, "lost", "")], "node string, ord long, step string, detail string"))
+    assert {(r.node, r.version): [s.step for s in r.steps] for r in steps.collect()} == {("a", 1): [], ("a", 2): [], ("a", 3): ["one", "two"], ("b", 1): []}
+    assert {(r.node, r.version) for r in lineage.latest(steps).collect()} == {("a", 3), ("b", 1)}
+
+
+def test_density_and_diversity(spark):
+    import math
+
+    from memloom.operators import knowledge, rank
+
+    texts = [(1, "a b a"), (2, "b c"), (3, None), (4, "a a a"), (5, "")]
+    counts, total = {"a": 5, "b": 2, "c": 1}, 4
+    own = {i: [math.log(total / (1 + counts[w])) for w in t.split()] for i, t in texts if t}
+    mean = {i: sum(v) / len(v) for i, v in own.items()}
+    low, high = min(mean.values()), max(mean.values())
+    got = {r.id: r.density for r in knowledge.info_density(spark.createDataFrame(texts, "id long, text string")).collect()}
+    assert got == {i: pytest.approx((v - low) / (high - low)) for i, v in mean.items()}
+    rng = random.Random(50)
+    items = [(rng.randrange(2), i, f"s{rng.randrange(4)}", f"k{rng.randrange(3)}", rng.randrange(9)) for i in range(60)]
+    want = set()
+    for grp in (0, 1):
+        sources, kinds = set(), set()
+        for g, i, s, k, _ in sorted((x for x in items if x[0] == grp), key=lambda x: (-x[4], x[1])):
+            if s not in sources or k not in kinds:
+                want.add((g, i))
+            sources.add(s)
+            kinds.add(k)
+    found = rank.diverse(spark.createDataFrame(items, "grp long, id long, source string, kind string, score long")).collect()
+    assert {(r.grp, r.id) for r in found} == want and len(found) == len(want)
