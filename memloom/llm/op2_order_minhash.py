@@ -3,8 +3,9 @@
 A document is its sequence of words. Each of its k-word shingles is labelled with its occurrence number; a
 sketch takes the L least labelled shingles under a hash and keeps their text order, so that agreement
 tells of edit similarity, not only of shared content. Documents of equal word sequences are merged into
-one node first. Nodes that share a sketch are compared with that bucket's least node, and with the least
-node of the sub-bucket that also shares the next sketch. Members of a bucket that are in different classes
+one node first. Nodes that share a sketch meet that bucket's least node, and the least
+node of the sub-bucket that also shares the next sketch: the one they share most sketches with at once, the others if they are
+in different classes after that. Members of a bucket that are in different classes
 after that are compared with each other, block by block in Python, so that no two nodes of a bucket are left
 both unmatched and uncompared; nothing emits the pairs of a bucket. A candidate pair is verified by banded alignment of the two word sequences (bit-parallel longest common
 subsequence; the band is as wide as the limit allows): aligned / (a + b - aligned) >= 0.8. One changed word thus costs
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .graph import components
 
-K, L, SKETCHES = 5, 2, 24
+K, L, SKETCHES = 5, 2, 16
 BLOCK = 256
 _LEAST = -(1 << 63)
 
@@ -318,12 +319,18 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = F.concat(F.col("sketch"), F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", (i + 1) % SKETCHES))))
     member = nodes.select("id", F.explode(keys).alias("key"))
     leader = cut(member.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a", "size"))
-    pairs = cut(member.join(leader.select("key", "a"), "key").where("a < id").select("a", F.col("id").alias("b")).distinct())
+    pairs = cut(member.join(leader.select("key", "a"), "key").where("a < id").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared")))
+    # each node first meets the leader it shares most with; other leaders only where their classes still differ
+    likely = cut(pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), "a")).alias("a")))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", "id.doc_id", "id.mark")
     texts = docs.select(_id(), F.xxhash64("text").alias("mark"), "text").join(needed, ["doc_id", "mark"]).select("id", "text")
     texts = cut(texts.dropDuplicates(["id"]))
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    first = cut(_verified(both.select(F.struct("a", "b").alias("pair"), "ta", "tb")).select("pair.a", "pair.b"))
+    check = lambda some: cut(_verified(some.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select(F.struct("a", "b").alias("pair"), "ta", "tb")).select("pair.a", "pair.b"))
+    first = check(likely.select("a", "b"))
+    label = components(first)
+    of = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    apart = pairs.select("a", "b").join(likely, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    first = cut(first.unionByName(check(cut(apart.select("a", "b")))))
     return rows, cut(first.unionByName(_rest(nodes, leader.where("size > 2"), first, texts)))
 
 
