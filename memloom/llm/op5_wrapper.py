@@ -5,15 +5,16 @@
 2. The reports are counted over all pages of the host (partial sums before the shuffle). A node's text that at
    least SUPPORT pages and half of the host's pages show is constant: template. All other text varies.
 3. The page is aligned once more: constant nodes drop out, varying slots are content. The content root is
-   found from the body down: into the one child that holds nearly all varying text outside links, as long as
-   no heading, no bare text and little other such text lie beside it; <article> and <main> only end the descent. Menus, footers,
-   adverts, forms, reader comments and blocks that are mostly links go wherever they are. Where nearly all
-   text of a page is constant (copies of one page), its text counts as varying.
+   found from the body down: into the child that holds most varying text outside links, as long as no heading, no bare text
+   and no other such text lie beside it; an <article> or <main> element is reason to descend, and a second one not to. Menus,
+   footers, adverts, forms, reader comments and blocks that are mostly links go wherever they are; class names count as whole
+   names. Headings inside an article stay, constant or not. Where nearly all text of a page is constant (copies of one page), its text
+   counts as varying.
 
 Text: character references decoded, white space inside a block one space, blocks in page order one per
 line; <br> is white space. Elements nested deeper than DEPTH lie flat in their ancestor, so no text is lost.
-Child lists whose matching would take more than CELLS comparisons after their equal ends are matched in
-order of their labels only.
+Child lists are matched in a band of BAND places around the diagonal, after their equal ends; shorter lists than that
+are matched in full. Parsing is linear in the page.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; broken nesting
 is closed at the next matching end tag; repeated rows are extracted one by one; an empty table gives no
@@ -25,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg")}
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -45,15 +48,32 @@ _LISTS = frozenset("ul ol dl table div section p".split())
 _HOLDERS = frozenset("html body div section article main td tr tbody table center".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsored|sponsors?|promo|promos?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footer|"
-    r"cookies?|consent|notices?|alerts?|popups?|modal|newsletter|subscribe|signup|comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommended|widgets?|pagination|pager|toolbar|masthead)(?=$|[\s_-])",
-    re.I,
+#: Parts of class names and ids that mark what is no content, and parts that say nothing; a name counts if it has no other part.
+_NOISE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsored sponsor sponsors promo promos banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer "
+    "cookie cookies consent notice notices alert alerts popup popups modal newsletter subscribe signup comment comments commentlist replies respond disqus share sharing social related recommended widget "
+    "widgets pagination pager toolbar masthead".split()
 )
+_NEUTRAL_WORDS = frozenset(
+    "list lists box boxes link links button buttons btn bar bars block blocks section sections container wrapper wrap inner outer area form forms item items post posts article articles story stories page pages "
+    "site main global primary secondary top bottom left right header head title thread feed slot unit group row col column content text icon icons media js the for this your our user reader more".split()
+)
+_PARTS = re.compile(r"[a-z]+", re.I)
+
+
+def _noisy(name: str) -> bool:
+    """Whether one of the names is made of noise words, with neutral ones and digits at most beside them."""
+    for token in name.split():
+        parts = [x.lower() for x in _PARTS.findall(token)]
+        if any(x in _NOISE_WORDS for x in parts) and all(x in _NOISE_WORDS or x in _NEUTRAL_WORDS for x in parts):
+            return True
+    return False
+
 
 
 DEPTH = 200
-CELLS = 200_000
+#: Children of two nodes are matched where their places differ by so many at most, after scaling to the lists' lengths.
+BAND = 128
 SUPPORT = 3
 #: Pages of a host that a task takes: larger hosts are dealt out.
 SPLIT = 500
@@ -70,15 +90,71 @@ class Node:
         self.tag, self.name, self.children, self.noise = tag, name, [], noise  # children: Nodes and strings; None is a line break
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Place behind the > that ends a tag, quotes respected; -1 if none does. dead: places from which none was found."""
+    seen = []
+    while at not in dead:
+        seen.append(at)
+        m = _STOP.search(page, at)
+        if m is None:
+            break
+        if m[0] == ">":
+            return m.end()
+        close = page.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(seen)
+    return -1
+
+
+def _tokens(page: str) -> Iterator[tuple]:
+    """(start, end, text of CDATA or None, whether an end tag, name or None, attributes) of comments, CDATA, declarations and tags.
+
+    Each search that fails is not made again, so the whole is linear in the page.
+    """
+    at, dead, missing = 0, set(), {}
+
+    def find(what: str, start: int) -> int:
+        if missing.get(what, len(page) + 1) <= start:
+            return -1
+        found = page.find(what, start)
+        if found < 0:
+            missing[what] = start
+        return found
+
+    while (i := page.find("<", at)) >= 0:
+        end, cdata, closing, name, attrs = -1, None, False, None, ""
+        if page.startswith("<!--", i):
+            found = find("-->", i + 4)
+            end = found + 3 if found >= 0 else len(page)
+        elif page.startswith("<![CDATA[", i) and (found := find("]]>", i + 9)) >= 0:
+            end, cdata = found + 3, page[i + 9 : found]
+        elif page[i + 1 : i + 2] in ("!", "?"):
+            end = find(">", i + 2) + 1 or -1
+        elif m := _NAME.match(page, i):
+            end = _tag_end(page, m.end(), dead)
+            closing, name, attrs = bool(m[1]), m[2].lower(), page[m.end() : end - 1]
+        if end < 0:
+            at = i + 1
+            continue
+        skip = yield i, end, cdata, closing, name, attrs
+        at = skip or end
+
+
 def parse(page: str) -> Node:
     """Tree of block elements; inline elements leave only their text unless they are noise."""
     root = Node("#root", "", False)
     stack, at, links = [("#root", root)], 0, 0
+    count: Counter = Counter()  # open elements by tag
+    endless: dict[str, int] = {}
 
     def say(text: str) -> None:
         stack[-1][1].children.append(Link(text) if links else text)
 
     def close(tags: set[str] | frozenset[str], stop: tuple[str, ...] = ("table", "ul", "ol", "dl", "article", "div", "section", "body", "select")) -> None:
+        if not any(count[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 leave(k)
@@ -89,38 +165,50 @@ def parse(page: str) -> Node:
     def leave(k: int) -> None:
         if stack[k][1] is stack[k - 1][1]:
             stack[k][1].children.append(None)
+        for t, _ in stack[k:]:
+            count[t] -= 1
         del stack[k:]
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            say(entities.escape(m[1], False))
+    tokens, skip = _tokens(page), None
+    while True:
+        try:
+            start, end, cdata, closing, tag, attrs = tokens.send(skip)
+        except StopIteration:
+            break
+        skip = None
+        if start > at:
+            say(page[at:start])
+        at = end
+        if cdata is not None:
+            say(entities.escape(cdata, False))
             continue
-        if m[3] is None:
+        if tag is None:
             continue
-        tag, attrs = m[3].lower(), m[4]
         if tag == "a":
-            links = 0 if m[2] else 1
-        if m[2]:
-            if tag in ("br", "p") and not any(x[0] == tag for x in stack):
-                stack[-1][1].children.append(" " if tag == "br" else None)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
+            links = 0 if closing else 1
+        if closing:
+            if not count[tag]:  # nothing to close
+                if tag in ("br", "p"):
+                    stack[-1][1].children.append(" " if tag == "br" else None)
+                continue
+            k = len(stack) - 1
+            while stack[k][0] != tag:
+                k -= 1
+            leave(k)
             continue
         if tag in _VOID:
             stack[-1][1].children.append(None if tag == "hr" else " " if tag == "br" else "")
             continue
         if tag in _RAW and not attrs.rstrip().endswith("/"):
-            end = _RAW[tag].search(page, at)
-            at = end.end() if end else len(page) if tag in ("script", "style") else at
+            last = _RAW[tag].search(page, at) if endless.get(tag, len(page)) >= at else None
+            if last is None:
+                endless[tag] = min(at, endless.get(tag, at))
+            at = last.end() if last else len(page) if tag in ("script", "style") else at
+            skip = at
             continue
         found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
         name = " ".join(v for k, v in found.items() if k != "itemprop")
-        noise = tag in _NOISE or bool(name and _NOISE_NAME.search(name)) and tag not in ("html", "body", "article", "main")
+        noise = tag in _NOISE or _noisy(name) and tag not in ("html", "body", "article", "main")
         if tag in _INLINE and not noise:
             continue
         if tag in _CLOSES_P:
@@ -132,10 +220,12 @@ def parse(page: str) -> Node:
         if len(stack) > DEPTH and (not noise or stack[-1][1].noise):
             stack[-1][1].children.append(None)
             stack.append((tag, stack[-1][1]))
+            count[tag] += 1
             continue
         node = Node(tag, " ".join(v for k, v in sorted(found.items())), noise)
         stack[-1][1].children.append(node)
         stack.append((tag, node))
+        count[tag] += 1
     if at < len(page):
         say(page[at:])
     return root
@@ -210,26 +300,21 @@ def tree_match(a: tuple, b: tuple, memo: dict | None = None) -> list[tuple[int,
     while m > low and n > low and x[m - 1] == y[n - 1]:
         m, n = m - 1, n - 1
     joined = [(i, i) for i in range(low)] + [(m + i, n + i) for i in range(len(x) - m)]
-    if (m - low) * (n - low) > CELLS:
-        i = j = low
-        while i < m and j < n:
-            if x[i][0] == y[j][0]:
-                joined.append((i, j))
-                i, j = i + 1, j + 1
-            elif m - i > n - j:
-                i += 1
-            else:
-                j += 1
-    elif m > low and n > low:
-        best = [[0] * (n - low + 1) for _ in range(m - low + 1)]
-        for i in range(m - low):
-            for j in range(n - low):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + len(tree_match(x[low + i], y[low + j], memo)))
-        i, j = m - low, n - low
+    h, w = m - low, n - low
+    if h and w:
+        lows = [max(0, i * w // h - BAND) for i in range(h + 1)]
+        best = [[0] * (min(w, i * w // h + BAND) - lows[i] + 1) for i in range(h + 1)]
+        at = lambda i, j: best[i][min(j - lows[i], len(best[i]) - 1)] if j >= lows[i] else 0
+        for i in range(h):
+            row, start = best[i + 1], lows[i + 1]
+            for j in range(max(0, start - 1), start + len(row) - 1):
+                match = at(i, j) + len(tree_match(x[low + i], y[low + j], memo)) if x[low + i][0] == y[low + j][0] else 0
+                row[j + 1 - start] = max(at(i, j + 1), row[j - start] if j >= start else 0, match)
+        i, j = h, w
         while i and j:
-            if best[i][j] == best[i - 1][j]:
+            if at(i, j) == at(i - 1, j):
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
+            elif at(i, j) == at(i, j - 1):
                 j -= 1
             else:
                 i, j = i - 1, j - 1
@@ -287,14 +372,20 @@ def main_text(page: str | None, reference: str | None = None, template: set[tupl
             if id(n) in within or n.tag in inside:
                 within.add(id(c))
             c.noise = id(c) not in within and (c.tag == "header" or c.tag in _LISTS and linked[id(c)] > plain[id(c)])
-    top, total = root, plain[id(root)]
+    holds: dict[int, bool] = {}  # an article or main element that has text of its own
+    for n in reversed(nodes):
+        holds[id(n)] = n.tag in inside and plain[id(n)] > 0 or any(holds[id(c)] for c in _kids(n))
+    kept = {i for i in constant if nodes[i].tag in _HEADS and id(nodes[i]) in within}  # headings of an article are its own on any number of pages
+    constant -= kept
+    top = root
     while top.tag not in inside:
         kids = _kids(top)
         heavy = max(kids, key=lambda c: plain[id(c)], default=None)
-        if heavy is None or bare[id(top)] or heavy.tag not in _HOLDERS or plain[id(heavy)] < 0.8 * total:
-            break
-        if heavy.tag not in inside and any(heads[id(c)] for c in kids if c is not heavy):
+        if heavy is None or bare[id(top)] or heavy.tag not in _HOLDERS or not plain[id(heavy)]:
             break
+        beside = [c for c in kids if c is not heavy]
+        if any(holds[id(c)] for c in beside) or not holds[id(heavy)] and any(plain[id(c)] or heads[id(c)] for c in beside):
+            break  # an article, or text that varies, would stay outside
         top = heavy
     return "\n".join(blocks(top, {id(nodes[i]) for i in constant}))
 

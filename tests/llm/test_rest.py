@@ -210,3 +210,55 @@ def test_benchmark_in_pieces_and_odd_rows(spark, odd, none, monkeypatch):
     kept = op10_fm_index.decontaminate(odd, bench)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 2
     assert op10_fm_index.contamination(none, bench).count() == 0 and op10_fm_index.contamination(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_text_beside_the_heaviest_block_stays():
+    tail = "<body><div id=w><div class=b><p>" + "long text " * 50 + "</p></div><div class=tail><p>last paragraph</p></div></div>"
+    assert op5_wrapper.main_text(tail).endswith("\nlast paragraph")
+    two = "<body><article><p>" + "a b c " * 40 + "</p></article><article><p>short one</p></article>"
+    assert op5_wrapper.main_text(two).endswith("\nshort one")
+
+
+def test_names_count_whole():
+    page = "<article><p>x</p>" + "".join(f"<div class='{c}'>{c}</div>" for c in ("share-price", "related-work", "social-history", "banner-image", "share-buttons", "comment-list", "ad-slot-3", "site_footer")) + "</article>"
+    assert op5_wrapper.main_text(page) == "x\nshare-price\nrelated-work\nsocial-history\nbanner-image"
+
+
+def test_headings_of_articles_stay_on_every_page(spark):
+    rows = [(k, "http://one.org/", f"<body><div class=top>Site</div><article><h2>Summary</h2><p>Body {k} of page {k}</p></article></body>") for k in range(10)]
+    got = op5_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Summary\nBody {k} of page {k}" for k in range(10)}
+
+
+@pytest.mark.parametrize("piece", ["<div>", "</b>", '<a "x ', "<a 'x \" ", "<svg>", "<![CDATA[", "<", "<!", "<p></x>", "<title>"])
+def test_odd_pages_are_parsed_in_linear_time(piece):
+    import time
+
+    start = time.perf_counter()
+    op5_wrapper.main_text("<div>" * 4000 + piece * (300_000 // len(piece)))
+    assert time.perf_counter() - start < 20
+
+
+def plain_match(a, b):
+    """Size of a largest match of two signatures, by plain recursion."""
+    if a[0] != b[0]:
+        return 0
+
+    def lists(x, y):
+        if not x or not y:
+            return 0
+        return max(lists(x[1:], y), lists(x, y[1:]), plain_match(x[0], y[0]) + lists(x[1:], y[1:]))
+
+    return 1 + lists(a[2], b[2])
+
+
+def test_tree_match_against_plain_recursion():
+    rng = random.Random(60)
+
+    def grow(depth):
+        kids = tuple(grow(depth - 1) for _ in range(rng.randrange(4))) if depth else ()
+        return ((rng.choice("ab"), ""), 1 + sum(k[1] for k in kids), kids)
+
+    for _ in range(200):
+        a, b = (((("r", ""), 1 + sum(k[1] for k in kids), kids)) for kids in (tuple(grow(2) for _ in range(3)) for _ in range(2)))
+        assert len(op5_wrapper.tree_match(a, b)) == plain_match(a, b)
