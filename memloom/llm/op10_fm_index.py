@@ -8,7 +8,7 @@ All phrases are searched backwards at once; occurrences are located through the
 removal spans. Nothing is shuffled: a shard answers for its own documents.
 
 Defined results: null or wordless text gives zero counts, the hash of the empty string and
-contaminated = false; an item without words has no phrase; repeated doc_ids or item_ids are judged row
+contaminated = false; an item without words has no phrase, one without item_id takes no part; repeated doc_ids or item_ids are judged row
 by row (items of the same id count once); other columns are ignored by `contamination` and kept by
 `decontaminate`.
 """
@@ -191,8 +191,8 @@ def search_shard(docs: list[list[bytes]], phrases: Phrases) -> tuple[list[np.nda
 def _pieces(benchmark: DataFrame) -> list[Phrases]:
     """The benchmark in pieces of bounded size; rows come to the driver one partition at a time."""
     out, items, size = [], [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        items.append((str(item), words(text)))
+    for item, text in benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string"), "text").toLocalIterator():
+        items.append((item, words(text)))
         size += len(text or "")
         if size >= PIECE_BYTES:
             out, items, size = [*out, Phrases(items)], [], 0
@@ -287,7 +287,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 p AS (SELECT item_id, least(len(w), 13) AS size, unnest([array_to_string(w[k : k + least(len(w), 13) - 1], ' ') FOR k IN range(1, greatest(len(w) - 11, 2))]) AS phrase FROM b WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT size FROM p),
 g AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS k, w FROM d, sizes WHERE len(w) >= size),
