@@ -6,7 +6,7 @@ import uuid
 
 from memloom.functions import text as t
 from memloom.functions.dialect import DUCK
-from memloom.operators import causal, cluster, curate, edits, expand, fulltext, ivf, knowledge, lineage, recall, skills, stats, tree, vectors
+from memloom.operators import causal, cluster, curate, edits, expand, fulltext, ivf, knowledge, lineage, recall, skills, stats, temporal, tree, vectors
 from memloom.plans import ranking, relational
 from memloom.plans.base import Registry, table
 from memloom.plans.streams import _shared
@@ -471,3 +471,65 @@ def clu18_versions(spark, sf_dir):
     steps = c.select(F.col("c_custkey").alias("node"), F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.lit("placed").alias("step"), F.col("c_name").alias("detail")), F.struct(F.lit(2).alias("ord"), F.lit("checked").alias("step"), F.lit("").alias("detail")))).alias("s")).select("node", "s.*")
     out = lineage.add_steps(records, steps)
     return out.select("node", "version", "article", F.array_join(F.transform("steps", lambda x: F.concat(x["step"], F.lit(":"), x["detail"])), ",").alias("steps"))
+
+
+@_through("join01_freshness")
+def join01_freshness(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    stored = F.when(F.col("id") % 3 == 0, F.md5("text")).when(F.col("id") % 3 == 1, "stale")
+    return temporal.stale(docs, docs.select("id", stored.alias("hash"))).select(F.col("id").alias("doc_id"))
+
+
+@_through("join06_orphans")
+def join06_orphans(spark, sf_dir):
+    return temporal.unlinked(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@_through("join07_without_entities")
+def join07_without_entities(spark, sf_dir):
+    return temporal.unlinked(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", table(spark, sf_dir, "labels"), "doc_id")
+
+
+@_through("join08_orphan_nodes")
+def join08_orphan_nodes(spark, sf_dir):
+    one = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a"))
+    pairs = one.join(one.withColumnRenamed("a", "b"), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")  # parts of one order
+    return temporal.unlinked(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", pairs, "a", "b")
+
+
+@_through("join09_cooccurrence")
+def join09_cooccurrence(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("session"))
+    uses = table(spark, sf_dir, "lineitem").join(o, "l_orderkey").select("session", (F.col("l_partkey") % 25).alias("subject"))
+    return temporal.cooccurrence(uses).withColumn("rate", F.round("rate", 6))
+
+
+@_through("join15_as_of")
+def join15_as_of(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("valid_from"), "o_orderkey")
+    asked = o.groupBy("k").agg((F.max("valid_from") - F.expr("INTERVAL '200' DAY")).alias("t"))
+    found = temporal.as_of(temporal.versions(o, "k", "valid_from", "o_orderkey"), asked, "k", "t")
+    return found.where("version IS NOT NULL").select("k", "version.o_orderkey")
+
+
+@_through("join16_versions")
+def join16_versions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("valid_from"))
+    return temporal.versions(o, "k", "valid_from", "version")
+
+
+@_through("join17_eval_traffic")
+def join17_eval_traffic(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return temporal.followed(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id", "ts", 3600, "is_eval").select("event_id", "is_eval")
+
+
+@R.add("agg13_rolling_judge", ranking.ORACLES["agg13_rolling_judge"])
+def agg13_rolling_judge(spark, sf_dir):
+    out = temporal.rolling_judge(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id")
+    return out.select("event_type", F.round("relevant_rate", 6).alias("relevant_rate"), F.round("mean", 6).alias("mean"))
+
+
+@R.add("agg19_regressions", ranking.ORACLES["agg19_regressions"])
+def agg19_regressions(spark, sf_dir):
+    return temporal.regressions(table(spark, sf_dir, "events"), "user_id", F.to_date("ts") >= F.lit("2024-01-15").cast("date"), "value", "value")
