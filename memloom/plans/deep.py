@@ -6,12 +6,13 @@ import uuid
 
 from memloom.functions import text as t
 from memloom.functions.dialect import DUCK
-from memloom.operators import causal, cluster, curate, edits, expand, fulltext, ivf, knowledge, lineage, recall, skills, stats, temporal, tree, vectors
+from memloom.operators import causal, cluster, curate, edits, expand, fulltext, ivf, knowledge, lineage, recall, scores, skills, stats, temporal, tree, vectors
 from memloom.plans import ranking, relational
 from memloom.plans.base import Registry, table
 from memloom.plans.streams import _shared
 from memloom.sources import files, sinks, use_log
 from memloom.streaming import semantic_cache
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 R = Registry()
@@ -533,3 +534,121 @@ def agg13_rolling_judge(spark, sf_dir):
 @R.add("agg19_regressions", ranking.ORACLES["agg19_regressions"])
 def agg19_regressions(spark, sf_dir):
     return temporal.regressions(table(spark, sf_dir, "events"), "user_id", F.to_date("ts") >= F.lit("2024-01-15").cast("date"), "value", "value")
+
+
+def _ranked(name):
+    """As _through, for the SQL in ranking.py."""
+
+    def register(f):
+        R.add(name, ranking.ORACLES[name])(f)
+        return f
+
+    return register
+
+
+def _candidates(spark, sf_dir):
+    """An event is a candidate of its user's query; value / 200 is its score."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("query"), F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.least(F.lit(1.0), F.col("value") / 200).alias("score"), F.col("ts").cast("timestamp").alias("at"), "ts")
+
+
+def _now(df):
+    return df.crossJoin(F.broadcast(df.agg(F.max("at").alias("now"))))  # one row
+
+
+@_ranked("rnk01_filter_by_score")
+def rnk01_filter_by_score(spark, sf_dir):
+    out = scores.filtered(_now(_candidates(spark, sf_dir)).withColumn("at", F.col("at") + (F.lit("2024-02-01").cast("timestamp") - F.col("now"))), F.lit("2024-02-01").cast("timestamp"), 0.2, 0.5)
+    return out.select("query", "id", *[F.round(c, 6).alias(c) for c in ("base_score", "final_score")], F.col("rank").cast("long").alias("rank"))
+
+
+@_ranked("rnk03_time_score")
+def rnk03_time_score(spark, sf_dir):
+    rows = _now(_candidates(spark, sf_dir)).withColumn("at", F.when(F.col("source") != "error", F.col("at")))
+    return rows.select(F.col("id").alias("event_id"), F.round(recall.time_score("at", F.col("now")), 6).alias("time_score"))
+
+
+@_ranked("rnk04_score_span")
+def rnk04_score_span(spark, sf_dir):
+    return scores.span_cut(_candidates(spark, sf_dir)).select("query", "id", F.round("span", 6).alias("span"))
+
+
+@_ranked("rnk07_best_known_score")
+def rnk07_best_known_score(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    for name, by, part in (("final", 4, 1), ("rerank", 3, 2), ("base", 2, 4)):
+        e = e.withColumn(name, F.when(F.col("event_id") % by == 0, F.col("value") / part))
+    return e.select("event_id", F.round(scores.best_known("final", "rerank", "base"), 6).alias("score"))
+
+
+@_ranked("rnk08_hit_boost")
+def rnk08_hit_boost(spark, sf_dir):
+    hits = F.row_number().over(Window.partitionBy("query", "source").orderBy("at", "id"))
+    return _candidates(spark, sf_dir).withColumn("hits", hits).select("query", "id", F.round(recall.hit_boost(F.col("score"), F.col("hits")), 6).alias("score"))
+
+
+@_ranked("rnk09_access_weight")
+def rnk09_access_weight(spark, sf_dir):
+    rows = _candidates(spark, sf_dir).withColumn("last", F.lag("at").over(Window.partitionBy("query").orderBy("at", "id")))
+    return rows.select(F.col("id").alias("event_id"), F.round(scores.access_weight("at", "last"), 6).alias("weight"))
+
+
+@_ranked("rnk10_decay")
+def rnk10_decay(spark, sf_dir):
+    out = _now(_candidates(spark, sf_dir)).withColumn("d", scores.decayed(F.col("score"), scores.access_weight("now", "at")))
+    return out.select(F.col("id").alias("event_id"), F.round("d.score", 6).alias("score"), "d.low_priority")
+
+
+@_ranked("rnk11_tree_score")
+def rnk11_tree_score(spark, sf_dir):
+    own = F.when(F.col("event_type") != "error", F.col("value") / 100)
+    return table(spark, sf_dir, "events").select("event_id", F.round(recall.tree_score(own), 4).alias("score"), F.when(F.col("event_type") == "error", "fallback").otherwise("tree_score").alias("how"))
+
+
+@_ranked("rnk18_sort_key")
+def rnk18_sort_key(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(scores.sort_key(F.col("event_id") % 7, F.col("value") / 100), 6).alias("k"))
+
+
+@_ranked("rnk20_negative_decay")
+def rnk20_negative_decay(spark, sf_dir):
+    one = lambda odd, name: table(spark, sf_dir, "events").where(f"event_type = 'error' AND event_id % 2 = {odd}").groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias(name))
+    return scores.negatives(one(0, "ema"), one(1, "n"), 7).withColumn("ema", F.round("ema", 6))
+
+
+@_ranked("rnk22_variants")
+def rnk22_variants(spark, sf_dir):
+    return scores.variants(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("path"), F.col("p_name").alias("name"), F.col("p_size").alias("usage")))
+
+
+@_ranked("rnk25_date_compare")
+def rnk25_date_compare(spark, sf_dir):
+    shown = F.date_format("ts", "yyyy-MM-dd")
+    return table(spark, sf_dir, "events").select("event_id", scores.date_order(shown, F.lit("2024-01")).alias("by_month"), scores.date_order(shown, F.lit("2024-01-15")).alias("by_day"))
+
+
+@_ranked("rnk26_rollout_sets")
+def rnk26_rollout_sets(spark, sf_dir):
+    return scores.rollouts(table(spark, sf_dir, "events"), "user_id", "value").withColumns({c: F.round(c, 6) for c in ("spread", "pass_rate")})
+
+
+@_ranked("rnk27_reward")
+def rnk27_reward(spark, sf_dir):
+    sums = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)).alias("right"), F.avg("value").alias("tokens"), F.count("*").alias("latency"))
+    return sums.select("user_id", F.round(scores.reward(F.col("right"), F.col("tokens"), F.col("latency")), 6).alias("reward"))
+
+
+@_ranked("rnk28_by_quality")
+def rnk28_by_quality(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return scores.best_of_kind(p, "p_brand", "p_retailprice", "p_partkey", 5, p.where("p_partkey % 7 = 0")).select("p_brand", "p_partkey")
+
+
+@_ranked("rnk29_by_coverage")
+def rnk29_by_coverage(spark, sf_dir):
+    return scores.best_of_kind(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", "p_partkey", 1).select("p_brand", "p_partkey")
+
+
+@_ranked("rnk31_round_cap")
+def rnk31_round_cap(spark, sf_dir):
+    rounds = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").withColumn("n", rounds).select("event_id", scores.most_results(F.col("n")).alias("max_results"))
