@@ -6,7 +6,7 @@ import uuid
 
 from memloom.functions import text as t
 from memloom.functions.dialect import DUCK
-from memloom.operators import causal, cluster, curate, edits, expand, fulltext, ivf, knowledge, lineage, recall, scores, skills, stats, temporal, tree, vectors
+from memloom.operators import causal, cluster, curate, edits, expand, fulltext, ivf, knowledge, lineage, recall, reports, scores, skills, stats, temporal, tree, vectors
 from memloom.plans import ranking, relational
 from memloom.plans.base import Registry, table
 from memloom.plans.streams import _shared
@@ -652,3 +652,93 @@ def rnk29_by_coverage(spark, sf_dir):
 def rnk31_round_cap(spark, sf_dir):
     rounds = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return table(spark, sf_dir, "events").withColumn("n", rounds).select("event_id", scores.most_results(F.col("n")).alias("max_results"))
+
+
+def _rounded(df, places, *columns):
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+@_ranked("agg03_router")
+def agg03_router(spark, sf_dir):
+    return _rounded(reports.router(table(spark, sf_dir, "events"), "event_type", "value"), 4, "p50", "p95", "p99", "empty_pct")
+
+
+@_ranked("agg04_percentile")
+def agg04_percentile(spark, sf_dir):
+    return _rounded(reports.percentiles(table(spark, sf_dir, "events"), "user_id", "value", {"p90": 0.9}), 6, "p90")
+
+
+@_ranked("agg05_contribution")
+def agg05_contribution(spark, sf_dir):
+    out = reports.contribution(table(spark, sf_dir, "events"), "event_type", "value")
+    return out.select("event_type", F.round("mean", 4).alias("mean"), "most", F.round("total", 2).alias("total"), "non_zero")
+
+
+@_ranked("agg06_token_usage")
+def agg06_token_usage(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", F.length("text").cast("long").alias("n"))
+    return reports.token_usage(rows, "source", "n").select("source", F.round(F.col("mean") / 4, 4).alias("mean"), "most", F.round("p90", 4).alias("p90"), F.round("share", 6).alias("share"))
+
+
+@_ranked("agg07_error_modules")
+def agg07_error_modules(spark, sf_dir):
+    out = reports.top_modules(table(spark, sf_dir, "events").where("event_type = 'error'"), "user_id")
+    return out.select(F.col("user_id").alias("module"), "n", F.col("rnk").cast("long").alias("rnk"))
+
+
+@_ranked("agg09_duration_outliers")
+def agg09_duration_outliers(spark, sf_dir):
+    return _rounded(reports.duration_outliers(table(spark, sf_dir, "events"), "user_id", "value", "ts", "event_id"), 4, "latest")
+
+
+@_ranked("agg14_judge_estimate")
+def agg14_judge_estimate(spark, sf_dir):
+    return _rounded(reports.judge_estimate(table(spark, sf_dir, "events"), "event_type", F.col("value") / 100, (F.col("value") > 10).cast("int")), 4, "est_avg", "est_rate")
+
+
+@_ranked("agg16_two_levels")
+def agg16_two_levels(spark, sf_dir):
+    out = reports.mean_of_means(table(spark, sf_dir, "events"), "event_type", "user_id", "value")
+    return out.select("event_type", F.col("members").alias("users"), F.round("mean_of_means", 6).alias("mean_of_means"))
+
+
+@_ranked("agg22_report")
+def agg22_report(spark, sf_dir):
+    return _rounded(reports.category_report(table(spark, sf_dir, "events"), "event_type", F.avg("value"), F.min("value"), F.max("value")), 6, "overall")
+
+
+@_ranked("agg23_score_stats")
+def agg23_score_stats(spark, sf_dir):
+    return _rounded(reports.score_stats(table(spark, sf_dir, "events"), "user_id", "value"), 6, "mean")
+
+
+@_ranked("agg25_recent_trend")
+def agg25_recent_trend(spark, sf_dir):
+    return _rounded(reports.recent_trend(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("value") > 100), 6, "ratio")
+
+
+@_ranked("agg26_hourly")
+def agg26_hourly(spark, sf_dir):
+    return _rounded(reports.hourly(table(spark, sf_dir, "events"), "ts", F.col("event_type") == "view"), 6, "hit_rate")
+
+
+@_ranked("agg27_histogram")
+def agg27_histogram(spark, sf_dir):
+    return _rounded(reports.histogram(table(spark, sf_dir, "events"), "value", (0, 20, 40, 60, 80)), 6, "mean")
+
+
+@_ranked("agg33_credibility")
+def agg33_credibility(spark, sf_dir):
+    rules = {"small_sample": F.count("*") < 60, "errors": F.count(F.when(F.col("event_type") == "error", 1)) > 12}
+    return reports.warnings(table(spark, sf_dir, "events"), "user_id", rules).select("user_id", F.array_join("warnings", ",").alias("warnings"))
+
+
+@_ranked("agg34_confidence_step")
+def agg34_confidence_step(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "view", "recall").when(F.col("event_type") == "error", "negated").otherwise("none")
+    return table(spark, sf_dir, "events").select("event_id", F.round(reports.confidence_step(kind, F.lit(0.5), F.col("value") / 10), 6).alias("confidence"))
+
+
+@_ranked("agg37_weights")
+def agg37_weights(spark, sf_dir):
+    return _rounded(reports.weights(table(spark, sf_dir, "events"), F.col("value") / 200), 6, "mean", "low", "high", "low_share")
