@@ -328,8 +328,10 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     check = lambda some: cut(_verified(some.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select(F.struct("a", "b").alias("pair"), "ta", "tb")).select("pair.a", "pair.b"))
     first = check(likely.select("a", "b"))
     label = components(first)
-    of = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
-    apart = pairs.select("a", "b").join(likely, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    known = member.join(leader.select("key", "a"), "key").join(label, "id", "left").select("key", "a", "id", F.coalesce("label", "id").alias("label"))
+    open_ = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")  # buckets of more than one class
+    left = known.join(open_, "key", "left_semi").where("a < id").join(label.select(F.col("id").alias("a"), F.col("label").alias("top")), "a", "left")
+    apart = left.where(F.col("label") != F.coalesce("top", "a")).select("a", F.col("id").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
     first = cut(first.unionByName(check(cut(apart.select("a", "b")))))
     return rows, cut(first.unionByName(_rest(nodes, leader.where("size > 2"), first, texts)))
 
