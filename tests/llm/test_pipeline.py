@@ -35,7 +35,7 @@ def test_stages(spark):
     grams, stays = [], set()
     for d in sorted(kept):
         w = op2_order_minhash.words(kept[d])
-        g = op2_order_minhash.shingles(w)
+        g = op2_order_minhash.coded(w)
         if not any(w == v or op2_order_minhash.similar(g, h) for v, h in grams):
             stays.add(d)
         grams.append((w, g))
