@@ -2,10 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
+from compare import connect
 from pyspark.sql import functions as F
 
 from memloom.operators import causal, edits, stats
+from memloom.plans import registry
+from memloom.plans.base import rounded
 
 
 def plain_boost(scores, links, alpha=0.15, cap=1.3):
@@ -37,6 +41,29 @@ def test_boosts_in_link_order(spark):
     assert causal.boosted(df, lf.limit(0)).count() == len(want) and causal.boosted(df.limit(0), lf).count() == 0
 
 
+def test_boosts_to_the_last_bit(spark):
+    """Each score is multiplied factor after factor; a product of the factors alone, or in another order, differs in the last bits."""
+    rng = random.Random(18)
+    scores = [(w, i, rng.random()) for w in range(40) for i in range(7)]
+    links = [(w, (3 * a + 5 * b) % 7, a, b, rng.random()) for w in range(40) for a in range(7) for b in range(7) if a != b]
+    lf = spark.createDataFrame(links, "within long, ord long, src long, dst long, weight double").repartition(7, "weight")
+    got = causal.boosted(spark.createDataFrame(scores, "within long, id long, score double"), lf).collect()
+    assert {(r.within, r.id): r.score for r in got} == plain_boost(scores, links)
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    values = [1.1378044999999999, 0.3606295, 1.0145125, 0.5045675, 1.0003315, 0.1278615, -0.5045675, -0.3606295, 2.5e-6, 0.49999999999999994e-6, 0.0, 7.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(rounded("v", 6)).collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
+
+
+def test_link_order_query_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = registry.QUERIES["join18_link_order"](spark, sf).collect()
+    want = connect(sf).sql(registry.ORACLES["join18_link_order"]).fetchall()
+    assert {(r.within, r.id, r.score) for r in got} == set(want) and len(got) == len(want)
+
+
 def plain_edits(body, script, soft, hard):
     body, log = body or "", []
     for seq, op, content, anchor in script:
