@@ -269,23 +269,36 @@ def _similar_pairs(docs: dict[int, np.ndarray], pairs: np.ndarray) -> Iterator[t
         own[mine] = False
 
 
-def _rest(nodes: DataFrame, leaders: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members of a bucket that its leader left in different classes.
+def _groups(member: DataFrame) -> DataFrame:
+    """Rows (key, id, label, n and others) of members of buckets, dealt out in groups (_GROUP) in which pairs of different classes meet once.
 
-    All such pairs of a bucket are compared, in groups of two blocks of about BLOCK members (fewer long ones) whose lengths
-    allow it: similar ones differ in length by a factor of 1.25 at most, so they lie in one band or in neighbours.
+    Similar texts differ in length by a factor of 1.25 at most, so they lie in one band of lengths or in neighbours. Of a
+    bucket's band the members outside its largest class lie in blocks of about BLOCK members (fewer long ones) of their own:
+    each of these blocks meets every block, but two blocks of the largest class never meet. So the rows of a bucket of
+    near copies grow with its members and with what is left over, not with the square of its members.
     """
-    label = components(links)
-    known = nodes.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "n", "sketch")
-    member = known.select("id", "label", "n", "sketch", F.posexplode("sketch").alias("place", "key")).join(leaders.select("key", "a"), "key").where("a <> id")
     own = F.floor(F.log("n") / F.log(F.lit(1.2501)))
-    member = member.withColumns({"at": F.explode(F.array(F.struct(own.alias("band"), F.lit(0).alias("role")), F.struct((own + 1).alias("band"), F.lit(1).alias("role"))))})
-    member = member.select("key", "at.band", "place", "at.role", "id", "label", "n", "sketch")
-    sizes = member.groupBy("key", "band").agg(F.count("*").alias("m"), F.min("role").alias("r"), F.min("label").alias("x"), F.max("label").alias("y")).where("r = 0 AND x <> y").select("key", "band", F.ceil(F.col("m") / F.greatest(F.lit(8.0), F.least(F.lit(float(BLOCK)), 1e6 / F.pow(F.lit(1.25), F.col("band"))))).alias("blocks"))
-    spread = member.join(sizes, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other"), "role": F.col("role").cast("int")})
-    spread = spread.select(*_GROUP, "place", "role", "block", "id", "label", "n", "sketch")
+    banded = member.withColumn("at", F.explode(F.array(F.struct(own.alias("band"), F.lit(0).alias("role")), F.struct((own + 1).alias("band"), F.lit(1).alias("role")))))
+    banded = banded.select("at.band", "at.role", *member.columns)
+    counts = banded.groupBy("key", "band", "label").agg(F.count("*").alias("m"), F.min("role").alias("r"))
+    counts = counts.groupBy("key", "band").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m"), F.min("r").alias("r")).where("r = 0 AND most < m")
+    block = F.greatest(F.lit(8.0), F.least(F.lit(float(BLOCK)), 1e6 / F.pow(F.lit(1.25), F.col("band"))))
+    counts = counts.select("key", "band", "main", F.ceil((F.col("m") - F.col("most")) / block).alias("few"), F.ceil(F.col("most") / block).alias("many"))
+    spread = banded.join(counts, ["key", "band"]).withColumn("large", F.col("label") == F.col("main"))
+    spread = spread.withColumn("block", F.when(F.col("large"), F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("large"), F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
+    return spread.select("*", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+
+def _rest(nodes: DataFrame, met: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket that its leader left in different classes: all such pairs are compared, in groups.
+
+    met: the members (key, place, id) of sketches' buckets, without their leaders.
+    """
+    known = nodes.join(components(links), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "n", "sketch")
+    member = cut(met.join(known, "id"))
+    many = member.groupBy("key").agg(*[f(f"label.{k}").alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in ("k1", "k2")]).where("min_k1 < max_k1 OR min_k2 < max_k2").select("key")
+    spread = _groups(member.join(many, "key", "left_semi")).select(*_GROUP, "place", "role", "block", "id", "label", "n", "sketch")
 
     def grouped(df: DataFrame) -> DataFrame:
         return df.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
@@ -317,9 +330,10 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark", "sketch", "n")).alias("x"))
     nodes = cut(nodes.select(F.struct("x.doc_id", "x.mark", "k1", "k2").alias("id"), F.col("x.sketch").alias("sketch"), F.col("x.n").alias("n")))
     keys = F.concat(F.col("sketch"), F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", (i + 1) % SKETCHES))))
-    member = nodes.select("id", F.explode(keys).alias("key"))
-    leader = cut(member.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a", "size"))
-    pairs = cut(member.join(leader.select("key", "a"), "key").where("a < id").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared")))
+    member = nodes.select("id", F.posexplode(keys).alias("place", "key"))
+    leader = member.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
+    met = cut(member.join(cut(leader), "key").select("key", "place", "id", "a", "size"))
+    pairs = cut(met.where("a < id").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared")))
     # each node first meets the leader it shares most with; other leaders only where their classes still differ
     likely = cut(pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), "a")).alias("a")))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", "id.doc_id", "id.mark")
@@ -328,12 +342,12 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     check = lambda some: cut(_verified(some.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select(F.struct("a", "b").alias("pair"), "ta", "tb")).select("pair.a", "pair.b"))
     first = check(likely.select("a", "b"))
     label = components(first)
-    known = member.join(leader.select("key", "a"), "key").join(label, "id", "left").select("key", "a", "id", F.coalesce("label", "id").alias("label"))
+    known = met.join(label, "id", "left").select("key", "a", "id", F.coalesce("label", "id").alias("label"))
     open_ = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")  # buckets of more than one class
     left = known.join(open_, "key", "left_semi").where("a < id").join(label.select(F.col("id").alias("a"), F.col("label").alias("top")), "a", "left")
     apart = left.where(F.col("label") != F.coalesce("top", "a")).select("a", F.col("id").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
     first = cut(first.unionByName(check(cut(apart.select("a", "b")))))
-    return rows, cut(first.unionByName(_rest(nodes, leader.where("size > 2"), first, texts)))
+    return rows, cut(first.unionByName(_rest(nodes, met.where(f"place < {SKETCHES} AND size > 2 AND a <> id").select("key", "place", "id"), first, texts)))
 
 
 def classes(docs: DataFrame) -> DataFrame:

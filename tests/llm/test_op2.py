@@ -135,3 +135,18 @@ def test_recall_of_edited_copies(spark):
     got = {r.doc_id: r.class_id for r in op.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
     assert all(got[a] in (a, b) and got[b] in (a, b) for a, b in pairs)
+
+
+def test_left_over_pairs_meet_once_without_a_square(spark):
+    """A bucket of one large class and some others: each pair of different classes meets in one group, the large class not in pairs of its blocks."""
+    rows = [(7, 0, (i, 0, i, i), (0, 0, 0, 0) if i < 2000 else (i, 0, i, i), 40) for i in range(2012)] + [(8, 0, (i, 0, i, i), (5, 0, 5, 5), 40) for i in range(50)]
+    got = op._groups(spark.createDataFrame(rows, f"key long, place int, id {op._ID}, label {op._ID}, n long")).where("key = 7").collect()
+    blocks = -(-2000 // op.BLOCK)
+    assert len(got) == 2000 + 12 * (blocks + 1)  # 2012 * 8 when every block met every block
+    groups, met = {}, []
+    for r in got:
+        groups.setdefault((r.band, r.p, r.q), []).append(r)
+    for (_, p, q), members in groups.items():
+        met += [frozenset((x.id.doc_id, y.id.doc_id)) for i, x in enumerate(members) for y in members[:i] if x.label != y.label and (p == q or x.block != y.block) and 0 in (x.role, y.role)]
+    want = {frozenset((a, b)) for a in range(2000, 2012) for b in range(2012) if a != b}
+    assert set(met) == want and len(met) == len(want)
