@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,11 @@ def default_tokenizer() -> str:
 
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: The byte-level alphabet: printable bytes stand for themselves, the others for what follows 255.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _PIECE = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\x20\t\n\r\v\f]+")
-_PLAIN = {chr(c) for c in range(128)} - {chr(c) for c in range(0x1C, 0x20)} - {"'"}
+_PLAIN = bytes(c for c in range(128) if not 0x1C <= c < 0x20 and c != ord("'"))
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -54,7 +58,7 @@ def pieces(text: bytes) -> list[bytes]:
     starts contractions) or letters, it also splits at each change between letters, digits and the rest.
     """
     small = text.translate(_LOWER)
-    if b"<|" not in small and all(c in _PLAIN or c.isalpha() and c.lower().isalpha() for c in set(text.decode())):
+    if b"<|" not in small and all(c.isalpha() and c.lower().isalpha() for c in set(text.translate(None, _PLAIN).decode())):
         return _PIECE.findall(small)
     return text.split()
 
@@ -66,15 +70,27 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.merges = self.model.model
+        self.direct = all(self._merged(w) == self._encoded([w])[0] for w in ("a", "thouonatedor", "éauxßñ", "ночь", "漢字"))
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.first, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
+    def _encoded(self, new: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _merged(self, word: str) -> list[int]:
+        """Ids of a word that normalization and splitting leave as it is: the model alone gives them."""
+        return [t.id for t in self.merges.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET))]
+
     def _learn(self, new: list[bytes]) -> None:
-        got = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        flat = np.fromiter((i for x in got for i in x), np.uint32)
+        texts = [w.decode() for w in new]
+        plain = [self.direct and t.isalpha() and t == t.lower() and is_normalized("NFC", t) for t in texts]
+        rest = iter(self._encoded([t for t, p in zip(texts, plain) if not p]))
+        got = [self._merged(t) if p else next(rest) for t, p in zip(texts, plain)]
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         size = len(self.known)

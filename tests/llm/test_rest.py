@@ -262,3 +262,15 @@ def test_tree_match_against_plain_recursion():
     for _ in range(200):
         a, b = (((("r", ""), 1 + sum(k[1] for k in kids), kids)) for kids in (tuple(grow(2) for _ in range(3)) for _ in range(2)))
         assert len(op5_wrapper.tree_match(a, b)) == plain_match(a, b)
+
+
+def test_words_by_the_model_alone_have_the_tokenizer_s_ids():
+    ids = op9_packing.PieceIds(op9_packing.default_tokenizer())
+    assert ids.direct
+    words = ["the", "Upper", "éàß", "éa", "ﬁn", "ǆ", "ǅ", "ʰa", "ночь", "漢字", "한글", "ªº", "σς", "İ", "ı", "it's", "a1", "7", "...", "x" * 300, "ñ" * 200, "ẛ̣", "Ω", "𝒜b", "𐐨"]
+    asked: list[str] = []
+    whole = ids._encoded
+    ids._encoded = lambda new: asked.extend(new) or whole(new)
+    got = [x.tolist() for x in ids([w.encode() for w in words])]
+    assert got == whole(words)
+    assert not {"the", "éàß", "ночь", "漢字"} & set(asked) and "éa" in asked
