@@ -126,3 +126,11 @@ def test_long_candidates_of_every_allowed_shape(spark):
     allow = [r for r in op4_secrets.ALLOW if not isinstance(r, str)]
     text = spark.createDataFrame(rows, "doc_id long, x string").selectExpr("doc_id", "struct(x AS w) AS x")
     assert [r.doc_id for r in text.where(op4_secrets._listed(tuple(allow), lambda p: f"x.w RLIKE {op4_secrets._quoted(p)}")).collect()] == [0]
+
+
+def test_variants_that_share_many_keys_meet_once(spark):
+    """40 lines that are close to each other and share 20 keys of one long list each: a pair meets at one key, not at all of them."""
+    rows = [(key, ((line * 128 + 60) * 32) + key, 40, 1, 0, 60, 0, 0) for line in range(40) for key in range(20)]
+    shared = spark.createDataFrame(rows, "key long, v long, m long, blocks long, block long, n int, p0 long, p1 long")
+    got = [(r.x, r.y) for r in op3_lines._met(shared, op3_lines.cut(spark.createDataFrame([(60,)], "x long"))).collect()]
+    assert sorted(got) == [(x * 128 + 60, y * 128 + 60) for x in range(1, 40) for y in range(x)]
