@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, light, table
 from .graph import components
 
 K, L, SKETCHES = 5, 2, 16
-BLOCK = 256
+BLOCK = 512
 _LEAST = -(1 << 63)
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -272,21 +272,28 @@ def _similar_pairs(docs: dict[int, np.ndarray], pairs: np.ndarray) -> Iterator[t
 def _groups(member: DataFrame) -> DataFrame:
     """Rows (key, id, label, n and others) of members of buckets, dealt out in groups (_GROUP) in which pairs of different classes meet once.
 
-    Similar texts differ in length by a factor of 1.25 at most, so they lie in one band of lengths or in neighbours. Of a
-    bucket's band the members outside its largest class lie in blocks of about BLOCK members (fewer long ones) of their own:
-    each of these blocks meets every block, but two blocks of the largest class never meet. So the rows of a bucket of
-    near copies grow with its members and with what is left over, not with the square of its members.
+    Similar texts differ in length by a factor of 1.25 at most, so they lie in one band of lengths (role 0) or in neighbours
+    (the longer one's role is 0, the other's 1; two of role 1 meet in their own band). The members of a bucket's band lie in
+    blocks of about BLOCK (fewer long ones), by role and by whether they are of its largest class. Two blocks meet only if one
+    has role 0 and one isn't of the largest class. So the rows of a bucket of near copies grow with its members and with what
+    is left over, not with the square of its members.
     """
     own = F.floor(F.log("n") / F.log(F.lit(1.2501)))
     banded = member.withColumn("at", F.explode(F.array(F.struct(own.alias("band"), F.lit(0).alias("role")), F.struct((own + 1).alias("band"), F.lit(1).alias("role")))))
     banded = banded.select("at.band", "at.role", *member.columns)
-    counts = banded.groupBy("key", "band", "label").agg(F.count("*").alias("m"), F.min("role").alias("r"))
-    counts = counts.groupBy("key", "band").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m"), F.min("r").alias("r")).where("r = 0 AND most < m")
+    counts = banded.groupBy("key", "band", "label").agg(F.count("*").alias("m"), F.sum("role").alias("m1"))
+    top = F.struct("m", "label", "m1")
+    counts = counts.groupBy("key", "band").agg(F.max(top).alias("top"), F.sum("m").alias("m"), F.sum("m1").alias("m1")).where("m1 < m AND top.m < m")
     block = F.greatest(F.lit(8.0), F.least(F.lit(float(BLOCK)), 1e6 / F.pow(F.lit(1.25), F.col("band"))))
-    counts = counts.select("key", "band", "main", F.ceil((F.col("m") - F.col("most")) / block).alias("few"), F.ceil(F.col("most") / block).alias("many"))
+    left1, left0 = F.col("m1") - F.col("top.m1"), F.col("m") - F.col("top.m") - F.col("m1") + F.col("top.m1")
+    sizes = {"l1": left1, "l0": left0, "h0": F.col("top.m") - F.col("top.m1"), "h1": F.col("top.m1")}  # left over or of the largest class, by role
+    counts = counts.select("key", "band", F.col("top.label").alias("main"), *[F.ceil(x / block).alias(c) for c, x in sizes.items()])
     spread = banded.join(counts, ["key", "band"]).withColumn("large", F.col("label") == F.col("main"))
-    spread = spread.withColumn("block", F.when(F.col("large"), F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("large"), F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
+    # Blocks are numbered l1, l0, h0, h1, so that those that a block meets are a range.
+    ranges = {"l1": ("0", "l1", "l1 + l0 + h0"), "l0": ("l1", "0", "l1 + l0 + h0 + h1"), "h0": ("l1 + l0", "0", "l1 + l0"), "h1": ("l1 + l0 + h0", "l1", "l1 + l0")}
+    kind = "CASE WHEN large AND role = 1 THEN {h1} WHEN large THEN {h0} WHEN role = 1 THEN {l1} ELSE {l0} END"
+    spread = spread.withColumns({"block": F.expr(kind.format(**{c: f"{x[0]} + pmod(xxhash64(id), {c})" for c, x in ranges.items()})), "from": F.expr(kind.format(**{c: x[1] for c, x in ranges.items()})), "to": F.expr(kind.format(**{c: x[2] for c, x in ranges.items()}))})
+    spread = spread.where("from < to").withColumn("other", F.explode(F.expr("sequence(CAST(from AS BIGINT), CAST(to AS BIGINT) - 1)")))
     return spread.select("*", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
 
 
@@ -332,12 +339,12 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = F.concat(F.col("sketch"), F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", (i + 1) % SKETCHES))))
     member = nodes.select("id", F.posexplode(keys).alias("place", "key"))
     leader = member.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
-    met = cut(member.join(cut(leader), "key").select("key", "place", "id", "a", "size"))
+    met = cut(member.join(light(cut(leader)), "key").select("key", "place", "id", "a", "size"))
     pairs = cut(met.where("a < id").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared")))
     # each node first meets the leader it shares most with; other leaders only where their classes still differ
     likely = cut(pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), "a")).alias("a")))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", "id.doc_id", "id.mark")
-    texts = docs.select(_id(), F.xxhash64("text").alias("mark"), "text").join(needed, ["doc_id", "mark"]).select("id", "text")
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", "id.doc_id", "id.mark"))
+    texts = docs.select(_id(), F.xxhash64("text").alias("mark"), "text").join(light(needed), ["doc_id", "mark"]).select("id", "text")
     texts = cut(texts.dropDuplicates(["id"]))
     check = lambda some: cut(_verified(some.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select(F.struct("a", "b").alias("pair"), "ta", "tb")).select("pair.a", "pair.b"))
     first = check(likely.select("a", "b"))
@@ -351,14 +358,19 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, mark (hash of the text), class_id (least doc_id), n_links of its word sequence, first (the row that stands for its class)."""
+    """Per row of docs its class, see _classes."""
+    return _classes(docs)[1]
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows as linked() returns them, and one row per row of docs: doc_id, mark (hash of the text), class_id (least doc_id), n_links of its word sequence, first (the row that stands for its class)."""
     rows, links = linked(docs)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     label = cut(components(links).join(degree, "id").select("id.k1", "id.k2", "label", "n_links"))
     own = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("own"))
     known = own.join(label, ["k1", "k2"], "left").select("k1", "k2", "own", F.when(F.col("label").isNull(), F.col("own")).otherwise(F.struct("label.doc_id", "label.mark")).alias("top"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     back = lambda c: F.when(F.col(c) != _LEAST, F.col(c))
-    return rows.select("doc_id", "mark", "k1", "k2").join(known, ["k1", "k2"]).select(
+    return rows, rows.select("doc_id", "mark", "k1", "k2").join(known, ["k1", "k2"]).select(
         back("doc_id").alias("doc_id"), "mark", back("top.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), (F.struct("doc_id", "mark") == F.struct("top.doc_id", "top.mark")).alias("first")
     )
 
@@ -366,9 +378,14 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The first document of each class, every column as it was."""
     names = docs.columns
-    spare = classes(docs).where("NOT first").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    rows, found = _classes(docs)
+    spare = cut(found.where("NOT first").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct())
     marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": F.xxhash64("text")})
-    return marked.join(spare, (marked["__id"].eqNullSafe(spare["__id"])) & (marked["__mark"] == spare["__mark"]), "left_anti").dropDuplicates(["__id", "__mark"]).select(*names)
+    own = light(spare)
+    kept = marked.join(own, (marked["__id"].eqNullSafe(own["__id"])) & (marked["__mark"] == own["__mark"]), "left_anti")
+    if rows.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():  # rows that repeat an id and its text
+        kept = kept.dropDuplicates(["__id", "__mark"])
+    return kept.select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

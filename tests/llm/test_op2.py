@@ -150,3 +150,16 @@ def test_left_over_pairs_meet_once_without_a_square(spark):
         met += [frozenset((x.id.doc_id, y.id.doc_id)) for i, x in enumerate(members) for y in members[:i] if x.label != y.label and (p == q or x.block != y.block) and 0 in (x.role, y.role)]
     want = {frozenset((a, b)) for a in range(2000, 2012) for b in range(2012) if a != b}
     assert set(met) == want and len(met) == len(want)
+
+
+def test_shorter_texts_of_a_band_meet_the_longer_ones_only(spark):
+    """1200 unlike texts and one of the next band of lengths: there, the 1200 are not dealt out in pairs of their blocks again."""
+    n = [40] * 1200 + [48]
+    band = [int(np.floor(np.log(x) / np.log(1.2501))) for x in n]
+    assert band[-1] == band[0] + 1
+    rows = [(7, 0, (i, 0, i, i), (i, 0, i, i), x) for i, x in enumerate(n)]
+    got = op._groups(spark.createDataFrame(rows, f"key long, place int, id {op._ID}, label {op._ID}, n long")).where(f"band = {band[-1]}").collect()
+    assert len(got) <= 1200 + 1 + -(-1200 // op.BLOCK)  # some 1200 * 5 when every block met every block
+    met = {(x.p, x.q) for x in got if x.id.doc_id == 1200}
+    assert all((x.p, x.q) in met for x in got)
+    assert len({x.id.doc_id for x in got}) == 1201
