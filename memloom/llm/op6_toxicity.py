@@ -32,6 +32,8 @@ WINDOW = 2
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 2500
 THRESHOLD = 0.3
+#: Words of the sample whose gradients are held at a time.
+BLOCK = 1 << 17
 #: Words whose sums a worker remembers; beyond it the memory starts anew (scores stay the same).
 MEMORY = 250_000
 
@@ -98,6 +100,19 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, self.odds(ws)).sum()))
 
 
+def _blocks(lengths: np.ndarray, per: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """Runs of texts of about BLOCK words: texts, words, first word of each window and first window of each text, from the block's start."""
+    ends, first = np.cumsum(lengths), 0
+    while first < len(lengths):
+        at = int(ends[first] - lengths[first])
+        last = max(first + 1, int(np.searchsorted(ends, at + BLOCK, side="right")))
+        n, firsts = per[first:last], ends[first:last] - lengths[first:last] - at
+        before = np.cumsum(n) - n
+        windows = np.repeat(firsts - WINDOW * before, n) + WINDOW * np.arange(int(n.sum()))
+        yield slice(first, last), slice(at, int(ends[last - 1])), windows.astype(np.int32), before
+        first = last
+
+
 def fit(texts: list[str | None], toxic: list[int], rounds: int = 40, rate: float = 0.25, decay: float = 1e-6) -> Model:
     """Full-batch Adam on embeddings and linear layer together."""
     place: dict[str, int] = {}
@@ -113,14 +128,16 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 40, rate: float
     gram = (np.fromiter((i for w in place for i in subwords(w)), np.uint32) & (BUCKETS - 1)).astype(np.int32)
     sizes = np.fromiter((len(subwords(w)) for w in place), np.int32, len(place))
     del coded, place
-    used, gram = np.unique(gram, return_inverse=True)
-    gram, starts = gram.astype(np.int32), np.cumsum(sizes) - sizes
+    held = np.zeros(BUCKETS, np.int32)
+    held[gram] = 1
+    used = np.flatnonzero(held)
+    held[used] = np.arange(len(used))
+    np.take(held, gram, out=gram)
+    starts = np.cumsum(sizes) - sizes
     per = -(-lengths // WINDOW)
-    first = np.cumsum(lengths) - lengths
-    inside = np.arange(len(flat)) - np.repeat(first, lengths)
-    window = (np.repeat(np.cumsum(per) - per, lengths) + inside // WINDOW).astype(np.int32)
-    n_windows, doc_of = int(per.sum()), np.repeat(np.arange(len(y), dtype=np.int32), per)
-    share = 1.0 / np.bincount(window, sizes[flat], n_windows)
+    blocks = list(_blocks(lengths, per))
+    vocabulary = [(a, b) for a in range(0, len(sizes), BLOCK // 8) for b in [min(len(sizes), a + BLOCK // 8)]]
+    word_sum, by_word = np.empty(len(sizes), np.float32), np.empty(len(sizes))
     random = np.random.default_rng(7)
     table_, head = random.normal(0, 0.1, (len(used), DIM)).astype(np.float32), random.normal(0, 0.1, (2, DIM))
     bias = np.array([0.0, np.log(0.5 / per.mean())])
@@ -130,16 +147,26 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 40, rate: float
     for k in range(1, rounds + 1):
         slope = head[1] - head[0]
         scalar = table_ @ slope.astype(np.float32)
-        word_sum = np.add.reduceat(scalar[gram], starts)
-        z = np.bincount(window, word_sum[flat], n_windows) * share + bias[1] - bias[0]
-        total = np.bincount(doc_of, np.logaddexp(0, z), len(y))
-        # loss: -log(1 - exp(-total)) for toxic texts, total for the others
-        by_total = balance * np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(total, 500)), 1e-9), 1.0) / len(y)
-        by_z = by_total[doc_of] / (1 + np.exp(-np.clip(z, -50, 50)))
-        by_word = np.bincount(flat, (by_z * share)[window], len(sizes))
-        by_scalar = np.bincount(gram, np.repeat(by_word, sizes), len(used))
+        for a, b in vocabulary:
+            part = gram[starts[a] : starts[b - 1] + sizes[b - 1]]
+            word_sum[a:b] = np.add.reduceat(scalar[part], starts[a:b] - starts[a])
+        by_word[:], by_bias = 0, 0.0
+        for docs, part, windows, firsts in blocks:
+            ids = flat[part]
+            share, width = 1.0 / np.add.reduceat(sizes[ids], windows), np.diff(windows, append=len(ids))
+            z = np.add.reduceat(word_sum[ids], windows, dtype=float) * share + bias[1] - bias[0]
+            total = np.add.reduceat(np.logaddexp(0, z), firsts)
+            # loss: -log(1 - exp(-total)) for toxic texts, total for the others
+            by_total = balance[docs] * np.where(y[docs] > 0, -1 / np.maximum(np.expm1(np.minimum(total, 500)), 1e-9), 1.0) / len(y)
+            by_z = np.repeat(by_total, per[docs]) / (1 + np.exp(-np.clip(z, -50, 50)))
+            by_word += np.bincount(ids, np.repeat(by_z * share, width), len(sizes))
+            by_bias += by_z.sum()
+        by_scalar = np.zeros(len(used))
+        for a, b in vocabulary:
+            part = gram[starts[a] : starts[b - 1] + sizes[b - 1]]
+            by_scalar += np.bincount(part, np.repeat(by_word[a:b], sizes[a:b]), len(used))
         by_slope = by_scalar @ table_
-        grads = [np.outer(by_scalar, slope).astype(np.float32) + decay * table_, np.stack([-by_slope, by_slope]) + decay * head, np.array([-by_z.sum(), by_z.sum()])]
+        grads = [np.outer(by_scalar, slope).astype(np.float32) + decay * table_, np.stack([-by_slope, by_slope]) + decay * head, np.array([-by_bias, by_bias])]
         for p, g, m, v in zip(parameters, grads, first_moment, second_moment):
             m *= 0.9
             m += 0.1 * g

@@ -1,6 +1,7 @@
 """op5, op6, op8, op9 and op10: brute force, round trips, held-out accuracy, odd rows."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -274,3 +275,16 @@ def test_words_by_the_model_alone_have_the_tokenizer_s_ids():
     got = [x.tolist() for x in ids([w.encode() for w in words])]
     assert got == whole(words)
     assert not {"the", "éàß", "ночь", "漢字"} & set(asked) and "éa" in asked
+
+
+def test_toxicity_fit_holds_blocks():
+    draw = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in draw.integers(0, 2000, 1000)) for _ in range(600)]
+    tracemalloc.start()
+    try:
+        model = op6_toxicity.fit(texts, [k % 2 for k in range(600)], rounds=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.weight.any()
+    assert peak < 24e6, peak  # 12 bytes a word are kept; 600000 words
