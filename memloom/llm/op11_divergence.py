@@ -29,7 +29,8 @@ from .common import cut, table
 
 LEAST_DOCS, UNIT, TOP, CELLS = 3, 10**9, 200, 1 << 19
 _GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_SLICE, _HELD = 4 << 20, 500_000
+#: Bytes of text counted at a time, and of counts that a task holds after it has merged them.
+_SLICE, _HELD = 1 << 20, 8 << 20
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 _FOUND = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
@@ -63,30 +64,36 @@ def _merge(tables: list[pa.Table]) -> pa.Table:
     return merged.rename_columns({"n_sum": "n", "docs_sum": "docs"}).select(_COUNTS.names)
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of one task, merged while they fit `_HELD`."""
+    pool = pa.default_memory_pool()
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:  # about 1 MB of text at a time
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, side="right")))
+            held.append(_count(batch.slice(at, to - at)))
+            size += held[-1].nbytes
+            at = to
+            if size > 2 * _HELD:
+                held = [_merge(held)]
+                size = held[0].nbytes
+                if size > _HELD:
+                    yield from held.pop().to_batches(max_chunksize=16384)
+                    size = 0
+                pool.release_unused()  # else workers that wait keep it beside the executor's heap
+    if held:
+        yield from _merge(held).to_batches(max_chunksize=16384)
+    held.clear()
+    pool.release_unused()
+
+
 def count_terms(docs: DataFrame) -> DataFrame:
     """lang, source, term, n occurrences and docs documents, summed per task only; a row of term '' for each group."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64))
-            at = 0
-            while at < batch.num_rows:  # about 4 MB of text at a time
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, side="right")))
-                held.append(_count(batch.slice(at, to - at)))
-                rows += held[-1].num_rows
-                at = to
-                if rows > 2 * _HELD:
-                    merged = _merge(held)
-                    held, rows = [merged], merged.num_rows
-                    if rows > _HELD:
-                        yield from merged.to_batches(max_chunksize=65536)
-                        held, rows = [], 0
-        if held:
-            yield from _merge(held).to_batches(max_chunksize=65536)
-
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    return plain.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return plain.mapInArrow(counted, "lang string, source string, term string, n long, docs long")
 
 
 def dictionary(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import canonical, connect
 
@@ -205,3 +206,17 @@ def test_compared_on_documents(spark):
     assert sorted(map(tuple, got), key=repr) == plain_compared([(r.doc_id, r.text) for r in docs.collect()])
     long = [r for r in got if r.n_chars >= 200]
     assert sum(r.near_edited > 0.2 for r in long) > 0.95 * len(long) and sum(r.near_next < 0.2 for r in long) > 0.9 * len(long)
+
+
+def test_divergence_counts_hold_little():
+    texts = [" ".join(f"t{chr(97 + k % 26)}" + "".join(chr(97 + int(c)) for c in str(k)) for k in range(at, at + 2000)) for at in range(0, 1_800_000, 2000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 900, "source": ["s"] * 900, "text": texts})
+    plain = pa.default_memory_pool()
+    watched = pa.proxy_memory_pool(plain)
+    pa.set_memory_pool(watched)
+    try:
+        rows = sum(b.num_rows for b in op11_divergence.counted(iter([batch])))
+    finally:
+        pa.set_memory_pool(plain)
+    assert rows >= 1_800_001
+    assert watched.max_memory() < 48e6, watched.max_memory()
