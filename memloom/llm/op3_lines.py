@@ -6,11 +6,12 @@ corpus in CELLS hash cells, and tokens are sorted by the power of two of their c
 equal sets form classes before anything is joined, so copies meet no copies.
 
 Two sets of sizes a, b with Jaccard >= 0.8 share o >= 4(a + b)/9 tokens and differ in d = a + b - 2o. Each
-differing token parts at most one pair of tokens that are neighbours in the common order, so o - 1 - d
-neighbour pairs are common as well. The prefix filter works on these pairs: it indexes the first ones of each
-line, as many as that bound asks for. A pair of neighbours is far rarer than a token, so lists stay short
-when the corpus outgrows its vocabulary. Keys that only one line has are dropped at once.
-The length filter, the positional filter (what can follow the first common pair) and a map of 128 parities of
+differing token parts at most two triples of tokens that are neighbours in the common order, so o - 2 - 2d
+triples are common as well: at least one, but for sets of 4 and 5 tokens, which meet by all 4. The prefix filter
+works on these triples: it indexes the first ones of each line, as many as that bound asks for. A triple of
+neighbours is far rarer than a token, so lists stay short when the corpus outgrows its vocabulary. Keys that only
+one line has are dropped at once.
+The length filter, the positional filter (what can follow the first common triple) and a map of 128 parities of
 tokens (each differing token flips one bit) leave the candidates. Their lines are read again
 from the documents: bit maps of the sets bound the difference, and Jaccard is verified on the tokens themselves.
 
@@ -48,7 +49,7 @@ MAPS = 4
 _HASH = 58
 #: A map of 128 bits, of which each token flips one: bits that differ between two lines are at most the tokens that do.
 PARITY = {"p0": 0, "p1": 64}
-#: A posting is one number: place of the line, its size (at most SIZE) and the pair's place in it (at most PLACE).
+#: A posting is one number: place of the line, its size (at most SIZE) and the triple's place in it (at most PLACE).
 SIZE, PLACE = 127, 31
 _LEAST = -(1 << 63)
 
@@ -59,12 +60,12 @@ def _levels(base: DataFrame) -> tuple[list[int], int, int, int]:
     The table that comes to the driver has CELLS rows at most. Words that only a line break parts count as one here:
     the order needs no more, and lines are split before their tokens are.
     """
-    word = base.select("__id", F.octet_length("text").alias("size"), F.explode(F.split("text", " ")).alias("w")).select("__id", "size", F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"))
-    rows = word.groupBy("cell").agg(F.count("*").alias("n"), F.min("__id").alias("least"), F.max("__id").alias("most"), F.max("size").alias("size")).collect()
+    word = base.select(F.explode(F.split("text", " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"))
     out = [0] * CELLS
-    for r in rows:
-        out[r["cell"]] = r["n"].bit_length()
-    return out, min((r["least"] for r in rows), default=0), max((r["most"] for r in rows), default=0), max((r["size"] for r in rows), default=0) + 1
+    for r in word.groupBy("cell").count().collect():
+        out[r["cell"]] = r["count"].bit_length()
+    least, most, size = base.agg(F.min("__id"), F.max("__id"), F.max(F.octet_length("text"))).first()
+    return out, least or 0, most or 0, (size or 0) + 1
 
 
 def _tokens(line: str, levels: list[int]) -> str:
@@ -73,8 +74,9 @@ def _tokens(line: str, levels: list[int]) -> str:
     return f"sort_array(array_distinct(transform(array_remove(split({line}, ' '), ''), w -> shiftleft({level}, {_HASH}) | (xxhash64(w) & {(1 << _HASH) - 1}))))"
 
 
-#: Pairs of the prefix: the first n - ceil((n + ceil(4n/5)) / 3) + 1 of them. Smaller sets are similar to equal ones only.
-_KEYS = "IF(n < 4, null, transform(sequence(0, n - (n + (4 * n + 4) div 5 + 2) div 3), i -> xxhash64(toks[i], toks[i + 1]) & 0xFFFFFFFFFFFF))".replace("0xFFFFFFFFFFFF", str((1 << 48) - 1))
+#: Tokens of the prefix: two more than its triples, which are the first n - 1 - max(1, ceil(2s / 9) - 2) for s = n + ceil(4n / 5).
+_PREFIX = "IF(n < 4, null, slice(toks, 1, n + 1 - greatest(1, (2 * (n + (4 * n + 4) div 5) + 8) div 9 - 2)))"
+_KEY = f"& {(1 << 48) - 1}"
 
 
 _PARITY = [f"IF(n < 4, 0L, aggregate(toks, 0L, (m, x) -> IF((x & 64) = {half}, m ^ shiftleft(1L, CAST(x & 63 AS INT)), m))) AS {name}" for name, half in PARITY.items()]
@@ -83,7 +85,7 @@ _PARITY = [f"IF(n < 4, 0L, aggregate(toks, 0L, (m, x) -> IF((x & 64) = {half}, m
 _DIFFER = " + ".join(f"bit_count(x_{m} ^ y_{m})" for m in PARITY)
 #: Filters of a pair that shares a key: by length, by what can follow the key if it is the first common one (of any similar
 #: pair, one key passes), by the bits of their maps that differ.
-_CLOSE = f"5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n) AND 1 + least(x_n - 2 - x_at, y_n - 2 - y_at) >= 3 * ((4 * (x_n + y_n) + 8) div 9) - x_n - y_n - 1 AND 9 * ({_DIFFER}) <= x_n + y_n"
+_CLOSE = f"5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n) AND 1 + least(x_n - 3 - x_at, y_n - 3 - y_at) >= 5 * ((4 * (x_n + y_n) + 8) div 9) - 2 * (x_n + y_n) - 2 AND 9 * ({_DIFFER}) <= x_n + y_n"
 
 
 def _identified(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -94,25 +96,28 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _postings(lines: DataFrame) -> DataFrame:
-    """key and v of each prefix pair."""
-    return lines.select("id", F.posexplode("keys").alias("at", "key")).selectExpr("key", f"id * {PLACE + 1} + least(at, {PLACE}) AS v")
+    """key and v of each triple of the prefix; a line of 5 tokens also has each 4 of them, to meet the line of these."""
+    triples = lines.where("n > 4").select("id", "prefix", F.posexplode("prefix").alias("at", "tok")).where("at < size(prefix) - 2")
+    triples = triples.selectExpr(f"xxhash64(tok, get(prefix, at + 1), get(prefix, at + 2)) {_KEY} AS key", f"id * {PLACE + 1} + least(at, {PLACE}) AS v")
+    fours = lines.where("n <= 5").selectExpr("id", "explode(IF(n = 4, array(xxhash64(prefix)), transform(prefix, t -> xxhash64(array_remove(prefix, t))))) AS key")
+    return triples.unionByName(fours.selectExpr(f"key {_KEY} AS key", f"id * {PLACE + 1} AS v"))
 
 
-def _alike(a: str, b: str) -> str:
-    """Postings whose lines' sizes let them be similar."""
-    na, nb = (f"({v} div {PLACE + 1} % {SIZE + 1})" for v in (a, b))
-    return f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb})"
+def _shared(lines: DataFrame) -> DataFrame:
+    """Postings (key, v) of keys that more lines have, the number m of their list, that of the blocks it is dealt out in, and the earliest and the NEAR postings before them there."""
+    p = _postings(lines).repartition("key")  # dealt out once, for the counts, for the join with them and for the lists' order
+    na, nb = (f"({c} div {PLACE + 1} % {SIZE + 1})" for c in "ab")
+    # Both ends of a list keep v among what is dealt out for the counts: the join then reads the same shuffle.
+    lists = p.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("m")).where(f"m > 2 OR m = 2 AND 5 * least({na}, {nb}) >= 4 * greatest({na}, {nb})")
+    shared = p.join(lists.select("key", "m").hint("shuffle_hash"), "key").withColumn("blocks", F.expr(f"IF(m > 3, m div {SPLIT} + 1, 1L)")).withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
+    order = Window.partitionBy("key", "block").orderBy("v")
+    before = F.array_compact(F.array(F.first("v").over(order.rowsBetween(Window.unboundedPreceding, -1)), *[F.lag("v", k).over(order) for k in range(1, NEAR + 1)]))
+    return cut(shared.withColumn("before", before), "zstd")
 
 
-def _shared(lines: DataFrame) -> DataFrame:
-    """Postings (key, v) of keys that more lines have, with the number m of their list and that of the blocks it is dealt out in."""
-    p = _postings(lines)
-    lists = cut(p.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.expr("bit_xor(v)").alias("x"), F.count("*").alias("m")).where(f"m > 2 OR m = 2 AND {_alike('a', 'b')}"))
-    few = lists.where("m <= 3").select("key", F.explode(F.expr("IF(m = 2, array(a, b), array(a, b, x ^ a ^ b))")).alias("v"), "m")
-    hot = cut(lists.where("m > 3").select("key", "m"))
-    out = cut(few.unionByName(p.join(hot, "key").select("key", "v", "m")).withColumn("blocks", F.expr(f"IF(m > 3, m div {SPLIT} + 1, 1L)")))
-    discard(lists, hot)
-    return out
+#: Size and place in a posting; sizes from SIZE on are one number there, so the length filter may let more pairs pass than _CLOSE.
+_ALIKE = "5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)"
+_FOLLOW = f"(greatest(x_n, y_n) = {SIZE} OR 1 + least(x_n - 3 - x_at, y_n - 3 - y_at) >= 5 * ((4 * (x_n + y_n) + 8) div 9) - 2 * (x_n + y_n) - 2)"
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, base: DataFrame) -> DataFrame:
@@ -136,20 +141,21 @@ def _verified(pairs: DataFrame, reps: DataFrame, base: DataFrame) -> DataFrame:
 
 def _similar_to_earlier(reps: DataFrame, base: DataFrame) -> list[DataFrame]:
     """Tables of x: ids of the lines of reps that are similar to an earlier one."""
-    lists = _shared(reps)
+    shared = _shared(reps)
     small = reps.select("id", "n", *PARITY)
-    shared = cut(lists.withColumn("id", F.expr(f"v div {PLACE + 1}")).join(small, "id").select("key", "v", "m", "blocks", F.pmod(F.xxhash64("v"), "blocks").alias("block"), "n", *PARITY), "zstd")
-    discard(lists)
-    order = Window.partitionBy("key", "block").orderBy("v")
-    one = F.struct("v", "n", *PARITY)
-    before = F.array_compact(F.array(F.first(one).over(order.rowsBetween(Window.unboundedPreceding, -1)), *[F.lag(one, k).over(order) for k in range(1, NEAR + 1)]))
-    near = shared.withColumn("before", before).select("v", "n", *PARITY, F.explode("before").alias("y")).selectExpr(f"v div {PLACE + 1} AS x", f"v % {PLACE + 1} AS x_at", "n AS x_n", *[f"{m} AS x_{m}" for m in PARITY], f"y.v div {PLACE + 1} AS y", f"y.v % {PLACE + 1} AS y_at", "y.n AS y_n", *[f"y.{m} AS y_{m}" for m in PARITY])
-    near = cut(near.where(f"y < x AND {_CLOSE}").groupBy("x", "y").agg(F.min(F.expr(_DIFFER)).alias("d")))
+    posting = [f"{c}.v div {PLACE + 1} AS {c}" for c in "xy"] + [f"{c}.v % {PLACE + 1} AS {c}_at" for c in "xy"] + [f"{c}.v div {PLACE + 1} % {SIZE + 1} AS {c}_n" for c in "xy"]
+    met = shared.select(F.struct("v").alias("x"), F.explode("before").alias("y")).select("x", F.struct(F.col("y").alias("v")).alias("y")).selectExpr(*posting)
+    alike = cut(met.where(f"y < x AND {_ALIKE} AND {_FOLLOW}").select("x", "y").distinct())
+    side = lambda c: small.select(F.col("id").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("n", *PARITY)])
+    met = alike.join(side("x"), "x").join(side("y"), "y").where(f"{_ALIKE} AND 9 * ({_DIFFER}) <= x_n + y_n")
+    near = cut(met.select("x", "y", F.expr(_DIFFER).alias("d")))
     best = cut(near.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y")))
     matched = _verified(best, reps, base)
+    long = shared.where(f"m > {NEAR + 1} OR blocks > 1").withColumn("id", F.expr(f"v div {PLACE + 1}"))
+    long = cut(long.join(small, "id").select("key", "v", "m", "blocks", "block", "n", *PARITY), "zstd")
     others = near.join(matched, "x", "left_anti").join(best, ["x", "y"], "left_anti").select("x", "y")
-    rest = _verified(others.unionByName(_met(shared, matched)).distinct(), reps, base)
-    discard(shared, near, best)
+    rest = _verified(others.unionByName(_met(long, matched)).distinct(), reps, base)
+    discard(shared, long, alike, near, best)
     return [matched, rest]
 
 
@@ -186,11 +192,11 @@ def removals(docs: DataFrame, twice: bool) -> DataFrame:
     base = docs.where("text IS NOT NULL").select("__id", "__mark", "text")
     base = base.dropDuplicates(["__id", "__mark"]) if twice else base
     lines = _placed(base, twice).withColumn("n", F.size("toks"))
-    wide = cut(lines.selectExpr("__id", "__mark", "line", f"place * {SIZE + 1} + least(n, {SIZE}) AS id", "n", "xxhash64(toks) AS k1", "hash(toks) AS k2", f"{_KEYS} AS keys", *_PARITY), "zstd")
+    wide = cut(lines.selectExpr("__id", "__mark", "line", f"place * {SIZE + 1} + least(n, {SIZE}) AS id", "n", "xxhash64(toks) AS k1", "hash(toks) AS k2", f"{_PREFIX} AS prefix", *_PARITY), "zstd")
     dups = cut(wide.groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     spot = ("__id", "__mark", "line")
     copies = cut(wide.join(light(dups), ["k1", "k2", "n"]).where("id <> first").select(*spot))
-    reps = cut(wide.where("keys IS NOT NULL").join(light(dups), ["k1", "k2", "n"], "left").where("first IS NULL OR id = first").select(*spot, "id", "keys", "n", *PARITY), "zstd")
+    reps = cut(wide.where("prefix IS NOT NULL").join(light(dups), ["k1", "k2", "n"], "left").where("first IS NULL OR id = first").select(*spot, "id", "prefix", "n", *PARITY), "zstd")
     discard(wide, dups)
     late = _similar_to_earlier(reps, base)
     found = late[0].unionByName(late[1]).distinct().withColumnRenamed("x", "id")

@@ -134,3 +134,23 @@ def test_variants_that_share_many_keys_meet_once(spark):
     shared = spark.createDataFrame(rows, "key long, v long, m long, blocks long, block long, n int, p0 long, p1 long")
     got = [(r.x, r.y) for r in op3_lines._met(shared, op3_lines.cut(spark.createDataFrame([(60,)], "x long"))).collect()]
     assert sorted(got) == [(x * 128 + 60, y * 128 + 60) for x in range(1, 40) for y in range(x)]
+
+
+def test_lines_of_four_and_five_tokens_meet(spark):
+    """Sets of 4 and 5 tokens may share no triple of neighbours; 5 and 6 share one."""
+    rows = [(10 * k + i, " ".join(line)) for k in range(40) for five in [[f"t{k}x{j}" for j in range(5)]] for i, line in enumerate((five, five[:k % 5] + five[k % 5 + 1 :]))]
+    rows += [(1000 + 10 * k + i, " ".join(line)) for k in range(40) for six in [[f"u{k}x{j}" for j in range(6)]] for i, line in enumerate((six, six[:k % 6] + six[k % 6 + 1 :]))]
+    got = {r.doc_id: r.n_removed for r in op3_lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 10 for k, _ in rows}
+
+
+def test_line_postings_know_those_before_them(spark):
+    lines = [(k, 10, [7 * (k % 3) + t for t in range(10)]) for k in range(60)]
+    got = op3_lines._shared(spark.createDataFrame([(k * (op3_lines.SIZE + 1) + n, n, p) for k, n, p in lines], "id long, n int, prefix array<long>")).collect()
+    lists = {}
+    for r in got:
+        lists.setdefault(r.key, []).append(r.v)
+    assert len(got) == 60 * 8
+    for r in got:
+        earlier = sorted(v for v in lists[r.key] if v < r.v)
+        assert sorted(r.before) == sorted(earlier[:1] + earlier[-op3_lines.NEAR :])
