@@ -211,7 +211,8 @@ def dedupe(docs: DataFrame) -> DataFrame:
     names = docs.columns
     out, twice = _identified(docs)
     kept = "IF(__removed IS NULL, text, array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__removed, i)), '\\n'))"
-    out = out.join(removals(out, twice), ["__id", "__mark"], "left").withColumn("text", F.expr(kept))
+    # Texts are dealt out once and not sorted, whatever the size: a table of removals that is sent to every task at one size is too large for it at another.
+    out = out.join(removals(out, twice).hint("shuffle_hash"), ["__id", "__mark"], "left").withColumn("text", F.expr(kept))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

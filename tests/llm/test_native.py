@@ -154,3 +154,12 @@ def test_line_postings_know_those_before_them(spark):
     for r in got:
         earlier = sorted(v for v in lists[r.key] if v < r.v)
         assert sorted(r.before) == sorted(earlier[:1] + earlier[-op3_lines.NEAR :])
+
+
+def test_texts_are_joined_with_their_removals_the_same_way_at_every_size(spark):
+    """Few removals weren't dealt out, many were, and the texts were sorted for it."""
+    docs = spark.createDataFrame([(k, "the same line\nand its own", "x", 24 + k % 2) for k in range(9)], "doc_id long, text string, lang string, n_chars long")
+    out = op3_lines.dedupe(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(0, "the same line\nand its own"), *((k, "") for k in range(1, 9))]
