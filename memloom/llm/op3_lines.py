@@ -13,7 +13,7 @@ neighbours is far rarer than a token, so lists stay short when the corpus outgro
 one line has are dropped at once.
 The length filter, the positional filter (what can follow the first common triple) and a map of 128 parities of
 tokens (each differing token flips one bit) leave the candidates. Their lines are read again
-from the documents: bit maps of the sets bound the difference, and Jaccard is verified on the tokens themselves.
+from the documents, and Jaccard is verified on the tokens themselves.
 
 A line is removed if an earlier line (smaller doc_id, or the same document and a smaller line number),
 removed or not, is similar. One earlier match decides, so each line first meets the earliest line and the NEAR lines
@@ -44,8 +44,6 @@ CELLS = 1 << 16
 SPLIT = 4096
 #: Lines before it in a key's list that a line is held against at once.
 NEAR = 12
-#: Words of 64 bits in a line's map of its tokens: each differing token flips one bit at most.
-MAPS = 4
 _HASH = 58
 #: A map of 128 bits, of which each token flips one: bits that differ between two lines are at most the tokens that do.
 PARITY = {"p0": 0, "p1": 64}
@@ -104,15 +102,16 @@ def _postings(lines: DataFrame) -> DataFrame:
 
 
 def _shared(lines: DataFrame) -> DataFrame:
-    """Postings (key, v) of keys that more lines have, the number m of their list, that of the blocks it is dealt out in, and the earliest and the NEAR postings before them there."""
-    p = _postings(lines).repartition("key")  # dealt out once, for the counts, for the join with them and for the lists' order
-    na, nb = (f"({c} div {PLACE + 1} % {SIZE + 1})" for c in "ab")
-    # Both ends of a list keep v among what is dealt out for the counts: the join then reads the same shuffle.
-    lists = p.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("m")).where(f"m > 2 OR m = 2 AND 5 * least({na}, {nb}) >= 4 * greatest({na}, {nb})")
-    shared = p.join(lists.select("key", "m").hint("shuffle_hash"), "key").withColumn("blocks", F.expr(f"IF(m > 3, m div {SPLIT} + 1, 1L)")).withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
+    """Postings (key, v) of keys that more lines have, the number m of their list, that of the blocks it is dealt out in, and the earliest and the NEAR postings before them there.
+
+    Postings that meet nothing are left out: those with none before them, but for long lists, whose every posting _met reads.
+    """
+    p = _postings(lines).repartition("key")  # dealt out and read once; a sort by this one number is all that the counts need
+    shared = p.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
+    shared = shared.withColumn("blocks", F.expr(f"IF(m > 3, m div {SPLIT} + 1, 1L)")).withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
     order = Window.partitionBy("key", "block").orderBy("v")
     before = F.array_compact(F.array(F.first("v").over(order.rowsBetween(Window.unboundedPreceding, -1)), *[F.lag("v", k).over(order) for k in range(1, NEAR + 1)]))
-    return cut(shared.withColumn("before", before), "zstd")
+    return cut(shared.withColumn("before", before).where(f"m > {NEAR + 1} OR blocks > 1 OR size(before) > 0"), "zstd")
 
 
 #: Size and place in a posting; sizes from SIZE on are one number there, so the length filter may let more pairs pass than _CLOSE.
@@ -127,15 +126,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, base: DataFrame) -> DataFrame:
     wanted = reps.select("id", "__id", "__mark", "line").join(needed, "id").groupBy("__id", "__mark").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
     wanted = cut(wanted)
     split = base.join(light(wanted), ["__id", "__mark"]).select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-    maps = [f"aggregate(codes, 0L, (m, x) -> m | IF((x & 192) = {64 * k}, shiftleft(1L, CAST(x & 63 AS INT)), 0L)) AS m{k}" for k in range(MAPS)]
-    sets = split.select("w.id", F.expr("array_distinct(array_remove(split(all[w.line], ' '), ''))").alias("toks")).selectExpr("id", "toks", "transform(toks, x -> xxhash64(x)) AS codes")
-    sets = cut(sets.selectExpr("id", "toks", "size(toks) AS n", *maps))
-    small = lambda side: sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *[f"m{k}" for k in range(MAPS)])])
-    differ = " + ".join(f"bit_count(x_m{k} ^ y_m{k})" for k in range(MAPS))
-    close = cut(pairs.join(small("x"), "x").join(small("y"), "y").where(f"9 * (x_n + y_n - ({differ})) >= 8 * (x_n + y_n)").select("x", "y"))
-    both = close.join(sets.select(F.col("id").alias("y"), F.col("toks").alias("ty")), "y").join(sets.select(F.col("id").alias("x"), F.col("toks").alias("tx")), "x")
+    sets = cut(split.select("w.id", F.expr("array_distinct(array_remove(split(all[w.line], ' '), ''))").alias("toks")))
+    both = pairs.join(sets.select(F.col("id").alias("y"), F.col("toks").alias("ty")), "y").join(sets.select(F.col("id").alias("x"), F.col("toks").alias("tx")), "x")
     out = cut(both.where("9 * size(array_intersect(tx, ty)) >= 4 * (size(tx) + size(ty))").select("x").distinct())
-    discard(pairs, wanted, sets, close)
+    discard(pairs, wanted, sets)
     return out
 
 

@@ -163,3 +163,12 @@ def test_texts_are_joined_with_their_removals_the_same_way_at_every_size(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(0, "the same line\nand its own"), *((k, "") for k in range(1, 9))]
+
+
+def test_first_postings_of_short_lists_are_left_out(spark):
+    """They meet nothing before them; every posting of a long list stays, for the join with all earlier ones."""
+    lines = [(k, 10, [100 * (k // 2) + t for t in range(10)]) for k in range(8)] + [(k, 10, [9000 + t for t in range(10)]) for k in range(8, 8 + op3_lines.NEAR + 2)]
+    got = op3_lines._shared(spark.createDataFrame([(k * (op3_lines.SIZE + 1) + n, n, p) for k, n, p in lines], "id long, n int, prefix array<long>")).collect()
+    ids = [r.v // (op3_lines.PLACE + 1) // (op3_lines.SIZE + 1) for r in got]
+    assert sorted(ids) == sorted([k for k in (1, 3, 5, 7, *range(8, 8 + op3_lines.NEAR + 2)) for _ in range(8)])
+    assert all(r.m == (2 if k < 8 else op3_lines.NEAR + 2) and len(r.before) >= (k != 8) for k, r in zip(ids, got))
