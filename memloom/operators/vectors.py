@@ -72,7 +72,7 @@ def spanning_links(vectors: DataFrame, threshold: float, block: int = 2048) -> D
 def dealt(candidates: DataFrame, queries: DataFrame, block: int, within: str | None) -> tuple[DataFrame, DataFrame]:
     """Both sides with the tile (within, b, g) each row belongs to: every block of candidates meets every block of queries, of the same group only."""
     deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))  # noqa: E731  # of one type on both sides, as int 0 and long 0 go to different tasks
     if within is None:
         c, q = candidates.withColumn("grp", F.lit(0)), queries.withColumn("grp", F.lit(0))
         nb, ng = (F.lit(max(1, math.ceil(x.count() / block))) for x in (candidates, queries))
