@@ -8,6 +8,7 @@ from memloom.plans import registry
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "clu01_silhouette",
+    "join30_same_subject",
 ]
 
 
