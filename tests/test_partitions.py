@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "clu01_silhouette",
     "join30_same_subject",
+    "join20_edge_weights",
 ]
 
 
