@@ -10,6 +10,7 @@ NAMES = [
     "clu01_silhouette",
     "join30_same_subject",
     "join20_edge_weights",
+    "vec16_semantic_cache",
 ]
 
 
