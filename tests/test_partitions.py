@@ -11,6 +11,7 @@ NAMES = [
     "join30_same_subject",
     "join20_edge_weights",
     "vec16_semantic_cache",
+    "vec17_recent_lookup",
 ]
 
 
