@@ -12,6 +12,7 @@ NAMES = [
     "join20_edge_weights",
     "vec16_semantic_cache",
     "vec17_recent_lookup",
+    "vec07_attention",
 ]
 
 
