@@ -26,10 +26,12 @@ def as_of(held: DataFrame, asked: DataFrame, key: str, at: str, start: str = "va
     """
     row = F.struct(*[F.col(c) for c in held.columns if c != key])
     one = held.select(F.col(key), F.col(start).alias("__from"), F.col(end).alias("__to"), row.alias("__row"))
-    own = asked.withColumn("__id", F.monotonically_increasing_id())
-    met = own.join(one, key).where((F.col("__from") <= F.col(at)) & (F.col("__to").isNull() | (F.col("__to") > F.col(at))))
-    best = met.groupBy("__id").agg(F.max(F.struct("__from", "__row")).alias("__best"))
-    return own.join(best, "__id", "left").select(*asked.columns, F.col("__best.__row").alias("version"))
+    # numbered and read once: numbers of a second reading would belong to other rows
+    own = asked.select(key, F.col(at).alias("__at"), F.struct(*asked.columns).alias("__asked")).withColumn("__id", F.monotonically_increasing_id())
+    holds = (F.col("__from") <= F.col("__at")) & (F.col("__to").isNull() | (F.col("__to") > F.col("__at")))
+    met = own.withColumnRenamed(key, "__key").join(one, (F.col("__key") == F.col(key)) & holds, "left")
+    best = met.groupBy("__id").agg(F.first("__asked").alias("__asked"), F.max(F.when(F.col("__from").isNotNull(), F.struct("__from", "__row"))).alias("__best"))
+    return best.select("__asked.*", F.col("__best.__row").alias("version"))
 
 
 def followed(rows: DataFrame, events: DataFrame, key: str, at: str, seconds: int, flag: str) -> DataFrame:

@@ -30,3 +30,17 @@ def apart(spark):
 def test_blocks_meet(apart, name):
     got = registry.QUERIES[name](apart, SF).toPandas()
     assert canonical(got) == canonical(connect(SF).sql(registry.ORACLES[name]).df())
+
+
+def test_questions_are_read_once(spark):
+    """Versions as of a time where the two sides of a join are coalesced differently: a question keeps its own answer."""
+    sf, conf = "/root/testdata/sf0.1", {"spark.sql.shuffle.partitions": "12", "spark.sql.autoBroadcastJoinThreshold": "256k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = registry.QUERIES["join15_as_of"](spark, sf).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert canonical(got) == canonical(connect(sf).sql(registry.ORACLES["join15_as_of"]).df())
