@@ -14,3 +14,10 @@ def test_a_group_is_clustered_without_a_matrix():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 3000 * 3000 * 8 / 2
+
+
+def test_clusters_nested_deep():
+    """Pairs on a circle with growing gaps: each joins the cluster of all before it."""
+    at = np.repeat(np.cumsum(0.001 + 5e-7 * np.arange(1200)), 2) + np.tile([0.0, 1e-4], 1200)
+    labels = cluster.tree_clusters(np.stack([np.cos(at), np.sin(at)], axis=1), 2, 1)
+    assert len(labels) == 2400 and (labels >= 0).all() and (labels[::2] == labels[1::2]).all()
