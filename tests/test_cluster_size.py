@@ -26,7 +26,7 @@ def test_clusters_nested_deep():
     assert len(labels) == 2400 and (labels >= 0).all() and (labels[::2] == labels[1::2]).all()
 
 
-NAMES = ["clu08_sub_clusters"]
+NAMES = ["clu08_sub_clusters", "clu11_split_subject"]
 
 
 @pytest.mark.parametrize("name", NAMES)
