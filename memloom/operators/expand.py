@@ -24,6 +24,16 @@ def _best(found: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     return new.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "id", "score", "rank")
 
 
+def synonyms(asked: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, word): the words of all groups that hold a word of asked (id, word); groups are rows (grp, word).
+
+    Which words share a group is settled among distinct words before ids meet them, so rows that repeat a word cost nothing there.
+    """
+    held = groups.where("grp IS NOT NULL").select("grp", "word").distinct()
+    near = held.where("word IS NOT NULL").withColumnRenamed("word", "said").join(held, "grp").select("said", "word").distinct()
+    return asked.select("id", F.col("word").alias("said")).distinct().join(near, "said").select("id", "word").distinct()
+
+
 def by_subject(points: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """Points (id, parent) under the parents of the seeds, each at 0.5.
 

@@ -525,6 +525,12 @@ def join17_eval_traffic(spark, sf_dir):
     return temporal.followed(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id", "ts", 3600, "is_eval").select("event_id", "is_eval")
 
 
+@R.add("rnk16_synonyms", ranking.ORACLES["rnk16_synonyms"])
+def rnk16_synonyms(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 50).alias("grp"), F.col("p_brand").alias("word"))
+    return expand.synonyms(part.where("grp = 0"), part)
+
+
 @R.add("agg13_rolling_judge", ranking.ORACLES["agg13_rolling_judge"])
 def agg13_rolling_judge(spark, sf_dir):
     out = temporal.rolling_judge(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id")

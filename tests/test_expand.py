@@ -62,3 +62,13 @@ def test_cluster_plan(spark):
     assert sorted(map(tuple, entities.collect())) == [("group_day_0", text[:10] + "... [group_day_0]", 2), ("group_day_1", "... [group_day_1]", 2)]
     assert sorted(map(tuple, bridge.collect())) == [(1, "group_day_0"), (2, "group_day_0"), (3, "group_day_1"), (4, "group_day_1")]
     assert all((r.from_id, r.to_id) == (1, 2) for r in links.collect())
+
+
+def test_synonyms_meet_as_words(spark):
+    """Words that 200000 rows repeat, where rows joined with rows are 10^10."""
+    from memloom.operators import expand
+
+    rows = spark.range(200_000).selectExpr("id % 2 AS grp", "concat('w', id % 4) AS word").unionByName(spark.createDataFrame([(0, None), (None, "w1"), (2, "w1"), (2, "x")], "grp long, word string"))
+    asked = spark.createDataFrame([(1, "w0"), (1, "w0"), (2, "w1"), (3, None), (4, "none")], "id long, word string")
+    got = expand.synonyms(asked, rows)
+    assert {(r.id, r.word) for r in got.collect()} == {(1, "w0"), (1, "w2"), (1, None), (2, "w1"), (2, "w3"), (2, "x")} and got.count() == 6
