@@ -87,14 +87,14 @@ def dealt(candidates: DataFrame, queries: DataFrame, block: int, within: str | N
     return c, q
 
 
-def nearest(candidates: DataFrame, queries: DataFrame, k: int | None, threshold: float = -1.0, block: int = 4096, order: str = "best", among: str = "all", within: str | None = None) -> DataFrame:
+def nearest(candidates: DataFrame, queries: DataFrame, k: int | None, threshold: float = -1.0, block: int = 4096, order: str = "best", among: str = "all", within: str | None = None, places: int | None = 6) -> DataFrame:
     """(qid, id, sim, rank): the first k candidates (id, vec) of each query (qid, vec) with a cosine >= threshold, exactly.
 
     order: "best" (by cosine, ties by id), "first" (by id) or "last" (by id, downwards); k None: all of them.
     among: "all" candidates, the "other" ones (id <> qid) or the "earlier" ones (id < qid); within: only candidates
     with the same value in that column (null: none).
-    Cosines are rounded to 6 places. Both sides are dealt into blocks; a task multiplies one block of each, so
-    neither side is collected or broadcast, and a hot group is spread over its pairs of blocks.
+    Cosines are rounded to `places` (None: as they are). Both sides are dealt into blocks; a task multiplies one block of
+    each, so neither side is collected or broadcast, and a hot group is spread over its pairs of blocks.
     """
     c, q = dealt(candidates, queries, block, within)
 
@@ -103,7 +103,8 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int | None, threshold:
             return pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         x = x.sort_values("id", ascending=order != "last")
         ids, qids = x["id"].to_numpy(), y["qid"].to_numpy()
-        sims = np.round(unit_rows(y["qvec"]) @ unit_rows(x["vec"]).T, 6)
+        sims = unit_rows(y["qvec"]) @ unit_rows(x["vec"]).T
+        sims = sims if places is None else np.round(sims, places)
         good = sims >= threshold
         if among != "all":
             good &= ids[None, :] < qids[:, None] if among == "earlier" else ids[None, :] != qids[:, None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from memloom.functions import text as t
@@ -531,6 +532,19 @@ def rnk16_synonyms(spark, sf_dir):
     return expand.synonyms(part.where("grp = 0"), part)
 
 
+def _placed(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return e, e.withColumnRenamed("id", "qid")
+
+
+@R.add("fn26_sibling_conflicts", ranking.ORACLES["fn26_sibling_conflicts"])
+def fn26_sibling_conflicts(spark, sf_dir):
+    """The bound holds for cosines that are not rounded."""
+    known, asked = _placed(spark, sf_dir)
+    found = vectors.nearest(known, asked, None, math.nextafter(0.3, 1), among="earlier", within="label", places=None)
+    return found.where("id % 2 <> qid % 2").select(F.col("id").alias("a"), F.col("qid").alias("b"))
+
+
 @R.add("agg13_rolling_judge", ranking.ORACLES["agg13_rolling_judge"])
 def agg13_rolling_judge(spark, sf_dir):
     out = temporal.rolling_judge(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id")

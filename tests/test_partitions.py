@@ -13,6 +13,7 @@ NAMES = [
     "vec16_semantic_cache",
     "vec17_recent_lookup",
     "vec07_attention",
+    "fn26_sibling_conflicts",
 ]
 
 
