@@ -34,3 +34,23 @@ def test_bands_are_those_of_signatures(spark):
     keys = {r.id: r["keys"] for r in dedup.band_keys(df, 8, 2).collect()}
     assert keys.keys() == sigs.keys()
     assert all([x == y for x, y in zip(keys[a], keys[b])] == [sigs[a][k : k + 2] == sigs[b][k : k + 2] for k in range(0, 8, 2)] for a in sigs for b in sigs)
+
+
+def banded(spark, threshold):
+    """Pairs of sf0.001 above the threshold that share a band of Spark's own signatures."""
+    from memloom.plans import ranking
+
+    rows = ranking._bigrams(spark, "/root/testdata/sf0.001").select("id", "items", dedup.signature("items").alias("sig")).collect()
+    rows = [(r.id, set(r["items"]), [tuple(r.sig[k : k + 4]) for k in range(0, 128, 4)]) for r in rows]
+    near = [(a, b, len(x & y) / len(x | y), any(p == q for p, q in zip(s, t))) for a, x, s in rows for b, y, t in rows if a < b and len(x & y) > threshold * len(x | y)]
+    return [r[0] for r in rows], {(a, b): round(sim, 6) for a, b, sim, hit in near if hit}
+
+
+def test_minhash_survivors(spark):
+    from memloom.plans import registry
+
+    ids, pairs = banded(spark, 0.85)
+    kept = {}
+    for i in sorted(ids):
+        kept[i] = not any(kept[j] for j in kept if (j, i) in pairs)
+    assert pairs and {r.id: r.kept for r in registry.QUERIES["ded02_minhash"](spark, "/root/testdata/sf0.001").collect()} == kept
