@@ -54,3 +54,10 @@ def test_minhash_survivors(spark):
     for i in sorted(ids):
         kept[i] = not any(kept[j] for j in kept if (j, i) in pairs)
     assert pairs and {r.id: r.kept for r in registry.QUERIES["ded02_minhash"](spark, "/root/testdata/sf0.001").collect()} == kept
+
+
+def test_minhash_pairs(spark):
+    from memloom.plans import registry
+
+    pairs = banded(spark, 0.8)[1]
+    assert pairs and {(r.a, r.b): r.sim for r in registry.QUERIES["ded08_minhash_pairs"](spark, "/root/testdata/sf0.001").collect()} == pairs
