@@ -212,17 +212,22 @@ def security(d: Spark, x: str) -> str:
 
 def feedback(d: Spark, x: str) -> str:
     """Sentiment signals neg:... and pos:..., comma-joined in the order of the lexicons."""
-    low = f"lower({x})"
-    plain = lambda w: contains(w) if any(c in w for c in " ,.'") else d.has(low, rf"\b{w}\b")
+    low = f"lower({x})" if d.name != "spark" else "fl"
+    plain = lambda w: contains(w) if any(c in w for c in " ,.'") else held(w, rf"\b{w}\b")
 
     def contains(w: str) -> str:
         return f"contains({low}, {d.lit(w)})"
 
+    def held(w: str, pattern: str) -> str:
+        """In Spark most words are ruled out by a search of bytes before their pattern is tried."""
+        return f"({contains(w)} AND {d.has(low, pattern)})" if d.name == "spark" else d.has(low, pattern)
+
     def unnegated(w: str) -> str:
-        return d.has(low, f"(^|[^{NEGATIONS}]){w}")
+        return held(w, f"(^|[^{NEGATIONS}]){w}")
 
     rules = [(plain(w), f"neg:{w}") for w in NEGATIVE] + [(plain(w), f"pos:{w}") for w in POSITIVE]
     rules += [(unnegated(w) if w in NEGATABLE else contains(w), f"neg:{w}") for w in NEGATIVE_CJK]
     rules += [(contains(w) if w == "没问题" else unnegated(w), f"pos:{w}") for w in POSITIVE_CJK]
     items = d.array([f"CASE WHEN {c} THEN {d.lit(v)} ELSE '' END" for c, v in rules])
-    return d.join(d.keep(items, "s", "s <> ''"), ",")
+    signals = d.join(d.keep(items, "s", "s <> ''"), ",")
+    return d.let(f"lower({x})", "fl", signals) if d.name == "spark" else signals

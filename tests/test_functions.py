@@ -80,3 +80,12 @@ def test_truncation(spark):
     text = "a" * 300 + "\n" + "b" * 300
     assert value(spark, lambda d: t.truncate_at_line(d, "text"), text) == "a" * 300 + "…（截断）"
     assert len(value(spark, lambda d: t.head_tail(d, "text", 100), text)) == 50 + 5 + 44
+
+
+def test_feedback_lowers_a_text_once():
+    """Each word's rule lowered the whole text again and tried its pattern on it."""
+    from memloom.functions import gates
+    from memloom.functions.dialect import SPARK
+
+    said = gates.feedback(SPARK, "text")
+    assert said.count("lower(") == 1 and said.count("RLIKE") < said.count("contains(")
