@@ -61,3 +61,19 @@ def test_minhash_pairs(spark):
 
     pairs = banded(spark, 0.8)[1]
     assert pairs and {(r.a, r.b): r.sim for r in registry.QUERIES["ded08_minhash_pairs"](spark, "/root/testdata/sf0.001").collect()} == pairs
+
+
+def test_places_rule_out_candidates(spark, monkeypatch):
+    """x is the third of four items in two sets, so at most two of the three that they need can be shared."""
+    joined = []
+    distinct = type(spark.range(1)).distinct
+    monkeypatch.setattr(type(spark.range(1)), "distinct", lambda self: joined.append(distinct(self)) or joined[-1])
+    df = spark.createDataFrame([(1, list("abxy")), (2, list("cdxz")), (3, list("yz")), (4, list("yz"))], "id long, items array<string>")
+    assert [tuple(r) for r in dedup.similar_pairs(df, 0.5).collect()] == [(3, 4, 1.0)]
+    assert [tuple(r) for r in joined[0].collect()] == [(3, 4)]
+
+
+def test_pairs_by_places_are_all_pairs(spark):
+    plain, df = sets(spark)
+    want = {(a, b) for a, x in plain.items() for b, y in plain.items() if a < b and x and y and len(x & y) >= 0.5 * len(x | y)}
+    assert {(r.a, r.b) for r in dedup.similar_pairs(df, 0.5).collect()} == want
